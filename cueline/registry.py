@@ -1,0 +1,6 @@
+"""Queries of the library's own operators and the SQL that checks them."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
