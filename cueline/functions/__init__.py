@@ -1,0 +1 @@
+"""Column expressions: text, time codes, level and confidence coercion."""

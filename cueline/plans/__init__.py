@@ -1,0 +1 @@
+"""Jobs made of operators."""

@@ -1,6 +1,431 @@
-"""Queries of the library's own operators and the SQL that checks them."""
+"""Queries of the library's own operators over the driver's tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cueline import fixtures as fx
+from cueline.functions import text as tx
+from cueline.functions import timecode as tc
+from cueline.operators import captions, decisions, intervals, moments, packages, research, responses, scoring, signals, textclean
+from cueline.oracles import build
+from cueline.plans import highlights as plan
+from cueline.plans import research as research_plan
+from cueline.sources import checks, inputs, sinks
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+
+FALLBACK = (
+    ("click", "What just happened?", "Nobody saw this click coming", ("#Clip", "#Reaction")),
+    ("view", "Wait for it", "A moment worth the view", ("#Clip", "#Watch")),
+    ("other", "You have to see this", "The moment of the stream", ("#Clip", "#Stream")),
+)
+WORDS = ("the", "and", "with", "that", "for", "this", "der", "die", "les", "que")
+PAIRS = ("and the", "the and", "for the", "the for", "with the", "the that", "die der")
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def r6(df: DataFrame, *names: str) -> DataFrame:
+    """Doubles rounded to six places: their sums depend on the order of rows."""
+    return df.withColumns({c: F.round(c, 6) for c in names})
+
+
+# --- intervals -----------------------------------------------------------------------
+
+
+@query
+def speech_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    out = intervals.merge_gaps(fx.speech_segments(spark, sf), 2.0, 20.0)
+    return r6(out.select("media_id", "chunk_idx", F.col("start").alias("start_seconds"), F.col("end").alias("end_seconds")), "start_seconds", "end_seconds")
+
+
+@query
+def merged_scenes(spark: SparkSession, sf: str) -> DataFrame:
+    return r6(intervals.merge_short(fx.scenes(spark, sf), 2.0), "start_seconds", "end_seconds")
+
+
+@query
+def thinned_moments(spark: SparkSession, sf: str) -> DataFrame:
+    return r6(intervals.thin(fx.events(spark, sf), 5.0), "t")
+
+
+def _clips(spark: SparkSession, sf: str) -> DataFrame:
+    """Scenes scored by the value of the event they begin with, as clips of 10 to 30 s."""
+    ev = fx.events(spark, sf).select("media_id", F.col("t").alias("start_seconds"), "value")
+    scored = fx.scenes(spark, sf).join(ev, ["media_id", "start_seconds"]).withColumn("final_score", F.col("value") / F.max("value").over(Window.partitionBy("media_id")))
+    return scoring.select_candidates(scored, fx.media(spark, sf), least=10.0, most=30.0)
+
+
+@query
+def deduped_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    clips = _clips(spark, sf)
+    return clips.join(intervals.suppress_near_duplicates(clips, iou=0.6), ["media_id", "rank"]).select("media_id", "rank", F.round("start_seconds", 6).alias("start_seconds"), F.round("end_seconds", 6).alias("end_seconds"))
+
+
+@query
+def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return intervals.near_duplicate_pairs(_clips(spark, sf), iou=0.6)
+
+
+@query
+def scene_transcripts(spark: SparkSession, sf: str) -> DataFrame:
+    out = intervals.scene_texts(fx.transcript_segments(spark, sf), fx.scenes(spark, sf))
+    out = scoring.text_statistics(out)
+    return out.select("media_id", "scene_idx", F.md5(F.encode("transcript_text", "UTF-8")).alias("text_md5"), "speech_character_count", "speech_word_count", "has_speech")
+
+
+# --- signals -------------------------------------------------------------------------
+
+
+@query
+def scene_loudness(spark: SparkSession, sf: str) -> DataFrame:
+    return r6(signals.scene_loudness(fx.audio_blocks(spark, sf), fx.scenes(spark, sf), window_seconds=40.0), "average_audio_rms", "maximum_audio_rms")
+
+
+@query
+def scene_motion(spark: SparkSession, sf: str) -> DataFrame:
+    return r6(signals.scene_motion(fx.embedding_frames(spark, sf), fx.embedding_scenes(spark, sf), 1.0), "average_motion_score", "maximum_motion_score")
+
+
+@query
+def frame_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return r6(signals.frame_changes(fx.event_frames(spark, sf), fx.scenes(spark, sf), fx.RATE, 1), "change")
+
+
+@query
+def representative_frames(spark: SparkSession, sf: str) -> DataFrame:
+    clips = fx.embedding_frames(spark, sf).groupBy("media_id").agg(F.count("*").alias("frame_count")).withColumn("rank", F.lit(1))
+    return signals.representative_frames(clips, 3)
+
+
+def _envelopes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    ev = fx.events(spark, sf)
+    n = F.row_number().over(Window.partitionBy("media_id").orderBy("t", "event_id")) - 1
+    levels = signals.envelope(ev.withColumn("n", n), width=4)
+    master = levels.withColumnRenamed("media_id", "session_id")
+    return master, levels.select((F.col("media_id") - 1).alias("session_id"), "w", "level")
+
+
+@query
+def envelopes(spark: SparkSession, sf: str) -> DataFrame:
+    return r6(_envelopes(spark, sf)[0], "level")
+
+
+@query
+def lag_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    master, source = _envelopes(spark, sf)
+    scores = signals.lag_scores(master, source, 5)
+    return r6(signals.best_alignment(scores, apart=2).select("session_id", "lag", "pearson", "ratio", "confidence"), "pearson", "ratio", "confidence")
+
+
+@query
+def fft_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    master, source = _envelopes(spark, sf)
+    return r6(signals.align_by_fft(master, source, 5, 2), "pearson", "ratio", "confidence")
+
+
+# --- scores and candidates -----------------------------------------------------------
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    return plan.scored_scenes(fx.transcript_segments(spark, sf), fx.scenes(spark, sf), fx.event_frames(spark, sf), fx.audio_blocks(spark, sf), fx.RATE, 1)
+
+
+@query
+def highlight_scores(spark: SparkSession, sf: str) -> DataFrame:
+    cols = ("motion_score", "speech_score", "audio_score", "final_score")
+    return r6(_scored(spark, sf).select("media_id", "scene_idx", *cols), *cols)
+
+
+@query
+def highlight_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    # scores are rounded before they are compared: their sums depend on the order of rows
+    scored = _scored(spark, sf).withColumn("final_score", F.round("final_score", 6))
+    out = scoring.select_candidates(scored, fx.media(spark, sf))
+    return r6(out.drop("middle"), "start_seconds", "end_seconds")
+
+
+@query
+def highlight_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole run with a responder that answers by the length of the prompt."""
+
+    def set_up():
+        def answer(prompt: str) -> str:
+            n = len(prompt) % 100
+            return 'So: {"is_interesting": true, "keep_highlight": %s, "category": "c%d", "action_level": "high", "confidence": 0.5, "final_confidence": %.2f}' % ("true" if n % 2 else "false", n % 5, n / 100)
+
+        return answer
+
+    final, texts = plan.highlight_run(fx.transcript_segments(spark, sf), fx.scenes(spark, sf), fx.event_frames(spark, sf), fx.audio_blocks(spark, sf), fx.media(spark, sf), fx.RATE, set_up, "Said: %s", 1)
+    n = texts.groupBy("media_id", "rank").agg(F.count("*").alias("captions"))
+    out = final.join(n, ["media_id", "rank"], "left").select("media_id", "rank", "number", "category", "keep_highlight", "final_confidence", F.coalesce("captions", F.lit(0)).alias("captions"))
+    return out
+
+
+@query
+def missing_features(spark: SparkSession, sf: str) -> DataFrame:
+    sc = fx.scenes(spark, sf)
+    motion = signals.scene_motion(fx.event_frames(spark, sf), sc.where("scene_idx % 9 <> 0"), fx.RATE, 1)
+    loud = sc.where("scene_idx % 5 <> 0").select("media_id", "scene_idx")
+    return scoring.missing_features(sc, motion, loud)
+
+
+# --- responses and decisions ---------------------------------------------------------
+
+
+@query
+def response_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = responses.commentary(fx.model_responses(spark, sf))
+    return rows.select("media_id", "rank", "is_interesting", "category", "reason", "confidence")
+
+
+@query
+def visual_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = responses.visual(fx.model_responses(spark, sf))
+    return rows.select("media_id", "rank", "visual_event", "action_level", "danger_level", "looks_interesting", "reason", "confidence")
+
+
+@query
+def first_valid_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    attempts = fx.metadata_attempts(spark, sf)
+    kinds = F.element_at(F.array(F.lit("click"), F.lit(" VIEW "), F.lit("boss")), (F.col("conv_id") % 3 + 1).cast("int"))
+    items = attempts.select("conv_id").distinct().withColumn("category", kinds)
+    fallback = spark.createDataFrame([(a, b, c, list(d)) for a, b, c, d in FALLBACK], "category string, hook string, title string, hashtags array<string>")
+    out = responses.first_valid(attempts, items, fallback, ["conv_id"])
+    return out.select("conv_id", "attempt", "hook", "title", F.array_join("hashtags", " ").alias("hashtags"))
+
+
+@query
+def metadata_rules(spark: SparkSession, sf: str) -> DataFrame:
+    out = fx.metadata_attempts(spark, sf)
+    return out.select("conv_id", "attempt", F.array_join(responses.metadata_failures(), ",").alias("failures"))
+
+
+@query
+def final_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    raw = fx.model_responses(spark, sf)
+    rank = ((F.col("rank") - 1) % 20 + 1).cast("int")
+    told = responses.commentary(raw).select("media_id", rank.alias("rank"), F.col("event_id").alias("seq"), F.col("category").alias("commentary_category"))
+    seen = responses.visual(raw.where("rank % 3 <> 0 AND rank <= 20")).select("media_id", F.col("rank").cast("int").alias("rank"), "action_level")
+    fused = responses.fusion(raw.where("rank <= 20")).select("media_id", F.col("rank").cast("int").alias("rank"), "keep_highlight", "final_confidence")
+    clips = fx.scenes(spark, sf).select("media_id", (F.col("scene_idx") % 18 + 1).cast("int").alias("rank"), F.col("scene_idx").alias("clip_seq"), "start_seconds")
+    ranks = clips.select("media_id", "rank").distinct()
+    both = decisions.join_visual(decisions.join_reasoning(ranks, told, "seq"), seen).join(fused, ["media_id", "rank"])
+    out = decisions.link_clips(decisions.rank_final(both), clips, "clip_seq")
+    return out.select("media_id", "rank", "number", "commentary_category", "action_level", "keep_highlight", "final_confidence", F.round("start_seconds", 6).alias("start_seconds"))
+
+
+@query
+def timeline_remap(spark: SparkSession, sf: str) -> DataFrame:
+    sessions = fx.media(spark, sf).where("media_id % 10 <> 3").select("media_id", (F.col("media_id") % 7 - 100.0).alias("gameplay_offset_seconds"))
+    out = decisions.remap_timeline(fx.events(spark, sf), sessions, "gameplay_offset_seconds")
+    return r6(out.select("media_id", "event_id", "source_seconds", "reject_reason"), "source_seconds")
+
+
+@query
+def run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    timings = fx.events(spark, sf).select(F.col("media_id").alias("run_id"), F.col("event_type").alias("stage"), F.col("value").alias("duration_seconds"))
+    return r6(decisions.summarise_runs(timings), "total_seconds", "slowest_share")
+
+
+@query
+def layout_routes(spark: SparkSession, sf: str) -> DataFrame:
+    valid = inputs.check_sessions(fx.session_manifest(spark, sf)).where("error IS NULL").select("session_id", "layout")
+    requests = fx.session_manifest(spark, sf).select("session_id")
+    return decisions.route_layout(requests, valid, "session_id").select("session_id", "renderer")
+
+
+@query
+def prompts(spark: SparkSession, sf: str) -> DataFrame:
+    scenes = intervals.scene_texts(fx.transcript_segments(spark, sf), fx.scenes(spark, sf)).withColumnRenamed("scene_idx", "rank")
+    out = responses.render_prompts(scenes, "Scene %s says: %s", ["rank", "transcript_text"])
+    return out.select("media_id", "rank", F.md5(F.encode("prompt", "UTF-8")).alias("prompt_md5"))
+
+
+# --- captions ------------------------------------------------------------------------
+
+
+def _spoken(spark: SparkSession, sf: str) -> DataFrame:
+    docs = fx.table(spark, sf, "documents")
+    return docs.select("doc_id", F.col("text").alias("transcript_text"), (F.col("doc_id") % 50 + 10.5).alias("duration_seconds"))
+
+
+@query
+def caption_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return r6(captions.build_captions(_spoken(spark, sf), ["doc_id"]), "start_seconds", "end_seconds")
+
+
+@query
+def srt_documents(spark: SparkSession, sf: str) -> DataFrame:
+    clips = _spoken(spark, sf)
+    out = captions.subtitle_documents(captions.build_captions(clips, ["doc_id"]), clips, ["doc_id"])
+    return out.select("doc_id", F.length("document").alias("chars"), F.md5(F.encode("document", "UTF-8")).alias("document_md5"))
+
+
+@query
+def caption_lines(spark: SparkSession, sf: str) -> DataFrame:
+    texts = fx.metadata_attempts(spark, sf).select("conv_id", "attempt", "hook")
+    return texts.select("conv_id", "attempt", F.array_join(tx.caption_lines(F.substring("hook", 1, 25), "NOW"), "/").alias("lines"))
+
+
+@query
+def time_codes(spark: SparkSession, sf: str) -> DataFrame:
+    ev = fx.events(spark, sf)
+    return ev.select("event_id", tc.srt_time(F.col("t") - 1).alias("srt"), tc.dotted_time("t").alias("dotted"), tc.clock_time("t").alias("clock"))
+
+
+@query
+def highlight_files(spark: SparkSession, sf: str) -> DataFrame:
+    raw = fx.model_responses(spark, sf).where("rank <= 20")
+    fused = responses.fusion(raw).select("media_id", F.col("rank").cast("int").alias("rank"), "keep_highlight", "final_confidence", "reason")
+    out = sinks.highlight_metadata(fused)
+    return out.select("media_id", "number", "file_name", F.get_json_object("metadata", "$.rank").cast("int").alias("rank"), F.get_json_object("metadata", "$.file_name").alias("named"))
+
+
+# --- moments and frames --------------------------------------------------------------
+
+
+@query
+def moment_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return r6(moments.select_moments(fx.events(spark, sf), fx.media(spark, sf), 5), "t")
+
+
+@query
+def sparse_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """Few cuts, so that fallback times fill up."""
+    cuts = fx.events(spark, sf).where("event_id % 40 = 0")
+    return r6(moments.select_moments(cuts, fx.media(spark, sf), 8), "t")
+
+
+@query
+def scene_cut_times(spark: SparkSession, sf: str) -> DataFrame:
+    ev = fx.events(spark, sf)
+    log = ev.groupBy("media_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "event_id"))), lambda x: F.concat(F.lit("[show] n:1 pts_time:"), F.format_string("%.3f", x["t"]), F.lit(" ok"))), "\n").alias("value"))
+    return inputs.scene_cut_times(log)
+
+
+@query
+def frame_shortlist(spark: SparkSession, sf: str) -> DataFrame:
+    out = scoring.shortlist_frames(scoring.score_frames(fx.frame_metrics(spark, sf)))
+    return out.select("request_id", "sequence", "rank", "total_score", "brightness_score", "contrast_score", "sharpness_score", "color_score", "detail_score")
+
+
+@query
+def round_robin(spark: SparkSession, sf: str) -> DataFrame:
+    frames = scoring.shortlist_frames(scoring.score_frames(fx.frame_metrics(spark, sf))).select("request_id", "rank", "sequence")
+    li = fx.table(spark, sf, "lineitem")
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    assets = li.select(F.col("l_orderkey").alias("request_id"), pos.alias("pos"), F.col("l_quantity").cast("int").alias("width"), (F.col("l_partkey") % 60).cast("int").alias("height"))
+    cutouts = scoring.rank_cutouts(assets)
+    variants = frames.select("request_id").distinct().withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    return scoring.pair_round_robin(variants, frames, cutouts).select("request_id", "variant", "sequence", "pos")
+
+
+# --- research and packages -----------------------------------------------------------
+
+
+def _document_words(spark: SparkSession, sf: str) -> DataFrame:
+    docs = fx.table(spark, sf, "documents").select(F.coalesce("source", F.lit("")).alias("request_id"), F.col("doc_id").alias("pos"), F.lit("").alias("title"), F.col("text").alias("summary"))
+    names = docs.select("request_id").distinct().withColumn("suggested_name", F.lit("The ring"))
+    return research.result_words(docs, names)
+
+
+@query
+def term_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return research.term_counts(_document_words(spark, sf), terms=WORDS)
+
+
+@query
+def phrase_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return research.phrase_counts(_document_words(spark, sf), phrases=PAIRS)
+
+
+@query
+def deduped_results(spark: SparkSession, sf: str) -> DataFrame:
+    out = research.dedupe_results(research.normalise_results(fx.search_results(spark, sf)))
+    return out.select("request_id", "pos", "url", "domain", "title")
+
+
+@query
+def best_names(spark: SparkSession, sf: str) -> DataFrame:
+    results = research.dedupe_results(research.normalise_results(fx.search_results(spark, sf)))
+    return research.best_names(results, fx.result_requests(spark, sf))
+
+
+@query
+def request_research(spark: SparkSession, sf: str) -> DataFrame:
+    return research_plan.research_requests(fx.result_requests(spark, sf), fx.search_results(spark, sf).where("request_id NOT LIKE 'm.%'"))
+
+
+@query
+def search_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return research.search_queries(fx.package_requests(spark, sf), ("game", "gameplay", "best moments", "tips"))
+
+
+def _packages(spark: SparkSession, sf: str) -> DataFrame:
+    req = fx.package_requests(spark, sf)
+    terms = F.array(F.lit("Boss"), F.initcap("game_name"), F.lit("boss"), F.lit("Quest"))
+    found = req.select("request_id", F.when(F.col("request_id") % 4 == 0, F.concat(F.lit("The "), F.col("game_name"))).otherwise(F.col("game_name")).alias("suggested_name"), (F.col("request_id") % 4 == 0).alias("was_corrected"), terms.alias("terminology"))
+    return packages.build_packages(req, fx.profiles(spark, sf), found, packages.title_templates(spark))
+
+
+@query
+def upload_packages(spark: SparkSession, sf: str) -> DataFrame:
+    out = _packages(spark, sf)
+    return out.select("request_id", F.array_join("titles", "|").alias("titles"), "description", F.array_join("tags", "|").alias("tags"), F.array_join("hashtags", " ").alias("hashtags"), "name_source")
+
+
+@query
+def package_files(spark: SparkSession, sf: str) -> DataFrame:
+    out = sinks.package_text(_packages(spark, sf))
+    return out.select("request_id", F.length("text").alias("chars"), F.size(F.from_json("json", "titles array<string>")["titles"]).alias("titles"))
+
+
+@query
+def name_slugs(spark: SparkSession, sf: str) -> DataFrame:
+    hooks = fx.metadata_attempts(spark, sf)
+    return hooks.select("conv_id", "attempt", tx.slug("hook").alias("slug"), tx.hashtag("hook").alias("hashtag"), tx.cut_title("title", 40).alias("title"))
+
+
+# --- sources and checks --------------------------------------------------------------
+
+
+@query
+def session_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return inputs.check_sessions(fx.session_manifest(spark, sf)).where("error IS NOT NULL").select("session_id", "error")
+
+
+@query
+def probe_media(spark: SparkSession, sf: str) -> DataFrame:
+    out = inputs.probe_media(fx.probe_json(spark, sf))
+    return out.select("media_id", "duration_seconds", "width", "height", F.round("fps", 6).alias("fps"), "video_codec", "audio_codec", "audio_bitrate", "file_size", "has_audio", "reject_reason")
+
+
+@query
+def ranking_validity(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.check_rankings(fx.ranking_clips(spark, sf))
+
+
+@query
+def countdown_order(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.countdown(fx.ranking_clips(spark, sf)).select("list_id", "pos", "rank", "show_order")
+
+
+@query
+def profile_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.profiles(spark, sf).withColumn("style", F.when(F.col("profile_key") % 2 == 0, F.lit("bold")))
+    return inputs.check_profiles(rows).select("profile_key", F.array_join("missing", ",").alias("missing"))
+
+
+@query
+def clean_transcripts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.transcript_segments(spark, sf)
+    return rows.select("media_id", "seg_idx", textclean.collapse("text").alias("text"))
+
+
+ORACLES = build(WORDS, PAIRS, FALLBACK)

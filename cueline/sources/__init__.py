@@ -1,0 +1 @@
+"""Sources, checks of incoming rows, and sinks."""
