@@ -340,4 +340,25 @@ SELECT list_id, count(*) AS clip_count, CASE WHEN count(*) < 2 THEN 'fewer than
 WITH c AS (SELECT l_orderkey AS list_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS pos, l_linenumber AS rank FROM lineitem)
 SELECT list_id, pos, rank, row_number() OVER (PARTITION BY list_id ORDER BY rank DESC, pos) AS show_order FROM c"""
     sql["profile_gaps"] = "SELECT s_suppkey AS profile_key, 'target_audience,preferred_language,brand_colors,logo,creator_photos_folder,' || CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'style,' END || 'ai_face_generation' AS missing FROM supplier"
+    sql["package_assembly"] = f"""
+WITH {_caption_cte()}, {ATTEMPTS},
+doc AS (SELECT doc_id, count(*) AS n, length(string_agg((caption_idx + 1) || E'\\n' || {_time("s", ",")} || ' --> ' || {_time("e", ",")} || E'\\n' || text, E'\\n\\n')) + 1 AS chars FROM cap GROUP BY 1)
+SELECT s.doc_id AS media_id, s.doc_id % 3 + 1 AS rank, coalesce(n, 0) AS caption_count, coalesce(chars, 0) AS chars, coalesce(hook, 'now') AS hook, coalesce(title, 'clip ' || s.doc_id) AS title, coalesce(array_to_string(tags, ' '), '#clip') AS hashtags
+FROM src s LEFT JOIN doc USING (doc_id) LEFT JOIN meta m ON m.conv_id = s.doc_id AND m.attempt = 1"""
+    sql["usable_envelopes"] = f"WITH {ENVELOPE} SELECT media_id AS session_id FROM lev GROUP BY 1 HAVING count(*) >= 16 AND stddev_pop(level) >= 0.01"
+    sql["stage_shares"] = "SELECT event_id, round(CASE WHEN sum(value) OVER p > 0 THEN value / sum(value) OVER p ELSE 0 END, 6) AS share FROM events WINDOW p AS (PARTITION BY user_id)"
+    sql["media_plan"] = """
+WITH p AS (SELECT p_partkey AS media_id, p_size AS n, CASE WHEN p_size % 10 = 0 THEN 0.5 ELSE p_size + 0.5 END::DOUBLE AS d FROM part WHERE p_size % 17 <> 0 AND p_size % 9 <> 0)
+SELECT media_id, CASE WHEN media_id % 2 = 0 THEN 0.35 ELSE 0.28 END AS scene_threshold, round(CASE WHEN media_id % 2 = 0 THEN greatest(8, least(d / 20, 45)) ELSE greatest(2, least(d / 20, 12)) END, 6) AS spacing,
+  round(greatest(1, least(d * 0.03, 20)), 6) AS margin, CASE WHEN n * 16 <= 320 THEN n * 9 ELSE greatest(1, CAST(round_even(n * 9 * 320.0::DOUBLE / (n * 16), 0) AS BIGINT)) END AS frame_height FROM p"""
+    # a frame is mirrored at its edges, without the edge itself: place 0 is row 2, place 9 is row 7
+    sql["frame_pixels"] = """
+WITH f AS (SELECT label::BIGINT AS media_id, vec_id AS frame_number, embedding AS g FROM embeddings),
+px AS (
+  SELECT media_id, frame_number, g[y * 8 + x + 1]::DOUBLE AS v,
+    g[abs(y - 1) * 8 + x + 1]::DOUBLE + g[(7 - abs(6 - y)) * 8 + x + 1]::DOUBLE + g[y * 8 + abs(x - 1) + 1]::DOUBLE + g[y * 8 + (7 - abs(6 - x)) + 1]::DOUBLE - 4 * g[y * 8 + x + 1]::DOUBLE AS lap
+  FROM f, range(8) r(y), range(8) c(x))
+SELECT media_id, frame_number, round(avg(v), 6) AS brightness, round(stddev_pop(v), 6) AS contrast, round(var_pop(lap), 6) AS sharpness FROM px GROUP BY ALL"""
+    sql["caption_translations"] = "SELECT event_id, CASE event_type WHEN 'click' THEN 'klick' WHEN 'view' THEN 'blick' ELSE event_type END AS caption FROM events"
+    sql["profile_logos"] = "SELECT s_suppkey AS profile_key, s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 AS logo_enabled, CASE WHEN s_suppkey % 3 = 0 THEN 'logo.png' ELSE '' END AS logo_path FROM supplier"
     return sql

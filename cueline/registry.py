@@ -428,4 +428,61 @@ def clean_transcripts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("media_id", "seg_idx", textclean.collapse("text").alias("text"))
 
 
+# --- packages, media and frames ------------------------------------------------------
+
+
+@query
+def package_assembly(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as highlights: captions counted, subtitles joined, metadata of their conversation, else generated."""
+    clips = _spoken(spark, sf).withColumn("rank", (F.col("doc_id") % 3 + 1).cast("int")).withColumnRenamed("doc_id", "media_id")
+    on = ["media_id", "rank"]
+    made = captions.build_captions(clips, on)
+    docs = captions.subtitle_documents(made, clips, on)
+    first = fx.metadata_attempts(spark, sf).where("attempt = 1")
+    given = first.select(F.col("conv_id").alias("media_id"), (F.col("conv_id") % 3 + 1).cast("int").alias("rank"), "hook", "title", "hashtags")
+    generated = clips.select(*on, F.lit("now").alias("hook"), F.concat(F.lit("clip "), F.col("media_id").cast("string")).alias("title"), F.array(F.lit("#clip")).alias("hashtags"))
+    out = decisions.assemble_packages(clips.select(*on), made, docs, given, generated)
+    return out.select(*on, "caption_count", F.length("document").alias("chars"), "hook", "title", F.array_join("hashtags", " ").alias("hashtags"))
+
+
+@query
+def usable_envelopes(spark: SparkSession, sf: str) -> DataFrame:
+    return signals.usable_envelopes(_envelopes(spark, sf)[0], "session_id", least=16)
+
+
+@query
+def stage_shares(spark: SparkSession, sf: str) -> DataFrame:
+    timings = fx.events(spark, sf).select("event_id", F.col("media_id").alias("run_id"), F.col("event_type").alias("stage"), F.col("value").alias("duration_seconds"))
+    return r6(decisions.stage_shares(timings).select("event_id", "share"), "share")
+
+
+@query
+def media_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Scan parameters of each recording, and the height of its frames at 320 columns."""
+    probed = inputs.probe_media(fx.probe_json(spark, sf)).where("reject_reason IS NULL")
+    mode = F.when(F.col("media_id") % 2 == 0, "full").otherwise("existing_highlight")
+    rows = moments.mode_parameters(probed.withColumn("mode", mode), 5)
+    rows = rows.withColumn("frame_height", tc.fit_height("width", "height", 320).cast("int"))
+    return r6(rows.select("media_id", "scene_threshold", "spacing", "margin", "frame_height"), "spacing", "margin")
+
+
+@query
+def frame_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings as frames of 8 x 8 grey values."""
+    out = signals.pixel_metrics(fx.embedding_frames(spark, sf), 8)
+    return r6(out.select("media_id", "frame_number", "brightness", "contrast", "sharpness"), "brightness", "contrast", "sharpness")
+
+
+@query
+def caption_translations(spark: SparkSession, sf: str) -> DataFrame:
+    ev = fx.events(spark, sf).select("event_id", F.col("event_type").alias("caption"))
+    return packages.translate_captions(ev, {"click": "klick", "view": "blick"})
+
+
+@query
+def profile_logos(spark: SparkSession, sf: str) -> DataFrame:
+    logo = F.when(F.col("profile_key") % 3 == 0, F.struct((F.col("profile_key") % 2 == 0).alias("enabled"), F.lit("logo.png").alias("path"))).when(F.col("profile_key") % 3 == 1, F.struct(F.lit(None).cast("boolean").alias("enabled"), F.lit(None).cast("string").alias("path")))
+    return packages.profile_settings(fx.profiles(spark, sf).withColumn("logo", logo)).select("profile_key", "logo_enabled", "logo_path")
+
+
 ORACLES = build(WORDS, PAIRS, FALLBACK)
