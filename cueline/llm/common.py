@@ -1,38 +1,15 @@
-"""Helpers shared by the operators: shared storage, pass-through maps, components."""
+"""Helpers shared by the operators: pass-through maps, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where the session has none (local tests), a folder of this machine is set.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cueline-checkpoint-"))
-        found = sc.getCheckpointDir()
-    return found
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage and survives lost executors; the files belong to one call.
-    """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/cueline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from cueline.storage import materialise, shared_dir  # noqa: F401
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:
