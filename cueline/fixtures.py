@@ -116,7 +116,7 @@ def ranking_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"))
     kind = F.when(F.col("l_partkey") % 50 == 0, ".mov").otherwise(".MP4")
-    said = F.when(F.col("l_suppkey") % 40 == 0, F.concat("l_returnflag", F.lit(" two"))).otherwise(F.col("l_returnflag"))
+    said = F.when(F.col("l_suppkey") % 40 == 0, F.concat("l_returnflag", F.lit(" two"))).when(F.col("l_suppkey") % 41 == 0, F.lit(" ")).otherwise(F.col("l_returnflag"))
     return li.select(F.col("l_orderkey").alias("list_id"), pos.alias("pos"), F.concat(F.lit("clip_"), F.col("l_partkey").cast("string"), kind).alias("video_path"), F.col("l_linenumber").cast("int").alias("rank"), said.alias("description"))
 
 
@@ -151,4 +151,9 @@ def package_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("profile_key"), F.col("s_name").alias("channel_name"))
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("profile_key"),
+        F.col("s_name").alias("channel_name"),
+        F.when(F.col("s_suppkey") % 3 == 0, "Hinglish").when(F.col("s_suppkey") % 3 == 1, "English").alias("preferred_language"),
+        F.when(F.col("s_suppkey") % 2 == 0, " night  owls ").alias("target_audience"),
+    )

@@ -22,6 +22,11 @@ TITLES = {
 }
 
 
+# The tags of a package.
+TAGS = ("%n", "%n gameplay", "%n %v", "%n %t", "%v", "%t", "gaming", "gameplay", "gaming video", "gameplay highlights", "%l gaming", "%c")
+DESCRIPTION = "%c plays %n: %t.\n\nA %v video for %a.\n\nGame: %n\nType: %v\nTopic: %t\nChannel: %c\n\n%h"
+
+
 def video_kind(video_type: Column | str) -> Column:
     """First of the known kinds that the type's name holds, in order, else other."""
     low = F.lower(F.col(video_type) if isinstance(video_type, str) else video_type)
@@ -49,24 +54,50 @@ def profile_settings(profiles: DataFrame) -> DataFrame:
     return profiles.withColumns({"logo_enabled": F.coalesce(F.col("logo.enabled"), F.lit(False)) if has else F.lit(False), "logo_path": F.coalesce(F.col("logo.path"), F.lit("")) if has else F.lit("")})
 
 
-def build_packages(requests: DataFrame, profiles: DataFrame, research: DataFrame, templates: DataFrame, key: str = "request_id", most_tags: int = 15) -> DataFrame:
-    """(key, titles, description, tags, hashtags, name_source) of each request.
+def _fill(template: Column | str, also: dict[str, Column] | None = None) -> Column:
+    """A template with the name (%n), type (%v), topic (%t), language (%l) and channel (%c) of its row."""
+    out = F.lit(template) if isinstance(template, str) else template
+    for mark, value in {"%n": F.col("name"), "%v": F.col("kind_name"), "%t": F.col("topic"), "%l": F.col("language"), "%c": F.col("channel"), "%a": F.col("audience"), **(also or {})}.items():
+        out = F.replace(out, F.lit(mark), value)
+    return out
+
+
+def build_packages(requests: DataFrame, profiles: DataFrame, research: DataFrame, templates: DataFrame, key: str = "request_id", english: dict[str, str] | None = None, description: str = DESCRIPTION) -> DataFrame:
+    """(key, game_name, preferred_language, primary_title, alternate_titles, description, hashtags, tags) of each request.
 
     ``requests``: key, profile_key, game_name, video_type, episode_topic; ``profiles``:
-    profile_key, channel_name; ``research``: key, suggested_name, was_corrected, terminology.
-    Lists are without repetition whatever the case, in order.
+    profile_key, channel_name, preferred_language, target_audience; ``research``: key,
+    suggested_name, which replaces the game's name where it isn't empty. ``english``:
+    phrases of titles that are replaced if the language is English. Tags and hashtags are
+    without repetition whatever the case, in order; titles stay as many as there are templates.
     """
-    r = requests.join(profiles.select("profile_key", "channel_name"), "profile_key", "left").join(research.select(key, "suggested_name", "was_corrected", "terminology"), key, "left")
-    name = clean(F.coalesce("suggested_name", "game_name", F.lit("")))
-    topic = clean(F.coalesce("episode_topic", F.lit("")))
-    r = r.withColumns({"name": name, "topic": topic, "kind": video_kind(F.coalesce("video_type", F.lit("")))})
+    r = requests.join(profiles.select("profile_key", "channel_name", "preferred_language", "target_audience"), "profile_key", "left").join(research.select(key, "suggested_name"), key, "left")
+    text = lambda c: clean(F.coalesce(c, F.lit("")))
+    suggested = F.when(text("suggested_name") != "", F.col("suggested_name"))
+    r = r.withColumns(
+        {
+            "name": text(F.coalesce(suggested, "game_name")),
+            "topic": text("episode_topic"),
+            "kind_name": text("video_type"),
+            "channel": text("channel_name"),
+            "language": clean(F.coalesce("preferred_language", F.lit("English"))),
+            "audience": clean(F.coalesce("target_audience", F.lit("gaming viewers"))),
+        }
+    )
+    r = r.withColumn("kind", video_kind("kind_name"))
     by_kind = templates.groupBy("kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "template"))), lambda x: x["template"]).alias("templates"))
     r = r.join(F.broadcast(by_kind), "kind", "left")
-    fill = lambda t: cut_title(F.replace(F.replace(t, F.lit("%n"), F.col("name")), F.lit("%t"), F.col("topic")))
-    terms = F.coalesce("terminology", F.array().cast("array<string>"))
-    tags = F.slice(ordered_distinct(F.filter(F.flatten(F.array(F.array("name", "topic", F.coalesce("channel_name", F.lit("")), F.coalesce("video_type", F.lit(""))), terms)), lambda x: x != "")), 1, most_tags)
-    r = r.withColumns({"titles": ordered_distinct(F.transform("templates", fill)), "tags": tags})
-    r = r.withColumn("hashtags", ordered_distinct(F.transform("tags", lambda t: hashtag(t))))
-    description = F.concat_ws("\n", F.concat_ws(": ", "name", "topic"), F.coalesce("channel_name", F.lit("")), F.array_join(F.slice("hashtags", 1, 5), " "))
-    source = F.when(F.coalesce("was_corrected", F.lit(False)), "research").otherwise("request")
-    return r.select(key, "titles", description.alias("description"), "tags", "hashtags", source.alias("name_source"))
+    is_english = F.lower("language").contains("english") & ~F.lower("language").contains("hinglish")
+
+    def title(template: Column) -> Column:
+        plain = _fill(template)
+        swapped = plain
+        for old, new in (english or {}).items():
+            swapped = F.replace(swapped, F.lit(old), F.lit(new))
+        return cut_title(F.when(is_english, swapped).otherwise(plain))
+
+    r = r.withColumn("titles", F.transform("templates", title))
+    r = r.withColumn("hashtags", ordered_distinct(F.array(hashtag("name"), F.lit("#Gaming"), F.lit("#Gameplay"), hashtag("kind_name"), F.lit("#GamingVideo"))))
+    r = r.withColumn("tags", ordered_distinct(F.array(*map(_fill, TAGS))))
+    told = _fill(description, {"%h": F.array_join("hashtags", " ")})
+    return r.select(key, F.col("name").alias("game_name"), F.col("language").alias("preferred_language"), F.get("titles", F.lit(0)).alias("primary_title"), F.slice("titles", 2, 100).alias("alternate_titles"), told.alias("description"), "hashtags", "tags")

@@ -93,7 +93,7 @@ MANIFEST = """man AS (
     CASE WHEN o_custkey % 7 = 0 THEN NULL WHEN o_custkey % 5 = 0 THEN 'rec' || o_custkey || '.mp4' ELSE 'game' || o_custkey || '.MP4' END AS g,
     CASE WHEN o_custkey % 13 = 0 THEN 'face' || o_custkey || '.mkv' ELSE 'face' || o_custkey || '.mp4' END AS f FROM orders),
 err AS (
-  SELECT session_id, layout, CASE WHEN layout = 'wide' THEN 'unknown layout' WHEN r IS NULL THEN 'no recording' WHEN layout = 'face_top' AND (g IS NULL OR f IS NULL) THEN 'face_top needs three videos'
+  SELECT session_id, layout, CASE WHEN r IS NULL THEN 'no recording' WHEN layout = 'portrait' THEN NULL WHEN layout = 'wide' THEN 'unknown layout' WHEN g IS NULL OR f IS NULL THEN 'face_top needs three videos'
     WHEN f LIKE '%.mkv' THEN 'not an mp4 file' WHEN r = g THEN 'a video is given twice' END AS error FROM man)"""
 
 ATTEMPTS = """att AS (
@@ -135,14 +135,15 @@ WORDS = """docs AS (SELECT coalesce(source, '') AS request_id, doc_id, regexp_re
 toks AS (SELECT request_id, doc_id, list_filter(regexp_extract_all(t, '\\b[a-z][a-z0-9''-]{2,}\\b'), lambda w: w NOT IN ('the', 'ring')) AS w FROM docs)"""
 
 PACK = """req AS (
-  SELECT p_partkey AS request_id, p_partkey % 10 + 1 AS profile_key, CASE WHEN p_partkey % 4 = 0 THEN 'The ' || p_name ELSE p_name END AS name, p_name, p_brand AS topic,
-    ['Funny cuts', 'Challenge run', 'Full Walkthrough', 'BOSS fight', 'Stream'][p_partkey % 5 + 1] AS vt, ['funny', 'challenge', 'walkthrough', 'boss', 'other'][p_partkey % 5 + 1] AS kind, p_partkey % 4 = 0 AS fixed FROM part),
-cap AS (SELECT *, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title_name FROM req),
+  SELECT p_partkey AS request_id, CASE WHEN p_partkey % 4 = 0 AND p_partkey % 3 <> 1 THEN 'The ' || p_name ELSE p_name END AS name, p_brand AS topic,
+    ['Funny cuts', 'Challenge run', 'Full Walkthrough', 'BOSS fight', 'Stream'][p_partkey % 5 + 1] AS vt, ['funny', 'challenge', 'walkthrough', 'boss', 'other'][p_partkey % 5 + 1] AS kind,
+    coalesce(s_name, '') AS ch, CASE WHEN s_suppkey % 3 = 0 THEN 'Hinglish' ELSE 'English' END AS lang, CASE WHEN s_suppkey % 2 = 0 THEN 'night owls' ELSE 'gaming viewers' END AS aud
+  FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 10 + 1),
 tag AS (
-  SELECT r.*, s_name, list_filter([r.name, topic, coalesce(s_name, ''), vt, 'Boss', title_name, 'boss', 'Quest'], lambda x: x <> '') AS raw FROM cap r LEFT JOIN supplier ON s_suppkey = profile_key),
-uniq AS (SELECT *, list_filter(raw, lambda x, i: list_position(list_transform(raw, lambda y: lower(y)), lower(x)) = i)[1:15] AS tags FROM tag),
-hash AS (SELECT *, list_transform(tags, lambda x: '#' || regexp_replace(x, '[^a-zA-Z0-9]+', '', 'g')) AS hraw FROM uniq),
-hashes AS (SELECT *, list_filter(hraw, lambda x, i: list_position(list_transform(hraw, lambda y: lower(y)), lower(x)) = i) AS hashtags FROM hash)"""
+  SELECT *, [name, name || ' gameplay', name || ' ' || vt, name || ' ' || topic, vt, topic, 'gaming', 'gameplay', 'gaming video', 'gameplay highlights', lang || ' gaming', ch] AS traw,
+    ['#' || regexp_replace(name, '[^a-zA-Z0-9]+', '', 'g'), '#Gaming', '#Gameplay', '#' || regexp_replace(vt, '[^a-zA-Z0-9]+', '', 'g'), '#GamingVideo'] AS hraw FROM req),
+uniq AS (
+  SELECT *, list_filter(traw, lambda x, i: list_position(list_transform(traw, lambda y: lower(y)), lower(x)) = i) AS tags, list_filter(hraw, lambda x, i: list_position(list_transform(hraw, lambda y: lower(y)), lower(x)) = i) AS hashtags FROM tag)"""
 
 
 def _titles() -> str:
@@ -315,10 +316,10 @@ SELECT o.request_id, o.pos, o.url, regexp_replace(lower(regexp_extract(o.url, '^
     sql["search_queries"] = "SELECT p_partkey AS request_id, i AS query_no, p_name || ' ' || ['game', 'gameplay', 'best moments', 'tips'][i + 1] AS query FROM part, range(4) r(i)"
     sql["upload_packages"] = f"""
 WITH {PACK}, {_titles()},
-t AS (SELECT request_id, replace(replace(template, '%n', name), '%t', topic) AS title, pos FROM req JOIN tpl USING (kind))
-SELECT h.request_id, (SELECT string_agg(title, '|' ORDER BY pos) FROM t WHERE t.request_id = h.request_id) AS titles,
-  name || ': ' || topic || E'\\n' || coalesce(s_name, '') || E'\\n' || array_to_string(hashtags[1:5], ' ') AS description, array_to_string(tags, '|') AS tags, array_to_string(hashtags, ' ') AS hashtags,
-  CASE WHEN fixed THEN 'research' ELSE 'request' END AS name_source FROM hashes h"""
+t AS (SELECT request_id, CASE WHEN lang = 'English' THEN replace(x, 'gone wrong', 'went wrong') ELSE x END AS title, pos FROM (SELECT request_id, lang, pos, replace(replace(template, '%n', name), '%t', topic) AS x FROM req JOIN tpl USING (kind)) y)
+SELECT u.request_id, name AS game_name, lang AS preferred_language, (SELECT title FROM t WHERE t.request_id = u.request_id AND pos = 0) AS primary_title, (SELECT string_agg(title, '|' ORDER BY pos) FROM t WHERE t.request_id = u.request_id AND pos > 0) AS alternate_titles,
+  ch || ' plays ' || name || ': ' || topic || E'.\\n\\nA ' || vt || ' video for ' || aud || E'.\\n\\nGame: ' || name || E'\\nType: ' || vt || E'\\nTopic: ' || topic || E'\\nChannel: ' || ch || E'\\n\\n' || array_to_string(hashtags, ' ') AS description,
+  array_to_string(hashtags, '|') AS hashtags, array_to_string(tags, '|') AS tags FROM uniq u"""
     sql["name_slugs"] = f"""
 WITH {ATTEMPTS}, s AS (SELECT *, trim(regexp_replace(lower(hook), '[^a-z0-9]+', '_', 'g'), '_') AS sl, regexp_replace(hook, '[^a-zA-Z0-9]+', '', 'g') AS h, array_to_string(list_filter(regexp_split_to_array(title, '\\s+'), lambda w: w <> ''), ' ') AS ti FROM meta),
 c AS (SELECT *, rtrim(substr(ti, 1, 37)) AS cu FROM s)
@@ -327,14 +328,14 @@ SELECT conv_id, attempt, CASE WHEN sl = '' THEN 'untitled' ELSE sl END AS slug,
     sql["probe_media"] = """
 WITH p AS (SELECT p_partkey AS media_id, p_size AS n, p_size % 17 = 0 AS torn, p_size % 9 <> 0 AS video, p_size % 9 = 0 OR p_size % 6 <> 0 AS audio, CASE WHEN p_size % 10 = 0 THEN 0.5 ELSE p_size + 0.5 END AS d FROM part)
 SELECT media_id, CASE WHEN torn THEN 0 ELSE d::DOUBLE END AS duration_seconds, CASE WHEN torn OR NOT video THEN 0 ELSE n * 16 END AS width, CASE WHEN torn OR NOT video THEN 0 ELSE n * 9 END AS height,
-  CASE WHEN torn OR NOT video THEN 0 WHEN n % 4 = 0 OR n = 0 THEN 30 WHEN n % 4 = 1 THEN round(n * 1000 / 1001::DOUBLE, 6) ELSE n END::DOUBLE AS fps,
-  CASE WHEN torn OR NOT video THEN '' ELSE 'h264' END AS video_codec, CASE WHEN torn OR NOT audio THEN '' ELSE 'aac' END AS audio_codec, CASE WHEN torn OR NOT audio THEN 0 ELSE 128000 END AS audio_bitrate,
+  CASE WHEN torn OR NOT video THEN 0 WHEN n % 4 = 0 THEN 0 WHEN n % 4 = 1 THEN round(n * 1000 / 1001::DOUBLE, 6) ELSE n END::DOUBLE AS fps,
+  CASE WHEN torn OR NOT video THEN 'unknown' ELSE 'h264' END AS video_codec, CASE WHEN torn OR NOT audio THEN '' ELSE 'aac' END AS audio_codec, CASE WHEN torn OR NOT audio THEN 0 ELSE 128000 END AS audio_bitrate,
   CASE WHEN torn THEN 0 ELSE media_id * 1000 END AS file_size, NOT torn AND audio AS has_audio,
   CASE WHEN torn THEN 'unreadable' WHEN NOT video THEN 'no video stream' WHEN d <= 0 THEN 'no duration' WHEN n <= 0 THEN 'no frame size' END AS reject_reason FROM p"""
     sql["ranking_validity"] = """
-WITH c AS (SELECT l_orderkey AS list_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS pos, l_partkey % 50 = 0 AS mov, l_linenumber AS rank, l_suppkey % 40 = 0 AS two FROM lineitem),
+WITH c AS (SELECT l_orderkey AS list_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS pos, l_partkey % 50 = 0 AS mov, l_linenumber AS rank, l_suppkey % 40 = 0 AS two, l_suppkey % 41 = 0 AS none FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY list_id, rank ORDER BY pos) AS k FROM c),
-v AS (SELECT *, CASE WHEN mov THEN 'not an mp4 file' WHEN rank <= 0 THEN 'rank is not positive' WHEN k > 1 THEN 'rank is used twice' WHEN two THEN 'description is not one word' END AS bad FROM r)
+v AS (SELECT *, CASE WHEN mov THEN 'not an mp4 file' WHEN rank <= 0 THEN 'rank is not positive' WHEN k > 1 THEN 'rank is used twice' WHEN two THEN 'description is not one word' WHEN none THEN 'no description' END AS bad FROM r)
 SELECT list_id, count(*) AS clip_count, CASE WHEN count(*) < 2 THEN 'fewer than two clips' ELSE arg_min(bad, pos) FILTER (bad IS NOT NULL) END AS first_violation FROM v GROUP BY list_id"""
     sql["countdown_order"] = """
 WITH c AS (SELECT l_orderkey AS list_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS pos, l_linenumber AS rank FROM lineitem)

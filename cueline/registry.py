@@ -369,21 +369,20 @@ def search_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 def _packages(spark: SparkSession, sf: str) -> DataFrame:
     req = fx.package_requests(spark, sf)
-    terms = F.array(F.lit("Boss"), F.initcap("game_name"), F.lit("boss"), F.lit("Quest"))
-    found = req.select("request_id", F.when(F.col("request_id") % 4 == 0, F.concat(F.lit("The "), F.col("game_name"))).otherwise(F.col("game_name")).alias("suggested_name"), (F.col("request_id") % 4 == 0).alias("was_corrected"), terms.alias("terminology"))
-    return packages.build_packages(req, fx.profiles(spark, sf), found, packages.title_templates(spark))
+    found = req.where("request_id % 3 <> 1").select("request_id", F.when(F.col("request_id") % 4 == 0, F.concat(F.lit("The "), F.col("game_name"))).otherwise(F.lit(" ")).alias("suggested_name"))
+    return packages.build_packages(req, fx.profiles(spark, sf), found, packages.title_templates(spark), english={"gone wrong": "went wrong"})
 
 
 @query
 def upload_packages(spark: SparkSession, sf: str) -> DataFrame:
-    out = _packages(spark, sf)
-    return out.select("request_id", F.array_join("titles", "|").alias("titles"), "description", F.array_join("tags", "|").alias("tags"), F.array_join("hashtags", " ").alias("hashtags"), "name_source")
+    joined = {c: F.array_join(c, "|") for c in ("alternate_titles", "hashtags", "tags")}
+    return _packages(spark, sf).withColumns(joined)
 
 
 @query
 def package_files(spark: SparkSession, sf: str) -> DataFrame:
     out = sinks.package_text(_packages(spark, sf))
-    return out.select("request_id", F.length("text").alias("chars"), F.size(F.from_json("json", "titles array<string>")["titles"]).alias("titles"))
+    return out.select("request_id", F.length("text").alias("chars"), F.get_json_object("json", "$.primary_title").alias("primary_title"))
 
 
 @query
@@ -418,7 +417,7 @@ def countdown_order(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def profile_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fx.profiles(spark, sf).withColumn("style", F.when(F.col("profile_key") % 2 == 0, F.lit("bold")))
+    rows = fx.profiles(spark, sf).select("profile_key", "channel_name").withColumn("style", F.when(F.col("profile_key") % 2 == 0, F.lit("bold")))
     return inputs.check_profiles(rows).select("profile_key", F.array_join("missing", ",").alias("missing"))
 
 

@@ -23,8 +23,9 @@ def check_rankings(clips: DataFrame, key: str = "list_id", longest: int = 24) ->
         F.when(~F.lower(strip("video_path")).endswith(".mp4"), F.struct(F.lit(1).alias("no"), F.lit("not an mp4 file").alias("what")))
         .when(F.col("rank") <= 0, F.struct(F.lit(2).alias("no"), F.lit("rank is not positive").alias("what")))
         .when(F.col("__nth") > 1, F.struct(F.lit(3).alias("no"), F.lit("rank is used twice").alias("what")))
-        .when(word_count(bare) != 1, F.struct(F.lit(4).alias("no"), F.lit("description is not one word").alias("what")))
-        .when(F.length(bare) > longest, F.struct(F.lit(5).alias("no"), F.lit("description is too long").alias("what")))
+        .when(bare == "", F.struct(F.lit(4).alias("no"), F.lit("no description").alias("what")))
+        .when(word_count(bare) != 1, F.struct(F.lit(5).alias("no"), F.lit("description is not one word").alias("what")))
+        .when(F.length(bare) > longest, F.struct(F.lit(6).alias("no"), F.lit("description is too long").alias("what")))
     )
     by_list = rows.withColumn("r", rule).groupBy(key).agg(F.count("*").alias("clip_count"), F.min_by("r", F.when(F.col("r").isNotNull(), F.struct("pos", "r.no"))).alias("r"))
     return by_list.select(key, "clip_count", F.when(F.col("clip_count") < 2, "fewer than two clips").otherwise(F.col("r.what")).alias("first_violation"))

@@ -19,23 +19,22 @@ IMAGE_TYPES = ("jpg", "jpeg", "png", "webp")
 
 
 def check_sessions(manifest: DataFrame) -> DataFrame:
-    """Append ``error``, null where a session manifest is valid.
+    """Append ``error``, null where a session manifest is valid; the first rule broken is told.
 
-    Layout portrait or face_top; every path given ends in .mp4; face_top has gameplay and
-    face camera; given paths differ.
+    The recording ends in .mp4, whatever the case; the layout is portrait, which needs
+    nothing else, or face_top, which has three different .mp4 files.
     """
+    bare = lambda c: F.coalesce(strip(F.col(c)), F.lit(""))
+    mp4 = lambda c: F.lower(bare(c)).endswith(".mp4")
     paths = ("recording_video", "gameplay_video", "facecam_video")
-    given = lambda c: F.coalesce(strip(F.col(c)), F.lit("")) != ""
-    wrong = F.lit(False)
-    for c in paths:
-        wrong = wrong | (given(c) & ~F.lower(strip(F.col(c))).endswith(".mp4"))
-    named = F.array_compact(F.array(*[F.when(given(c), strip(F.col(c))) for c in paths]))
     error = (
-        F.when(~F.coalesce(F.col("layout").isin(*LAYOUTS), F.lit(False)), "unknown layout")
-        .when(~given("recording_video"), "no recording")
-        .when((F.col("layout") == "face_top") & ~(given("gameplay_video") & given("facecam_video")), "face_top needs three videos")
-        .when(wrong, "not an mp4 file")
-        .when(F.size(F.array_distinct(named)) < F.size(named), "a video is given twice")
+        F.when(bare("recording_video") == "", "no recording")
+        .when(~mp4("recording_video"), "not an mp4 file")
+        .when(F.col("layout") == "portrait", F.lit(None))
+        .when(~F.coalesce(F.col("layout").isin(*LAYOUTS), F.lit(False)), "unknown layout")
+        .when((bare("gameplay_video") == "") | (bare("facecam_video") == ""), "face_top needs three videos")
+        .when(~(mp4("gameplay_video") & mp4("facecam_video")), "not an mp4 file")
+        .when(F.size(F.array_distinct(F.array(*map(bare, paths)))) < 3, "a video is given twice")
     )
     return manifest.withColumn("error", error)
 
@@ -50,22 +49,23 @@ def frame_rate(text: Column) -> Column:
 def probe_media(probes: DataFrame, text: str = "probe_json", strict: bool = True) -> DataFrame:
     """Media columns of probe output as JSON text, and ``reject_reason``.
 
-    First video and first audio stream. Strict: the average frame rate, or else the
-    nominal one, and rows without video, duration or size are rejected; otherwise the
-    nominal rate and no rejects but unreadable JSON. Missing codecs are '', bitrates 0.
+    First video and first audio stream. Strict: the average frame rate, or the nominal one
+    where it isn't told, and rows without video, duration or size are rejected; a missing
+    video codec is unknown. Otherwise the nominal rate, '' for a missing codec and no
+    rejects but unreadable JSON. A zero denominator gives rate 0; missing bitrates are 0.
     """
     rows = probes.withColumn("p", F.from_json(text, PROBE_SCHEMA))
     of = lambda kind: F.get(F.filter("p.streams", lambda s: s["codec_type"] == kind), F.lit(0))
     rows = rows.withColumn("v", of("video")).withColumn("a", of("audio"))
     whole = lambda c: F.coalesce(F.col(c).try_cast("bigint"), F.lit(0).cast("bigint"))
-    usable = lambda c: F.when(frame_rate(F.col(c)) > 0, F.col(c))
-    rate = frame_rate(F.coalesce(usable("v.avg_frame_rate"), F.col("v.r_frame_rate"))) if strict else frame_rate(F.col("v.r_frame_rate"))
+    told = F.when(F.col("v.avg_frame_rate") != "", F.col("v.avg_frame_rate"))
+    rate = frame_rate(F.coalesce(told, F.col("v.r_frame_rate"))) if strict else frame_rate(F.col("v.r_frame_rate"))
     out = {
         "duration_seconds": F.coalesce(F.col("p.format.duration").try_cast("double"), F.lit(0.0)),
         "width": whole("v.width").cast("int"),
         "height": whole("v.height").cast("int"),
         "fps": rate,
-        "video_codec": F.coalesce("v.codec_name", F.lit("")),
+        "video_codec": F.coalesce("v.codec_name", F.lit("unknown" if strict else "")),
         "audio_codec": F.coalesce("a.codec_name", F.lit("")),
         "video_bitrate": whole("v.bit_rate"),
         "audio_bitrate": whole("a.bit_rate"),
@@ -74,7 +74,7 @@ def probe_media(probes: DataFrame, text: str = "probe_json", strict: bool = True
         "has_audio": F.col("a").isNotNull(),
     }
     rows = rows.withColumns(out)
-    broken = F.col("p").isNull() | F.col("p.streams").isNull()
+    broken = F.col("p").isNull() | F.col("p.streams").isNull() | F.col("p.format").isNull()
     reason = F.when(broken, "unreadable")
     if strict:
         reason = reason.when(F.col("v").isNull(), "no video stream").when(F.col("duration_seconds") <= 0, "no duration").when((F.col("width") <= 0) | (F.col("height") <= 0), "no frame size")

@@ -205,10 +205,11 @@ def test_assets_and_sinks(spark, tmp_path):
 
 def test_packages_of_unknown_profile(spark):
     req = spark.createDataFrame([(1, 9, "  Lava ", None, "Boss")], "request_id long, profile_key int, game_name string, video_type string, episode_topic string")
-    prof = spark.createDataFrame([], "profile_key int, channel_name string")
-    found = spark.createDataFrame([], "request_id long, suggested_name string, was_corrected boolean, terminology array<string>")
+    prof = spark.createDataFrame([], "profile_key int, channel_name string, preferred_language string, target_audience string")
+    found = spark.createDataFrame([], "request_id long, suggested_name string")
     got = packages.build_packages(req, prof, found, packages.title_templates(spark)).first()
-    assert len(got.titles) == 5 and got.tags == ["Lava", "Boss"] and got.name_source == "request"
+    assert got.primary_title and len(got.alternate_titles) == 4 and got.game_name == "Lava" and got.preferred_language == "English"
+    assert got.hashtags == ["#Lava", "#Gaming", "#Gameplay", "#GamingVideo"] and got.tags[:3] == ["Lava", "Lava gameplay", "Lava "]
 
 
 def test_stream_of_responses(spark, tmp_path):
