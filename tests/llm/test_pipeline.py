@@ -41,7 +41,8 @@ def test_stages(spark, sf):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     df = queries.QUERIES[name](spark, sf)
     columns = sorted(df.columns)
     found = con.sql(ORACLES[name])
