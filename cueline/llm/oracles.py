@@ -91,18 +91,18 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 OP9 = """
-WITH x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-win AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, 100)) AS s FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 49)) AS p FROM x WHERE length(h) >= 100) y),
+WITH x AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT doc_id, p, hash(array_slice(b, p + 1, p + 50)) AS s FROM (SELECT doc_id, b, unnest(range(octet_length(b) - 49)) AS p FROM x WHERE octet_length(b) >= 50) y),
 least_of AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)),
 gone AS (SELECT doc_id, p FROM win JOIN least_of USING (s) WHERE doc_id > m),
 runs AS (
-  SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM (
+  SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM (
     SELECT doc_id, p, sum(CASE WHEN p - before <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS g
     FROM (SELECT doc_id, p, coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -1000) AS before FROM gone) u) v GROUP BY doc_id, g),
-parts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM runs),
-cut AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS tail, list({'a': since, 'b': a} ORDER BY a) AS keep FROM parts GROUP BY 1)
-SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  sha256(unhex(CASE WHEN keep IS NULL THEN h ELSE array_to_string(list_transform(keep, lambda k: substr(h, 2 * k.a + 1, 2 * (k.b - k.a))), '') || substr(h, 2 * tail + 1) END)) AS kept_sha256
+parts AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM runs),
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS tail, string_agg(hex(array_slice(b, since + 1, a)), '' ORDER BY a) AS keep FROM parts JOIN x USING (doc_id) GROUP BY 1)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN keep IS NULL THEN b ELSE unhex(keep || hex(array_slice(b, tail + 1, octet_length(b)))) END) AS kept_sha256
 FROM x LEFT JOIN cut USING (doc_id)
 """
 
