@@ -403,7 +403,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     id_ = F.col(f"`{key}`").cast("bigint")
-    return docs.select(F.coalesce(id_, F.lit(NO_ID)).alias("k"), F.pmod(F.xxhash64(whole), F.lit((1 << 31) - 1)).cast("int").alias("tag"), whole.cast("binary").alias("text"))
+    return docs.select(F.coalesce(id_, F.lit(NO_ID)).alias("k"), F.xxhash64(whole).bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("tag"), whole.cast("binary").alias("text"))
 
 
 def repeated_parts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
