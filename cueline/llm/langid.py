@@ -8,8 +8,10 @@ with the highest likelihood is predicted; the score is its posterior probability
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +27,18 @@ MAX_LANGUAGES = 200
 LONGEST_PIECE = 16
 #: A run of more characters than this without white space is scored in pieces of it.
 LONGEST_WORD = 64
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 SMOOTHING = 0.1
 MARK = "▁"
+_LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
 def _words(text: str) -> list[str]:
-    out = []
-    for w in text.lower().split():
-        if len(w) <= LONGEST_WORD:
-            out.append(w)
-        else:
-            out += [w[i : i + LONGEST_WORD] for i in range(0, len(w), LONGEST_WORD)]
-    return out
+    """Runs of letters, lower-cased: what tells a language; marks and digits don't."""
+    words = _LETTERS(text.lower())
+    if max(map(len, words), default=0) > LONGEST_WORD:
+        words = [w[i : i + LONGEST_WORD] for w in words for i in range(0, len(w), LONGEST_WORD)]
+    return words
 
 
 def piece_counts(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary: str | None = None) -> DataFrame:
@@ -82,6 +83,24 @@ def piece_counts(docs: DataFrame, text: str = "text", lang: str = "lang", vocabu
     return rows.mapInArrow(run, "lang string, piece int, n bigint").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
+_TABLE_BITS = 20
+
+
+def _slots(hashes: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+    """Two tables of piece numbers by hash: a slot holds up to two of them."""
+    slot = ((hashes[own] * _SPREAD) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    slot, own = slot[order], own[order]
+    nth = np.arange(len(slot)) - np.searchsorted(slot, slot, "left")
+    tables = [np.zeros(1 << _TABLE_BITS, np.int32) for _ in range(2)]
+    for i, table in enumerate(tables):
+        table[slot[nth == i]] = own[nth == i]
+    # a third piece of one slot is very rare: it is left to its parts
+    return tables
+
+
 class Model:
     """Piece probabilities of each language and the forward algorithm over them."""
 
@@ -100,65 +119,98 @@ class Model:
         self.langs, self.prob, self.path = langs, prob, path
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [(model.id_to_piece(i), i) for i in range(model.vocab_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i))]
-        self.ids = {p: i for p, i in pieces if len(p) <= LONGEST_PIECE and MARK not in p[1:]}
-        self.unknown = np.vstack([prob, prob.min(axis=0, keepdims=True) / 10]) if langs else prob
+        pieces = [(p, i) for p, i in pieces if len(p) <= LONGEST_PIECE and MARK not in p[1:]]
+        self.hashes = np.zeros(model.vocab_size() + 1, np.uint64)
+        for p, i in pieces:
+            h = 0
+            for c in p:
+                h = (h * int(_STEP) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+            self.hashes[i + 1] = h
+        own = np.array([i + 1 for _, i in pieces], np.int32)
+        self.slots = _slots(self.hashes, own)
+        if langs:
+            # row 0: no piece; for single characters the floor of what isn't in the vocabulary
+            self.padded = np.vstack([np.zeros((1, len(langs))), prob])
+            self.single = np.vstack([prob.min(axis=0, keepdims=True) / 10, prob])
         self.cache: dict[str, int] = {}
         self.table = np.zeros((0, len(self.langs)))
         return self
 
     def _forward(self, words: list[str]) -> np.ndarray:
-        """Log likelihood of each word in each language, summed over all segmentations."""
+        """Log likelihood of each word in each language, summed over all segmentations.
+
+        Words of equal length go together; pieces are found by a rolling hash of each
+        stretch, and a stretch that is no piece has probability zero. A single character
+        outside the vocabulary has a floor probability.
+        """
         out = np.zeros((len(words), len(self.langs)))
-        get, other = self.ids.get, len(self.prob)
         by_len: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_len.setdefault(len(w) + 1, []).append(i)
         for n, own in by_len.items():
-            marked = [MARK + words[i] for i in own]
+            marked = "".join([MARK + words[i] for i in own]).encode("utf-32-le", "surrogatepass")
+            chars = np.ascontiguousarray(np.frombuffer(marked, np.uint32).reshape(-1, n).T).astype(np.uint64)
             alpha = np.zeros((n + 1, len(own), len(self.langs)))
             alpha[0] = 1.0
             scale = np.zeros((len(own), 1))
-            for end in range(1, n + 1):
-                for begin in range(max(0, end - LONGEST_PIECE), end):
-                    # a single character that isn't in the vocabulary has a floor probability
-                    ids = [get(w[begin:end], -1) for w in marked]
-                    ids = np.array(ids)
+            for begin in range(n):
+                h = np.zeros(len(own), np.uint64)
+                for end in range(begin + 1, min(n, begin + LONGEST_PIECE) + 1):
+                    h = h * _STEP + chars[end - 1] + np.uint64(1)
+                    ids = self._find(h)
                     if end - begin == 1:
-                        ids[ids < 0] = other
-                        alpha[end] += alpha[begin] * self.unknown[ids]
-                    else:
-                        has = np.flatnonzero(ids >= 0)
-                        if len(has):
-                            alpha[end][has] += alpha[begin][has] * self.prob[ids[has]]
-                if end % 16 == 0:
+                        alpha[end] += alpha[begin] * self.single[ids]
+                        continue
+                    has = np.flatnonzero(ids)
+                    if len(has) > len(own) // 3:
+                        alpha[end] += alpha[begin] * self.padded[ids]
+                    elif len(has):
+                        alpha[end][has] += alpha[begin][has] * self.padded[ids[has]]
+                if begin % 16 == 15:
                     # rescale, so that long words don't underflow
-                    top = alpha[end].max(axis=1, keepdims=True)
-                    alpha[max(0, end - LONGEST_PIECE) : end + 1] /= top
+                    top = alpha[begin + 1].max(axis=1, keepdims=True)
+                    alpha[begin + 1 : begin + 1 + LONGEST_PIECE] /= top
                     scale += np.log(top)
             out[own] = np.log(np.maximum(alpha[n], 1e-300)) + scale
         return out
 
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Piece number plus one of each hash, 0 if it is none."""
+        slot = (h * _SPREAD) >> np.uint64(64 - _TABLE_BITS)
+        ids = self.slots[0][slot]
+        ids *= self.hashes[ids] == h
+        other = self.slots[1][slot]
+        hit = np.flatnonzero(other)
+        if len(hit):
+            hit = hit[self.hashes[other[hit]] == h[hit]]
+            ids[hit] = other[hit]
+        return ids
+
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
         if not self.langs:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        split = [_words(t) if t and any(map(str.isalpha, t)) else [] for t in texts]
+        split = [_words(t) if t else [] for t in texts]
+        # numerals that aren't decimal digits pass the pattern, but they are no letters
+        split = [ws if any(c.isalpha() for w in ws for c in w) else [] for ws in split]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
             self.table = self.table[:0]
-        new = list({w: 0 for ws in split for w in ws if w not in self.cache})
+        every = list(chain.from_iterable(split))
+        new = [w for w in set(every) if w not in self.cache]
         if new:
             rows = self._forward(new)
-            for i, w in enumerate(new, len(self.table)):
-                self.cache[w] = i
+            self.cache.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
             self.table = np.concatenate([self.table, rows])
-        at = self.cache
-        for ws in split:
+        place = np.fromiter(map(self.cache.__getitem__, every), np.int64, len(every))
+        sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.table[place], axis=0)])
+        ends = np.cumsum([len(ws) for ws in split])
+        for ws, end in zip(split, ends.tolist(), strict=True):
             if not ws:
                 langs.append(UNDETERMINED)
                 scores.append(0.0)
                 continue
-            total = self.table[[at[w] for w in ws]].sum(axis=0)
+            total = sums[end] - sums[end - len(ws)]
             best = int(total.argmax())
             langs.append(self.langs[best])
             scores.append(float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum()))
