@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueline.operators.intervals import thin
+from cueline.storage import materialise
 
 MODES = {"existing_highlight": (0.28, 2.0, 12.0), "full": (0.35, 8.0, 45.0)}
 
@@ -83,7 +84,8 @@ def select_moments(cuts: DataFrame, media: DataFrame, n: int = 5, key: str = "me
         raise ValueError("one moment at least")
     m = mode_parameters(media, n)
     inside = inside_margins(cuts.select(key, "t"), m, key)
-    detected = thin(inside, "spacing", key)
+    # the pick and the provenance both read these
+    detected = materialise(thin(inside, "spacing", key), "detected")
     chosen = pick_spread(detected, n, key)
     filled = with_provenance(fill_moments(chosen, m, n, key), detected, key)
     return filled.select(key, F.row_number().over(Window.partitionBy(key).orderBy("t", "source")).alias("sequence"), "t", "source")

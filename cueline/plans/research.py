@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueline.operators import research as ops
+from cueline.storage import materialise
 
 WARNING = "no usable search results"
 
@@ -15,8 +16,9 @@ def research_requests(requests: DataFrame, raw_results: DataFrame, key: str = "r
 
     A request without usable results keeps its name and the default terms and gets a warning.
     """
-    results = ops.dedupe_results(ops.normalise_results(raw_results, key), key)
-    names = ops.best_names(results, requests, key, name)
+    # names, terms and availability all read these
+    results = materialise(ops.dedupe_results(ops.normalise_results(raw_results, key), key), "results")
+    names = materialise(ops.best_names(results, requests, key, name), "names")
     terms = ops.top_terms(ops.result_words(results, names, key), requests, key)
     found = results.select(key).distinct().withColumn("internet_available", F.lit(True))
     rows = names.join(terms, key).join(found, key, "left").withColumn("internet_available", F.coalesce("internet_available", F.lit(False)))
