@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueline.llm.common import chunks, shared_dir, without
+from cueline.llm.common import chunks, materialise, shared_dir, without
 
 TOKENIZER = "piece_bpe_32k.model"
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens bigint"
@@ -95,7 +95,8 @@ def count_tokens(docs: DataFrame, text: str = "text", tokenizer: str | None = No
     known = read_cache(spark, cache, version)
     misses = texts.join(known, "digest", "left_anti")
     encode_misses(misses, path, version).write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache, version)
+    # written, so that the join below can split the rows of a text with very many copies
+    counts = materialise(read_cache(spark, cache, version), "token-counts")
     rows = without(docs.withColumn("__cueline_text", F.col(f"`{text}`")), ADDED)
     rows = rows.withColumn("n_bytes", F.coalesce(F.octet_length("__cueline_text"), F.lit(0)).cast("bigint"))
     rows = rows.withColumn("__cueline_digest", content_digest(F.col("__cueline_text"))).drop("__cueline_text")
