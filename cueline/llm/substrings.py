@@ -11,7 +11,9 @@ down and dealt out first, without losing a match:
 3. The suffixes at shared anchors (50 bytes, and 26 before them) are dealt by anchor and
    put in order: multikey quicksort to a shallow depth, then blind tries for the groups
    that still share a long prefix. The order's common prefixes, with the bytes before an
-   anchor, say which windows are equal and what their smallest document is.
+   anchor, say which windows are equal and what their smallest document is. Equal records
+   leave a task once, and anchors with very many occurrences are dealt window by window,
+   so that a passage of very many documents is spread.
 4. Each document's hits are joined back to its text.
 
 Text is shuffled by document id only; blobs take a few bytes for each anchor.
@@ -37,6 +39,8 @@ BEFORE = SPREAD - 1
 #: Bytes compared by the multikey quicksort; longer common prefixes go to blind tries.
 SHALLOW = 32
 FLUSH = 24 << 20
+#: An anchor with more occurrences is hot: its windows are dealt by their own content.
+HOT = 4096
 NO_ID = (1 << 63) - 1
 
 
@@ -293,7 +297,7 @@ def _send_anchors(n: int):
 
         def flush() -> pa.RecordBatch:
             h, k, tag, pos = (np.concatenate(c) for c in zip(*held, strict=True))
-            own, blobs = _dealt(_buckets(h, n), n, [(h & np.uint64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8)[:, :5], k, tag, pos])
+            own, blobs = _dealt(_buckets(h, n), n, [(h & np.uint64(0xFFFFFFFF)).astype(np.uint32), k, tag, pos])
             return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
         for batch in batches:
@@ -314,29 +318,104 @@ def _send_anchors(n: int):
     return run
 
 
-def _shared_anchors(table: pa.Table) -> pa.Table:
-    parts = [_unpack(b, [5, np.int64, np.int32, np.uint32]) for b in table.column("blob").to_pylist()]
-    low, k, tag, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
-    h = np.zeros((len(low), 8), np.uint8)
-    h[:, :5] = low
-    h = h.view(np.uint64).ravel()
-    by = np.argsort(h, kind="stable")
-    begin = np.flatnonzero(np.concatenate(([True], h[by][1:] != h[by][:-1])))
-    size = np.diff(np.append(begin, len(by)))
-    least, most = np.minimum.reduceat(k[by], begin), np.maximum.reduceat(k[by], begin)
-    own = by[np.repeat(least < most, size)]
-    return pa.Table.from_batches([_lists(k[own], tag[own], [pos[own]], ["at"])])
+def _doc_bucket(k: np.ndarray, n: int) -> np.ndarray:
+    return _buckets(k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), n)
+
+
+def _rows_of(bucket: list[int], blobs: list[bytes]) -> pa.Table:
+    return pa.table([pa.array(bucket, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+
+def _shared_anchors(n: int, most_cold: int):
+    """Places of shared anchors, dealt by document; those of hot anchors as negative numbers."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [_unpack(b, [np.uint32, np.int64, np.int32, np.uint32]) for b in table.column("blob").to_pylist()]
+        h, k, tag, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+        by = np.argsort(h, kind="stable")
+        begin = np.flatnonzero(np.concatenate(([True], h[by][1:] != h[by][:-1])))
+        size = np.diff(np.append(begin, len(by)))
+        least, most = np.minimum.reduceat(k[by], begin), np.maximum.reduceat(k[by], begin)
+        shared = np.repeat(least < most, size)
+        own, hot = by[shared], np.repeat(size > most_cold, size)[shared]
+        place = pos[own].astype(np.int64)
+        order = np.lexsort((place, k[own]))
+        place = np.where(hot, -1 - place, place).astype(np.int32)
+        return _rows_of(*_dealt(_doc_bucket(k[own][order], n), n, [k[own][order], tag[own][order], place[order]]))
+
+    return run
+
+
+def _by_doc(kinds: list, names: list[str]):
+    """Blobs of one bucket as a row for each document."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [_unpack(b, [np.int64, np.int32, *kinds]) for b in table.column("blob").to_pylist()]
+        k, tag, *columns = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return pa.Table.from_batches([_lists(k, tag, columns, names)])
+
+    return run
+
+
+_MIX = np.random.default_rng(20240502).integers(1, 1 << 63, size=BEFORE + LENGTH + 2, dtype=np.uint64) | np.uint64(1)
+
+
+def _row_hash(body: np.ndarray, nl: np.ndarray, nr: np.ndarray) -> np.ndarray:
+    h = nl.astype(np.uint64) * _MIX[-2] + nr.astype(np.uint64) * _MIX[-1]
+    for j in range(body.shape[1]):
+        h += body[:, j] * _MIX[j]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _contexts(data: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """BEFORE bytes before each place and LENGTH from it on; zero outside low..high."""
+    place = at[:, None] + np.arange(-BEFORE, LENGTH)
+    body = data[np.clip(place, 0, len(data) - 1)]
+    body[(place < low[:, None]) | (place >= high[:, None])] = 0
+    return body
+
+
+def _suffix_records(data: np.ndarray, at: np.ndarray, s0: np.ndarray, s1: np.ndarray, h: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(dealing key, context, bytes before, bytes after, place): one for each anchor, or each window of a hot one."""
+    few = ~hot
+    body = _contexts(data, at[few], s0[few], s1[few] + LENGTH)
+    plain = (h[few], body, (at - s0)[few].astype(np.uint8), (s1 + LENGTH - at)[few].astype(np.uint8), at[few])
+    if not hot.any():
+        return plain
+    n = (s1 - s0 + 1)[hot]
+    a = np.repeat(at[hot], n)
+    start = np.repeat(s0[hot], n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+    nl, nr = (a - start).astype(np.uint8), (start + LENGTH - a).astype(np.uint8)
+    body = _contexts(data, a, start, start + LENGTH)
+    windows = (_row_hash(body, nl, nr), body, nl, nr, a)
+    return tuple(np.concatenate(c) for c in zip(plain, windows, strict=True))
 
 
 def _send_suffixes(n: int):
+    """Buckets 0 to n - 1 get records, dealt by key; n to 2n - 1 spans that are settled already, by document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            h, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
-            by = np.argsort(h, kind="stable")
-            own, blobs = _dealt(_buckets(h[by], n), n, [a[by] for a in rest])
+            key, body, nl, nr, k, tag, pos = (np.concatenate(c) for c in zip(*held, strict=True))
+            # of equal records the smallest document's goes on; the others repeat it whole
+            by = np.lexsort((k, _row_hash(body, nl, nr), key))
+            key, body, nl, nr, k, tag, pos = (c[by] for c in (key, body, nl, nr, k, tag, pos))
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (nl[1:] != nl[:-1]) | (nr[1:] != nr[:-1]) | (body[1:] != body[:-1]).any(axis=1)))
+            first = np.flatnonzero(new)
+            least = np.repeat(k[first], np.diff(np.append(first, len(k))))
+            go, done = k == least, k > least
+            own, blobs = _dealt(_buckets(key[go], n), n, [c[go] for c in (body, nl, nr, k, tag, pos)])
+            if done.any():
+                at = pos[done].astype(np.int64)
+                order = np.lexsort((at, k[done]))
+                spans = [k[done], tag[done], (at - nl[done]).astype(np.uint32), (at + nr[done]).astype(np.uint32)]
+                more, settled = _dealt(_doc_bucket(k[done][order], n), n, [c[order] for c in spans])
+                own, blobs = own + [n + b for b in more], blobs + settled
             return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
         for batch in batches:
@@ -347,18 +426,18 @@ def _send_suffixes(n: int):
                 at, s0, s1, h = anchors(data, starts)
                 own = lists.slice(start, len(texts))
                 counts = np.array([len(x) for x in own])
-                wanted = np.repeat(starts[:-1], counts) + own.flatten().to_numpy(zero_copy_only=False)
-                shared = np.zeros(len(data) + 1, bool)
-                shared[wanted[wanted < len(data)]] = True
-                pick = shared[at]
+                told = own.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                place = np.repeat(starts[:-1], counts) + np.where(told < 0, -1 - told, told)
+                inside = place < len(data)
+                shared = np.zeros(len(data) + 1, np.int8)
+                shared[place[inside]] = 1 + (told[inside] < 0)
+                pick = shared[at] > 0
                 at, s0, s1, h = at[pick], s0[pick], s1[pick], h[pick]
                 if not len(at):
                     continue
-                place = at[:, None] + np.arange(-BEFORE, LENGTH)
-                body = data[np.clip(place, 0, len(data) - 1)]
-                body[(place < s0[:, None]) | (place >= (s1 + LENGTH)[:, None])] = 0
+                key, body, nl, nr, at = _suffix_records(data, at, s0, s1, h, shared[at] == 2)
                 d = np.searchsorted(starts, at, "right") - 1
-                held.append((h, body, (at - s0).astype(np.uint8), (s1 + LENGTH - at).astype(np.uint8), ks[start + d], tags[start + d], (at - starts[d]).astype(np.uint32)))
+                held.append((key, body, nl, nr, ks[start + d], tags[start + d], (at - starts[d]).astype(np.uint32)))
                 size += body.size
                 if size > FLUSH:
                     yield flush()
@@ -369,16 +448,28 @@ def _send_suffixes(n: int):
     return run
 
 
-def _spans(table: pa.Table) -> pa.Table:
-    parts = [_unpack(b, [BEFORE + LENGTH, np.uint8, np.uint8, np.int64, np.int32, np.uint32]) for b in table.column("blob").to_pylist()]
-    body, nl, nr, k, tag, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
-    del parts
-    right = np.zeros((len(body), 56), np.uint8)
-    right[:, :LENGTH] = body[:, BEFORE:]
-    before, after = repeated_spans(right, body[:, BEFORE - 1 :: -1][:, :BEFORE], nr, nl, k)
-    hit = np.flatnonzero(after)
-    at = pos.astype(np.int64)[hit]
-    return pa.Table.from_batches([_lists(k[hit], tag[hit], [at - before[hit], at + after[hit]], ["begins", "ends"])])
+def _spans(n: int):
+    """Spans that repeat a smaller document, dealt by document; settled ones go through."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blobs = table.column("blob").to_pylist()
+        bucket = table.column("bucket")[0].as_py()
+        if bucket >= n:
+            return _rows_of([bucket - n] * len(blobs), blobs)
+        parts = [_unpack(b, [BEFORE + LENGTH, np.uint8, np.uint8, np.int64, np.int32, np.uint32]) for b in blobs]
+        del blobs
+        body, nl, nr, k, tag, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+        del parts
+        right = np.zeros((len(body), 56), np.uint8)
+        right[:, :LENGTH] = body[:, BEFORE:]
+        before, after = repeated_spans(right, body[:, BEFORE - 1 :: -1][:, :BEFORE], nr, nl, k)
+        hit = np.flatnonzero(after)
+        hit = hit[np.lexsort((pos[hit], k[hit]))]
+        at = pos.astype(np.int64)[hit]
+        spans = [k[hit], tag[hit], (at - before[hit]).astype(np.uint32), (at + after[hit]).astype(np.uint32)]
+        return _rows_of(*_dealt(_doc_bucket(k[hit], n), n, spans))
+
+    return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,27 +497,29 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(id_, F.lit(NO_ID)).alias("k"), F.xxhash64(whole).bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("tag"), whole.cast("binary").alias("text"))
 
 
-def repeated_parts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_parts(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """(k, tag, begins, ends) of the documents that repeat strings of smaller ones: byte spans, which may overlap."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _rows(docs, key, text)
-    sent = rows.mapInArrow(_send_anchors(n), "bucket int, blob binary")
-    shared = sent.groupBy("bucket").applyInArrow(_shared_anchors, "k bigint, tag int, at array<int>")
-    by_doc = shared.groupBy("k", "tag").agg(F.flatten(F.collect_list("at")).alias("at"))
-    suffixes = rows.join(by_doc, ["k", "tag"]).select("k", "tag", "text", "at").mapInArrow(_send_suffixes(n), "bucket int, blob binary")
-    spans = suffixes.groupBy("bucket").applyInArrow(_spans, "k bigint, tag int, begins array<int>, ends array<int>")
-    return spans.groupBy("k", "tag").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"))
+    blobs = "bucket int, blob binary"
+    sent = rows.mapInArrow(_send_anchors(n), blobs)
+    shared = sent.groupBy("bucket").applyInArrow(_shared_anchors(n, hot), blobs)
+    by_doc = shared.groupBy("bucket").applyInArrow(_by_doc([np.int32], ["at"]), "k bigint, tag int, at array<int>")
+    suffixes = rows.join(by_doc, ["k", "tag"]).select("k", "tag", "text", "at").mapInArrow(_send_suffixes(n), blobs)
+    spans = suffixes.groupBy("bucket").applyInArrow(_spans(n), blobs)
+    return spans.groupBy("bucket").applyInArrow(_by_doc([np.uint32, np.uint32], ["begins", "ends"]), "k bigint, tag int, begins array<int>, ends array<int>")
 
 
-def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``.
 
     A null text is empty. A null id counts as larger than all others. Rows with equal ids
-    are one document: none of them is smaller than the other. Texts under 50 bytes keep
+    are one document: none of them is smaller than the other. ``hot``: occurrences above which
+    an anchor's windows are dealt one by one; the result is the same. Texts under 50 bytes keep
     all their bytes. An empty table stays empty.
     """
     rows = _rows(docs, key, text)
-    found = repeated_parts(docs, key, text)
+    found = repeated_parts(docs, key, text, hot)
     joined = rows.join(found, ["k", "tag"], "left")
     id_ = F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id")
     return joined.select(id_, "text", "begins", "ends").mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

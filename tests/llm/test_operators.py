@@ -407,7 +407,8 @@ def test_suffix_order():
         assert lcp[i] == n
 
 
-def test_repeated_strings(spark):
+@pytest.mark.parametrize("hot", [substrings.HOT, 5])
+def test_repeated_strings(spark, hot):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdéf ") for _ in range(6))
     passage = "".join(word() for _ in range(30))
@@ -416,7 +417,7 @@ def test_repeated_strings(spark):
         a = rng.randint(0, 120)
         texts.append("".join(word() for _ in range(rng.randint(0, 20))) + passage[a : a + rng.randint(20, 90)] + "".join(word() for _ in range(rng.randint(0, 20))))
     df = docs_of(spark, texts)
-    out = substrings.cut_repeats(df)
+    out = substrings.cut_repeats(df, hot=hot)
     assert out.count() == df.count()
     want = plain_cut([(i, (t or "").encode()) for i, t in enumerate(texts)])
     for r in out.where("doc_id IS NOT NULL").collect():
