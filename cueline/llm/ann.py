@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 SHARD_ROWS = 6000
 QUERY_BLOCK = 512
 NEIGHBOURS = 16
-BUILD_WIDTH = 64
+BUILD_WIDTH = 48
 SEARCH_WIDTH = 96
 BATCH = 256
 
@@ -78,35 +78,55 @@ class Graph:
         ids[np.isinf(far)] = -1
         return ids, far
 
-    def _choose(self, cand: np.ndarray, far: np.ndarray, most: int) -> np.ndarray:
-        """Of candidates in order of distance, those nearer to the node than to any chosen one; then the nearest of the rest."""
-        x = self.x[cand]
-        between = self.sq[cand][:, None] + self.sq[cand][None, :] - 2 * x @ x.T
-        kept: list[int] = []
-        rest: list[int] = []
-        for i in range(len(cand)):
-            if len(kept) >= most:
-                break
-            (rest if kept and between[i, kept].min() < far[i] else kept).append(i)
-        kept += rest[: most - len(kept)]
-        return cand[kept]
+    def _choose(self, nodes: np.ndarray, cand: np.ndarray, most: int) -> np.ndarray:
+        """For each node the neighbours to keep of its candidates (-1: none), in order of distance.
+
+        First those nearer to the node than to any one kept before; if there are fewer
+        than ``most``, the nearest of the rest. All nodes are worked on in step.
+        """
+        real = cand >= 0
+        far = np.where(real, self._far(self.x[nodes], np.maximum(cand, 0)), np.inf)
+        order = np.argsort(far, axis=1, kind="stable")
+        cand, far = np.take_along_axis(cand, order, 1), np.take_along_axis(far, order, 1)
+        safe = np.maximum(cand, 0)
+        x, sq = self.x[safe], self.sq[safe]
+        between = sq[:, :, None] + sq[:, None, :] - 2 * (x @ x.transpose(0, 2, 1))
+        wide = cand.shape[1]
+        nearest = np.full(cand.shape, np.inf, np.float32)  # to any kept one
+        kept = np.zeros(cand.shape, bool)
+        count = np.zeros(len(cand), np.int32)
+        for i in range(wide):
+            take = (cand[:, i] >= 0) & (count < most) & (nearest[:, i] >= far[:, i])
+            kept[:, i] = take
+            count += take
+            nearest[take] = np.minimum(nearest[take], between[take, i])
+        # kept ones first, then the others, both by distance
+        rank = np.where(kept, 0, wide) + np.arange(wide) + np.where(cand >= 0, 0, 4 * wide)
+        pick = np.argsort(rank, axis=1, kind="stable")[:, :most]
+        return np.take_along_axis(cand, pick, 1)
 
-    def _connect(self, node: int, cand: np.ndarray, far: np.ndarray, layer: int) -> None:
+    def _connect(self, nodes: np.ndarray, cand: np.ndarray, layer: int) -> None:
+        """Link new nodes with neighbours of their candidates, both ways; full nodes choose anew."""
         links = self.links[layer]
-        chosen = self._choose(cand, far, self.m)
-        links[node, : len(chosen)] = chosen
-        for other in chosen.tolist():
-            row = links[other]
-            free = np.flatnonzero(row < 0)
-            if len(free):
-                row[free[0]] = node
-                continue
-            all_ = np.append(row, node)
-            d = self.sq[other] + self.sq[all_] - 2 * self.x[all_] @ self.x[other]
-            order = np.argsort(d, kind="stable")
-            best = self._choose(all_[order], d[order], len(row))
-            links[other] = -1
-            links[other, : len(best)] = best
+        chosen = self._choose(nodes, cand, self.m)
+        links[nodes, : chosen.shape[1]] = chosen
+        source = np.repeat(nodes, chosen.shape[1])
+        target = chosen.ravel()
+        source, target = source[target >= 0], target[target >= 0]
+        # a pair may be linked already, if both were new and chose each other
+        fresh = ~(links[target] == source[:, None]).any(axis=1)
+        order = np.argsort(target[fresh], kind="stable")
+        source, target = source[fresh][order], target[fresh][order]
+        others, first, n = np.unique(target, return_index=True, return_counts=True)
+        nth = np.arange(len(target)) - np.repeat(first, n)
+        held = (links[others] >= 0).sum(axis=1)
+        fits = np.repeat(held + n <= links.shape[1], n)
+        links[target[fits], (np.repeat(held, n) + nth)[fits]] = source[fits]
+        full = held + n > links.shape[1]
+        if full.any():
+            new = np.full((int(full.sum()), int(n[full].max())), -1, np.int32)
+            new[np.repeat(np.arange(len(new)), n[full]), nth[~fits]] = source[~fits]
+            links[others[full]] = self._choose(others[full], np.concatenate([links[others[full]], new], axis=1), links.shape[1])
 
     def build(self, width: int = BUILD_WIDTH) -> Graph:
         """Insert all rows, in batches that search the graph in step and see each other."""
@@ -117,16 +137,15 @@ class Graph:
             own = self.sq[new][:, None] + self.sq[new][None, :] - 2 * q @ q.T
             entry = np.full(len(new), self.entry, np.int32)
             for layer in range(len(self.links) - 1, -1, -1):
-                ids, far = self.search_layer(q, entry, width if (self.level[new] >= layer).any() else 1, layer)
-                for i, node in enumerate(new.tolist()):
-                    if self.level[node] < layer:
-                        continue
-                    real = ids[i] >= 0
-                    peers = np.flatnonzero(self.level[new[:i]] >= layer)
-                    cand = np.concatenate([ids[i][real], new[peers]]).astype(np.int32)
-                    d = np.concatenate([far[i][real], own[i, peers]])
-                    order = np.argsort(d, kind="stable")[:width]
-                    self._connect(node, cand[order], d[order], layer)
+                here = self.level[new] >= layer
+                ids, _ = self.search_layer(q, entry, width if here.any() else 1, layer)
+                if here.any():
+                    nodes = new[here].astype(np.int32)
+                    # nodes of one batch see those before them: their nearest peers are candidates too
+                    near = np.where(np.tri(len(nodes), k=-1, dtype=bool), own[np.ix_(here, here)], np.inf)
+                    peers = np.argsort(near, axis=1, kind="stable")[:, : self.m]
+                    peers = np.where(np.isinf(np.take_along_axis(near, peers, 1)), -1, nodes[peers])
+                    self._connect(nodes, np.concatenate([ids[here], peers], axis=1), layer)
                 entry = ids[:, 0]
             at += len(new)
         return self
@@ -191,7 +210,8 @@ def build_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> tuple[
         flat["vectors"] = x.tobytes()
         return pd.DataFrame([{"shard": pdf["shard"].iloc[0], "dims": x.shape[1], "ids": ids.tobytes(), **flat}])[["shard", "n", "m", "entry", "layers", "dims", "ids", "vectors", "links"]]
 
-    return nodes.groupBy("shard").applyInPandas(graph, _GRAPHS), shards
+    # as many tasks as shards: a graph takes long for its size
+    return nodes.repartition(shards, "shard").groupBy("shard").applyInPandas(graph, _GRAPHS), shards
 
 
 def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", column: str = "embedding", k: int = 10, shard_rows: int = SHARD_ROWS) -> DataFrame:
