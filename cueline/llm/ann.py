@@ -18,7 +18,7 @@ SHARD_ROWS = 6000
 QUERY_BLOCK = 512
 NEIGHBOURS = 16
 BUILD_WIDTH = 48
-SEARCH_WIDTH = 96
+SEARCH_WIDTH = 160
 BATCH = 256
 
 
