@@ -4,6 +4,7 @@ A byte goes if a 50-byte string that covers it also starts in a document with a
 id. Sorting every suffix of a corpus in one place doesn't scale, so suffixes are cut
 down and dealt out first, without losing a match:
 
+0. Exact copies of a smaller document's text are found by digest and are done.
 1. Each 50-byte window has an anchor: of its 24-byte grams the one with the least hash.
    Equal windows have equal anchors at equal places, so only anchors need to meet. About
    one position in 14 is an anchor.
@@ -30,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueline.llm.common import chunks
+from cueline.llm.common import chunks, materialise
 
 LENGTH = 50
 GRAM = 24
@@ -497,17 +498,33 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(id_, F.lit(NO_ID)).alias("k"), F.xxhash64(whole).bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("tag"), whole.cast("binary").alias("text"))
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """(k, tag, begins, ends) of the rows whose whole text a smaller document has too.
+
+    Known by digest; they are settled here, so their anchors are neither sent nor sorted.
+    """
+    ids = rows.select("k", "tag", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").alias("n")).where(f"n >= {LENGTH}")
+    # written, so that the join below can split the rows of a text with very many copies
+    firsts = materialise(ids.groupBy("digest").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most").drop("most"), "first-copies")
+    copies = ids.join(firsts, "digest").where("k > least").select("k", "tag", "n").distinct()
+    return copies.select("k", "tag", F.array(F.lit(0)).alias("begins"), F.array("n").alias("ends"))
+
+
 def repeated_parts(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """(k, tag, begins, ends) of the documents that repeat strings of smaller ones: byte spans, which may overlap."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _rows(docs, key, text)
+    whole = _rows(docs, key, text)
+    copies = materialise(_copies(whole), "copies")
+    # one exchange of the texts by (k, tag) serves this join, the one below and the caller's
+    rows = whole.join(copies.select("k", "tag").hint("merge"), ["k", "tag"], "left_anti")
     blobs = "bucket int, blob binary"
-    sent = rows.mapInArrow(_send_anchors(n), blobs)
+    sent = rows.select("k", "tag", "text").mapInArrow(_send_anchors(n), blobs)
     shared = sent.groupBy("bucket").applyInArrow(_shared_anchors(n, hot), blobs)
     by_doc = shared.groupBy("bucket").applyInArrow(_by_doc([np.int32], ["at"]), "k bigint, tag int, at array<int>")
     suffixes = rows.join(by_doc, ["k", "tag"]).select("k", "tag", "text", "at").mapInArrow(_send_suffixes(n), blobs)
     spans = suffixes.groupBy("bucket").applyInArrow(_spans(n), blobs)
-    return spans.groupBy("bucket").applyInArrow(_by_doc([np.uint32, np.uint32], ["begins", "ends"]), "k bigint, tag int, begins array<int>, ends array<int>")
+    found = spans.groupBy("bucket").applyInArrow(_by_doc([np.uint32, np.uint32], ["begins", "ends"]), "k bigint, tag int, begins array<int>, ends array<int>")
+    return found.unionByName(copies)
 
 
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
