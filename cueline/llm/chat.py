@@ -53,7 +53,7 @@ LAYOUTS = (
     Layout("instruction_input", ("input", "instruction", "output"), (("system", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
     Layout("system_prompt_response", ("prompt", "response", "system"), (("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response"))),
 )
-#: Other names of the roles.
+#: Other names of the roles in from fields.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -101,7 +101,10 @@ def _shape_fingerprint(layout: Layout) -> str:
     return hashlib.md5(_json_shape(layout.paths).encode()).hexdigest()
 
 
-def _role(name: Column) -> Column:
+def _role(name: Column, path: str) -> Column:
+    """Roles of ``from`` fields by their usual names; others as they are, null as empty."""
+    if not path.endswith("from"):
+        return F.coalesce(name, F.lit(""))
     low = F.lower(F.trim(name))
     known = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
     return F.coalesce(F.try_element_at(known, low), name, F.lit(""))
@@ -113,7 +116,7 @@ def _turns(value: Column, layout: Layout) -> Column:
     def pick(v: Column) -> list[Column]:
         return [
             F.struct(
-                (_role(F.try_variant_get(v, role, "string")) if role.startswith("$") else F.lit(role)).alias("role"),
+                (_role(F.try_variant_get(v, role, "string"), role) if role.startswith("$") else F.lit(role)).alias("role"),
                 F.coalesce(F.try_variant_get(v, text, "string"), F.lit("")).alias("text"),
             )
             for role, text in layout.turns
@@ -148,8 +151,7 @@ def turns_from_rows(df: DataFrame, conv: str = "conv_id", turn: str = "turn", la
     """Canonical turns of a typed table, whose fingerprint is that of its schema.
 
     Columns that are neither in a layout nor the conversation or turn column are left
-    out; the largest layout that the rest covers is taken. Roles and null texts as above;
-    null roles are empty.
+    out; the largest layout that the rest covers is taken. Null roles and texts are empty.
     """
     rest = T.StructType([f for f in df.schema.fields if f.name not in (conv, turn)])
     paths = set(schema_paths(rest))
@@ -159,7 +161,7 @@ def turns_from_rows(df: DataFrame, conv: str = "conv_id", turn: str = "turn", la
         raise ValueError(f"no layout has the fields {sorted(paths)}")
     layout = known[fingerprint_paths(fits[0].paths)]
     at = lambda p, of=None: (of[p[2:]] if of is not None else F.col(p[2:]))
-    pick = lambda of: [F.struct((_role(at(r, of)) if r.startswith("$") else F.lit(r)).alias("role"), F.coalesce(at(t, of).cast("string"), F.lit("")).alias("text")) for r, t in layout.turns]
+    pick = lambda of: [F.struct((_role(at(r, of), r) if r.startswith("$") else F.lit(r)).alias("role"), F.coalesce(at(t, of).cast("string"), F.lit("")).alias("text")) for r, t in layout.turns]
     order = F.col(f"`{turn}`").cast("bigint") if turn in df.columns else F.lit(0).cast("bigint")
     turns = F.array(*pick(None)) if layout.each is None else F.flatten(F.transform(layout.each, lambda x: F.array(*pick(x))))
     rows = df.select(F.col(f"`{conv}`").alias("conv_id"), order.alias("turn"), F.posexplode(turns).alias("pos", "x"))
