@@ -7,7 +7,6 @@ DataFrame; all but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cueline.llm import decontaminate, mixing, sharding, simhash, toxicity
 from cueline.llm.common import materialise
