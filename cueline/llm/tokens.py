@@ -54,8 +54,7 @@ def counter(path: str):
 
 
 def encode_misses(texts: DataFrame, path: str, version: str) -> DataFrame:
-    """Counts of the distinct texts among (digest, text); equal texts leave each task once."""
-    distinct = texts.dropDuplicates(["digest"])
+    """(digest, tokenizer, n_tokens) of the texts among (digest, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
@@ -63,7 +62,7 @@ def encode_misses(texts: DataFrame, path: str, version: str) -> DataFrame:
             n = [c for _, part in chunks(batch.column(1)) for c in count(part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
 
-    return distinct.mapInArrow(run, CACHE_SCHEMA)
+    return texts.mapInArrow(run, CACHE_SCHEMA)
 
 
 def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame:
@@ -93,7 +92,8 @@ def count_tokens(docs: DataFrame, text: str = "text", tokenizer: str | None = No
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     texts = docs.select(content_digest(F.col(f"`{text}`")).alias("digest"), whole.alias("text"))
     known = read_cache(spark, cache, version)
-    misses = texts.join(known, "digest", "left_anti")
+    # first distinct, then the misses: so equal texts leave each task once
+    misses = texts.dropDuplicates(["digest"]).join(known, "digest", "left_anti")
     encode_misses(misses, path, version).write.mode("append").parquet(cache)
     # written, so that the join below can split the rows of a text with very many copies
     counts = materialise(read_cache(spark, cache, version), "token-counts")
