@@ -40,11 +40,21 @@ def speech_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcript_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the SQL has it: the first 80 characters of 200 documents. See :func:`whole_transcript_segments`."""
     seg = speech_segments(spark, sf_dir).withColumn("doc_id", F.col("event_id") % 200)
     texts = table(spark, sf_dir, "documents").where("doc_id BETWEEN 0 AND 199").select("doc_id", F.substring("text", 1, 80).alias("text"))
     return seg.join(texts, "doc_id", "left").select("media_id", "seg_idx", F.col("start").alias("start_seconds"), F.col("end").alias("end_seconds"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def whole_transcript_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments with the whole text of a document; all documents are given out in turn."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # one row: where the turn begins anew
+    turn = docs.agg((F.max("doc_id") + 1).alias("turn"))
+    seg = speech_segments(spark, sf_dir).crossJoin(F.broadcast(turn)).withColumn("doc_id", F.col("event_id") % F.col("turn"))
+    return seg.join(docs, "doc_id", "left").select("media_id", "seg_idx", F.col("start").alias("start_seconds"), F.col("end").alias("end_seconds"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _numbered(events(spark, sf_dir), "scene_idx")
     after = F.lead("t").over(Window.partitionBy("media_id").orderBy("t", "event_id"))

@@ -72,11 +72,19 @@ def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.near_duplicate_pairs(_clips(spark, sf), iou=0.6)
 
 
+def _scene_transcripts(said: DataFrame, scenes: DataFrame) -> DataFrame:
+    out = scoring.text_statistics(intervals.scene_texts(said, scenes))
+    return out.select("media_id", "scene_idx", F.md5(F.encode("transcript_text", "UTF-8")).alias("text_md5"), "speech_character_count", "speech_word_count", "has_speech")
+
+
 @query
 def scene_transcripts(spark: SparkSession, sf: str) -> DataFrame:
-    out = intervals.scene_texts(fx.transcript_segments(spark, sf), fx.scenes(spark, sf))
-    out = scoring.text_statistics(out)
-    return out.select("media_id", "scene_idx", F.md5(F.encode("transcript_text", "UTF-8")).alias("text_md5"), "speech_character_count", "speech_word_count", "has_speech")
+    return _scene_transcripts(fx.transcript_segments(spark, sf), fx.scenes(spark, sf))
+
+
+@query
+def whole_scene_transcripts(spark: SparkSession, sf: str) -> DataFrame:
+    return _scene_transcripts(fx.whole_transcript_segments(spark, sf), fx.scenes(spark, sf))
 
 
 # --- signals -------------------------------------------------------------------------
@@ -132,26 +140,43 @@ def fft_alignment(spark: SparkSession, sf: str) -> DataFrame:
 # --- scores and candidates -----------------------------------------------------------
 
 
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    return plan.scored_scenes(fx.transcript_segments(spark, sf), fx.scenes(spark, sf), fx.event_frames(spark, sf), fx.audio_blocks(spark, sf), fx.RATE, 1)
+def _scored(spark: SparkSession, sf: str, said: DataFrame) -> DataFrame:
+    return plan.scored_scenes(said, fx.scenes(spark, sf), fx.event_frames(spark, sf), fx.audio_blocks(spark, sf), fx.RATE, 1)
+
+
+def _highlight_scores(spark: SparkSession, sf: str, said: DataFrame) -> DataFrame:
+    cols = ("motion_score", "speech_score", "audio_score", "final_score")
+    return r6(_scored(spark, sf, said).select("media_id", "scene_idx", *cols), *cols)
 
 
 @query
 def highlight_scores(spark: SparkSession, sf: str) -> DataFrame:
-    cols = ("motion_score", "speech_score", "audio_score", "final_score")
-    return r6(_scored(spark, sf).select("media_id", "scene_idx", *cols), *cols)
+    return _highlight_scores(spark, sf, fx.transcript_segments(spark, sf))
 
 
 @query
-def highlight_candidates(spark: SparkSession, sf: str) -> DataFrame:
+def whole_highlight_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _highlight_scores(spark, sf, fx.whole_transcript_segments(spark, sf))
+
+
+def _highlight_candidates(spark: SparkSession, sf: str, said: DataFrame) -> DataFrame:
     # scores are rounded before they are compared: their sums depend on the order of rows
-    scored = _scored(spark, sf).withColumn("final_score", F.round("final_score", 6))
+    scored = _scored(spark, sf, said).withColumn("final_score", F.round("final_score", 6))
     out = scoring.select_candidates(scored, fx.media(spark, sf))
     return r6(out.drop("middle"), "start_seconds", "end_seconds")
 
 
 @query
-def highlight_run(spark: SparkSession, sf: str) -> DataFrame:
+def highlight_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return _highlight_candidates(spark, sf, fx.transcript_segments(spark, sf))
+
+
+@query
+def whole_highlight_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return _highlight_candidates(spark, sf, fx.whole_transcript_segments(spark, sf))
+
+
+def _highlight_run(spark: SparkSession, sf: str, said: DataFrame) -> DataFrame:
     """The whole run with a responder that answers by the length of the prompt."""
 
     def set_up():
@@ -161,12 +186,22 @@ def highlight_run(spark: SparkSession, sf: str) -> DataFrame:
 
         return answer
 
-    final, texts = plan.highlight_run(fx.transcript_segments(spark, sf), fx.scenes(spark, sf), fx.event_frames(spark, sf), fx.audio_blocks(spark, sf), fx.media(spark, sf), fx.RATE, set_up, "Said: %s", 1)
+    final, texts = plan.highlight_run(said, fx.scenes(spark, sf), fx.event_frames(spark, sf), fx.audio_blocks(spark, sf), fx.media(spark, sf), fx.RATE, set_up, "Said: %s", 1)
     n = texts.groupBy("media_id", "rank").agg(F.count("*").alias("captions"))
     out = final.join(n, ["media_id", "rank"], "left").select("media_id", "rank", "number", "category", "keep_highlight", "final_confidence", F.coalesce("captions", F.lit(0)).alias("captions"))
     return out
 
 
+@query
+def highlight_run(spark: SparkSession, sf: str) -> DataFrame:
+    return _highlight_run(spark, sf, fx.transcript_segments(spark, sf))
+
+
+@query
+def whole_highlight_run(spark: SparkSession, sf: str) -> DataFrame:
+    return _highlight_run(spark, sf, fx.whole_transcript_segments(spark, sf))
+
+
 @query
 def missing_features(spark: SparkSession, sf: str) -> DataFrame:
     sc = fx.scenes(spark, sf)
@@ -240,11 +275,20 @@ def layout_routes(spark: SparkSession, sf: str) -> DataFrame:
     return decisions.route_layout(requests, valid, "session_id").select("session_id", "renderer")
 
 
+def _prompts(said: DataFrame, scenes: DataFrame) -> DataFrame:
+    rows = intervals.scene_texts(said, scenes).withColumnRenamed("scene_idx", "rank")
+    out = responses.render_prompts(rows, "Scene %s says: %s", ["rank", "transcript_text"])
+    return out.select("media_id", "rank", F.md5(F.encode("prompt", "UTF-8")).alias("prompt_md5"))
+
+
 @query
 def prompts(spark: SparkSession, sf: str) -> DataFrame:
-    scenes = intervals.scene_texts(fx.transcript_segments(spark, sf), fx.scenes(spark, sf)).withColumnRenamed("scene_idx", "rank")
-    out = responses.render_prompts(scenes, "Scene %s says: %s", ["rank", "transcript_text"])
-    return out.select("media_id", "rank", F.md5(F.encode("prompt", "UTF-8")).alias("prompt_md5"))
+    return _prompts(fx.transcript_segments(spark, sf), fx.scenes(spark, sf))
+
+
+@query
+def whole_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    return _prompts(fx.whole_transcript_segments(spark, sf), fx.scenes(spark, sf))
 
 
 # --- captions ------------------------------------------------------------------------
@@ -427,6 +471,12 @@ def clean_transcripts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("media_id", "seg_idx", textclean.collapse("text").alias("text"))
 
 
+@query
+def whole_clean_transcripts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.whole_transcript_segments(spark, sf)
+    return rows.select("media_id", "seg_idx", textclean.collapse("text").alias("text"))
+
+
 # --- packages, media and frames ------------------------------------------------------
 
 
