@@ -255,6 +255,20 @@ def final_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("media_id", "rank", "number", "commentary_category", "action_level", "keep_highlight", "final_confidence", F.round("start_seconds", 6).alias("start_seconds"))
 
 
+@query
+def whole_final_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """Every response of every rank; a clip whose visual answer can't be read has none."""
+    raw = fx.model_responses(spark, sf).withColumn("rank", F.col("rank").cast("int"))
+    told = responses.commentary(raw).select("media_id", "rank", F.col("event_id").alias("seq"), F.col("category").alias("commentary_category"))
+    readable = F.try_parse_json(responses.json_slice(F.col("raw_text"))).isNotNull()
+    seen = responses.visual(raw.where(readable)).select("media_id", "rank", "action_level")
+    fused = responses.fusion(raw).select("media_id", "rank", "keep_highlight", "final_confidence")
+    clips = fx.scenes(spark, sf).select("media_id", (F.col("scene_idx") + 1).cast("int").alias("rank"), F.col("scene_idx").alias("clip_seq"), "start_seconds")
+    both = decisions.join_visual(decisions.join_reasoning(clips.select("media_id", "rank"), told, "seq"), seen).join(fused, ["media_id", "rank"])
+    out = decisions.link_clips(decisions.rank_final(both), clips, "clip_seq")
+    return out.select("media_id", "rank", "number", "commentary_category", "action_level", "keep_highlight", "final_confidence", F.round("start_seconds", 6).alias("start_seconds"))
+
+
 @query
 def timeline_remap(spark: SparkSession, sf: str) -> DataFrame:
     sessions = fx.media(spark, sf).where("media_id % 10 <> 3").select("media_id", (F.col("media_id") % 7 - 100.0).alias("gameplay_offset_seconds"))
@@ -323,14 +337,22 @@ def time_codes(spark: SparkSession, sf: str) -> DataFrame:
     return ev.select("event_id", tc.srt_time(F.col("t") - 1).alias("srt"), tc.dotted_time("t").alias("dotted"), tc.clock_time("t").alias("clock"))
 
 
-@query
-def highlight_files(spark: SparkSession, sf: str) -> DataFrame:
-    raw = fx.model_responses(spark, sf).where("rank <= 20")
+def _highlight_files(raw: DataFrame) -> DataFrame:
     fused = responses.fusion(raw).select("media_id", F.col("rank").cast("int").alias("rank"), "keep_highlight", "final_confidence", "reason")
     out = sinks.highlight_metadata(fused)
     return out.select("media_id", "number", "file_name", F.get_json_object("metadata", "$.rank").cast("int").alias("rank"), F.get_json_object("metadata", "$.file_name").alias("named"))
 
 
+@query
+def highlight_files(spark: SparkSession, sf: str) -> DataFrame:
+    return _highlight_files(fx.model_responses(spark, sf).where("rank <= 20"))
+
+
+@query
+def whole_highlight_files(spark: SparkSession, sf: str) -> DataFrame:
+    return _highlight_files(fx.model_responses(spark, sf))
+
+
 # --- moments and frames --------------------------------------------------------------
 
 
