@@ -101,6 +101,14 @@ def metadata_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.select("conv_id", "attempt", F.substring("text", 1, 60).alias("hook"), F.substring("text", 1, 65).alias("title"), tags.alias("hashtags"))
 
 
+def whole_metadata_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`metadata_attempts`, with whole texts and all their words."""
+    conv = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).alias("attempt"), F.coalesce("text", F.lit("")).alias("text"), (F.col("turn") % 2 == 0).alias("marked"))
+    words = F.filter(F.split("text", "[^A-Za-z]+"), lambda w: w != "")
+    tags = F.transform(words, lambda w: F.when(F.col("marked"), F.concat(F.lit("#"), w)).otherwise(w))
+    return conv.select("conv_id", "attempt", F.col("text").alias("hook"), F.col("text").alias("title"), tags.alias("hashtags"))
+
+
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as results of a request to their host; every third once more under a URL with a slash."""
     host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)

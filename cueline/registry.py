@@ -225,9 +225,7 @@ def visual_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("media_id", "rank", "visual_event", "action_level", "danger_level", "looks_interesting", "reason", "confidence")
 
 
-@query
-def first_valid_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    attempts = fx.metadata_attempts(spark, sf)
+def _first_valid_metadata(spark: SparkSession, attempts: DataFrame) -> DataFrame:
     kinds = F.element_at(F.array(F.lit("click"), F.lit(" VIEW "), F.lit("boss")), (F.col("conv_id") % 3 + 1).cast("int"))
     items = attempts.select("conv_id").distinct().withColumn("category", kinds)
     fallback = spark.createDataFrame([(a, b, c, list(d)) for a, b, c, d in FALLBACK], "category string, hook string, title string, hashtags array<string>")
@@ -235,12 +233,28 @@ def first_valid_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("conv_id", "attempt", "hook", "title", F.array_join("hashtags", " ").alias("hashtags"))
 
 
+@query
+def first_valid_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    return _first_valid_metadata(spark, fx.metadata_attempts(spark, sf))
+
+
+@query
+def whole_first_valid_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    return _first_valid_metadata(spark, fx.whole_metadata_attempts(spark, sf))
+
+
 @query
 def metadata_rules(spark: SparkSession, sf: str) -> DataFrame:
     out = fx.metadata_attempts(spark, sf)
     return out.select("conv_id", "attempt", F.array_join(responses.metadata_failures(), ",").alias("failures"))
 
 
+@query
+def whole_metadata_rules(spark: SparkSession, sf: str) -> DataFrame:
+    out = fx.whole_metadata_attempts(spark, sf)
+    return out.select("conv_id", "attempt", F.array_join(responses.metadata_failures(), ",").alias("failures"))
+
+
 @query
 def final_ranking(spark: SparkSession, sf: str) -> DataFrame:
     raw = fx.model_responses(spark, sf)
@@ -331,6 +345,12 @@ def caption_lines(spark: SparkSession, sf: str) -> DataFrame:
     return texts.select("conv_id", "attempt", F.array_join(tx.caption_lines(F.substring("hook", 1, 25), "NOW"), "/").alias("lines"))
 
 
+@query
+def whole_caption_lines(spark: SparkSession, sf: str) -> DataFrame:
+    texts = fx.whole_metadata_attempts(spark, sf)
+    return texts.select("conv_id", "attempt", F.array_join(tx.caption_lines("hook", "NOW"), "/").alias("lines"))
+
+
 @query
 def time_codes(spark: SparkSession, sf: str) -> DataFrame:
     ev = fx.events(spark, sf)
@@ -451,10 +471,18 @@ def package_files(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("request_id", F.length("text").alias("chars"), F.get_json_object("json", "$.primary_title").alias("primary_title"))
 
 
+def _name_slugs(hooks: DataFrame) -> DataFrame:
+    return hooks.select("conv_id", "attempt", tx.slug("hook").alias("slug"), tx.hashtag("hook").alias("hashtag"), tx.cut_title("title", 40).alias("title"))
+
+
 @query
 def name_slugs(spark: SparkSession, sf: str) -> DataFrame:
-    hooks = fx.metadata_attempts(spark, sf)
-    return hooks.select("conv_id", "attempt", tx.slug("hook").alias("slug"), tx.hashtag("hook").alias("hashtag"), tx.cut_title("title", 40).alias("title"))
+    return _name_slugs(fx.metadata_attempts(spark, sf))
+
+
+@query
+def whole_name_slugs(spark: SparkSession, sf: str) -> DataFrame:
+    return _name_slugs(fx.whole_metadata_attempts(spark, sf))
 
 
 # --- sources and checks --------------------------------------------------------------
@@ -502,20 +530,29 @@ def whole_clean_transcripts(spark: SparkSession, sf: str) -> DataFrame:
 # --- packages, media and frames ------------------------------------------------------
 
 
-@query
-def package_assembly(spark: SparkSession, sf: str) -> DataFrame:
+def _package_assembly(spark: SparkSession, sf: str, attempts: DataFrame) -> DataFrame:
     """Documents as highlights: captions counted, subtitles joined, metadata of their conversation, else generated."""
     clips = _spoken(spark, sf).withColumn("rank", (F.col("doc_id") % 3 + 1).cast("int")).withColumnRenamed("doc_id", "media_id")
     on = ["media_id", "rank"]
     made = captions.build_captions(clips, on)
     docs = captions.subtitle_documents(made, clips, on)
-    first = fx.metadata_attempts(spark, sf).where("attempt = 1")
+    first = attempts.where("attempt = 1")
     given = first.select(F.col("conv_id").alias("media_id"), (F.col("conv_id") % 3 + 1).cast("int").alias("rank"), "hook", "title", "hashtags")
     generated = clips.select(*on, F.lit("now").alias("hook"), F.concat(F.lit("clip "), F.col("media_id").cast("string")).alias("title"), F.array(F.lit("#clip")).alias("hashtags"))
     out = decisions.assemble_packages(clips.select(*on), made, docs, given, generated)
     return out.select(*on, "caption_count", F.length("document").alias("chars"), "hook", "title", F.array_join("hashtags", " ").alias("hashtags"))
 
 
+@query
+def package_assembly(spark: SparkSession, sf: str) -> DataFrame:
+    return _package_assembly(spark, sf, fx.metadata_attempts(spark, sf))
+
+
+@query
+def whole_package_assembly(spark: SparkSession, sf: str) -> DataFrame:
+    return _package_assembly(spark, sf, fx.whole_metadata_attempts(spark, sf))
+
+
 @query
 def usable_envelopes(spark: SparkSession, sf: str) -> DataFrame:
     return signals.usable_envelopes(_envelopes(spark, sf)[0], "session_id", least=16)
