@@ -113,7 +113,7 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as results of a request to their host; every third once more under a URL with a slash."""
     host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
     plain = F.regexp_replace(F.regexp_replace("html", "(?s)<(script|style)[^>]*>.*?</(script|style)>", " "), "<[^>]*>", " ")
-    rows = table(spark, sf_dir, "pages").select(host.alias("request_id"), (F.col("page_id") * 2).alias("pos"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), "url", F.substring(plain, 1, 400).alias("summary"), F.lit("q").alias("query"))
+    rows = table(spark, sf_dir, "pages").select(host.alias("request_id"), (F.col("page_id") * 2).alias("pos"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), "url", plain.alias("summary"), F.lit("q").alias("query"))
     again = rows.where("(pos div 2) % 3 = 0").withColumns({"pos": F.col("pos") + 1, "url": F.concat("url", F.lit("/")), "title": F.concat(F.lit("Again "), "title")})
     return rows.unionByName(again)
 

@@ -445,7 +445,10 @@ def best_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def request_research(spark: SparkSession, sf: str) -> DataFrame:
-    return research_plan.research_requests(fx.result_requests(spark, sf), fx.search_results(spark, sf).where("request_id NOT LIKE 'm.%'"))
+    """Requests to all hosts, and for every host one to a name that no page belongs to."""
+    found = fx.result_requests(spark, sf)
+    absent = found.select(F.concat(F.lit("none."), "request_id").alias("request_id"), "game_name")
+    return research_plan.research_requests(found.unionByName(absent), fx.search_results(spark, sf))
 
 
 @query
