@@ -210,6 +210,17 @@ def missing_features(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.missing_features(sc, motion, loud)
 
 
+@query
+def whole_missing_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Scenes whose own span has too few frames for a change, or no sample."""
+    sc = fx.scenes(spark, sf)
+    motion = signals.frame_changes(fx.event_frames(spark, sf), sc, fx.RATE, 1).select("media_id", "scene_idx").distinct()
+    samples = fx.events(spark, sf).groupBy("media_id").agg(F.count("*").alias("n"))
+    first, after = (F.floor(F.col(c) * fx.RATE) for c in ("start_seconds", "end_seconds"))
+    loud = sc.join(samples, "media_id").where(first < F.least(after, "n")).select("media_id", "scene_idx")
+    return scoring.missing_features(sc, motion, loud)
+
+
 # --- responses and decisions ---------------------------------------------------------
 
 
@@ -388,6 +399,13 @@ def sparse_moments(spark: SparkSession, sf: str) -> DataFrame:
     return r6(moments.select_moments(cuts, fx.media(spark, sf), 8), "t")
 
 
+@query
+def whole_sparse_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """All purchases as cuts: few recordings have as many as are wanted, so fallback times fill up."""
+    cuts = fx.events(spark, sf).where("event_type = 'purchase'")
+    return r6(moments.select_moments(cuts, fx.media(spark, sf), 8), "t")
+
+
 @query
 def scene_cut_times(spark: SparkSession, sf: str) -> DataFrame:
     ev = fx.events(spark, sf)
