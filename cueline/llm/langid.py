@@ -89,15 +89,14 @@ _TABLE_BITS = 20
 
 
 def _slots(hashes: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
-    """Two tables of piece numbers by hash: a slot holds up to two of them."""
+    """Tables of piece numbers by hash, as many as the fullest slot has pieces."""
     slot = ((hashes[own] * _SPREAD) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
     order = np.argsort(slot, kind="stable")
     slot, own = slot[order], own[order]
     nth = np.arange(len(slot)) - np.searchsorted(slot, slot, "left")
-    tables = [np.zeros(1 << _TABLE_BITS, np.int32) for _ in range(2)]
+    tables = [np.zeros(1 << _TABLE_BITS, np.int32) for _ in range(int(nth.max(initial=0)) + 1)]
     for i, table in enumerate(tables):
         table[slot[nth == i]] = own[nth == i]
-    # a third piece of one slot is very rare: it is left to its parts
     return tables
 
 
@@ -128,6 +127,8 @@ class Model:
             self.hashes[i + 1] = h
         own = np.array([i + 1 for _, i in pieces], np.int32)
         self.slots = _slots(self.hashes, own)
+        if not np.array_equal(self._find(self.hashes[own]), own):
+            raise ValueError("pieces of the vocabulary have the same hash")
         if langs:
             # row 0: no piece; for single characters the floor of what isn't in the vocabulary
             self.padded = np.vstack([np.zeros((1, len(langs))), prob])
@@ -179,11 +180,16 @@ class Model:
         slot = (h * _SPREAD) >> np.uint64(64 - _TABLE_BITS)
         ids = self.slots[0][slot]
         ids *= self.hashes[ids] == h
-        other = self.slots[1][slot]
-        hit = np.flatnonzero(other)
-        if len(hit):
-            hit = hit[self.hashes[other[hit]] == h[hit]]
-            ids[hit] = other[hit]
+        hit = None
+        for table in self.slots[1:]:
+            # a slot that is empty here is empty in the tables after this one
+            other = table[slot if hit is None else slot[hit]]
+            full = np.flatnonzero(other)
+            if not len(full):
+                break
+            hit, other = full if hit is None else hit[full], other[full]
+            same = self.hashes[other] == h[hit]
+            ids[hit[same]] = other[same]
         return ids
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:

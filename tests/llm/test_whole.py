@@ -1,0 +1,20 @@
+"""What the training-data operators lost on rare inputs."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from cueline.llm import langid, tokens
+
+
+def test_every_piece_is_found():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokens.tokenizer_path())
+    model = langid.Model.of(["x"], np.full((sp.vocab_size(), 1), 1e-5), tokens.tokenizer_path())
+    own = np.flatnonzero(model.hashes)
+    assert len(own) > 30_000
+    assert np.array_equal(model._find(model.hashes[own]), own)
+    assert not model._find(model.hashes[own] ^ np.uint64(1 << 63)).any()
+    ids = [sp.piece_to_id(p) + 1 for p in ("▁stove", "안")]
+    assert np.array_equal(model._find(model.hashes[ids]), ids)
