@@ -26,8 +26,8 @@ from cueline.llm.common import append_columns, chunks, materialise
 #: Labelled rows of each class that are fitted at most.
 SAMPLE_PER_CLASS = 4000
 FEATURES = 1500
-#: A small sample supports few features: one for so many rows.
-ROWS_PER_FEATURE = 4
+#: Chi-square from which a feature counts as associated (one chance in a thousand), whatever the sample's size.
+ASSOCIATED = 10.83
 PREFIX = 5
 PENALTY = 5.0
 L2 = 1e-3
@@ -103,7 +103,10 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
 
 
 def choose_features(sample: DataFrame, n: int, terms=IDENTITY_TERMS) -> list[str]:
-    """Up to ``n`` features with the highest chi-square against the label, in two rows at least, and all group names."""
+    """The features with a chi-square of ``ASSOCIATED`` against the label, the highest ``n`` of them, in two rows at least, and all group names.
+
+    The rule is the same for every size of sample.
+    """
     totals = sample.agg(F.count("*").alias("n"), F.sum("y").alias("t")).first()
     if not totals["n"]:
         return []
@@ -111,7 +114,7 @@ def choose_features(sample: DataFrame, n: int, terms=IDENTITY_TERMS) -> list[str
     counts = sample.select("y", F.explode("words").alias("f")).groupBy("f").agg(F.count("*").cast("double").alias("a"), F.sum("y").cast("double").alias("b"))
     expected = F.col("a") * toxic / docs
     spread = expected * (1 - toxic / docs) * (1 - F.col("a") / docs) + 1e-9
-    top = counts.where("a >= 2").withColumn("chi", F.pow(F.col("b") - expected, F.lit(2)) / spread).orderBy(F.desc("chi"), "f").limit(max(50, min(n, int(docs) // ROWS_PER_FEATURE)))
+    top = counts.where("a >= 2").withColumn("chi", F.pow(F.col("b") - expected, F.lit(2)) / spread).where(F.col("chi") >= ASSOCIATED).orderBy(F.desc("chi"), "f").limit(n)
     named = {t for kind in terms for t in kind}
     return sorted({r.f for r in top.select("f").collect()} | named)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from cueline.llm import langid, tokens
+from cueline.llm import langid, tokens, toxicity
 
 
 def test_every_piece_is_found():
@@ -18,3 +18,13 @@ def test_every_piece_is_found():
     assert not model._find(model.hashes[own] ^ np.uint64(1 << 63)).any()
     ids = [sp.piece_to_id(p) + 1 for p in ("▁stove", "안")]
     assert np.array_equal(model._find(model.hashes[ids]), ids)
+
+
+def test_features_do_not_depend_on_the_size_of_the_sample(spark):
+    # 60 words that all toxic rows have: a small sample used to support 50 features
+    toxic, clean = [f"bad{i:02d}" for i in range(60)], [f"good{i:02d}" for i in range(60)]
+    names = {t for kind in toxicity.IDENTITY_TERMS for t in kind}
+    for times in (1, 5):
+        rows = [(1, [*toxic, "the"]), (0, [*clean, "the"])] * (20 * times)
+        got = toxicity.choose_features(spark.createDataFrame(rows, "y int, words array<string>"), 1500)
+        assert set(got) == {*toxic, *clean} | names
