@@ -16,7 +16,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,6 +171,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
     Null keys are kept and never chosen as component_id unless all are null. Equal rows
     stay; an empty table stays empty.
     """
+    shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return _grouped(docs, key, text, distance).select(F.col("k").alias(key), "fp", shown.alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, key: str, text: str, distance: int) -> DataFrame:
+    """(k, fp, root, component_id) of every row; components that share their smallest key differ in root."""
     if not 0 <= distance <= DISTANCE:
         raise ValueError(f"two segments with one deletion serve distances up to {DISTANCE}")
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
@@ -180,17 +186,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
     parts = connected_components(edges, "a", "b")
     rooted = least.join(parts, least.fp == parts.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(ids, "root").select("fp", "component_id")
-    shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(by_fp, "fp").select(F.col("k").alias(key), "fp", shown.alias("fingerprint"), "component_id")
+    by_fp = rooted.join(ids, "root").select("fp", "root", "component_id")
+    return rows.join(by_fp, "fp").select("k", "fp", "root", "component_id")
 
 
 def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` whose key is their component's smallest, once each.
+    """One row of ``docs`` for each component: one whose key is the component's smallest.
 
-    Rows with null keys are kept: there's nothing to choose them by.
+    Where several rows of a component have that key, the least fingerprint is kept, then
+    the least text. Rows with null keys are kept: there's nothing to choose them by.
     """
-    found = near_duplicates(docs.select(f"`{key}`", f"`{text}`"), key, text, distance)
-    chosen = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    kept = docs.join(chosen, key, "left_semi").dropDuplicates([key])
-    return kept.unionByName(docs.where(F.col(f"`{key}`").isNull()))
+    found = materialise(_grouped(docs.select(f"`{key}`", f"`{text}`"), key, text, distance), "grouped")
+    own = F.col("k") == F.col("component_id")
+    keys = found.groupBy("k").agg(F.count("*").alias("n"), F.max(own).alias("own")).where("own").select(F.col("k").alias(key), "n")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = docs.join(keys.where("n = 1").select(key), key, "left_semi").select(*columns)
+    # only rows of repeated keys need their fingerprint once more
+    picked = found.where(own).groupBy("k", "root").agg(F.min("fp").alias("__fp")).select(F.col("k").alias(key), "__fp")
+    again = add_fingerprint(docs.join(keys.where("n > 1").select(key), key, "left_semi").select(*columns), text, "__fp").join(picked, [key, "__fp"], "left_semi")
+    order = Window.partitionBy(key, "__fp").orderBy(F.col(f"`{text}`"))
+    again = again.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*columns)
+    return once.unionByName(again).unionByName(docs.where(F.col(f"`{key}`").isNull()))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 
-from cueline.llm import langid, tokens, toxicity
+from cueline.llm import langid, simhash, tokens, toxicity
 
 
 def test_every_piece_is_found():
@@ -28,3 +30,17 @@ def test_features_do_not_depend_on_the_size_of_the_sample(spark):
         rows = [(1, [*toxic, "the"]), (0, [*clean, "the"])] * (20 * times)
         got = toxicity.choose_features(spark.createDataFrame(rows, "y int, words array<string>"), 1500)
         assert set(got) == {*toxic, *clean} | names
+
+
+def test_repeated_ids_keep_each_component(spark):
+    rng = random.Random(0)
+    words = lambda: ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(300)]
+    one, two, three = words(), words(), words()
+    near = [*one[:150], "other", *one[151:]]
+    # id 5: near copies of a component of its own, another one, and a copy of id 3's text
+    texts = [(3, three), (5, one), (5, near), (5, two), (5, two), (5, three), (7, one), (8, two)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string").repartition(3)
+    a, b = simhash.fingerprints([" ".join(t).encode() for t in (one, near)]).view(np.int64)
+    want = {(3, " ".join(three)), (5, " ".join(one if a <= b else near)), (5, " ".join(two))}
+    got = [tuple(r) for r in simhash.keep_representatives(df).collect()]
+    assert len(got) == 3 and set(got) == want
