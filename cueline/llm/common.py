@@ -9,7 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cueline.storage import materialise, shared_dir  # noqa: F401
+from cueline.storage import materialise, new_path, release, scratch  # noqa: F401
+
+
+def private(*tables: DataFrame) -> str:
+    """A prefix that no column of ``tables`` begins with, for columns of one's own."""
+    taken = [c.lower() for df in tables for c in df.columns]
+    prefix = "__own"
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    return prefix
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:
@@ -31,8 +40,7 @@ def append_columns(
     to one array per field. An input column named like a field is replaced.
     """
     names = [f.name for f in fields]
-    probe = "__cueline_in"
-    column = F.col(f"`{source}`").cast("binary" if binary else "string").alias(probe)
+    column = F.col(f"`{source}`").cast("binary" if binary else "string").alias(private(df))
     rest = without(df, names)
     schema = T.StructType([*rest.schema.fields, *fields])
     width = len(rest.columns)
@@ -78,7 +86,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     ``edges`` has two long columns. Returns ``node`` and ``root`` (smallest node of
     the component) for every node of an edge. All steps are joins and partial
-    aggregates on the node; each round is written to the shared folder.
+    aggregates on the node; each round is written to the shared folder, and the round
+    before it is deleted.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     e = materialise(e.where("u > v").distinct(), "edges")
@@ -91,7 +100,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialise(small, "edges")
+        old, e = e, materialise(small, "edges")
+        release(old)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

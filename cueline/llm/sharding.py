@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueline.llm.common import without
+from cueline.llm.common import private, without
 
 SHARDS = 32
 TABLE_SIZE = 4099
@@ -69,10 +69,11 @@ def assign_shards(df: DataFrame, key: str, shards: list[str], table_size: int =
     columns named slot or shard are replaced. An empty table stays empty.
     """
     table = fill_table(df.sparkSession, shards, table_size)
-    slots = without(df.withColumn("__cueline_key", F.col(f"`{key}`")), ["slot", "shard"])
-    slots = slots.withColumn("slot", slot_of(F.col("__cueline_key"), table_size)).drop("__cueline_key")
-    placed = slots.join(F.broadcast(table), "slot", "left")
-    return placed.select(*[f"`{c}`" for c in slots.columns], "shard")
+    own = private(df)
+    rows = without(df.withColumn(own, slot_of(F.col(f"`{key}`"), table_size)), ["slot", "shard"])
+    kept = [f"`{c}`" for c in rows.columns if c != own]
+    slots = rows.select(*kept, F.col(own).alias("slot"))
+    return slots.join(F.broadcast(table), "slot", "left").select(*kept, "slot", "shard")
 
 
 def shard_names(n: int = SHARDS) -> list[str]:
