@@ -8,18 +8,19 @@ counts; only distinct misses are encoded, and their counts are appended to the c
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueline.llm.common import chunks, materialise, shared_dir, without
+from cueline.llm.common import chunks, materialise, new_path, private, without
 
 TOKENIZER = "piece_bpe_32k.model"
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens bigint"
 ADDED = ["n_bytes", "n_tokens", "over_limit"]
+#: Digests of misses that are broadcast at most, to pick their texts; a digest has 32 bytes.
+BROADCAST_MISSES = 500_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -65,19 +66,37 @@ def encode_misses(texts: DataFrame, path: str, version: str) -> DataFrame:
     return texts.mapInArrow(run, CACHE_SCHEMA)
 
 
-def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame:
-    """Counts of one tokenizer version in the cache; a cache that isn't there yet is empty.
+def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
+    """Counts of one tokenizer version in the cache; None for a cache that isn't there yet.
 
     Two writers may append the same digest; such rows are equal and count once.
     """
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(cache)
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], CACHE_SCHEMA).select("digest", "n_tokens")
+        return None
     rows = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
     return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def missing_texts(texts: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(digest, text), once each, of the texts whose digest isn't ``known``. ``texts``: (digest, text).
+
+    Digests are compared before any text moves. Where the misses are counted to be few, they
+    are broadcast and texts that the cache has never leave their task. Where they are many,
+    texts are made distinct first, so that a text with very many copies leaves a task once.
+    """
+    if known is None:
+        return texts.dropDuplicates(["digest"])
+    misses = materialise(texts.select("digest").distinct().join(known, "digest", "left_anti"), "token-misses")
+    n = misses.count()
+    if not n:
+        return texts.limit(0)
+    if n <= BROADCAST_MISSES:
+        return texts.join(F.broadcast(misses), "digest", "left_semi").dropDuplicates(["digest"])
+    return texts.dropDuplicates(["digest"]).join(misses, "digest", "left_semi")
+
+
 def count_tokens(docs: DataFrame, text: str = "text", tokenizer: str | None = None, cache: str | None = None, limit: int = 4096) -> DataFrame:
     """Append n_bytes, n_tokens and over_limit to every row of ``docs``.
 
@@ -88,17 +107,17 @@ def count_tokens(docs: DataFrame, text: str = "text", tokenizer: str | None = No
     spark = docs.sparkSession
     path = tokenizer or tokenizer_path()
     version = tokenizer_digest(path)
-    cache = cache or f"{shared_dir(spark).rstrip('/')}/cueline-tokens-{uuid.uuid4().hex}"
+    cache = cache or new_path(spark, "tokens")
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     texts = docs.select(content_digest(F.col(f"`{text}`")).alias("digest"), whole.alias("text"))
-    known = read_cache(spark, cache, version)
-    # first distinct, then the misses: so equal texts leave each task once
-    misses = texts.dropDuplicates(["digest"]).join(known, "digest", "left_anti")
+    misses = missing_texts(texts, read_cache(spark, cache, version))
     encode_misses(misses, path, version).write.mode("append").parquet(cache)
     # written, so that the join below can split the rows of a text with very many copies
     counts = materialise(read_cache(spark, cache, version), "token-counts")
-    rows = without(docs.withColumn("__cueline_text", F.col(f"`{text}`")), ADDED)
-    rows = rows.withColumn("n_bytes", F.coalesce(F.octet_length("__cueline_text"), F.lit(0)).cast("bigint"))
-    rows = rows.withColumn("__cueline_digest", content_digest(F.col("__cueline_text"))).drop("__cueline_text")
-    out = rows.join(counts.withColumnRenamed("digest", "__cueline_digest"), "__cueline_digest", "left")
-    return out.drop("__cueline_digest").withColumn("over_limit", F.col("n_tokens") > limit)
+    own = private(docs)
+    rows = docs.withColumns({f"{own}_bytes": F.octet_length(whole).cast("bigint"), f"{own}_digest": content_digest(F.col(f"`{text}`"))})
+    kept = [f"`{c}`" for c in without(docs, ADDED).columns]
+    counts = counts.select(F.col("digest").alias(f"{own}_digest"), F.col("n_tokens").alias(f"{own}_tokens"))
+    tokens = F.col(f"{own}_tokens")
+    rows = rows.select(*kept, f"{own}_bytes", f"{own}_digest").join(counts, f"{own}_digest", "left")
+    return rows.select(*kept, F.col(f"{own}_bytes").alias("n_bytes"), tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"))
