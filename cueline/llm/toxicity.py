@@ -1,23 +1,29 @@
 """Toxicity classifier with counterfactual regularisation.
 
 A logistic model over word and word-prefix features. Every labelled text that names a
-group is copied with the name swapped for each other name of its kind; the loss adds the
-squared change of the score under the swap. So a name that only happens to occur in toxic
-examples gets no weight of its own, and neutral mentions aren't flagged.
+group is compared with itself with the name swapped for each other name of its kind; the
+loss adds the squared change of the score under the swap. So a name that only happens to
+occur in toxic examples gets no weight of its own, and neutral mentions aren't flagged.
+
+Names are a table by language and kind. Where a language or a made-up vocabulary has no
+names that the table knows, the training rows offer stand-ins: words that both classes use
+about alike, in kinds of neighbouring frequency, which a label can't depend on either.
 
 Features are chosen in Spark by their association with the label among a bounded sample
-of labelled rows; the sample's bound doesn't grow with the data. Scoring reads every
-whole text.
+of labelled rows; the sample's bound doesn't grow with the data. Swaps are counted in
+Spark by what they change, of which there are as many as pairs of names, not of rows.
+Scoring reads every whole text.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,17 +39,27 @@ PENALTY = 5.0
 L2 = 1e-3
 ROUNDS = 400
 CACHE_WORDS = 300_000
-#: Names of groups by kind; a name is swapped within its kind.
-IDENTITY_TERMS = (
-    ("women", "men", "girls", "boys"),
-    ("woman", "man", "girl", "boy"),
-    ("gay", "straight", "lesbian", "bisexual", "transgender"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("black", "white", "asian", "latino", "african", "european"),
-    ("immigrant", "native", "refugee", "citizen"),
-    ("deaf", "blind", "disabled", "old", "young"),
-)
+#: Names of groups by language and kind; a name is swapped within its kind.
+IDENTITY_TERMS = {
+    "en": (
+        ("women", "men", "girls", "boys"),
+        ("woman", "man", "girl", "boy"),
+        ("gay", "straight", "lesbian", "bisexual", "transgender"),
+        ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
+        ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
+        ("black", "white", "asian", "latino", "african", "european"),
+        ("immigrant", "native", "refugee", "citizen"),
+        ("deaf", "blind", "disabled", "old", "young"),
+    ),
+    "de": (("frauen", "männer", "mädchen", "jungen"), ("muslime", "christen", "juden", "hindus"), ("schwule", "lesben", "heterosexuelle"), ("ausländer", "einheimische", "flüchtlinge")),
+    "fr": (("femmes", "hommes", "filles", "garçons"), ("musulmans", "chrétiens", "juifs", "hindous"), ("gays", "lesbiennes", "hétérosexuels"), ("immigrés", "réfugiés", "citoyens")),
+    "es": (("mujeres", "hombres", "niñas", "niños"), ("musulmanes", "cristianos", "judíos", "hindúes"), ("gais", "lesbianas", "heterosexuales"), ("inmigrantes", "refugiados", "ciudadanos")),
+}
+#: Stand-ins: so many words at most, in kinds of KIND; each in a SUPPORT of the rows of either class, with shares within ALIKE.
+STAND_INS = 160
+KIND = 4
+SUPPORT = 0.02
+ALIKE = 2.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -53,20 +69,32 @@ def features_of(text: str | None, prefix: int = PREFIX) -> set[str]:
     return words | {w[:prefix] + "*" for w in words if len(w) > prefix}
 
 
-def swaps(words: set[str], terms=IDENTITY_TERMS, prefix: int = PREFIX) -> list[set[str]]:
-    """Counterfactual feature sets: each group name in turn swapped for each other of its kind."""
-    out = []
-    both = lambda t: {t, t[:prefix] + "*"} if len(t) > prefix else {t}
-    for kind in terms:
+def kinds_of(terms=None) -> tuple[tuple[str, ...], ...]:
+    """Kinds of names of all languages."""
+    return tuple(kind for kinds in (IDENTITY_TERMS if terms is None else terms).values() for kind in kinds)
+
+
+def swaps(words: set[str], kinds, prefix: int = PREFIX) -> Iterator[tuple[tuple[str, ...], tuple[str, ...]]]:
+    """What a text's features lose and gain when each name in turn is swapped for each other of its kind.
+
+    A feature that other words of the text have too isn't lost, and one that's there isn't gained.
+    """
+    both = lambda t: (t, t[:prefix] + "*") if len(t) > prefix else (t,)
+    shared = Counter(w[:prefix] for w in words if len(w) > prefix and not w.endswith("*"))
+    for kind in kinds:
         for old in kind:
             if old in words:
-                out += [(words - both(old)) | both(new) for new in kind if new != old]
-    return out
+                lost = tuple(f for f in both(old) if f == old or shared[old[:prefix]] == 1)
+                for new in kind:
+                    if new != old:
+                        fresh = both(new)
+                        yield tuple(f for f in lost if f not in fresh), tuple(f for f in fresh if f not in words)
 
 
 class Model:
     def __init__(self, weights: dict[str, float], bias: float, prefix: int = PREFIX) -> None:
         self.weights, self.bias, self.prefix = weights, bias, prefix
+        self.pairs = 0
         self.cache: dict[str, tuple[float, str]] = {}
 
     def score(self, text: str | None) -> float:
@@ -87,69 +115,121 @@ class Model:
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int) -> DataFrame:
-    """At most ``per_class`` labelled texts of each class, the same ones in every run: (y, words)."""
-    marked = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)")
-    order = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k")
-    chosen = marked.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class).select("k", "y")
+    """At most ``per_class`` labelled ids of each class, the same ones in every run, with their texts: (y, words).
+
+    Of several texts of an id the one with the least list of words is taken.
+    """
+    k = F.col("k")
+    marked = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)").distinct()
+    counts = {r.y: r.n for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    chosen = None
+    for y in (0, 1):
+        own = marked.where(F.col("y") == y)
+        # twice the rows wanted are let through by their hash, then the least hashes are taken: a bounded top list
+        share = (2 * per_class + 1000) / max(1, counts.get(y, 0))
+        if share < 1:
+            own = own.where(F.pmod(F.xxhash64(k, F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))
+        own = own.orderBy(F.pmod(F.xxhash64(k, F.lit(1)), F.lit(1 << 30)), k).limit(per_class)
+        chosen = own if chosen is None else chosen.unionByName(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [sorted(features_of(t)) for _, part in chunks(batch.column(1)) for t in part]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["y", "words"])
+            words = [sorted(features_of(t)) for _, part in chunks(batch.column(2)) for t in part]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], names=["k", "y", "words"])
 
     # at most 2 x per_class ids: a bounded broadcast
-    texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).join(F.broadcast(chosen), "k").select("y", "t")
-    return texts.mapInArrow(run, "y int, words array<string>")
+    texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).join(F.broadcast(chosen), "k").select(F.xxhash64("k").alias("k"), "y", "t")
+    return texts.mapInArrow(run, "k bigint, y int, words array<string>").groupBy("k", "y").agg(F.min("words").alias("words")).drop("k")
+
+
+def feature_counts(sample: DataFrame) -> DataFrame:
+    """(f, a, b): rows of the sample with a feature, and toxic ones of them; features of one row don't count."""
+    return sample.select("y", F.explode("words").alias("f")).groupBy("f").agg(F.count("*").cast("double").alias("a"), F.sum("y").cast("double").alias("b")).where("a >= 2")
 
 
-def choose_features(sample: DataFrame, n: int, terms=IDENTITY_TERMS) -> list[str]:
-    """The features with a chi-square of ``ASSOCIATED`` against the label, the highest ``n`` of them, in two rows at least, and all group names.
+def choose_features(counts: DataFrame, docs: int, toxic: int, n: int = FEATURES) -> list[str]:
+    """The features with a chi-square of ``ASSOCIATED`` against the label, the highest ``n`` of them, in two rows at least.
 
-    The rule is the same for every size of sample.
+    The rule is the same for every size of sample. ``counts``: see :func:`feature_counts`.
     """
-    totals = sample.agg(F.count("*").alias("n"), F.sum("y").alias("t")).first()
-    if not totals["n"]:
+    if not docs:
         return []
-    docs, toxic = float(totals["n"]), float(totals["t"])
-    counts = sample.select("y", F.explode("words").alias("f")).groupBy("f").agg(F.count("*").cast("double").alias("a"), F.sum("y").cast("double").alias("b"))
     expected = F.col("a") * toxic / docs
     spread = expected * (1 - toxic / docs) * (1 - F.col("a") / docs) + 1e-9
-    top = counts.where("a >= 2").withColumn("chi", F.pow(F.col("b") - expected, F.lit(2)) / spread).where(F.col("chi") >= ASSOCIATED).orderBy(F.desc("chi"), "f").limit(n)
-    named = {t for kind in terms for t in kind}
-    return sorted({r.f for r in top.select("f").collect()} | named)
+    top = counts.withColumn("chi", F.pow(F.col("b") - expected, F.lit(2)) / spread).where(F.col("chi") >= ASSOCIATED).orderBy(F.desc("chi"), "f").limit(n)
+    return sorted(r.f for r in top.select("f").collect())
+
+
+def stand_ins(counts: DataFrame, docs: int, toxic: int, n: int = STAND_INS, kind: int = KIND) -> tuple[tuple[str, ...], ...]:
+    """Kinds of words that no label depends on, found in the sample.
+
+    A word counts if a share of SUPPORT of the rows of either class has it and the two shares
+    differ by a factor of ALIKE at most. The ``n`` most frequent ones are put in order of
+    frequency (ties by the word), and each ``kind`` of them in turn make a kind.
+    """
+    if not 0 < toxic < docs:
+        return ()
+    bad, good = F.col("b") / toxic, (F.col("a") - F.col("b")) / (docs - toxic)
+    alike = (F.least(bad, good) >= SUPPORT) & (F.greatest(bad, good) <= ALIKE * F.least(bad, good))
+    top = counts.where(~F.col("f").endswith("*")).where(alike).orderBy(F.desc("a"), "f").limit(n)
+    found = [r.f for r in top.collect()]
+    return tuple(tuple(found[i : i + kind]) for i in range(0, len(found) // kind * kind, kind))
+
+
+def swap_counts(sample: DataFrame, kinds, prefix: int = PREFIX) -> list[tuple[tuple[str, ...], tuple[str, ...], int]]:
+    """(lost, gained, n): what the swaps of the sample change, and how many do. It grows with pairs of names, not with rows."""
+    kinds = tuple(map(tuple, kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for words in batch.column(0).to_pylist():
+                found.update(swaps(set(words), kinds, prefix))
+        strings = pa.list_(pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([list(a) for a, _ in found], strings), pa.array([list(b) for _, b in found], strings), pa.array(list(found.values()), pa.int64())], names=["lost", "gained", "n"])
 
+    rows = sample.select("words").mapInArrow(run, "lost array<string>, gained array<string>, n bigint")
+    summed = rows.groupBy("lost", "gained").agg(F.sum("n").alias("n")).collect()
+    return sorted((tuple(r.lost), tuple(r.gained), r.n) for r in summed)
 
-def fit(rows: list[tuple[int, list[str]]], features: list[str], terms=IDENTITY_TERMS, penalty: float = PENALTY, rounds: int = ROUNDS) -> Model:
-    """Full-batch Adam on the log loss, the swap penalty and an L2 term."""
+
+def fit(rows: list[tuple[int, list[str]]], features: list[str], pairs=(), penalty: float = PENALTY, rounds: int = ROUNDS) -> Model:
+    """Full-batch Adam on the log loss, the swap penalty and an L2 term. ``pairs``: see :func:`swap_counts`.
+
+    Empty texts, one for every hundred rows, are added as rows that aren't toxic.
+    """
     if not rows or not features:
         return Model({}, -5.0)
+    # a text without words isn't toxic: one row in a hundred says so
+    rows = [*rows, *[(0, [])] * -(-len(rows) // 100)]
     place = {f: i for i, f in enumerate(features)}
-
-    def matrix(sets) -> np.ndarray:
-        x = np.zeros((len(sets), len(features)), np.float32)
-        for i, s in enumerate(sets):
-            x[i, [place[f] for f in s if f in place]] = 1
-        return x
-
     y = np.array([r[0] for r in rows], np.float32)
-    x = matrix([r[1] for r in rows])
-    pairs = [(set(r[1]), c) for r in rows for c in swaps(set(r[1]), terms)]
-    change = matrix([a for a, _ in pairs]) - matrix([b for _, b in pairs]) if pairs else None
+    x = np.zeros((len(rows), len(features)), np.float32)
+    for i, (_, words) in enumerate(rows):
+        x[i, [place[f] for f in words if f in place]] = 1
+    change = np.zeros((len(pairs), len(features)), np.float32)
+    for i, (lost, gained, _) in enumerate(pairs):
+        change[i, [place[f] for f in lost if f in place]] += 1
+        change[i, [place[f] for f in gained if f in place]] -= 1
+    often = np.array([n for *_, n in pairs], np.float64)
+    # the mean squared change is a quadratic form of the weights
+    curve = (change.T @ (change * (often / often.sum())[:, None])).astype(np.float32) if len(pairs) else None
     w, b = np.zeros(len(features), np.float32), np.float32(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     m, v = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
     for step in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
         d = (p - y) / len(y)
         g = x.T @ d + L2 * w
-        if change is not None:
-            g += penalty * 2 * (change.T @ (change @ w)) / len(change)
+        if curve is not None:
+            g += penalty * 2 * (curve @ w)
         grad = np.append(g, d.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     b -= _cut(x @ w + b, y)
-    # a text without any feature is not toxic
-    return Model({f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-4}, float(min(b, -0.5)))
+    model = Model({f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-4}, float(b))
+    model.pairs = int(often.sum())
+    return model
 
 
 def _cut(logits: np.ndarray, y: np.ndarray) -> float:
@@ -165,25 +245,33 @@ def _cut(logits: np.ndarray, y: np.ndarray) -> float:
     return float((z[i] + z[i + 1]) / 2) if gaps[i] > 0 else 0.0
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = SAMPLE_PER_CLASS, features: int = FEATURES, penalty: float = PENALTY, terms=IDENTITY_TERMS) -> Model:
-    """Fit on at most ``per_class`` labelled rows of each class.
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = SAMPLE_PER_CLASS, features: int = FEATURES, penalty: float = PENALTY, terms=None, rounds: int = ROUNDS) -> Model:
+    """Fit on at most ``per_class`` labelled ids of each class.
 
-    Null keys and labels other than 0 and 1 are left out; without labelled rows every text
-    gets the same low score.
+    ``terms``: names by language and kind, IDENTITY_TERMS if None; stand-ins of the rows are
+    added to them. Null keys and labels other than 0 and 1 are left out; without labelled rows
+    every text gets the same low score. ``pairs`` of the model is the number of swaps.
     """
     sample = materialise(sample_labelled(docs, labels, key, text, label, per_class), "labelled-sample")
-    chosen = choose_features(sample, features, terms)
-    wanted = sample.select("y", F.array_intersect("words", F.array(*map(F.lit, chosen))).alias("w")) if chosen else None
-    rows = [(r.y, r.w) for r in wanted.toLocalIterator()] if chosen else []
-    rows.sort()
-    return fit(rows, chosen, terms, penalty)
+    totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("t")).first()
+    counts = materialise(feature_counts(sample), "feature-counts")
+    named = kinds_of(terms)
+    kinds = (*named, *stand_ins(counts.where(~F.col("f").isin([t for kind in named for t in kind])), totals.n, totals.t))
+    chosen = set(choose_features(counts, totals.n, totals.t, features))
+    if not chosen:
+        return Model({}, -5.0)
+    chosen = sorted(chosen | {t for kind in kinds for t in kind})
+    pairs = swap_counts(sample, kinds)
+    wanted = sample.select("y", F.array_intersect("words", F.array(*map(F.lit, chosen))).alias("w"))
+    rows = sorted((r.y, r.w) for r in wanted.toLocalIterator())
+    return fit(rows, chosen, pairs, penalty, rounds)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Append score (0 to 1) and predicted (1 if score >= 0.5) to every row of ``docs``.
 
-    Null and empty texts get the score of a text without features, under 0.5. Input
-    columns named like the added ones are replaced.
+    Null and empty texts get the score of a text without features: that of the model's bias.
+    Input columns named like the added ones are replaced; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.prefix))
 
