@@ -1,33 +1,40 @@
 """Approximate nearest neighbours: one hierarchical small-world graph for each shard.
 
-Vectors are dealt to shards of a bounded size. A shard's graph is built in its task and
-kept as flat arrays: vectors, ids, the neighbours of each node on the bottom layer, and
-the nodes and neighbours of each layer above. Queries are packed into blocks, every block
-meets every shard's graph, and the shards' results are merged. Distances are Euclidean
-and computed in double precision for what is returned.
+Vectors are dealt to shards of a bounded size, by their length and their content. A
+shard's graph is built in its task and kept as flat arrays: vectors, ids, the neighbours
+of each node on the bottom layer, and the nodes and neighbours of each layer above. The
+queries of a shard stream past its graph in blocks, and the shards' results are merged.
+
+Distances are Euclidean and come from differences of components in double precision, so
+an offset that all vectors share costs no accuracy.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cueline.llm.common import materialise
+
 SHARD_ROWS = 6000
 QUERY_BLOCK = 512
 NEIGHBOURS = 16
 BUILD_WIDTH = 48
 SEARCH_WIDTH = 160
 BATCH = 256
+#: Components whose squares are neither too large nor too small for doubles; others are compared one by one.
+SAFE = (1e-140, 1e140)
 
 
 class Graph:
     """Hierarchical navigable small world over the rows of a float array."""
 
     def __init__(self, vectors: np.ndarray, neighbours: int = NEIGHBOURS) -> None:
-        self.x = np.ascontiguousarray(vectors, np.float32)
-        self.sq = (self.x.astype(np.float64) ** 2).sum(axis=1).astype(np.float32)
+        self.x = np.ascontiguousarray(vectors, np.float64)
         self.m = neighbours
         n = len(self.x)
         rng = np.random.default_rng(7)
@@ -40,7 +47,9 @@ class Graph:
 
     def _far(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Squared distances of each query row to its row of ids."""
-        return (q * q).sum(axis=1)[:, None] + self.sq[ids] - 2 * np.einsum("qd,qkd->qk", q, self.x[ids])
+        d = self.x[ids]
+        d -= q[:, None, :]
+        return np.einsum("qkd,qkd->qk", d, d)
 
     def search_layer(self, q: np.ndarray, entry: np.ndarray, width: int, layer: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search of all query rows in step: their ``width`` nearest found (ids, squared distances)."""
@@ -49,7 +58,7 @@ class Graph:
         start = entry.reshape(len(q), -1)
         seen[rows[:, None], start] = True
         ids = np.full((len(q), width), -1, np.int32)
-        far = np.full((len(q), width), np.inf, np.float32)
+        far = np.full((len(q), width), np.inf)
         ids[:, : start.shape[1]] = start
         far[:, : start.shape[1]] = self._far(q, start)
         done = ids < 0
@@ -65,7 +74,12 @@ class Graph:
             safe = np.maximum(near, 0)
             new = (near >= 0) & ~seen[active[:, None], safe]
             seen[active[:, None], safe] |= near >= 0
-            d = np.where(new, self._far(q[active], safe), np.inf).astype(np.float32)
+            # most neighbours were seen before: only new ones are measured
+            r, c = np.nonzero(new)
+            d = np.full(new.shape, np.inf)
+            step = self.x[safe[r, c]]
+            step -= q[active[r]]
+            d[r, c] = np.einsum("nd,nd->n", step, step)
             all_ids = np.concatenate([ids[active], safe], axis=1)
             all_far = np.concatenate([far[active], d], axis=1)
             all_done = np.concatenate([done[active], ~new], axis=1)
@@ -87,9 +101,15 @@ class Graph:
         real = cand >= 0
         far = np.where(real, self._far(self.x[nodes], np.maximum(cand, 0)), np.inf)
         order = np.argsort(far, axis=1, kind="stable")
-        cand, far = np.take_along_axis(cand, order, 1), np.take_along_axis(far, order, 1)
-        safe = np.maximum(cand, 0)
-        x, sq = self.x[safe], self.sq[safe]
+        cand, far, real = (np.take_along_axis(a, order, 1) for a in (cand, far, real))
+        # seen from the node and in units of its farthest candidate, single precision is enough
+        x = self.x[np.maximum(cand, 0)] - self.x[nodes][:, None, :]
+        x[~real] = 0
+        unit = np.where(real, far, 0).max(axis=1, initial=0, keepdims=True)
+        unit = np.sqrt(np.where(unit > 0, unit, 1))
+        x = (x / unit[:, :, None]).astype(np.float32)
+        far = np.where(real, far, 0) / unit**2
+        sq = np.einsum("ncd,ncd->nc", x, x)
         between = sq[:, :, None] + sq[:, None, :] - 2 * (x @ x.transpose(0, 2, 1))
         wide = cand.shape[1]
         nearest = np.full(cand.shape, np.inf, np.float32)  # to any kept one
@@ -134,7 +154,8 @@ class Graph:
         while at < n:
             new = np.arange(at, min(n, at + min(BATCH, at)))
             q = self.x[new]
-            own = self.sq[new][:, None] + self.sq[new][None, :] - 2 * q @ q.T
+            local = q - q.mean(axis=0)
+            own = (local**2).sum(axis=1)[:, None] + (local**2).sum(axis=1)[None, :] - 2 * local @ local.T
             entry = np.full(len(new), self.entry, np.int32)
             for layer in range(len(self.links) - 1, -1, -1):
                 here = self.level[new] >= layer
@@ -154,7 +175,7 @@ class Graph:
         """The k nearest rows found for each query row; -1 where there are fewer."""
         if not len(self.x):
             return np.full((len(q), k), -1, np.int32)
-        q = np.ascontiguousarray(q, np.float32)
+        q = np.ascontiguousarray(q, np.float64)
         entry = np.full(len(q), self.entry, np.int32)
         for layer in range(len(self.links) - 1, 0, -1):
             entry = self.search_layer(q, entry, 1, layer)[0][:, 0]
@@ -166,52 +187,123 @@ class Graph:
     @classmethod
     def load(cls, row, dims: int) -> Graph:
         g = cls.__new__(cls)
-        g.x = np.frombuffer(row["vectors"], np.float32).reshape(row["n"], dims)
-        g.sq = (g.x.astype(np.float64) ** 2).sum(axis=1).astype(np.float32)
-        g.m, g.entry = row["m"], row["entry"]
+        n, g.m, g.entry = int(row["n"]), int(row["m"]), int(row["entry"])
+        g.x = np.frombuffer(row["vectors"], np.float64).reshape(n, dims)
         flat, g.links, at = np.frombuffer(row["links"], np.int32), [], 0
-        for layer in range(row["layers"]):
+        for layer in range(int(row["layers"])):
             wide = g.m * (2 if layer == 0 else 1)
-            g.links.append(flat[at : at + row["n"] * wide].reshape(row["n"], wide))
-            at += row["n"] * wide
+            g.links.append(flat[at : at + n * wide].reshape(n, wide))
+            at += n * wide
         return g
 
 
-_GRAPHS = "shard int, n int, m int, entry int, layers int, dims int, ids binary, vectors binary, links binary"
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows in double precision, also where squares would leave its range."""
+    d = a - b
+    with np.errstate(over="ignore", under="ignore"):
+        far = np.sqrt((d**2).sum(axis=1))
+        odd = ~np.isfinite(far) | ((far < SAFE[0]) & (d != 0).any(axis=1))
+        if odd.any():
+            unit = np.abs(d[odd]).max(axis=1, keepdims=True)
+            far[odd] = unit[:, 0] * np.sqrt(((d[odd] / unit) ** 2).sum(axis=1))
+    return far
+
+
+def _in_range(x: np.ndarray) -> bool:
+    size = np.abs(x[x != 0])
+    return not size.size or (size.max() < SAFE[1] and size.max() > SAFE[0])
+
+
+def nearest(graph: Graph, q: np.ndarray, k: int) -> np.ndarray:
+    """Rows of the graph near to each query (-1: none).
+
+    Where squared distances don't fit into doubles, in vectors or queries, all rows are compared.
+    """
+    if _in_range(graph.x) and _in_range(q):
+        return graph.search(q, k)
+    n = len(graph.x)
+    out = np.full((len(q), k), -1, np.int64)
+    for i, row in enumerate(q):
+        order = np.lexsort((np.arange(n), distances(graph.x, row[None, :])))[:k]
+        out[i, : len(order)] = order
+    return out
+
+
+_GRAPH = "n int, m int, entry int, layers int, ids binary, vectors binary, links binary"
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """(vec_id, v) of the rows that take part: not null, not zero, all components finite."""
+    """(vec_id, v, dims) of the rows that take part: not null, not zero, all components finite."""
     v = F.col("v")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(f"`{key}`").cast("bigint").alias("vec_id"), F.col(f"`{column}`").cast("array<double>").alias("v"))
-    return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(fine)
+    return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(fine).withColumn("dims", F.size("v"))
 
 
-def build_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
-    """One graph row for each shard and the number of shards. ``rows``: see :func:`usable`.
+def deal(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The nodes (v, dims, ids, shard), dealt to shards of about ``shard_rows`` vectors of one length, and (dims, shard).
 
     Of equal vectors, those after the k + 1 smallest ids can't be in any result (ties go to
     the smaller id, and a query leaves out only itself); they aren't put into a graph.
     """
     equal = Window.partitionBy("v").orderBy("vec_id")
     led = rows.withColumn("copy", F.row_number().over(equal)).where(F.col("copy") <= k + 1)
-    nodes = led.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    shards = max(1, -(-rows.count() // shard_rows))
-    nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
+    nodes = materialise(led.groupBy("v", "dims").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
+    # lengths are numbered one after the other: the first shard of each
+    sizes = nodes.groupBy("dims").agg(F.ceil(F.count("*") / F.lit(shard_rows)).cast("int").alias("shards"))
+    first = F.sum("shards").over(Window.orderBy("dims").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = materialise(sizes.select("dims", "shards", F.coalesce(first, F.lit(0)).cast("int").alias("first")), "vector-lengths")
+    dealt = nodes.join(sizes, "dims").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("v"), F.col("shards"))).cast("int"))
+    return dealt.select("v", "dims", "ids", "shard"), sizes.select("dims", F.explode(F.sequence("first", F.col("first") + F.col("shards") - 1)).alias("shard"))
+
+
+def build_index(nodes: DataFrame, shards: int, k: int) -> DataFrame:
+    """One graph row for each shard. ``nodes``: see :func:`deal`."""
 
     def graph(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(first=[i[0] for i in pdf.ids]).sort_values("first")
         x = np.array(pdf.v.tolist(), np.float64)
-        flat = Graph(x).build().flat()
+        built = Graph(x)
+        # outside that range rows are compared one by one: no graph is searched
+        flat = (built.build() if _in_range(x) else built).flat()
         ids = np.full((len(pdf), k + 1), -1, np.int64)
         for i, own in enumerate(pdf.ids):
             ids[i, : len(own)] = own
-        flat["vectors"] = x.tobytes()
-        return pd.DataFrame([{"shard": pdf["shard"].iloc[0], "dims": x.shape[1], "ids": ids.tobytes(), **flat}])[["shard", "n", "m", "entry", "layers", "dims", "ids", "vectors", "links"]]
+        return pd.DataFrame([{"shard": pdf["shard"].iloc[0], "dims": x.shape[1], "ids": ids.tobytes(), **flat}])[["shard", "dims", "n", "m", "entry", "layers", "ids", "vectors", "links"]]
 
-    # as many tasks as shards: a graph takes long for its size
-    return nodes.repartition(shards, "shard").groupBy("shard").applyInPandas(graph, _GRAPHS), shards
+    # ranges of shard numbers: as many tasks as shards, without collisions of a hash
+    return nodes.repartitionByRange(shards, "shard").groupBy("shard").applyInPandas(graph, f"shard int, dims int, {_GRAPH}")
+
+
+def _stream(k: int, block: int):
+    """Search of rows in order of shard, in each the graph before the queries."""
+    names = ["query_id", "vec_id", "score"]
+
+    def block_of(row: dict, graph: Graph, ids: np.ndarray, asked: pd.DataFrame) -> pd.DataFrame:
+        q = np.array(asked.v.tolist(), np.float64)
+        found = nearest(graph, q, k + 1)
+        r, c = np.nonzero(found >= 0)
+        node = found[r, c]
+        far = distances(q[r], graph.x[node])
+        out = pd.DataFrame({"query_id": np.repeat(asked.vec_id.to_numpy(np.int64)[r], k + 1), "vec_id": ids[node].ravel(), "score": np.repeat(far, k + 1)})
+        out = out[(out.vec_id >= 0) & (out.vec_id != out.query_id)].sort_values(["query_id", "score", "vec_id"])
+        return out.groupby("query_id").head(k)[names]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        row, graph, ids = None, None, None
+        for batch in batches:
+            for shard, part in batch.groupby("shard", sort=False):
+                own = part[part.n.notna()]
+                if len(own):
+                    row = own.iloc[0].to_dict()
+                    graph, ids = Graph.load(row, int(row["dims"])), np.frombuffer(row["ids"], np.int64).reshape(int(row["n"]), k + 1)
+                asked = part[part.n.isna()]
+                if row is None or row["shard"] != shard:
+                    continue
+                for i in range(0, len(asked), block):
+                    yield block_of(row, graph, ids, asked.iloc[i : i + block])
+
+    return run
 
 
 def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", column: str = "embedding", k: int = 10, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -219,39 +311,22 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", column:
 
     ``queries`` has the same columns. A query's own id isn't among its results; ties go to
     the smaller id; score is the Euclidean distance on the original components, in double
-    precision. Null, zero and non-finite vectors take no part on either side, nor do
-    queries of another length than the vectors (all vectors need one length). Equal ids
-    are kept as they come. An empty side gives an empty result.
+    precision. Null, zero and non-finite vectors take no part on either side. Vectors of
+    several lengths are told apart: a query is compared with those of its own length. Of
+    rows with equal ids each is a vector of its own; a query id asked twice is answered
+    from both its rows. An empty side gives an empty result. Every other column is ignored.
     """
-    rows = usable(vectors, key, column)
-    graphs, shards = build_index(rows, k, shard_rows)
-    asked = usable(queries, key, column)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    # every query block meets every shard: a stated query set against all rows, in blocks
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pieces = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(left) or not len(right):
-            return none
-        row = left.iloc[0].to_dict()
-        n, dims = row["n"], row["dims"]
-        exact = np.frombuffer(row["vectors"], np.float64).reshape(n, dims)
-        ids = np.frombuffer(row["ids"], np.int64).reshape(n, k + 1)
-        right = right[right.v.map(len) == dims]
-        if not len(right):
-            return none
-        q = np.array(right.v.tolist(), np.float64)
-        found = Graph.load({**row, "vectors": exact.astype(np.float32).tobytes()}, dims).search(q, k + 1)
-        r, c = np.nonzero(found >= 0)
-        node = found[r, c]
-        far = np.sqrt(((q[r] - exact[node]) ** 2).sum(axis=1))
-        out = pd.DataFrame({"query_id": np.repeat(right.vec_id.to_numpy()[r], k + 1), "vec_id": ids[node].ravel(), "score": np.repeat(far, k + 1)})
-        out = out[(out.vec_id >= 0) & (out.vec_id != out.query_id)].sort_values(["query_id", "score", "vec_id"])
-        return out.groupby("query_id").head(k)
-
-    found = pieces.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(find, "query_id bigint, vec_id bigint, score double")
+    nodes, shards = deal(usable(vectors, key, column), k, shard_rows)
+    # one row a shard, to be joined by length
+    shards = materialise(shards, "shards")
+    graphs = build_index(nodes, max(1, shards.count()), k)
+    # every query meets every shard of its length: a stated query set against all rows, in blocks
+    asked = usable(queries, key, column).join(shards, "dims")
+    empty = {c.split(" ")[0]: F.lit(None).cast(c.split(" ")[1]).alias(c.split(" ")[0]) for c in _GRAPH.split(", ")}
+    asked = asked.select("shard", "dims", *empty.values(), "vec_id", "v")
+    both = graphs.withColumns({"vec_id": F.lit(None).cast("bigint"), "v": F.lit(None).cast("array<double>")}).unionByName(asked)
+    # one copy of each graph comes before all its queries; n is null in queries, which sort last
+    both = both.repartition("shard").sortWithinPartitions("shard", F.col("n").asc_nulls_last())
+    found = both.mapInPandas(_stream(k, QUERY_BLOCK), "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
