@@ -1,15 +1,18 @@
 r"""Chat formatting by schema fingerprints, in DataFrame functions only.
 
 Records come in many layouts: lists of messages, prompt and response, instruction with
-input and output, one row for each turn. The nested field paths of a record are hashed
-to a fingerprint; the fingerprint selects a declarative mapping to canonical turns
-(conversation, position, role, text). Turns are then written in one template::
+input and output, one row for each turn. Those nested field paths of a record that any
+layout declares are hashed to a fingerprint; the fingerprint selects a declarative mapping
+to canonical turns (conversation, position, role, text). Other fields don't matter, and
+records that no layout fits are given back as they are. Turns are then written in one
+template::
 
     <|im_start|>role\ntext<|im_end|>\n
 
 Control strings of this and other usual templates inside a text get a backslash after
 their first character and every backslash of the text is doubled, so texts can't close
-a turn and the formatted text can be read back exactly.
+a turn and the formatted text can be read back exactly. The loss mask comes with the
+formatted text, as runs of code points that are left out and trained on.
 """
 
 from __future__ import annotations
@@ -17,8 +20,9 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass
+from itertools import chain, combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,31 +37,37 @@ class Layout:
     """Field paths that identify a layout, and where its turns are.
 
     ``turns``: (role or path of the role, path of the text) pairs; with ``each`` they are
-    read from every element of that array, else from the record itself.
+    read from every element of that array, else from the record itself. A record may have
+    or lack the ``optional`` paths; a turn whose text path it lacks is left out.
     """
 
     name: str
     paths: tuple[str, ...]
     turns: tuple[tuple[str, str], ...]
     each: str | None = None
+    optional: tuple[str, ...] = ()
+
+    def fingerprints(self) -> list[str]:
+        """One for each choice of the optional paths."""
+        some = chain.from_iterable(combinations(self.optional, n) for n in range(len(self.optional) + 1))
+        return [fingerprint_paths((*self.paths, *more)) for more in some]
 
 
 LAYOUTS = (
     Layout("turn_rows", ("role", "text"), (("$.role", "$.text"),)),
     Layout("messages", ("messages[].content", "messages[].role"), (("$.role", "$.content"),), each="messages"),
     Layout("conversations", ("conversations[].from", "conversations[].value"), (("$.from", "$.value"),), each="conversations"),
-    Layout("prompt_response", ("prompt", "response"), (("user", "$.prompt"), ("assistant", "$.response"))),
+    Layout("prompt_response", ("prompt", "response"), (("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response")), optional=("system",)),
     Layout("prompt_completion", ("completion", "prompt"), (("user", "$.prompt"), ("assistant", "$.completion"))),
     Layout("question_answer", ("answer", "question"), (("user", "$.question"), ("assistant", "$.answer"))),
     Layout("instruction", ("instruction", "output"), (("user", "$.instruction"), ("assistant", "$.output"))),
     Layout("instruction_input", ("input", "instruction", "output"), (("system", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
-    Layout("system_prompt_response", ("prompt", "response", "system"), (("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response"))),
 )
 #: Other names of the roles in from fields.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def fingerprint_paths(paths: list[str] | tuple[str, ...]) -> str:
+def fingerprint_paths(paths) -> str:
     return hashlib.md5("\n".join(sorted(paths)).encode()).hexdigest()
 
 
@@ -70,35 +80,23 @@ def schema_paths(kind: T.DataType, prefix: str = "") -> list[str]:
     return [prefix]
 
 
-def _json_shape(paths: tuple[str, ...]) -> str:
-    """The shape that a JSON record with these paths has in :func:`json_fingerprint`."""
-    tree: dict = {}
-    for p in sorted(paths):
-        node = tree
-        for part in p.split("."):
-            node = node.setdefault(part, {})
-
-    def show(node: dict) -> str:
-        if not node:
-            return "*"
-        inside = ", ".join(f"{k.removesuffix('[]')}: " + (f"ARRAY<{show(v)}>" if k.endswith("[]") else show(v)) for k, v in sorted(node.items()))
-        return f"OBJECT<{inside}>"
-
-    return show(tree)
-
+def declared_paths(layouts: tuple[Layout, ...]) -> list[str]:
+    return sorted({p for x in layouts for p in (*x.paths, *x.optional)})
 
-def json_fingerprint(record: Column) -> Column:
-    """Fingerprint of a JSON record: MD5 of its nested field paths, whatever their types.
 
-    Null and text that isn't JSON give null.
-    """
-    described = F.schema_of_variant(F.try_parse_json(record))
-    scalar = r": (?:STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|VARIANT|DATE|BINARY|TIMESTAMP(?:_NTZ)?|DECIMAL\(\d+,\s*\d+\))"
-    return F.md5(F.regexp_replace(described, scalar, ": *").cast("binary"))
+def _has(value: Column, path: str) -> Column:
+    """Whether a variant has a path, be it with a null; of an array, whether any element has it."""
+    head, each, rest = path.partition("[].")
+    if not each:
+        return F.try_variant_get(value, f"$.{path}", "variant").isNotNull()
+    items = F.try_variant_get(value, f"$.{head}", "array<variant>")
+    return F.coalesce(F.exists(items, lambda v: _has(v, rest)), F.lit(False))
 
 
-def _shape_fingerprint(layout: Layout) -> str:
-    return hashlib.md5(_json_shape(layout.paths).encode()).hexdigest()
+def json_fingerprint(value: Column, layouts: tuple[Layout, ...]) -> Column:
+    """Fingerprint of a variant: MD5 of those of the declared paths that it has, sorted."""
+    found = F.array_compact(F.array(*[F.when(_has(value, p), F.lit(p)) for p in declared_paths(layouts)]))
+    return F.md5(F.array_join(found, "\n").cast("binary"))
 
 
 def _role(name: Column, path: str) -> Column:
@@ -113,40 +111,57 @@ def _role(name: Column, path: str) -> Column:
 def _turns(value: Column, layout: Layout) -> Column:
     """Array of (role, text) that a layout's mapping takes from a variant."""
 
+    def turn(v: Column, role: str, text: str) -> Column:
+        made = F.struct(
+            (_role(F.try_variant_get(v, role, "string"), role) if role.startswith("$") else F.lit(role)).alias("role"),
+            F.coalesce(F.try_variant_get(v, text, "string"), F.lit("")).alias("text"),
+        )
+        return F.when(_has(v, text[2:]), made) if text[2:] in layout.optional else made
+
     def pick(v: Column) -> list[Column]:
-        return [
-            F.struct(
-                (_role(F.try_variant_get(v, role, "string"), role) if role.startswith("$") else F.lit(role)).alias("role"),
-                F.coalesce(F.try_variant_get(v, text, "string"), F.lit("")).alias("text"),
-            )
-            for role, text in layout.turns
-        ]
+        return [turn(v, role, text) for role, text in layout.turns]
 
     if layout.each is None:
-        return F.array(*pick(value))
+        return F.array_compact(F.array(*pick(value)))
     items = F.coalesce(F.try_variant_get(value, f"$.{layout.each}", "array<variant>"), F.array().cast("array<variant>"))
     return F.flatten(F.transform(items, lambda v: F.array(*pick(v))))
 
 
-def turns_from_json(df: DataFrame, record: str, conv: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Canonical turns (conv_id, turn, role, text, layout) of JSON records, one conversation a record.
-
-    A record of unknown layout, a null and broken JSON give one row with null turn, role,
-    text and layout, so that no record is lost. Null texts are empty.
-    """
-    rows = df.select(F.col(f"`{conv}`").alias("conv_id"), F.col(f"`{record}`").alias("r"))
-    rows = rows.select("conv_id", F.try_parse_json("r").alias("v"), json_fingerprint(F.col("r")).alias("fp"))
+def _read(df: DataFrame, record: str, conv: str, layouts: tuple[Layout, ...]) -> DataFrame:
+    """(conv_id, record, layout, turns), the last two null where no layout fits."""
+    rows = df.select(F.col(f"`{conv}`").alias("conv_id"), F.col(f"`{record}`").alias("record"))
+    rows = rows.select("conv_id", "record", F.try_parse_json("record").alias("v"))
+    rows = rows.select("*", json_fingerprint(F.col("v"), layouts).alias("fp"))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for layout in layouts:
-        hit = F.col("fp") == _shape_fingerprint(layout)
+        hit = F.col("v").isNotNull() & F.col("fp").isin(layout.fingerprints())
         name = F.when(hit, F.lit(layout.name)).otherwise(name)
         turns = F.when(hit, _turns(F.col("v"), layout)).otherwise(turns)
-    rows = rows.select("conv_id", name.alias("layout"), turns.alias("turns"))
-    return rows.select("conv_id", "layout", F.posexplode_outer("turns").alias("turn", "x")).select(
+    return rows.select("conv_id", "record", name.alias("layout"), turns.alias("turns"))
+
+
+def turns_from_json(df: DataFrame, record: str, conv: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """Canonical turns (conv_id, turn, role, text, layout) of JSON records, one conversation a record.
+
+    Records that no layout fits aren't in it; :func:`rejected_records` has them whole. Null
+    texts are empty. Fields that no layout declares are ignored.
+    """
+    rows = _read(df, record, conv, layouts).where("layout IS NOT NULL")
+    return rows.select("conv_id", "layout", F.posexplode("turns").alias("turn", "x")).select(
         "conv_id", F.col("turn").cast("bigint").alias("turn"), F.col("x.role").alias("role"), F.col("x.text").alias("text"), "layout"
     )
 
 
+def rejected_records(df: DataFrame, record: str, conv: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """(conv_id, record, reason) of the records that :func:`turns_from_json` has no turns of, as they came.
+
+    Reasons: null record, broken JSON, no layout with these fields, no turns.
+    """
+    reason = F.when(F.col("record").isNull(), "null record").when(F.try_parse_json("record").isNull(), "broken JSON").when(F.col("layout").isNull(), "no layout with these fields").otherwise("no turns")
+    rows = _read(df, record, conv, layouts).where(F.col("layout").isNull() | (F.size("turns") < 1))
+    return rows.select("conv_id", "record", reason.alias("reason"))
+
+
 def turns_from_rows(df: DataFrame, conv: str = "conv_id", turn: str = "turn", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Canonical turns of a typed table, whose fingerprint is that of its schema.
 
@@ -155,17 +170,21 @@ def turns_from_rows(df: DataFrame, conv: str = "conv_id", turn: str = "turn", la
     """
     rest = T.StructType([f for f in df.schema.fields if f.name not in (conv, turn)])
     paths = set(schema_paths(rest))
-    known = {fingerprint_paths(x.paths): x for x in layouts}
-    fits = sorted((x for x in layouts if set(x.paths) <= paths), key=lambda x: (-len(x.paths), x.name))
-    if not fits:
-        raise ValueError(f"no layout has the fields {sorted(paths)}")
-    layout = known[fingerprint_paths(fits[0].paths)]
+    known = {p: x for x in layouts for p in x.fingerprints()}
+    layout = known.get(fingerprint_paths(paths & set(declared_paths(layouts))))
+    if layout is None:
+        # several layouts' fields: the largest one that they cover
+        fits = sorted((x for x in layouts if set(x.paths) <= paths), key=lambda x: (-len(x.paths), x.name))
+        if not fits:
+            raise ValueError(f"no layout has the fields {sorted(paths)}")
+        layout = fits[0]
+    pairs = [(r, t) for r, t in layout.turns if t[2:] not in layout.optional or t[2:] in paths]
     at = lambda p, of=None: (of[p[2:]] if of is not None else F.col(p[2:]))
-    pick = lambda of: [F.struct((_role(at(r, of), r) if r.startswith("$") else F.lit(r)).alias("role"), F.coalesce(at(t, of).cast("string"), F.lit("")).alias("text")) for r, t in layout.turns]
+    pick = lambda of: [F.struct((_role(at(r, of), r) if r.startswith("$") else F.lit(r)).alias("role"), F.coalesce(at(t, of).cast("string"), F.lit("")).alias("text")) for r, t in pairs]
     order = F.col(f"`{turn}`").cast("bigint") if turn in df.columns else F.lit(0).cast("bigint")
     turns = F.array(*pick(None)) if layout.each is None else F.flatten(F.transform(layout.each, lambda x: F.array(*pick(x))))
     rows = df.select(F.col(f"`{conv}`").alias("conv_id"), order.alias("turn"), F.posexplode(turns).alias("pos", "x"))
-    width = len(layout.turns) if layout.each is None else 1
+    width = len(pairs) if layout.each is None else 1
     place = F.col("turn") * width + F.col("pos")
     return rows.select("conv_id", place.alias("turn"), F.col("x.role").alias("role"), F.col("x.text").alias("text"), F.lit(layout.name).alias("layout"))
 
@@ -179,24 +198,47 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\(\\?)", "$1")
 
 
-def format_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, formatted) from canonical turns, one row for each conversation.
+def format_turns(turns: DataFrame, trained: str = "assistant") -> DataFrame:
+    """(conv_id, n_turns, formatted, loss_runs) from canonical turns, one row for each conversation.
 
     Turns are in the order of turn, then role, then text; repeated turns stay. A role that
-    isn't a plain name is written as ``#`` and its hex digits. A conversation's text has to
-    be in one row, so the longest conversation has to fit into a task's memory.
+    isn't a plain name is written as ``#`` and its hex digits. ``loss_runs`` is the loss mask
+    over the code points of ``formatted``: for each turn how many are left out, trained on,
+    and left out again; the text of turns with role ``trained`` is trained on. A conversation's
+    text has to be in one row, so the longest conversation has to fit into a task's memory.
     """
+    text = escape(F.coalesce("text", F.lit("")))
     role = F.when(F.col("role").rlike(PLAIN_ROLE), F.col("role")).otherwise(F.concat(F.lit("#"), F.hex(F.encode(F.coalesce("role", F.lit("")), "UTF-8"))))
-    block = F.concat(F.lit(START), role, F.lit("\n"), escape(F.coalesce("text", F.lit(""))), F.lit(END))
-    rows = turns.select("conv_id", F.struct("turn", "role", "text", block.alias("block")).alias("x"))
+    rows = turns.select("conv_id", "turn", "role", "text", F.concat(F.lit(START), role, F.lit("\n")).alias("head"), text.alias("body"))
+    on = F.coalesce(F.col("role") == trained, F.lit(False))
+    size = F.length("body")
+    run = F.struct(F.length("head").alias("before"), F.when(on, size).otherwise(0).alias("train"), (F.when(on, 0).otherwise(size) + len(END)).alias("after"))
+    rows = rows.select("conv_id", F.struct("turn", "role", "text", F.concat("head", "body", F.lit(END)).alias("block"), run.alias("run")).alias("x"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return grouped.select("conv_id", F.size("xs").cast("bigint").alias("n_turns"), F.array_join(F.transform("xs", lambda x: x["block"]), "").alias("formatted"))
+    return grouped.select(
+        "conv_id",
+        F.size("xs").cast("bigint").alias("n_turns"),
+        F.array_join(F.transform("xs", lambda x: x["block"]), "").alias("formatted"),
+        F.transform("xs", lambda x: x["run"]).alias("loss_runs"),
+    )
+
+
+def loss_spans(conversations: DataFrame) -> DataFrame:
+    """(conv_id, begin, end) of the spans of ``formatted`` that are trained on, in code points; the end is exclusive."""
+    runs = conversations.select("conv_id", F.posexplode("loss_runs").alias("pos", "r"))
+    total = F.sum(F.col("r.before") + F.col("r.train") + F.col("r.after")).over(Window.partitionBy("conv_id").orderBy("pos"))
+    end = total - F.col("r.after")
+    return runs.select("conv_id", (end - F.col("r.train")).alias("begin"), end.alias("end")).where("begin < end")
+
+
+def _blocks(formatted: Column) -> Column:
+    """The turns of a formatted conversation, each without its end."""
+    parts = F.split(formatted, re.escape("<|im_end|>").replace("\\|", "[|]") + "\n")
+    return F.filter(parts, lambda p: p != "")
 
 
 def read_turns(formatted: Column) -> Column:
     """Array of (role, text) read back from a formatted conversation."""
-    parts = F.split(formatted, re.escape("<|im_end|>").replace("\\|", "[|]") + "\n")
-    parts = F.filter(parts, lambda p: p != "")
 
     def one(part: Column) -> Column:
         body = F.substr(part, F.lit(len(START) + 1))
@@ -204,11 +246,17 @@ def read_turns(formatted: Column) -> Column:
         plain = F.when(role.startswith("#"), F.decode(F.unhex(F.substr(role, F.lit(2))), "UTF-8")).otherwise(role)
         return F.struct(plain.alias("role"), unescape(F.substr(body, F.length(role) + 2)).alias("text"))
 
-    return F.transform(parts, one)
+    return F.transform(_blocks(formatted), one)
+
+
+def masked_text(formatted: Column, runs: Column) -> Column:
+    """What the loss mask leaves of a formatted conversation, unescaped: all texts that are trained on, in order."""
+    # every turn has a run of its own, so each is cut within its turn and not from the conversation's begin
+    parts = F.zip_with(_blocks(formatted), runs, lambda p, r: F.when(r["train"] > 0, unescape(F.substr(p, r["before"] + 1, r["train"]))).otherwise(""))
+    return F.array_join(parts, "")
 
 
-def with_loss(conversations: DataFrame, trained: str = "assistant") -> DataFrame:
-    """Append ``turns`` (read back), ``loss_text`` (all texts that are trained on) to formatted conversations."""
+def with_loss(conversations: DataFrame) -> DataFrame:
+    """Append ``turns`` (read back) and ``loss_text`` (what the mask leaves) to formatted conversations."""
     read = conversations.withColumn("turns", read_turns(F.col("formatted")))
-    texts = F.transform(F.filter("turns", lambda t: t["role"] == trained), lambda t: t["text"])
-    return read.withColumn("loss_text", F.array_join(texts, ""))
+    return read.withColumn("loss_text", masked_text(F.col("formatted"), F.col("loss_runs")))
