@@ -8,13 +8,13 @@ with the highest likelihood is predicted; the score is its posterior probability
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,22 +23,23 @@ from cueline.llm.common import append_columns, chunks, materialise
 from cueline.llm.tokens import tokenizer_path
 
 UNDETERMINED = "und"
-MAX_LANGUAGES = 200
-LONGEST_PIECE = 16
-#: A run of more characters than this without white space is scored in pieces of it.
-LONGEST_WORD = 64
+#: Runs of more letters than this are scored one by one, by the same sum.
+LONG_WORD = 64
 CACHE_WORDS = 300_000
 SMOOTHING = 0.1
 MARK = "▁"
-_LETTERS = re.compile(r"[^\W\d_]+").findall
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 
 
 def _words(text: str) -> list[str]:
-    """Runs of letters, lower-cased: what tells a language; marks and digits don't."""
-    words = _LETTERS(text.lower())
-    if max(map(len, words), default=0) > LONGEST_WORD:
-        words = [w[i : i + LONGEST_WORD] for w in words for i in range(0, len(w), LONGEST_WORD)]
-    return words
+    """Runs of letters with their combining marks, lower-cased, whatever their length."""
+    return _LETTERS(text.lower())
+
+
+def usable_pieces(model) -> list[tuple[str, int]]:
+    """(piece, number) of the vocabulary's pieces that lower-cased words can hold."""
+    pieces = ((model.id_to_piece(i), i) for i in range(model.vocab_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i)))
+    return [(p, i) for p, i in pieces if p == p.lower() and MARK not in p[1:]]
 
 
 def piece_counts(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary: str | None = None) -> DataFrame:
@@ -104,9 +105,14 @@ class Model:
     """Piece probabilities of each language and the forward algorithm over them."""
 
     def __init__(self, langs: list[str], counts: np.ndarray, path: str) -> None:
+        import sentencepiece
+
         self.langs = langs
         self.path = path
-        smooth = counts.astype(np.float64) + SMOOTHING
+        own = [i for _, i in usable_pieces(sentencepiece.SentencePieceProcessor(model_file=path))]
+        # pieces that no word can hold get no share
+        smooth = np.zeros(counts.shape)
+        smooth[:, own] = counts[:, own] + SMOOTHING
         self.prob = (smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float64).copy() if len(langs) else np.zeros((0, 0))
 
     @classmethod
@@ -117,8 +123,8 @@ class Model:
         self = cls.__new__(cls)
         self.langs, self.prob, self.path = langs, prob, path
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [(model.id_to_piece(i), i) for i in range(model.vocab_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i))]
-        pieces = [(p, i) for p, i in pieces if len(p) <= LONGEST_PIECE and MARK not in p[1:]]
+        pieces = usable_pieces(model)
+        self.longest = max(len(p) for p, _ in pieces)
         self.hashes = np.zeros(model.vocab_size() + 1, np.uint64)
         for p, i in pieces:
             h = 0
@@ -132,7 +138,7 @@ class Model:
         if langs:
             # row 0: no piece; for single characters the floor of what isn't in the vocabulary
             self.padded = np.vstack([np.zeros((1, len(langs))), prob])
-            self.single = np.vstack([prob.min(axis=0, keepdims=True) / 10, prob])
+            self.single = np.vstack([prob[own - 1].min(axis=0, keepdims=True) / 10, prob])
         self.cache: dict[str, int] = {}
         self.table = np.zeros((0, len(self.langs)))
         return self
@@ -147,7 +153,10 @@ class Model:
         out = np.zeros((len(words), len(self.langs)))
         by_len: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            by_len.setdefault(len(w) + 1, []).append(i)
+            if len(w) > LONG_WORD:
+                out[i] = self._forward_long(w)
+            else:
+                by_len.setdefault(len(w) + 1, []).append(i)
         for n, own in by_len.items():
             marked = "".join([MARK + words[i] for i in own]).encode("utf-32-le", "surrogatepass")
             chars = np.ascontiguousarray(np.frombuffer(marked, np.uint32).reshape(-1, n).T).astype(np.uint64)
@@ -156,7 +165,7 @@ class Model:
             scale = np.zeros((len(own), 1))
             for begin in range(n):
                 h = np.zeros(len(own), np.uint64)
-                for end in range(begin + 1, min(n, begin + LONGEST_PIECE) + 1):
+                for end in range(begin + 1, min(n, begin + self.longest) + 1):
                     h = h * _STEP + chars[end - 1] + np.uint64(1)
                     ids = self._find(h)
                     if end - begin == 1:
@@ -170,11 +179,41 @@ class Model:
                 if begin % 16 == 15:
                     # rescale, so that long words don't underflow
                     top = alpha[begin + 1].max(axis=1, keepdims=True)
-                    alpha[begin + 1 : begin + 1 + LONGEST_PIECE] /= top
+                    alpha[begin + 1 : begin + 1 + self.longest] /= top
                     scale += np.log(top)
             out[own] = np.log(np.maximum(alpha[n], 1e-300)) + scale
         return out
 
+    def _forward_long(self, word: str) -> np.ndarray:
+        """The same sum for one word, with memory for a stretch of it: pieces are looked up a stretch at a time."""
+        chars = np.frombuffer((MARK + word).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        wide, n = self.longest, len(chars)
+        # row j: the sum over segmentations that end j + 1 characters before
+        before = np.zeros((wide, len(self.langs)))
+        before[0] = 1.0
+        scale = np.zeros(len(self.langs))
+        for low in range(0, n, 4096):
+            ends = np.arange(low + 1, min(n, low + 4096) + 1)
+            # pieces by their end and length: column j has those of j + 1 characters
+            ids = np.zeros((len(ends), wide), np.int32)
+            for size in range(1, wide + 1):
+                fits = ends >= size
+                h = np.zeros(int(fits.sum()), np.uint64)
+                for j in range(size, 0, -1):
+                    h = h * _STEP + chars[ends[fits] - j] + np.uint64(1)
+                ids[fits, size - 1] = self._find(h)
+            for row, end in zip(ids, ends.tolist(), strict=True):
+                share = self.padded[row]
+                share[0] = self.single[row[0]]
+                new = np.einsum("jl,jl->l", before, share)
+                before[1:] = before[:-1]
+                before[0] = new
+                if end % 16 == 0:
+                    top = np.maximum(before.max(axis=0), 1e-300)
+                    before /= top
+                    scale += np.log(top)
+        return np.log(np.maximum(before[0], 1e-300)) + scale
+
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Piece number plus one of each hash, 0 if it is none."""
         slot = (h * _SPREAD) >> np.uint64(64 - _TABLE_BITS)
@@ -197,8 +236,6 @@ class Model:
         if not self.langs:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
         split = [_words(t) if t else [] for t in texts]
-        # numerals that aren't decimal digits pass the pattern, but they are no letters
-        split = [ws if any(c.isalpha() for w in ws for c in w) else [] for ws in split]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
             self.table = self.table[:0]
@@ -224,16 +261,13 @@ class Model:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary: str | None = None) -> Model:
-    """Fit on all rows. The model has a row for each language and piece: its size is bounded."""
+    """Fit on all rows. The model has a number for each language and piece, about 256 kB a language."""
     path = vocabulary or tokenizer_path()
     import sentencepiece
 
     size = sentencepiece.SentencePieceProcessor(model_file=path).vocab_size()
     counts = materialise(piece_counts(docs, text, lang, path), "piece-counts")
-    langs = [r.lang for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    langs.sort()
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     table = np.zeros((len(langs), size), np.int64)
     place = {x: i for i, x in enumerate(langs)}
     for r in counts.toLocalIterator():
