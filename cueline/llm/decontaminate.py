@@ -4,14 +4,16 @@ Items are cut into windows of 13 consecutive words (shorter items are one window
 containment every shingle of a window is necessary, so one prefix token is enough: the
 window's rarest shingle in an order by benchmark frequency. Documents probe the prefix
 index with their shingles; a match is a candidate only if the window's position and
-length fit into the document, and is then verified word by word. The index is made of
-the benchmark alone and broadcast in parts of a fixed size, one pass for each part.
+length fit into the document, and is then verified word by word.
+
+A benchmark that is counted to be small is indexed once and broadcast. A larger one is
+indexed as a table, built in Spark, and joined by equality with the shingles of the
+documents in one pass over them; a bitmap of fixed size leaves most shingles in their task.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -22,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cueline.llm.common import append_columns, chunks, without
+from cueline.llm.common import append_columns, chunks, materialise, private, without
 
 WINDOW = 13
 SHINGLE = 5
-#: Bytes of item texts in one broadcast index.
-INDEX_BYTES = 4 << 20
+#: Bytes of item texts that are indexed on the driver and broadcast at most.
+INDEX_BYTES = 256 << 10
+#: Bits of the bitmap over prefix hashes of a larger benchmark: 32 MB, whatever its size.
+BITMAP_BITS = 28
 #: Every byte that isn't a digit, a lower-case letter or part of a longer code point parts words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _BITS = 20
@@ -155,17 +159,10 @@ def _summary(n: int, runs: list[tuple[int, int]], items: list[str]) -> tuple:
     return n, hit, len(items), digest, hit > 0 and 20 * hit >= n
 
 
-def _parts(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[str, bytes]]]:
-    rows = benchmark.select(F.col(f"`{item}`").cast("string"), F.col(f"`{text}`").cast("binary")).where(F.col(f"`{item}`").isNotNull() & F.col(f"`{text}`").isNotNull())
-    part, size = [], 0
-    for i, t in rows.distinct().toLocalIterator():
-        part.append((i, bytes(t)))
-        size += len(t)
-        if size >= limit:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    """(item, body) of the items that can match anything."""
+    rows = benchmark.select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{text}`").cast("binary").alias("body"))
+    return rows.where("item IS NOT NULL AND body IS NOT NULL")
 
 
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
@@ -173,69 +170,164 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 
     Null texts have no words and no hits; items without words, null items and null ids
     match nothing; items with the same text are all counted. Input columns named like the
-    added ones are replaced. With one index part this is a map without a shuffle; with
-    more, each part scans the documents and the rows' hits are merged by a row digest, so
-    equal rows stay as often as they were.
+    added ones are replaced; equal rows stay as often as they were; an empty table stays
+    empty. ``index_bytes``: bytes of items up to which the index is broadcast, and rows are
+    mapped without a shuffle; the result is the same with an index table.
     """
-    sc = docs.sparkSession.sparkContext
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
-    parts = [sc.broadcast(vars(Index(p))) for p in _parts(benchmark, item, item_text, index_bytes)] or [sc.broadcast(vars(Index([])))]
-    if len(parts) == 1:
-        one = parts[0]
+    items = _items(benchmark, item, item_text)
+    if (items.agg(F.sum(F.octet_length("body") + F.octet_length("item"))).first()[0] or 0) > index_bytes:
+        return _by_table(docs, text, items)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(Index([(i, bytes(t)) for i, t in items.distinct().collect()])))
 
-        def make():
-            index = Index.of(one.value)
+    def make():
+        index = Index.of(shared.value)
 
-            def each(column: pa.Array) -> list[pa.Array]:
-                rows = [_summary(*x) for _, part in chunks(column) for x in _probe(index, part)]
-                return [pa.array(list(c), pa_kind) for c, pa_kind in zip(zip(*rows, strict=True), _KINDS, strict=True)] if rows else [pa.array([], k) for k in _KINDS]
+        def each(column: pa.Array) -> list[pa.Array]:
+            rows = [_summary(*x) for _, part in chunks(column) for x in _probe(index, part)]
+            return [pa.array(list(c), pa_kind) for c, pa_kind in zip(zip(*rows, strict=True), _KINDS, strict=True)] if rows else [pa.array([], k) for k in _KINDS]
 
-            return each
+        return each
 
-        return append_columns(docs, text, fields, make, binary=True)
-    return _many(docs, text, parts, fields)
+    return append_columns(docs, text, fields, make, binary=True)
 
 
 _KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
 
 
-def _many(docs: DataFrame, text: str, parts: list, fields: list[T.StructField]) -> DataFrame:
-    """As above with several index parts; only digests, runs and item ids are shuffled."""
-    rest = without(docs.withColumn("__cueline_text", F.col(f"`{text}`")), ADDED).withColumn("__cueline_row", F.sha2(F.coalesce(F.col("__cueline_text").cast("string"), F.lit("")), 256))
-    union = None
-    for part in parts:
+# --- an index table ------------------------------------------------------------------
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
 
-        def make(part=part):
-            index = Index.of(part.value)
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
-            def each(column: pa.Array) -> list[pa.Array]:
-                rows = [(n, json.dumps([runs, items])) for _, chunk in chunks(column) for n, runs, items in _probe(index, chunk)]
-                return [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())]
 
-            return each
+def _hashed(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from each position on; the size is part of it."""
+    out = _shingles(words, size) if len(words) >= size else np.zeros(0, np.uint64)
+    return out ^ np.uint64(size * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
 
-        found = append_columns(rest.select("__cueline_row", "__cueline_text").dropDuplicates(["__cueline_row"]), "__cueline_text", [T.StructField("n", T.LongType()), T.StructField("found", T.StringType())], make, binary=True)
-        found = found.select("__cueline_row", "n", "found")
-        union = found if union is None else union.unionByName(found)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def index_table(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """The prefix index (prefix, window, body, size, at) of distinct windows, and the owners (window, item).
+
+    ``prefix`` is the hash of the window's rarest shingle, ``at`` where in the window that
+    shingle stands, ``body`` the window's words, ``window`` their digest.
+    """
+    spread = "item string, window binary, body binary, size int, shingles array<bigint>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(body)
+                size = min(window, len(words))
+                if not size:
+                    continue
+                k = min(shingle, size)
+                hashes = _hashed(_word_hashes(words), k).view(np.int64)
+                n = len(words) - size + 1
+                bodies = [b" ".join(words[i : i + size]) for i in range(n)]
+                own = [hashes[i : i + size - k + 1].tolist() for i in range(n)]
+                arrays = [pa.array([name] * n, pa.string()), pa.array([hashlib.md5(b).digest() for b in bodies], pa.binary()), pa.array(bodies, pa.binary()), pa.array([size] * n, pa.int32()), pa.array(own, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["item", "window", "body", "size", "shingles"])
+
+    windows = materialise(items.distinct().mapInArrow(run, spread), "item-windows")
+    owners = materialise(windows.select("window", "item").distinct(), "window-items")
+    once = windows.groupBy("window").agg(F.first("body").alias("body"), F.first("size").alias("size"), F.first("shingles").alias("shingles"))
+    each = once.select("window", F.posexplode("shingles").alias("at", "prefix"))
+    often = each.groupBy("prefix").agg(F.count("*").alias("often"))
+    rarest = each.join(often, "prefix").groupBy("window").agg(F.min(F.struct("often", "prefix", "at")).alias("r"))
+    index = once.join(rarest, "window").select(F.col("r.prefix").alias("prefix"), "window", "body", "size", F.col("r.at").alias("at"))
+    return materialise(index, "window-index"), owners
+
+
+def _bitmap(index: DataFrame, bits: int) -> np.ndarray:
+    """Bits of the prefixes: at most 2^bits / 8 bytes come from each of a few tasks, whatever the index's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << (bits - 3), np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
+            np.bitwise_or.at(held, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+        used = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(held[used], pa.uint8()).cast(pa.int32())], names=["byte", "bits"])
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    found = index.select("prefix").mapInArrow(run, "byte bigint, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits"))
+    for rows in found.mapInArrow(_packed, "at binary, bits binary").toLocalIterator():
+        out[np.frombuffer(rows.at, np.int64)] |= np.frombuffer(rows.bits, np.uint8)
+    return out
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, bits = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int64).tobytes()], pa.binary()), pa.array([bits.astype(np.uint8).tobytes()], pa.binary())], names=["at", "bits"])
+
+
+def _by_table(docs: DataFrame, text: str, items: DataFrame) -> DataFrame:
+    """As :func:`mark_contaminated`, by an equality join of shingles with the index table."""
+    index, owners = index_table(items)
+    sizes = sorted({min(SHINGLE, r["size"]) for r in index.select("size").distinct().collect()})
+    longest = max((r["size"] for r in index.select("size").distinct().collect()), default=1)
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(index, BITMAP_BITS))
+    own = private(docs)
+    row = F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), 256))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
+        for batch in batches:
+            names, told = batch.column(0).to_pylist(), []
+            for start, texts in chunks(batch.column(1)):
+                for d, body in enumerate(texts):
+                    words = words_of(body) if body else []
+                    hashes = _word_hashes(words)
+                    for k in sizes:
+                        h = _hashed(hashes, k)
+                        bit = h >> np.uint64(64 - BITMAP_BITS)
+                        hit = np.flatnonzero(bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+                        for i in hit.tolist():
+                            low = max(0, i - longest + 1)
+                            told.append((names[start + d], int(h[i].view(np.int64)), i, i - low, b" ".join(words[low : i + longest])))
+            cols = list(zip(*told, strict=True)) if told else [[]] * 5
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["row", "prefix", "pos", "off", "around"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidates whose window fits around the shingle and has the same words."""
         for batch in batches:
-            rows = []
-            for n, founds in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                runs, items = [], set()
-                for r, i in map(json.loads, founds):
-                    runs += r
-                    items |= set(i)
-                joined: list[list[int]] = []
-                for a, b in sorted(runs):
-                    if joined and a <= joined[-1][1]:
-                        joined[-1][1] = max(b, joined[-1][1])
-                    else:
-                        joined.append([a, b])
-                rows.append(_summary(n, [tuple(x) for x in joined], sorted(items)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), k) for c, k in zip(cols, _KINDS, strict=True)]], names=["__cueline_row", *ADDED])
-
-    merged = union.groupBy("__cueline_row").agg(F.max("n").alias("n"), F.collect_list("found").alias("found"))
-    merged = merged.mapInArrow(merge, T.StructType([T.StructField("__cueline_row", T.StringType()), *fields]))
-    return rest.join(merged, "__cueline_row").drop("__cueline_row", "__cueline_text")
+            kept, begins = [], []
+            for i, (pos, off, around, body, size, at) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 7)), strict=True)):
+                words, low = around.split(), off - at
+                if low >= 0 and low + size <= len(words) and b" ".join(words[low : low + size]) == body:
+                    kept.append(i)
+                    begins.append(pos - at)
+            took = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([took.column(0), pa.array(begins, pa.int64()), took.column(5).cast(pa.int32()), took.column(7)], names=["row", "begin", "size", "window"])
+
+    probes = docs.select(row.alias("row"), F.col(f"`{text}`").cast("binary").alias("t")).mapInArrow(probe, "row binary, prefix bigint, pos bigint, off bigint, around binary")
+    pairs = probes.join(index, "prefix").select("row", "pos", "off", "around", "body", "size", "at", "window")
+    hits = materialise(pairs.mapInArrow(verify, "row binary, begin bigint, size int, window binary").distinct(), "item-hits")
+    # words covered: every row's hits are put in order, and what overlaps is counted once
+    covered = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("begin", "size"))).alias("runs"))
+    init = F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(0).cast("bigint").alias("n"))
+    grow = lambda acc, x: F.struct(F.greatest(acc["upto"], x["begin"] + x["size"]).alias("upto"), (acc["n"] + F.greatest(F.lit(0), x["begin"] + x["size"] - F.greatest(acc["upto"], x["begin"]))).alias("n"))
+    covered = covered.select("row", F.aggregate("runs", init, grow, lambda acc: acc["n"]).alias("hit"))
+    named = hits.select("row", "window").distinct().join(owners, "window").select("row", "item").distinct()
+    named = named.groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    found = covered.join(named, "row").select(F.col("row").alias(f"{own}_row"), F.struct("hit", F.size("items").cast("bigint").alias("n"), F.sha2(F.array_join("items", ","), 256).alias("digest")).alias(f"{own}_found"))
+    kept = [f"`{c}`" for c in without(docs, ADDED).columns]
+    n_words = F.coalesce(F.regexp_count(F.col(f"`{text}`").cast("string"), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")), F.lit(0)).cast("bigint")
+    rows = docs.select(*kept, row.alias(f"{own}_row"), n_words.alias(f"{own}_n")).join(materialise(found, "marked-rows"), f"{own}_row", "left")
+    n, hit = F.col(f"{own}_n"), F.coalesce(F.col(f"{own}_found.hit"), F.lit(0)).cast("bigint")
+    nothing = hashlib.sha256(b"").hexdigest()
+    return rows.select(
+        *kept,
+        n.alias("n_words"),
+        hit.alias("n_hit"),
+        F.coalesce(F.col(f"{own}_found.n"), F.lit(0)).cast("bigint").alias("n_items"),
+        F.coalesce(F.col(f"{own}_found.digest"), F.lit(nothing)).alias("items_sha256"),
+        ((hit > 0) & (20 * hit >= n)).alias("contaminated"),
+    )
