@@ -5,8 +5,9 @@ the two then differs in at most one bit. Each distinct fingerprint is indexed un
 segments as they are and under each segment's 32 variants with one bit deleted; equal
 keys meet in one sorted run, where the links are verified on all 64 bits. Of each run
 only a spanning forest of its links goes on, so that a group of n linked fingerprints
-gives n - 1 edges and not n^2 pairs; no link between components gets lost. Components
-are then found by star contraction.
+gives n - 1 edges and not n^2 pairs; no link between components gets lost. A long run is
+cut by pieces of the other segment, of which linked fingerprints share one at least.
+Components are then found by star contraction.
 """
 
 from __future__ import annotations
@@ -20,10 +21,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cueline.llm.common import append_columns, chunks, connected_components, materialise
+from cueline.llm.common import append_columns, chunks, connected_components, materialise, private
 
 DISTANCE = 3
 SHINGLE = 3
+#: Fingerprints with one segment from which on its runs are cut by the other segment.
+LONG_RUN = 2048
+#: Long segments whose keys are broadcast at most; each has 33 keys of 8 bytes.
+BROADCAST_SEGMENTS = 20_000
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -79,14 +84,44 @@ def add_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp") -> Da
     return append_columns(docs, text, [T.StructField(name, T.LongType())], make, binary=True)
 
 
-def variant_keys(fps: DataFrame) -> DataFrame:
-    """66 index keys (key, fp) of each fingerprint: 2 whole segments, 64 one-bit deletions."""
-    rows = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(65))).alias("s"))
+def variant_keys(fps: DataFrame, *more: str) -> DataFrame:
+    """66 index keys (key, own, fp) of each fingerprint: 2 whole segments, 64 one-bit deletions; own is the segment's number."""
+    rows = fps.select(*more, "fp", F.explode(F.sequence(F.lit(0), F.lit(65))).alias("s"))
     half, at = F.expr("s div 33").cast("int"), F.expr("s % 33").cast("int")
-    rows = rows.select("fp", half.alias("half"), at.alias("at"))
-    part = F.expr("shiftrightunsigned(fp, 32 * half) & 4294967295L")
+    rows = rows.select(*more, "fp", half.alias("own"), at.alias("at"))
+    part = F.expr("shiftrightunsigned(fp, 32 * own) & 4294967295L")
     kept = F.when(F.col("at") < 32, part.bitwiseAND(F.expr("~shiftleft(1L, at)"))).otherwise(part)
-    return rows.select((kept + F.expr("shiftleft(CAST(at AS BIGINT), 32) + shiftleft(CAST(half AS BIGINT), 38)")).alias("key"), "fp")
+    return rows.select((kept + F.expr("shiftleft(CAST(at AS BIGINT), 32) + shiftleft(CAST(own AS BIGINT), 38)")).alias("key"), "own", *more, "fp")
+
+
+def long_keys(fps: DataFrame, long_run: int = LONG_RUN) -> DataFrame | None:
+    """(key) of the keys that hold a segment of ``long_run`` fingerprints or more; None if there are none.
+
+    A run under a key with a deleted bit has the fingerprints of two segments, so it is counted by its segments.
+    """
+    half = lambda h: F.struct(F.lit(h).alias("half"), F.expr(f"shiftrightunsigned(fp, {32 * h}) & 4294967295L").alias("part"))
+    halves = fps.select(F.explode(F.array(half(0), half(1))).alias("x")).groupBy("x.half", "x.part").agg(F.count("*").alias("n"))
+    found = materialise(halves.where(F.col("n") >= long_run).select("half", "part"), "long-segments")
+    n = found.count()
+    if not n:
+        return None
+    # a fingerprint with the segment in its place has the keys of that half
+    alone = found.select("half", F.when(F.col("half") == 0, F.col("part")).otherwise(F.shiftleft("part", 32)).alias("fp"))
+    keys = variant_keys(alone, "half").where("half = own").select("key").distinct()
+    return F.broadcast(keys) if n <= BROADCAST_SEGMENTS else keys
+
+
+def _pieces(keys: DataFrame, longs: DataFrame | None) -> DataFrame:
+    """(key, piece, fp): rows of long keys once for each of the four pieces of the other segment, others with piece -1.
+
+    Linked fingerprints differ in three bits at most, so of four pieces one is equal.
+    """
+    if longs is None:
+        return keys.select("key", F.lit(-1).alias("piece"), "fp")
+    rows = keys.join(longs.withColumn("long", F.lit(True)), "key", "left")
+    other = F.when(F.expr("shiftright(key, 38) = 0"), F.expr("shiftrightunsigned(fp, 32)")).otherwise(F.col("fp"))
+    cut = F.array(*[F.expr(f"{i} * 256").cast("int") + (F.shiftright(other, 8 * i).bitwiseAND(F.lit(255))).cast("int") for i in range(4)])
+    return rows.select("key", F.explode(F.when(F.col("long"), cut).otherwise(F.array(F.lit(-1)))).alias("piece"), "fp")
 
 
 def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -105,9 +140,9 @@ def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _run_edges(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the complete runs of equal keys (sorted); whole runs only."""
-    cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+def _run_edges(keys: np.ndarray, pieces: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the complete runs of equal keys and pieces (sorted); whole runs only."""
+    cut = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (pieces[1:] != pieces[:-1]))))
     size = np.diff(np.concatenate((cut, [len(keys)])))
     at = (keys[cut] >> 32) & 63
     two = cut[size == 2]
@@ -129,37 +164,33 @@ def _run_edges(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.nda
     return np.concatenate(left), np.concatenate(right)
 
 
-def link_edges(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def link_edges(fps: DataFrame, distance: int = DISTANCE, long_run: int = LONG_RUN) -> DataFrame:
     """Edges (a, b) that connect all of ``fps`` (distinct longs) within ``distance`` bits."""
-    keys = variant_keys(fps)
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = _pieces(variant_keys(fps), long_keys(fps, long_run))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k: list[np.ndarray] = []
-        held_f: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def emit(k: np.ndarray, f: np.ndarray):
-            a, b = _run_edges(k, f, distance)
+        def emit(k: np.ndarray, p: np.ndarray, f: np.ndarray):
+            a, b = _run_edges(k, p, f, distance)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
-            k = batch.column(0).to_numpy(zero_copy_only=False)
-            f = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            k, p = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            f = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
             if not len(k):
                 continue
-            held_k.append(k)
-            held_f.append(f)
-            if k[0] == k[-1] and held_k[0][0] == k[0]:
+            held.append((k, p, f))
+            if k[-1] == held[0][0][0] and p[-1] == held[0][1][0]:
                 continue  # one run goes on
-            k, f = np.concatenate(held_k), np.concatenate(held_f)
-            last = int(np.searchsorted(k, k[-1], "left"))
-            if last:
-                yield emit(k[:last], f[:last])
-            held_k, held_f = [k[last:]], [f[last:]]
-        if held_k:
-            yield emit(np.concatenate(held_k), np.concatenate(held_f))
-
-    ordered = keys.repartition(n, "key").sortWithinPartitions("key")
+            k, p, f = (np.concatenate(c) for c in zip(*held, strict=True))
+            last = int(np.flatnonzero((k != k[-1]) | (p != p[-1]))[-1]) + 1
+            yield emit(k[:last], p[:last], f[:last])
+            held = [(k[last:], p[last:], f[last:])]
+        if held:
+            yield emit(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    ordered = keys.repartition("key", "piece").sortWithinPartitions("key", "piece")
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -197,13 +228,16 @@ def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text
     the least text. Rows with null keys are kept: there's nothing to choose them by.
     """
     found = materialise(_grouped(docs.select(f"`{key}`", f"`{text}`"), key, text, distance), "grouped")
-    own = F.col("k") == F.col("component_id")
-    keys = found.groupBy("k").agg(F.count("*").alias("n"), F.max(own).alias("own")).where("own").select(F.col("k").alias(key), "n")
+    leads = F.col("k") == F.col("component_id")
+    keys = found.groupBy("k").agg(F.count("*").alias("n"), F.max(leads).alias("leads")).where("leads").select(F.col("k").alias(key), "n")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     once = docs.join(keys.where("n = 1").select(key), key, "left_semi").select(*columns)
     # only rows of repeated keys need their fingerprint once more
-    picked = found.where(own).groupBy("k", "root").agg(F.min("fp").alias("__fp")).select(F.col("k").alias(key), "__fp")
-    again = add_fingerprint(docs.join(keys.where("n > 1").select(key), key, "left_semi").select(*columns), text, "__fp").join(picked, [key, "__fp"], "left_semi")
-    order = Window.partitionBy(key, "__fp").orderBy(F.col(f"`{text}`"))
-    again = again.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*columns)
+    own = private(docs)
+    fp = f"{own}_fp"
+    picked = found.where(leads).groupBy("k", "root").agg(F.min("fp").alias(fp)).select(F.col("k").alias(key), fp)
+    again = docs.join(keys.where("n > 1").select(key), key, "left_semi").select(*columns)
+    again = add_fingerprint(again, text, fp).join(picked, [key, fp], "left_semi")
+    order = Window.partitionBy(key, fp).orderBy(F.col(f"`{text}`"))
+    again = again.withColumn(f"{own}_n", F.row_number().over(order)).where(f"{own}_n = 1").select(*columns)
     return once.unionByName(again).unionByName(docs.where(F.col(f"`{key}`").isNull()))
