@@ -42,7 +42,10 @@ SHALLOW = 32
 FLUSH = 24 << 20
 #: An anchor with more occurrences is hot: its windows are dealt by their own content.
 HOT = 4096
+#: Stands for a null id; such rows are told by the sign of their tag, so that an id may have this value too.
 NO_ID = (1 << 63) - 1
+#: Bytes of text for each bucket that anchors, suffixes and hits are dealt to.
+BUCKET_BYTES = 16 << 20
 
 
 # --- anchors -------------------------------------------------------------------------
@@ -122,11 +125,12 @@ def _buckets(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
 
 
-def _dealt(bucket: np.ndarray, n: int, arrays: list[np.ndarray]) -> tuple[list[int], list[bytes]]:
+def _dealt(bucket: np.ndarray, arrays: list[np.ndarray]) -> tuple[list[int], list[bytes]]:
     order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(n + 1))
-    own = [b for b in range(n) if cut[b + 1] > cut[b]]
-    return own, [_pack([a[order[cut[b] : cut[b + 1]]] for a in arrays]) for b in own]
+    dealt = bucket[order]
+    first = np.flatnonzero(np.concatenate(([True], dealt[1:] != dealt[:-1]))) if len(dealt) else np.zeros(0, np.int64)
+    cut = np.append(first, len(dealt)).tolist()
+    return dealt[first].tolist(), [_pack([a[order[x:y]] for a in arrays]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _lists(ids: np.ndarray, tags: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
@@ -254,14 +258,24 @@ def suffix_order(rows: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray,
     return order, lcp
 
 
-def repeated_spans(right: np.ndarray, left: np.ndarray, n_right: np.ndarray, n_left: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeats(doc: np.ndarray, none: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Which rows have a smaller document in their group. Rows are in groups, which begin at ``begin``; ``none``: without an id."""
+    size = np.diff(np.append(begin, len(doc)))
+    least = np.repeat(np.minimum.reduceat(doc, begin), size)
+    # NO_ID is the largest id: rows without one are larger still
+    any_id = np.repeat(np.logical_or.reduceat(~none, begin), size)
+    return (doc > least) | (none & any_id)
+
+
+def repeated_spans(right: np.ndarray, left: np.ndarray, n_right: np.ndarray, n_left: np.ndarray, doc: np.ndarray, none: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes before and after each anchor that repeat a smaller document (0, 0: none).
 
-    ``right``: LENGTH bytes from the anchor on; ``left``: BEFORE bytes before it, backwards.
+    ``right``: LENGTH bytes from the anchor on; ``left``: BEFORE bytes before it, backwards;
+    ``none``: rows without an id, which are larger than all others.
     """
     n = len(doc)
     order, lcp = suffix_order(right)
-    doc_o, nl, nr, left_o = doc[order], n_left[order], n_right[order], left[order]
+    doc_o, none_o, nl, nr, left_o = doc[order], none[order], n_left[order], n_right[order], left[order]
     before, after = np.zeros(n, np.int64), np.zeros(n, np.int64)
     h = np.zeros(n, np.uint64)
     for l in range(SPREAD):  # noqa: E741
@@ -276,10 +290,15 @@ def repeated_spans(right: np.ndarray, left: np.ndarray, n_right: np.ndarray, n_l
         key = (kind * np.uint64(0xD6E8FEB86659FD93)) ^ h[own]
         by = np.argsort(key)
         sorted_key = key[by]
+        bytes_ = left_o[own[by], :l]
+        if ((sorted_key[1:] == sorted_key[:-1]) & (bytes_[1:] != bytes_[:-1]).any(axis=1)).any():
+            # two kinds of bytes have one hash: group by the bytes themselves
+            exact = np.column_stack([kind[by].view(np.uint8).reshape(-1, 8), bytes_])
+            sorted_key = np.unique(exact, axis=0, return_inverse=True)[1].ravel()
+            again = np.argsort(sorted_key, kind="stable")
+            by, sorted_key = by[again], sorted_key[again]
         begin = np.flatnonzero(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])))
-        least = np.minimum.reduceat(doc_o[own][by], begin)
-        size = np.diff(np.append(begin, len(by)))
-        hit = own[by][doc_o[own][by] > np.repeat(least, size)]
+        hit = own[by][repeats(doc_o[own][by], none_o[own][by], begin)]
         before[hit] = l
         first = hit[after[hit] == 0]
         after[first] = LENGTH - l
@@ -298,7 +317,7 @@ def _send_anchors(n: int):
 
         def flush() -> pa.RecordBatch:
             h, k, tag, pos = (np.concatenate(c) for c in zip(*held, strict=True))
-            own, blobs = _dealt(_buckets(h, n), n, [(h & np.uint64(0xFFFFFFFF)).astype(np.uint32), k, tag, pos])
+            own, blobs = _dealt(_buckets(h, n), [(h & np.uint64(0xFFFFFFFF)).astype(np.uint32), k, tag, pos])
             return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
         for batch in batches:
@@ -319,8 +338,9 @@ def _send_anchors(n: int):
     return run
 
 
-def _doc_bucket(k: np.ndarray, n: int) -> np.ndarray:
-    return _buckets(k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), n)
+def _doc_bucket(k: np.ndarray, tag: np.ndarray, n: int) -> np.ndarray:
+    mixed = k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ tag.view(np.uint64)
+    return _buckets(mixed * np.uint64(0xD6E8FEB86659FD93), n)
 
 
 def _rows_of(bucket: list[int], blobs: list[bytes]) -> pa.Table:
@@ -331,18 +351,17 @@ def _shared_anchors(n: int, most_cold: int):
     """Places of shared anchors, dealt by document; those of hot anchors as negative numbers."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [_unpack(b, [np.uint32, np.int64, np.int32, np.uint32]) for b in table.column("blob").to_pylist()]
+        parts = [_unpack(b, [np.uint32, np.int64, np.int64, np.uint32]) for b in table.column("blob").to_pylist()]
         h, k, tag, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
         by = np.argsort(h, kind="stable")
         begin = np.flatnonzero(np.concatenate(([True], h[by][1:] != h[by][:-1])))
         size = np.diff(np.append(begin, len(by)))
-        least, most = np.minimum.reduceat(k[by], begin), np.maximum.reduceat(k[by], begin)
-        shared = np.repeat(least < most, size)
+        shared = np.repeat(np.logical_or.reduceat(repeats(k[by], tag[by] < 0, begin), begin), size)
         own, hot = by[shared], np.repeat(size > most_cold, size)[shared]
         place = pos[own].astype(np.int64)
         order = np.lexsort((place, k[own]))
         place = np.where(hot, -1 - place, place).astype(np.int32)
-        return _rows_of(*_dealt(_doc_bucket(k[own][order], n), n, [k[own][order], tag[own][order], place[order]]))
+        return _rows_of(*_dealt(_doc_bucket(k[own][order], tag[own][order], n), [k[own][order], tag[own][order], place[order]]))
 
     return run
 
@@ -351,7 +370,7 @@ def _by_doc(kinds: list, names: list[str]):
     """Blobs of one bucket as a row for each document."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [_unpack(b, [np.int64, np.int32, *kinds]) for b in table.column("blob").to_pylist()]
+        parts = [_unpack(b, [np.int64, np.int64, *kinds]) for b in table.column("blob").to_pylist()]
         k, tag, *columns = (np.concatenate(c) for c in zip(*parts, strict=True))
         return pa.Table.from_batches([_lists(k, tag, columns, names)])
 
@@ -404,18 +423,18 @@ def _send_suffixes(n: int):
         def flush() -> pa.RecordBatch:
             key, body, nl, nr, k, tag, pos = (np.concatenate(c) for c in zip(*held, strict=True))
             # of equal records the smallest document's goes on; the others repeat it whole
-            by = np.lexsort((k, _row_hash(body, nl, nr), key))
+            by = np.lexsort((tag < 0, k, _row_hash(body, nl, nr), key))
             key, body, nl, nr, k, tag, pos = (c[by] for c in (key, body, nl, nr, k, tag, pos))
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (nl[1:] != nl[:-1]) | (nr[1:] != nr[:-1]) | (body[1:] != body[:-1]).any(axis=1)))
             first = np.flatnonzero(new)
-            least = np.repeat(k[first], np.diff(np.append(first, len(k))))
-            go, done = k == least, k > least
-            own, blobs = _dealt(_buckets(key[go], n), n, [c[go] for c in (body, nl, nr, k, tag, pos)])
+            done = repeats(k, tag < 0, first)
+            go = ~done
+            own, blobs = _dealt(_buckets(key[go], n), [c[go] for c in (body, nl, nr, k, tag, pos)])
             if done.any():
                 at = pos[done].astype(np.int64)
                 order = np.lexsort((at, k[done]))
                 spans = [k[done], tag[done], (at - nl[done]).astype(np.uint32), (at + nr[done]).astype(np.uint32)]
-                more, settled = _dealt(_doc_bucket(k[done][order], n), n, [c[order] for c in spans])
+                more, settled = _dealt(_doc_bucket(k[done][order], tag[done][order], n), [c[order] for c in spans])
                 own, blobs = own + [n + b for b in more], blobs + settled
             return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
@@ -457,18 +476,18 @@ def _spans(n: int):
         bucket = table.column("bucket")[0].as_py()
         if bucket >= n:
             return _rows_of([bucket - n] * len(blobs), blobs)
-        parts = [_unpack(b, [BEFORE + LENGTH, np.uint8, np.uint8, np.int64, np.int32, np.uint32]) for b in blobs]
+        parts = [_unpack(b, [BEFORE + LENGTH, np.uint8, np.uint8, np.int64, np.int64, np.uint32]) for b in blobs]
         del blobs
         body, nl, nr, k, tag, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
         del parts
         right = np.zeros((len(body), 56), np.uint8)
         right[:, :LENGTH] = body[:, BEFORE:]
-        before, after = repeated_spans(right, body[:, BEFORE - 1 :: -1][:, :BEFORE], nr, nl, k)
+        before, after = repeated_spans(right, body[:, BEFORE - 1 :: -1][:, :BEFORE], nr, nl, k, tag < 0)
         hit = np.flatnonzero(after)
         hit = hit[np.lexsort((pos[hit], k[hit]))]
         at = pos.astype(np.int64)[hit]
         spans = [k[hit], tag[hit], (at - before[hit]).astype(np.uint32), (at + after[hit]).astype(np.uint32)]
-        return _rows_of(*_dealt(_doc_bucket(k[hit], n), n, spans))
+        return _rows_of(*_dealt(_doc_bucket(k[hit], tag[hit], n), spans))
 
     return run
 
@@ -495,7 +514,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     id_ = F.col(f"`{key}`").cast("bigint")
-    return docs.select(F.coalesce(id_, F.lit(NO_ID)).alias("k"), F.xxhash64(whole).bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("tag"), whole.cast("binary").alias("text"))
+    # 63 bits of the text tell apart rows with one id; the sign says that there is none
+    tag = F.xxhash64(whole).bitwiseAND(F.lit(NO_ID))
+    tag = F.when(id_.isNull(), F.bitwise_not(tag)).otherwise(tag)
+    return docs.select(F.coalesce(id_, F.lit(NO_ID)).alias("k"), tag.alias("tag"), whole.cast("binary").alias("text"))
+
+
+def _n_buckets(rows: DataFrame) -> int:
+    """As many as shuffle partitions, or more where a bucket would have more than BUCKET_BYTES of text."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
 
 def _copies(rows: DataFrame) -> DataFrame:
@@ -505,25 +533,26 @@ def _copies(rows: DataFrame) -> DataFrame:
     """
     ids = rows.select("k", "tag", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").alias("n")).where(f"n >= {LENGTH}")
     # written, so that the join below can split the rows of a text with very many copies
-    firsts = materialise(ids.groupBy("digest").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most").drop("most"), "first-copies")
-    copies = ids.join(firsts, "digest").where("k > least").select("k", "tag", "n").distinct()
+    order = F.struct("k", (F.col("tag") < 0).alias("none"))
+    firsts = materialise(ids.groupBy("digest").agg(F.min(order).alias("least"), F.max(order).alias("most")).where("least < most").drop("most"), "first-copies")
+    copies = ids.join(firsts, "digest").where(order > F.col("least")).select("k", "tag", "n").distinct()
     return copies.select("k", "tag", F.array(F.lit(0)).alias("begins"), F.array("n").alias("ends"))
 
 
 def repeated_parts(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """(k, tag, begins, ends) of the documents that repeat strings of smaller ones: byte spans, which may overlap."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = _rows(docs, key, text)
+    n = _n_buckets(whole)
     copies = materialise(_copies(whole), "copies")
     # one exchange of the texts by (k, tag) serves this join, the one below and the caller's
     rows = whole.join(copies.select("k", "tag").hint("merge"), ["k", "tag"], "left_anti")
     blobs = "bucket int, blob binary"
     sent = rows.select("k", "tag", "text").mapInArrow(_send_anchors(n), blobs)
     shared = sent.groupBy("bucket").applyInArrow(_shared_anchors(n, hot), blobs)
-    by_doc = shared.groupBy("bucket").applyInArrow(_by_doc([np.int32], ["at"]), "k bigint, tag int, at array<int>")
+    by_doc = shared.groupBy("bucket").applyInArrow(_by_doc([np.int32], ["at"]), "k bigint, tag bigint, at array<int>")
     suffixes = rows.join(by_doc, ["k", "tag"]).select("k", "tag", "text", "at").mapInArrow(_send_suffixes(n), blobs)
     spans = suffixes.groupBy("bucket").applyInArrow(_spans(n), blobs)
-    found = spans.groupBy("bucket").applyInArrow(_by_doc([np.uint32, np.uint32], ["begins", "ends"]), "k bigint, tag int, begins array<int>, ends array<int>")
+    found = spans.groupBy("bucket").applyInArrow(_by_doc([np.uint32, np.uint32], ["begins", "ends"]), "k bigint, tag bigint, begins array<int>, ends array<int>")
     return found.unionByName(copies)
 
 
@@ -538,5 +567,5 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: i
     rows = _rows(docs, key, text)
     found = repeated_parts(docs, key, text, hot)
     joined = rows.join(found, ["k", "tag"], "left")
-    id_ = F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id")
+    id_ = F.when(F.col("tag") >= 0, F.col("k")).alias("doc_id")
     return joined.select(id_, "text", "begins", "ends").mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
