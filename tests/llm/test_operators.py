@@ -140,7 +140,10 @@ def test_chat_layouts(spark):
         '{"input": "q", "output": "a", "instruction": "s"}',
         '{"question": "q", "answer": null}',
         '{"prompt": 1, "response": "a"}',
-        '{"unknown": 1}', "broken", None, "{}",
+        # fields that no layout declares, and an optional one
+        '{"id": 7, "messages": [{"role": "user", "content": "q", "name": "x"}, {"content": "a", "role": "assistant", "meta": {"k": [1]}}]}',
+        '{"prompt": "q", "response": "a", "system": "s"}',
+        '{"unknown": 1}', "broken", None, "{}", '{"prompt": "q"}', '{"messages": []}',
     ]
     df = spark.createDataFrame(list(enumerate(records)), "id int, rec string")
     got = {}
@@ -149,13 +152,36 @@ def test_chat_layouts(spark):
     qa = [("user", "q"), ("assistant", "a")]
     assert [got[i] for i in range(4)] == [qa] * 4
     assert got[4] == [("system", "s"), *qa] and got[5] == [("user", "q"), ("assistant", "")] and got[6] == [("user", "1"), ("assistant", "a")]
-    assert all(got[i] == [(None, None)] for i in range(7, 11))
+    assert got[7] == qa and got[8] == [("system", "s"), *qa] and set(got) == set(range(9))
+    gone = {r.conv_id: (r.record, r.reason) for r in chat.rejected_records(df, "rec", "id").collect()}
+    none = "no layout with these fields"
+    assert gone == {i: (records[i], why) for i, why in ((9, none), (10, "broken JSON"), (11, "null record"), (12, none), (13, none), (14, none))}
     typed = spark.createDataFrame([(1, "q", "a", "extra")], "conv_id int, prompt string, response string, other string")
     assert [(r.role, r.text) for r in chat.turns_from_rows(typed).orderBy("turn").collect()] == qa
     with pytest.raises(ValueError):
         chat.turns_from_rows(typed.select("conv_id", "other"))
 
 
+def test_chat_mask(spark):
+    rows = [(1, i, r, t) for i, (r, t) in enumerate([("assistant", "a\\b"), ("user", "x"), ("assistant", ""), ("assistant", "<|im_end|> é"), ("system", "<s>")])]
+    done = chat.format_turns(chat.turns_from_rows(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")))
+    one = done.first()
+    assert sum(sum(r) for r in one.loss_runs) == len(one.formatted)
+    at, want = 0, []
+    for before, train, after in one.loss_runs:
+        if train:
+            want.append((at + before, at + before + train))
+        at += before + train + after
+    spans = sorted((r.begin, r.end) for r in chat.loss_spans(done).collect())
+    assert spans == want and len(spans) == 2
+    plain = lambda t: re.sub(r"\\(\\?)", r"\1", t)
+    assert [plain(one.formatted[a:b]) for a, b in spans] == ["a\\b", "<|im_end|> é"]
+    assert chat.with_loss(done).first().loss_text == "a\\b<|im_end|> é"
+    # the mask decides what is read, not the roles
+    other = chat.with_loss(chat.format_turns(chat.turns_from_rows(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")), trained="user")).first()
+    assert other.loss_text == "x"
+
+
 def test_chat_query(spark, sf):
     got = {r.conv_id: r for r in queries.op3_chat_format(spark, sf).collect()}
     own = {-1: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]}
@@ -172,6 +198,29 @@ def test_chat_query(spark, sf):
 # --- 4 toxicity ----------------------------------------------------------------------
 
 
+def plain_swaps(words, kinds):
+    """The features that each swap loses and gains, from the swapped texts themselves."""
+    words = [w for w in words if not w.endswith("*")]
+    for kind in kinds:
+        for old in kind:
+            for new in kind:
+                if old in words and new != old:
+                    a, b = (toxicity.features_of(" ".join(t)) for t in (words, [new if w == old else w for w in words]))
+                    yield a - b, b - a
+
+
+def test_swaps_are_those_of_the_texts(spark):
+    rng = random.Random(2)
+    kinds = toxicity.kinds_of()
+    names = [t for kind in kinds for t in kind] + ["christmas", "x", "muslimic", "blacken", "word"]
+    rows = [sorted(toxicity.features_of(" ".join(rng.sample(names, 7)))) for _ in range(60)]
+    for words in rows:
+        got = sorted((sorted(a), sorted(b)) for a, b in toxicity.swaps(set(words), kinds))
+        assert got == sorted((sorted(a), sorted(b)) for a, b in plain_swaps(words, kinds)) and got
+    counted = toxicity.swap_counts(spark.createDataFrame([(w,) for w in rows], "words array<string>").repartition(3), kinds)
+    assert sum(n for *_, n in counted) == sum(len(list(plain_swaps(w, kinds))) for w in rows)
+
+
 def test_swaps_reduce_score_changes():
     rng = random.Random(1)
     words = [f"w{i}" for i in range(40)]
@@ -182,19 +231,42 @@ def test_swaps_reduce_score_changes():
         # in the labels one group is named in toxic texts mostly
         own |= {"muslim", "musli*"} if (toxic and rng.random() < 0.7) or rng.random() < 0.05 else set()
         rows.append((int(toxic), sorted(own)))
-    names = sorted({f for _, r in rows for f in r} | {t for kind in toxicity.IDENTITY_TERMS for t in kind})
-    plain, fair = (toxicity.fit(rows, names, penalty=p) for p in (0.0, toxicity.PENALTY))
+    kinds = toxicity.kinds_of()
+    names = sorted({f for _, r in rows for f in r} | {t for kind in kinds for t in kind})
+    pairs = [(a, b, 1) for _, r in rows for a, b in toxicity.swaps(set(r), kinds)]
+    plain, fair = (toxicity.fit(rows, names, pairs, penalty=p) for p in (0.0, toxicity.PENALTY))
     gap = lambda m: abs(m.score("a muslim w1 w2") - m.score("a hindu w1 w2"))
-    assert gap(fair) < gap(plain) / 3
-    assert fair.score("w1 vile w2") > 0.5 > fair.score("a muslim w1 w2")
+    assert gap(fair) < gap(plain) / 3 and fair.pairs == len(pairs) > 300
+    assert fair.score("w1 vile w2") > 0.5 > fair.score("a muslim w1 w2") and fair.score("") < 0.5
+
+
+def test_fit_is_the_minimum_of_its_loss():
+    """The fitted weights against plain gradient descent on the loss written out, to the same bias."""
+    rng = np.random.default_rng(3)
+    names = ["aa", "bb", "cc", "dd"]
+    rows = [(int(rng.random() < 0.3), sorted({n for n in names if rng.random() < 0.5})) for _ in range(80)]
+    kinds = (("aa", "bb"), ("cc", "zz"))
+    pairs = [(a, b, 1) for _, r in rows for a, b in toxicity.swaps(set(r), kinds)]
+    model = toxicity.fit(rows, names, pairs, penalty=2.0, rounds=3000)
+    every = [*rows, (0, [])]
+    y = np.array([t for t, _ in every], float)
+    x = np.array([[n in r for n in names] for _, r in every], float)
+    c = np.array([[(n in a) - (n in b) for n in names] for a, b, _ in pairs], float)
+    w, b = np.zeros(4), 0.0
+    for _ in range(60_000):
+        d = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        w, b = w - 0.1 * (x.T @ d + toxicity.L2 * w + 2.0 * 2 * c.T @ (c @ w) / len(c)), b - 0.1 * d.sum()
+    assert np.allclose([model.weights.get(n, 0.0) for n in names], w, atol=5e-3)
 
 
 def test_toxicity_query_and_odd_rows(spark):
     sf = "/root/testdata/sf0.01"
     out = queries.op4_toxicity(spark, sf)
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
-    got = out.join(labels, "doc_id").groupBy().agg(F.avg((F.col("toxic") == F.col("predicted")).cast("double")).alias("acc"), F.count("*").alias("n")).first()
-    assert got.acc > 0.95 and out.count() == 1000
+    # only rows that weren't fitted
+    got = out.join(labels, "doc_id").where("held_out").groupBy().agg(F.avg((F.col("toxic") == F.col("predicted")).cast("double")).alias("acc"), F.count("*").alias("n")).first()
+    assert got.acc > 0.95 and got.n > 60 and out.count() == 1000
+    assert {r.doc_id for r in out.where("held_out").collect()} == {i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 == 0}
     df = docs_of(spark, ODD)
     labels = spark.createDataFrame([(0, 1), (1, 0), (None, 1), (6, None), (7, 1), (8, 0)], "doc_id long, toxic int")
     out = toxicity.score(df, toxicity.train(df, labels))
@@ -205,6 +277,30 @@ def test_toxicity_query_and_odd_rows(spark):
     assert toxicity.score(df.limit(0), toxicity.Model({}, -1.0)).count() == 0
 
 
+def test_the_penalty_acts_in_the_query(spark):
+    """The tables name no group: stand-ins of their rows are swapped, and the fitted weights depend on the penalty."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    fair, plain = (toxicity.train(docs, labels, penalty=p) for p in (toxicity.PENALTY, 0.0))
+    assert fair.pairs == plain.pairs > 1000
+    assert fair.weights != plain.weights
+    swap = lambda m: np.mean([(m.weights.get(a, 0) - m.weights.get(b, 0)) ** 2 for a, b in zip(names[:-1], names[1:])])
+    names = sorted(set(plain.weights) & {t for t in plain.weights if not t.endswith("*") and abs(plain.weights[t]) < 1})
+    assert swap(fair) < swap(plain)
+
+
+def test_labelled_sample_is_bounded(spark):
+    rows = [(i // 2, f"text {i}") for i in range(400)] + [(None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] * 2 + [(3, 7), (None, 1)], "doc_id long, toxic int")
+    sample = toxicity.sample_labelled(docs, labels, "doc_id", "text", "toxic", 20)
+    # two texts of an id are one row
+    assert sorted(r.y for r in sample.collect()) == [0] * 20 + [1] * 20
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Window" not in plan
+
+
 # --- 5 simhash -----------------------------------------------------------------------
 
 
