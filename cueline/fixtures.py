@@ -35,18 +35,10 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def speech_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir).where(F.col("event_type").isin("click", "view", "purchase"))
-    return _numbered(ev, "seg_idx").select("media_id", "seg_idx", "event_id", F.col("t").alias("start"), (F.col("t") + F.col("value") / 100).alias("end"))
+    return _numbered(events(spark, sf_dir), "seg_idx").select("media_id", "seg_idx", "event_id", F.col("t").alias("start"), (F.col("t") + F.col("value") / 100).alias("end"))
 
 
 def transcript_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As the SQL has it: the first 80 characters of 200 documents. See :func:`whole_transcript_segments`."""
-    seg = speech_segments(spark, sf_dir).withColumn("doc_id", F.col("event_id") % 200)
-    texts = table(spark, sf_dir, "documents").where("doc_id BETWEEN 0 AND 199").select("doc_id", F.substring("text", 1, 80).alias("text"))
-    return seg.join(texts, "doc_id", "left").select("media_id", "seg_idx", F.col("start").alias("start_seconds"), F.col("end").alias("end_seconds"), F.coalesce("text", F.lit("")).alias("text"))
-
-
-def whole_transcript_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments with the whole text of a document; all documents are given out in turn."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # one row: where the turn begins anew
@@ -93,16 +85,27 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("media_id", (F.col("n") + 1).alias("rank"), "event_id", "event_type", "t", F.concat(F.lit("Sure: "), body, F.lit(" Done.")).alias("raw_text"))
 
 
-def metadata_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as attempts: the words of even turns carry a hashtag mark."""
-    conv = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).alias("attempt"), F.coalesce("text", F.lit("")).alias("text"), (F.col("turn") % 2 == 0).alias("marked"))
-    words = F.slice(F.filter(F.split(F.substring("text", 1, 40), "[^A-Za-z]+"), lambda w: w != ""), 1, 4)
-    tags = F.transform(words, lambda w: F.when(F.col("marked"), F.concat(F.lit("#"), w)).otherwise(w))
-    return conv.select("conv_id", "attempt", F.substring("text", 1, 60).alias("hook"), F.substring("text", 1, 65).alias("title"), tags.alias("hashtags"))
+def metadata_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw metadata answers, cut off and broken like those of :func:`model_responses`."""
+    ev = _numbered(events(spark, sf_dir), "n")
+    hook = F.when(F.col("event_id") % 11 == 0, F.lit("two\nlines")).otherwise(F.lit("one line"))
+    body = F.concat(F.lit('{"hook": "'), hook, F.lit('", "title": " '), F.col("event_type"), F.lit('", "hashtags": ["#'), F.col("event_type"), F.lit('", " ", null, "#clip"]'))
+    body = F.when(F.col("event_id") % 7 == 0, body).otherwise(F.concat(body, F.lit("}")))
+    return ev.select("media_id", (F.col("n") + 1).alias("rank"), F.concat(F.lit("Sure: "), body, F.lit(" Done.")).alias("raw_text"))
+
 
+def profile_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles as JSON texts, some of which break a rule."""
+    k = F.col("s_suppkey")
+    name = F.when(k % 7 == 0, F.lit("7")).otherwise(F.concat(F.lit('"'), F.col("s_name"), F.lit('"')))
+    colours = F.when(k % 3 == 0, F.lit('"red"')).otherwise(F.lit('["red", "blue"]'))
+    face = F.when(k % 5 == 0, F.lit("")).otherwise(F.lit(', "ai_face_generation": false'))
+    body = F.concat(F.lit('{"channel_name": '), name, F.lit(', "target_audience": null, "preferred_language": "English", "brand_colors": '), colours, F.lit(', "logo": {}, "creator_photos_folder": "", "style": "bold"'), face, F.lit("}"))
+    return table(spark, sf_dir, "supplier").select(k.alias("profile_key"), F.when(k % 11 == 0, F.lit("[1]")).otherwise(body).alias("profile_json"))
 
-def whole_metadata_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`metadata_attempts`, with whole texts and all their words."""
+
+def metadata_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as attempts, hook and title the whole text; the words of even turns carry a hashtag mark."""
     conv = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).alias("attempt"), F.coalesce("text", F.lit("")).alias("text"), (F.col("turn") % 2 == 0).alias("marked"))
     words = F.filter(F.split("text", "[^A-Za-z]+"), lambda w: w != "")
     tags = F.transform(words, lambda w: F.when(F.col("marked"), F.concat(F.lit("#"), w)).otherwise(w))

@@ -3,15 +3,33 @@
 Times are seconds (doubles) or samples (longs); an interval is a start and an end
 column. ``key`` is the recording. Joins on time are cut into bins, so that one long
 recording is spread over many tasks. Folds depend on order; they restart at certain
-rows, which a window finds, so only the rows of one island meet in one fold.
+rows, whose islands are found by bins too, so only the rows of one island meet in one
+task. There they pass by in order, and a fold holds what is open, not what it has closed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BIN = 60.0
+#: Rows by number, or seconds, whose order one window task finds.
+ROWS_BIN, SECONDS_BIN = 1 << 16, 3600.0
+
+
+def check_range(**limits: tuple[float, float, float]) -> None:
+    """Raise if a parameter (value, least, most) is out of its range."""
+    for name, (value, least, most) in limits.items():
+        if not least <= value <= most:
+            raise ValueError(f"{name} has to be between {least} and {most}, not {value}")
+
+
+ANY = float("inf")
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
 
 
 def _bin(x: Column | str, width: float) -> Column:
@@ -93,20 +111,63 @@ def near_duplicate_pairs(clips: DataFrame, key: str = "media_id", iou: float = 0
     return pairs.select(key, F.col("a.rank").alias("rank"), F.col("b.rank").alias("other_rank"))
 
 
-def mark_islands(df: DataFrame, keys: list[str], order: list, starts_new) -> DataFrame:
+def mark_islands(df: DataFrame, keys: list[str], order: list[str], starts_new, bin_width: float, reads: list[str] | None = None) -> DataFrame:
     """Append ``island``: how many rows so far, in order, begin anew.
 
-    ``starts_new(prev)`` gets a function from a column name to its value in the row before.
+    ``starts_new(prev)`` gets a function from a column name to its value in the row before, of
+    the columns ``reads`` (all but the keys if None). ``bin_width`` is in units of the first
+    column of ``order``: windows are made of one bin each, and the bins of a key are put
+    together by a row for each of them.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    marked = df.withColumn("__new", F.coalesce(starts_new(lambda c: F.lag(c).over(w)).cast("int"), F.lit(0)))
-    return marked.withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
-
-
-def _fold(df: DataFrame, keys: list[str], fields: list[str], step, kind: str) -> DataFrame:
-    """Fold each island's rows, sorted by the first of ``fields``, into an array of structs."""
-    rows = df.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
-    return rows.select(*keys, F.inline(F.aggregate("rows", F.array().cast(f"array<{kind}>"), step)))
+    reads = reads or [c for c in df.columns if c not in keys]
+    rows = df.withColumn("__bin", F.floor(F.col(order[0]) / bin_width))
+    row, at = F.struct(*reads), [*keys, "__bin"]
+    inside = Window.partitionBy(*at).orderBy(*order)
+    lasts = rows.groupBy(*at).agg(F.max_by(row, F.struct(*order)).alias("__last"))
+    over = Window.partitionBy(*keys).orderBy("__bin")
+    lasts = lasts.select(*at, F.lag("__last").over(over).alias("__prior"))
+    marked = rows.withColumn("__prev", F.lag(row).over(inside)).join(lasts, at)
+    marked = marked.withColumn("__prev", F.coalesce("__prev", "__prior"))
+    marked = marked.withColumn("__new", F.coalesce(starts_new(lambda c: F.col(f"__prev.{c}")).cast("bigint"), F.lit(0).cast("bigint")))
+    sums = marked.groupBy(*at).agg(F.sum("__new").alias("__n"))
+    sums = sums.select(*at, F.coalesce(F.sum("__n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    count = F.sum("__new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    out = marked.withColumn("__count", count).join(sums, at)
+    return out.select(*df.columns, (F.col("__before") + F.col("__count")).alias("island"))
+
+
+def fold_islands(df: DataFrame, keys: list[str], order: list[str], fields: list[str], schema: str, start: Callable[[], Callable]) -> DataFrame:
+    """Rows that a fold emits: those of each island pass by in order.
+
+    ``start()`` makes a fold for an island: a function that gets the fields of a row and
+    returns rows of ``schema`` to emit, and with None for the fields the last ones.
+    """
+    added = T._parse_datatype_string(schema).fields
+    out, n = T.StructType([*[df.schema[k] for k in keys], *added]), len(keys) + 1
+    kinds = [_ARROW[f.dataType.simpleString()] for f in added]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, fold, types = None, None, None
+
+        def batch_of(told: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*told, strict=True)) if told else [()] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=out.names)
+
+        for batch in batches:
+            types = [*[f.type for f in batch.schema][: n - 1], *kinds]
+            told = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:n] != own:
+                    if fold:
+                        told += [(*own[:-1], *x) for x in fold(None)]
+                    own, fold = row[:n], start()
+                told += [(*own[:-1], *x) for x in fold(row[n:])]
+            yield batch_of(told)
+        if fold:
+            yield batch_of([(*own[:-1], *x) for x in fold(None)])
+
+    at = [*keys, "island"]
+    return df.select(*at, *fields, *[c for c in order if c not in fields]).repartition(*at).sortWithinPartitions(*at, *order).select(*at, *fields).mapInArrow(run, out)
 
 
 def merge_gaps(segments: DataFrame, gap: float, most: float, key: str = "media_id", start: str = "start", end: str = "end") -> DataFrame:
@@ -115,69 +176,111 @@ def merge_gaps(segments: DataFrame, gap: float, most: float, key: str = "media_i
     The chunk's end is that of its last segment; one longer than ``most`` stays whole.
     Returns (key, chunk_idx, start, end); times keep their type.
     """
+    check_range(gap=(gap, 0.0, ANY), most=(most, 0.0, ANY))
     kind = dict(segments.dtypes)[start]
     rows = segments.select(key, "seg_idx", F.col(start).alias("s"), F.col(end).alias("e"))
-    rows = mark_islands(rows, [key], ["seg_idx"], lambda prev: F.col("s") - prev("e") > gap)
+    rows = mark_islands(rows, [key], ["seg_idx"], lambda prev: F.col("s") - prev("e") > gap, ROWS_BIN, ["e"])
+
+    def fold():
+        open_: list = []
 
-    def step(acc: Column, x: Column) -> Column:
-        one = F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = (F.size(acc) > 0) & (x["s"] - last["e"] <= gap) & (x["e"] - last["s"] <= most)
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), x["e"].alias("e"))))).otherwise(F.concat(acc, one))
+        def step(row):
+            if row is None:
+                return [tuple(open_)]
+            s, e = row
+            if open_ and s - open_[1] <= gap and e - open_[0] <= most:
+                open_[1] = e
+                return []
+            done = [tuple(open_)] if open_ else []
+            open_[:] = [s, e]
+            return done
 
-    def safe(acc: Column, x: Column) -> Column:
-        return F.when(F.size(acc) == 0, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))).otherwise(step(acc, x))
+        return step
 
-    out = _fold(rows, [key], ["seg_idx", "s", "e"], safe, f"struct<s:{kind},e:{kind}>")
-    # in an island's fold chunks come in order; starts tell the order of islands, ends break ties
+    out = fold_islands(rows, [key], ["seg_idx"], ["s", "e"], f"s {kind}, e {kind}", fold)
+    return _numbered(out, key, "chunk_idx", start, end)
+
+
+def _numbered(spans: DataFrame, key: str, name: str, start: str, end: str) -> DataFrame:
+    """Spans (s, e) with their number in order of start, then end."""
     place = F.row_number().over(Window.partitionBy(key).orderBy("s", "e")) - 1
-    return out.select(key, place.alias("chunk_idx"), F.col("s").alias(start), F.col("e").alias(end))
+    return spans.select(key, place.alias(name), F.col("s").alias(start), F.col("e").alias(end))
 
 
 def merge_short(scenes: DataFrame, least: float = 2.0, key: str = "media_id") -> DataFrame:
     """Scenes of ``least`` seconds or more: a shorter one absorbs the next; the last may stay short."""
+    check_range(least=(least, 0.0, ANY))
     rows = scenes.select(key, "scene_idx", F.col("start_seconds").alias("s"), F.col("end_seconds").alias("e"))
-    rows = mark_islands(rows, [key], ["scene_idx"], lambda prev: prev("e") - prev("s") >= least)
+    rows = mark_islands(rows, [key], ["scene_idx"], lambda prev: prev("e") - prev("s") >= least, ROWS_BIN, ["s", "e"])
 
-    def step(acc: Column, x: Column) -> Column:
-        one = F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), x["e"].alias("e"))))
-        return F.when(F.size(acc) == 0, one).when(last["e"] - last["s"] < least, grown).otherwise(F.concat(acc, one))
+    def fold():
+        open_: list = []
 
-    safe = lambda acc, x: F.when(F.size(acc) == 0, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))).otherwise(step(acc, x))
-    out = _fold(rows, [key], ["scene_idx", "s", "e"], safe, "struct<s:double,e:double>")
-    place = F.row_number().over(Window.partitionBy(key).orderBy("s", "e")) - 1
-    return out.select(key, place.alias("scene_idx"), F.col("s").alias("start_seconds"), F.col("e").alias("end_seconds"))
+        def step(row):
+            if row is None:
+                return [tuple(open_)]
+            if open_ and open_[1] - open_[0] < least:
+                open_[1] = row[1]
+                return []
+            done = [tuple(open_)] if open_ else []
+            open_[:] = row
+            return done
+
+        return step
+
+    return _numbered(fold_islands(rows, [key], ["scene_idx"], ["s", "e"], "s double, e double", fold), key, "scene_idx", "start_seconds", "end_seconds")
 
 
 def thin(points: DataFrame, spacing: float | str, key: str = "media_id", at: str = "t") -> DataFrame:
     """Sorted points at least ``spacing`` (a number or a column) after the last one kept."""
     gap = F.col(spacing) if isinstance(spacing, str) else F.lit(float(spacing))
     rows = points.select(key, F.col(at).alias("x"), gap.alias("g"))
-    rows = mark_islands(rows, [key], ["x"], lambda prev: F.col("x") - prev("x") >= F.col("g"))
+    rows = mark_islands(rows, [key], ["x"], lambda prev: F.col("x") - prev("x") >= F.col("g"), SECONDS_BIN, ["x"])
 
-    def step(acc: Column, x: Column) -> Column:
-        keep = F.when(F.size(acc) == 0, F.lit(True)).otherwise(x["x"] - F.try_element_at(acc, F.lit(-1))["x"] >= x["g"])
-        return F.when(keep, F.concat(acc, F.array(F.struct(x["x"].alias("x"))))).otherwise(acc)
+    def fold():
+        last: list = []
 
-    safe = lambda acc, x: F.when(F.size(acc) == 0, F.array(F.struct(x["x"].alias("x")))).otherwise(step(acc, x))
-    out = _fold(rows, [key], ["x", "g"], safe, "struct<x:double>")
-    return out.select(key, F.col("x").alias(at))
+        def step(row):
+            if row is None or (last and row[0] - last[0] < row[1]):
+                return []
+            last[:] = row
+            return [(row[0],)]
+
+        return step
+
+    return fold_islands(rows, [key], ["x", "g"], ["x", "g"], f"{at} double", fold)
 
 
 def suppress_near_duplicates(clips: DataFrame, key: str = "media_id", iou: float = 0.9, edge: float = 5.0, middle: float = 3.0) -> DataFrame:
     """Clips in rank order, without those near an already kept one; ranks stay as they are.
 
-    ``clips``: key, rank, start_seconds, end_seconds, middle. Returns the kept (key, rank).
+    ``clips``: key, rank, start_seconds, end_seconds, middle. Returns the kept (key, rank). A
+    clip is compared with the kept ones whose edges are in its cell or the cells around it.
     """
+    check_range(iou=(iou, 0.0, 1.0), edge=(edge, 0.0, ANY), middle=(middle, 0.0, ANY))
     rows = clips.select(key, *_CLIP)
-    rows = mark_islands(rows, [key], ["start_seconds", "rank"], lambda prev: F.col("start_seconds") - prev("start_seconds") > edge)
-
-    def step(acc: Column, x: Column) -> Column:
-        near = F.exists(acc, lambda k: _near(lambda c: k[c], lambda c: x[c], iou, edge, middle))
-        return F.when(near, acc).otherwise(F.concat(acc, F.array(F.struct(*[x[c].alias(c) for c in _CLIP]))))
-
-    kinds = dict(rows.dtypes)
-    out = _fold(rows, [key], list(_CLIP), step, "struct<" + ",".join(f"{c}:{kinds[c]}" for c in _CLIP) + ">")
-    return out.select(key, "rank")
+    rows = mark_islands(rows, [key], ["start_seconds", "rank"], lambda prev: F.col("start_seconds") - prev("start_seconds") > edge, SECONDS_BIN, ["start_seconds"])
+    cell = max(edge, 1e-3)
+
+    def fold():
+        kept: dict[tuple[int, int], list[tuple]] = {}
+
+        def near(a, b) -> bool:
+            (s1, e1, m1), (s2, e2, m2) = a, b
+            hull = max(e1, e2) - min(s1, s2)
+            ratio = max(0.0, min(e1, e2) - max(s1, s2)) / hull if hull > 0 else 0.0
+            return ratio >= iou and abs(s1 - s2) <= edge and abs(e1 - e2) <= edge and abs(m1 - m2) <= middle
+
+        def step(row):
+            if row is None:
+                return []
+            rank, *clip = row
+            i, j = int(clip[0] // cell), int(clip[1] // cell)
+            if any(near(k, clip) for x in (i - 1, i, i + 1) for y in (j - 1, j, j + 1) for k in kept.get((x, y), ())):
+                return []
+            kept.setdefault((i, j), []).append(tuple(clip))
+            return [(rank,)]
+
+        return step
+
+    return fold_islands(rows, [key], ["rank"], list(_CLIP), f"rank {dict(rows.dtypes)['rank']}", fold)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cueline.functions.text import safe_name
+from cueline.functions.timecode import frame_name
 from cueline.operators.intervals import thin
 from cueline.storage import materialise
 
@@ -89,3 +91,9 @@ def select_moments(cuts: DataFrame, media: DataFrame, n: int = 5, key: str = "me
     chosen = pick_spread(detected, n, key)
     filled = with_provenance(fill_moments(chosen, m, n, key), detected, key)
     return filled.select(key, F.row_number().over(Window.partitionBy(key).orderBy("t", "source")).alias("sequence"), "t", "source")
+
+
+def frame_files(moments: DataFrame, media: DataFrame, key: str = "media_id", name: str = "video_name") -> DataFrame:
+    """(key, sequence, folder, file_name) of each moment's frame; the folder is named by the recording. ``media``: key, name."""
+    rows = moments.join(media.select(key, safe_name(name).alias("folder")), key)
+    return rows.select(key, "sequence", "folder", frame_name("sequence", "source", "t").alias("file_name"))

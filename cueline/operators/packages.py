@@ -1,7 +1,7 @@
 """Upload packages: titles, description, tags and hashtags of a request.
 
-Wording is data: a template table with (video_type, pos, title) and (video_type, caption)
-rows, broadcast because it is written by hand.
+Wording is data: a template table with (kind, pos, template) rows, broadcast where it is
+counted to be small, and the captions of thumbnails by kind.
 """
 
 from __future__ import annotations
@@ -27,6 +27,44 @@ TAGS = ("%n", "%n gameplay", "%n %v", "%n %t", "%v", "%t", "gaming", "gameplay",
 DESCRIPTION = "%c plays %n: %t.\n\nA %v video for %a.\n\nGame: %n\nType: %v\nTopic: %t\nChannel: %c\n\n%h"
 
 
+# The captions of a thumbnail by kind of video; %n is the name, %t the topic, in capitals.
+CAPTIONS = {
+    "funny": ("YE KYA HO GAYA?!", "SAB ULTA PAD GAYA", "BIGGEST FAIL EVER", "CONTROL HI NAHI HUA", "%n GONE WRONG"),
+    "challenge": ("CHALLENGE ACCEPTED", "KYA MAIN KAR PAUNGA?", "THIS WAS IMPOSSIBLE", "LAST TRY CLUTCH", "%t COMPLETE?"),
+    "walkthrough": ("%t BEGINS", "SECRET PATH FOUND", "YE AREA DANGEROUS HAI", "BOSS KE PAAS PAHUNCH GAYA", "%n FULL ACTION"),
+    "boss": ("BOSS FIGHT START!", "YE KITNA TOUGH HAI?!", "ONE LAST ATTEMPT", "BOSS KO HARA DIYA?", "FINAL CLUTCH MOMENT"),
+    "other": ("%t STARTS NOW", "YE KYA MIL GAYA?!", "THIS CHANGED EVERYTHING", "SABSE DANGEROUS MOMENT", "%n FULL ACTION"),
+}
+# What these captions are in English.
+ENGLISH_CAPTIONS = {
+    "YE KYA HO GAYA?!": "WHAT JUST HAPPENED?!",
+    "SAB ULTA PAD GAYA": "EVERYTHING WENT WRONG",
+    "CONTROL HI NAHI HUA": "I LOST CONTROL",
+    "KYA MAIN KAR PAUNGA?": "CAN I COMPLETE THIS?",
+    "YE AREA DANGEROUS HAI": "THIS AREA IS DANGEROUS",
+    "BOSS KE PAAS PAHUNCH GAYA": "I REACHED THE BOSS",
+    "YE KITNA TOUGH HAI?!": "HOW TOUGH IS THIS?!",
+    "BOSS KO HARA DIYA?": "DID I BEAT THE BOSS?",
+    "YE KYA MIL GAYA?!": "WHAT DID I FIND?!",
+    "SABSE DANGEROUS MOMENT": "THE MOST DANGEROUS MOMENT",
+}
+# Name, creator's side, zoom, creator's scale and darkening of the five variants.
+LAYOUTS = (
+    ("strongest_gameplay_reaction", "right", 1.08, 0.92, 82),
+    ("curiosity_creator_left", "left", 1.04, 0.88, 78),
+    ("high_action_creator_right", "right", 1.12, 0.86, 72),
+    ("alternate_reaction_layout", "left", 1.06, 0.90, 80),
+    ("experimental_brand_variant", "right", 1.02, 0.84, 68),
+)
+#: Rows of templates that are broadcast at most.
+BROADCAST_TEMPLATES = 10_000
+
+
+def is_english(language: Column) -> Column:
+    low = F.lower(language)
+    return low.contains("english") & ~low.contains("hinglish")
+
+
 def video_kind(video_type: Column | str) -> Column:
     """First of the known kinds that the type's name holds, in order, else other."""
     low = F.lower(F.col(video_type) if isinstance(video_type, str) else video_type)
@@ -48,6 +86,22 @@ def translate_captions(captions: DataFrame, translations: dict[str, str], text:
     return captions.withColumn(text, F.coalesce(F.try_element_at(table, F.col(text)), F.col(text)))
 
 
+def caption_variants(requests: DataFrame, profiles: DataFrame, key: str = "request_id") -> DataFrame:
+    """(key, variant, caption, descriptive_name, creator_side, gameplay_zoom, creator_scale, darken_strength): five for each request.
+
+    The wording goes by the kind of video; for a language that is English, captions that have
+    an exact translation are translated. A profile without a language counts as English.
+    """
+    rows = requests.join(profiles.select("profile_key", "preferred_language"), "profile_key", "left")
+    texts = F.create_map(*[x for k, v in CAPTIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    rows = rows.select(key, F.upper(F.coalesce("game_name", F.lit(""))).alias("name"), F.upper(F.coalesce("episode_topic", F.lit(""))).alias("topic"), F.coalesce("preferred_language", F.lit("English")).alias("language"), F.element_at(texts, video_kind(F.coalesce("video_type", F.lit("")))).alias("captions"))
+    rows = rows.select("*", F.posexplode("captions").alias("pos", "caption"))
+    rows = rows.withColumn("caption", F.replace(F.replace("caption", F.lit("%n"), F.col("name")), F.lit("%t"), F.col("topic")))
+    english = translate_captions(rows.select(key, "pos", "language", "caption", F.col("caption").alias("own")), ENGLISH_CAPTIONS)
+    layout = F.element_at(F.array(*[F.struct(F.lit(a).alias("descriptive_name"), F.lit(b).alias("creator_side"), F.lit(c).alias("gameplay_zoom"), F.lit(d).alias("creator_scale"), F.lit(e).alias("darken_strength")) for a, b, c, d, e in LAYOUTS]), F.col("pos") + 1)
+    return english.select(key, (F.col("pos") + 1).alias("variant"), F.when(is_english(F.col("language")), F.col("caption")).otherwise(F.col("own")).alias("caption"), layout.alias("l")).select(key, "variant", "caption", "l.*")
+
+
 def profile_settings(profiles: DataFrame) -> DataFrame:
     """Append logo_enabled and logo_path with their defaults."""
     has = "logo" in profiles.columns
@@ -86,15 +140,15 @@ def build_packages(requests: DataFrame, profiles: DataFrame, research: DataFrame
     )
     r = r.withColumn("kind", video_kind("kind_name"))
     by_kind = templates.groupBy("kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "template"))), lambda x: x["template"]).alias("templates"))
-    r = r.join(F.broadcast(by_kind), "kind", "left")
-    is_english = F.lower("language").contains("english") & ~F.lower("language").contains("hinglish")
+    small = templates.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES
+    r = r.join(F.broadcast(by_kind) if small else by_kind, "kind", "left")
 
     def title(template: Column) -> Column:
         plain = _fill(template)
         swapped = plain
         for old, new in (english or {}).items():
             swapped = F.replace(swapped, F.lit(old), F.lit(new))
-        return cut_title(F.when(is_english, swapped).otherwise(plain))
+        return cut_title(F.when(is_english(F.col("language")), swapped).otherwise(plain))
 
     r = r.withColumn("titles", F.transform("templates", title))
     r = r.withColumn("hashtags", ordered_distinct(F.array(hashtag("name"), F.lit("#Gaming"), F.lit("#Gameplay"), hashtag("kind_name"), F.lit("#GamingVideo"))))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cueline.functions.text import clean, comparison_key, title_case
+from cueline.storage import materialise, release
 
 # The vocabularies that terms and names are restricted to.
 TERMS = (
@@ -49,15 +50,28 @@ def url_key(url: Column | str) -> Column:
 def dedupe_results(results: DataFrame, key: str = "request_id") -> DataFrame:
     """Results whose URL and title are both new among those kept before them, in order of pos.
 
-    A fold over one request's results, of which there are few: queries times results a query.
+    In rounds, however many results a request has: those that come first among all with their
+    URL and among all with their title are kept, and what shares either with them goes. Rounds
+    end when nothing is left; chains of results that share URL and title by turns take longest.
     """
     rows = results.withColumns({"__u": url_key("url"), "__t": comparison_key("title")})
-    fields = [c for c in rows.columns if c != key]
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "__u", "__t"))).alias("rows"))
-    kind = "struct<" + ",".join(f"{c}:{dict(rows.dtypes)[c]}" for c in ("pos", "__u", "__t")) + ">"
-    step = lambda acc, x: F.when(F.exists(acc, lambda k: (k["__u"] == x["__u"]) | (k["__t"] == x["__t"])), acc).otherwise(F.concat(acc, F.array(x)))
-    kept = listed.select(key, F.inline(F.aggregate("rows", F.array().cast(f"array<{kind}>"), step))).select(key, "pos")
-    return rows.join(kept, [key, "pos"]).select(key, *[c for c in fields if not c.startswith("__")])
+    left = materialise(rows.select(key, "pos", "__u", "__t").distinct(), "results")
+    order, kept = F.struct("pos", "__u", "__t"), None
+    while True:
+        by = {c: left.groupBy(key, c).agg(F.min(order).alias(f"__first{c}")) for c in ("__u", "__t")}
+        marked = left.join(by["__u"], [key, "__u"]).join(by["__t"], [key, "__t"])
+        marked = materialise(marked.withColumn("__new", (order == F.col("__first__u")) & (order == F.col("__first__t"))), "results")
+        new = marked.where("__new").select(key, "pos", "__u", "__t")
+        kept = new if kept is None else kept.unionByName(new)
+        old, left = left, marked.where("NOT __new").select(key, "pos", "__u", "__t")
+        for c in ("__u", "__t"):
+            left = left.join(new.select(key, c).distinct(), [key, c], "left_anti")
+        left = materialise(left, "results")
+        release(old)
+        if left.isEmpty():
+            break
+    fields = [c for c in results.columns if c != key]
+    return rows.join(kept.select(key, "pos").distinct(), [key, "pos"]).select(key, *fields)
 
 
 def name_candidates(results: DataFrame, key: str = "request_id") -> DataFrame:

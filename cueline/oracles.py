@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from cueline.operators.packages import TITLES
+from cueline.operators.packages import CAPTIONS, ENGLISH_CAPTIONS, LAYOUTS, TITLES
 
 EV = "ev AS (SELECT user_id AS media_id, event_id, event_type, value, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3.6e9 AS t FROM events)"
 NUM = "row_number() OVER (PARTITION BY media_id ORDER BY t, event_id) - 1"
 EVN = f"evn AS (SELECT *, {NUM} AS n FROM ev)"
-SEG = f"seg AS (SELECT media_id, {NUM} AS seg_idx, event_id, t AS s, t + value / 100 AS e FROM ev WHERE event_type IN ('click', 'view', 'purchase'))"
+SEG = f"seg AS (SELECT media_id, {NUM} AS seg_idx, event_id, t AS s, t + value / 100 AS e FROM ev)"
 SC = f"sc AS (SELECT * FROM (SELECT media_id, {NUM} AS scene_idx, t AS s, lead(t) OVER (PARTITION BY media_id ORDER BY t, event_id) AS e FROM ev) x WHERE e IS NOT NULL)"
 TEXTS = """placed AS (
   SELECT media_id, seg_idx, scene_idx FROM (
@@ -15,7 +15,7 @@ TEXTS = """placed AS (
     FROM seg g JOIN sc c ON g.media_id = c.media_id AND c.s < g.e AND g.s < c.e) x WHERE k = 1),
 texts AS (
   SELECT c.media_id, c.scene_idx, coalesce(string_agg(x.text, ' ' ORDER BY x.seg_idx), '') AS transcript_text
-  FROM sc c LEFT JOIN (SELECT p.media_id, p.scene_idx, p.seg_idx, substr(d.text, 1, 80) AS text FROM placed p JOIN seg g USING (media_id, seg_idx) JOIN documents d ON d.doc_id = g.event_id % 200 WHERE length(d.text) > 0) x
+  FROM sc c LEFT JOIN (SELECT p.media_id, p.scene_idx, p.seg_idx, d.text FROM placed p JOIN seg g USING (media_id, seg_idx) JOIN documents d ON d.doc_id = g.event_id % (SELECT max(doc_id) + 1 FROM documents) WHERE length(d.text) > 0) x
     ON x.media_id = c.media_id AND x.scene_idx = c.scene_idx GROUP BY ALL),
 stats AS (
   SELECT media_id, scene_idx, transcript_text, length(trim(transcript_text, E' \\n\\t\\r')) AS chars,
@@ -99,11 +99,11 @@ err AS (
 ATTEMPTS = """att AS (
   SELECT conv_id, turn + 1 AS attempt, coalesce(text, '') AS text, turn % 2 = 0 AS marked FROM conversations),
 meta AS (
-  SELECT conv_id, attempt, substr(text, 1, 60) AS hook, substr(text, 1, 65) AS title,
-    list_transform(list_filter(regexp_split_to_array(substr(text, 1, 40), '[^A-Za-z]+'), lambda w: w <> '')[1:4], lambda w: CASE WHEN marked THEN '#' || w ELSE w END) AS tags FROM att),
+  SELECT conv_id, attempt, text AS hook, text AS title,
+    list_transform(list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda w: w <> ''), lambda w: CASE WHEN marked THEN '#' || w ELSE w END) AS tags FROM att),
 rules AS (
   SELECT *, list_filter([CASE WHEN trim(hook, E' \\n\\t\\r') = '' THEN 'hook' END, CASE WHEN trim(title, E' \\n\\t\\r') = '' THEN 'title' END, CASE WHEN len(tags) = 0 THEN 'hashtags' END,
-    CASE WHEN length(title) > 70 THEN 'title_length' END, CASE WHEN len(list_filter(tags, lambda h: h[1] <> '#')) > 0 THEN 'hashtag_mark' END], lambda x: x IS NOT NULL) AS failures FROM meta)"""
+    CASE WHEN length(title) > 70 THEN 'title_length' END, CASE WHEN len(list_filter(tags, lambda h: h[1] <> '#')) > 0 THEN 'hashtag_mark' END, CASE WHEN regexp_matches(hook, '[஀-ൿ]') THEN 'script' END], lambda x: x IS NOT NULL) AS failures FROM meta)"""
 
 MOMENTS = """
 WITH RECURSIVE {EV},
@@ -135,7 +135,7 @@ WORDS = """docs AS (SELECT coalesce(source, '') AS request_id, doc_id, regexp_re
 toks AS (SELECT request_id, doc_id, list_filter(regexp_extract_all(t, '\\b[a-z][a-z0-9''-]{2,}\\b'), lambda w: w NOT IN ('the', 'ring')) AS w FROM docs)"""
 
 PACK = """req AS (
-  SELECT p_partkey AS request_id, CASE WHEN p_partkey % 4 = 0 AND p_partkey % 3 <> 1 THEN 'The ' || p_name ELSE p_name END AS name, p_brand AS topic,
+  SELECT p_partkey AS request_id, CASE WHEN p_partkey % 4 = 0 THEN 'The ' || p_name ELSE p_name END AS name, p_brand AS topic,
     ['Funny cuts', 'Challenge run', 'Full Walkthrough', 'BOSS fight', 'Stream'][p_partkey % 5 + 1] AS vt, ['funny', 'challenge', 'walkthrough', 'boss', 'other'][p_partkey % 5 + 1] AS kind,
     coalesce(s_name, '') AS ch, CASE WHEN s_suppkey % 3 = 0 THEN 'Hinglish' ELSE 'English' END AS lang, CASE WHEN s_suppkey % 2 = 0 THEN 'night owls' ELSE 'gaming viewers' END AS aud
   FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 10 + 1),
@@ -230,8 +230,15 @@ sc AS (SELECT session_id, lag, dot / greatest(1, least(nm, ns) - abs(lag)) AS sc
 best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY score DESC, lag) = 1),
 sec AS (SELECT b.session_id, max(o.score) AS second FROM best b JOIN sc o ON o.session_id = b.session_id AND abs(o.lag - b.lag) > 2 GROUP BY 1),
 fin AS (SELECT b.session_id, b.lag, least(1, greatest(0, coalesce(CASE WHEN isnan(r) THEN NULL ELSE r END, 0))) AS p, CASE WHEN coalesce(second, 0) <= 0 THEN 2.0 ELSE score / second END AS ratio FROM best b LEFT JOIN sec USING (session_id))
-SELECT session_id, lag, round(p, 6) AS pearson, round(ratio, 6) AS ratio, round(0.8 * p + 0.2 * least(1, greatest(0, (ratio - 1) / 0.25)), 6) AS confidence FROM fin"""
+SELECT session_id, lag, round(p, 6) AS pearson, round(ratio, 6) AS ratio, round(0.8 * p + 0.2 * least(1, greatest(0, (ratio - 1) / 0.25)), 6) AS confidence, p >= 0.2 AND ratio >= 1.05 AS accepted FROM fin"""
     sql["fft_alignment"] = sql["lag_alignment"]
+    sql["session_offsets"] = f"SELECT session_id, lag * 40.0 AS gameplay_offset_seconds, lag * 40.0 AS facecam_offset_seconds, confidence AS gameplay_confidence, confidence AS facecam_confidence FROM ({sql['lag_alignment']}) x WHERE accepted"
+    sql["metadata_rows"] = f"""
+WITH {RAW}
+SELECT media_id, rank, CASE WHEN cut THEN '' ELSE replace(reason, E'\\n', ' ') END AS hook, CASE WHEN cut THEN '' ELSE event_type END AS title, CASE WHEN cut THEN '' ELSE '#' || event_type || '|None|#clip' END AS hashtags,
+  '' AS description, '' AS thumbnail_prompt FROM raw"""
+    sql["run_counts"] = """
+SELECT user_id AS run_id, count(*) FILTER (event_type = 'purchase') AS highlights, count(*) FILTER (event_type = 'click') AS exports, count(*) FILTER (event_type = 'view') AS packages FROM events GROUP BY 1"""
     sql["highlight_scores"] = f"WITH {BASE}, {SCORES} SELECT media_id, scene_idx, round(motion_score, 6) AS motion_score, round(speech_score, 6) AS speech_score, round(audio_score, 6) AS audio_score, round(final_score, 6) AS final_score FROM scores"
     sql["highlight_candidates"] = f"""
 WITH {BASE}, {SCORES},
@@ -239,7 +246,10 @@ rounded AS (SELECT media_id, scene_idx, s, e, round(final_score, 6) AS final_sco
 ranked AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY final_score DESC, scene_idx) AS rank FROM rounded WHERE final_score >= 0.4),
 {_window(45, 145)}
 SELECT media_id, scene_idx, rank, final_score, round(cs, 6) AS start_seconds, round(ce, 6) AS end_seconds FROM clips"""
-    sql["missing_features"] = f"WITH {EV}, {SC} SELECT media_id, scene_idx, 'motion' AS missing FROM sc WHERE scene_idx % 9 = 0 UNION ALL SELECT media_id, scene_idx, 'loudness' FROM sc WHERE scene_idx % 5 = 0"
+    sql["missing_features"] = f"""
+WITH {EV}, {SC}, cnt AS (SELECT media_id, count(*) AS k FROM ev GROUP BY 1),
+span AS (SELECT c.media_id, scene_idx, least(CAST(floor(e * 0.1) AS BIGINT), k) - CAST(floor(s * 0.1) AS BIGINT) AS n FROM sc c JOIN cnt USING (media_id))
+SELECT media_id, scene_idx, 'motion' AS missing FROM span WHERE n < 2 UNION ALL SELECT media_id, scene_idx, 'loudness' FROM span WHERE n < 1"""
     sql["response_rows"] = f"""
 WITH {RAW}
 SELECT media_id, rank, NOT cut AND yes AS is_interesting, CASE WHEN cut THEN 'unknown' ELSE event_type END AS category,
@@ -256,19 +266,17 @@ items AS (SELECT DISTINCT conv_id, ['click', 'view', 'other'][conv_id % 3 + 1] A
 SELECT i.conv_id, g.attempt, coalesce(g.hook, f.hook) AS hook, coalesce(g.title, f.title) AS title, coalesce(array_to_string(g.tags, ' '), f.tags) AS hashtags FROM items i LEFT JOIN good g USING (conv_id) LEFT JOIN fb f ON f.category = i.category"""
     sql["final_ranking"] = f"""
 WITH {RAW}, {SC},
-ok AS (SELECT *, NOT (cut OR broken) AS fine FROM raw),
-told AS (SELECT media_id, (rank - 1) % 20 + 1 AS rank, CASE WHEN cut THEN 'unknown' ELSE event_type END AS commentary_category FROM raw QUALIFY row_number() OVER (PARTITION BY media_id, (rank - 1) % 20 ORDER BY event_id DESC) = 1),
-seen AS (SELECT media_id, rank, CASE WHEN fine THEN 'high' ELSE 'low' END AS action_level, fine AS keep_highlight, CASE WHEN fine THEN least(1, greatest(0, CAST(c AS DOUBLE))) ELSE 0 END AS final_confidence FROM ok WHERE rank % 3 <> 0 AND rank <= 20),
-clip AS (SELECT media_id, scene_idx % 18 + 1 AS rank, s FROM sc QUALIFY row_number() OVER (PARTITION BY media_id, scene_idx % 18 ORDER BY scene_idx DESC) = 1)
-SELECT media_id, rank, row_number() OVER (PARTITION BY media_id ORDER BY final_confidence DESC, rank) AS number, commentary_category, action_level, keep_highlight, final_confidence, round(s, 6) AS start_seconds
-FROM told JOIN seen USING (media_id, rank) JOIN clip USING (media_id, rank)"""
+fine AS (SELECT *, least(1, greatest(0, CAST(c AS DOUBLE))) AS final_confidence FROM raw WHERE NOT (cut OR broken))
+SELECT f.media_id, rank, row_number() OVER (PARTITION BY f.media_id ORDER BY final_confidence DESC, rank) AS number, event_type AS commentary_category, 'high' AS action_level, true AS keep_highlight, final_confidence, round(s, 6) AS start_seconds
+FROM fine f JOIN sc c ON c.media_id = f.media_id AND c.scene_idx + 1 = f.rank"""
     sql["highlight_files"] = f"""
-WITH {RAW}, c AS (SELECT media_id, rank, CASE WHEN cut OR broken THEN 0 ELSE least(1, greatest(0, CAST(c AS DOUBLE))) END AS conf FROM raw WHERE rank <= 20),
+WITH {RAW}, c AS (SELECT media_id, rank, CASE WHEN cut OR broken THEN 0 ELSE least(1, greatest(0, CAST(c AS DOUBLE))) END AS conf FROM raw),
 n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY conf DESC, rank) AS number FROM c)
 SELECT media_id, number, printf('highlight_%03d.mp4', number) AS file_name, rank, printf('highlight_%03d.mp4', number) AS named FROM n"""
     sql["timeline_remap"] = f"""
-WITH {EV} SELECT media_id, event_id, CASE WHEN media_id % 10 <> 3 THEN round(t + media_id % 7 - 100, 6) END AS source_seconds,
-  CASE WHEN media_id % 10 = 3 THEN 'no session' WHEN t + (media_id % 7 - 100) < 0 THEN 'before the source begins' END AS reject_reason FROM ev"""
+WITH {EV}, bought AS (SELECT *, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY media_id) > 0 AS has FROM ev)
+SELECT media_id, event_id, CASE WHEN has THEN round(t + media_id % 7 - 100, 6) END AS source_seconds,
+  CASE WHEN NOT has THEN 'no session' WHEN t + (media_id % 7 - 100) < 0 THEN 'before the source begins' END AS reject_reason FROM bought"""
     sql["run_summary"] = """
 WITH s AS (SELECT user_id AS run_id, event_type AS stage, sum(value) AS s FROM events GROUP BY ALL),
 b AS (SELECT run_id, count(*) AS stages, sum(s) AS total FROM s GROUP BY 1)
@@ -282,14 +290,17 @@ WITH {_caption_cte()},
 doc AS (SELECT doc_id, string_agg((caption_idx + 1) || E'\\n' || {_time("s", ",")} || ' --> ' || {_time("e", ",")} || E'\\n' || text, E'\\n\\n' ORDER BY caption_idx) || E'\\n' AS d FROM cap GROUP BY 1)
 SELECT s.doc_id, length(coalesce(doc.d, '')) AS chars, md5(coalesce(doc.d, '')) AS document_md5 FROM src s LEFT JOIN doc USING (doc_id)"""
     sql["caption_lines"] = f"""
-WITH {ATTEMPTS}, w AS (SELECT conv_id, attempt, list_filter(regexp_split_to_array(substr(hook, 1, 25), '\\s+'), lambda x: x <> '') AS w FROM meta),
+WITH {ATTEMPTS}, w AS (SELECT conv_id, attempt, list_filter(regexp_split_to_array(hook, '\\s+'), lambda x: x <> '') AS w FROM meta),
 c AS (SELECT *, len(w) AS n, CASE WHEN len(w) <= 5 THEN 2 ELSE CAST(ceil(len(w) * 0.4) AS BIGINT) END AS a, CASE WHEN len(w) = 5 THEN 4 ELSE CAST(ceil(len(w) * 0.75) AS BIGINT) END AS b FROM w)
 SELECT conv_id, attempt, CASE WHEN n = 0 THEN 'NOW' WHEN n <= 2 THEN array_to_string(w, ' ') WHEN n <= 4 THEN array_to_string(w[1:2], ' ') || '/' || array_to_string(w[3:], ' ')
   ELSE array_to_string(w[1:a], ' ') || '/' || array_to_string(w[a + 1 : b], ' ') || '/' || array_to_string(w[b + 1 :], ' ') END AS lines FROM c"""
     clock = "CAST(round_even(greatest(t, 0), 0) AS BIGINT)"
     sql["time_codes"] = f"WITH {EV} SELECT event_id, {_time('t - 1', ',')} AS srt, {_time('t', '.')} AS dotted, printf('%02d:%02d:%02d', {clock} // 3600, {clock} // 60 % 60, {clock} % 60) AS clock FROM ev"
     sql["moment_selection"] = MOMENTS.format(EV=EV, n=5, four="20.0", last=4, cut="")
-    sql["sparse_moments"] = MOMENTS.format(EV=EV, n=8, four="32.0", last=7, cut="AND event_id % 40 = 0")
+    sql["sparse_moments"] = MOMENTS.format(EV=EV, n=8, four="32.0", last=7, cut="AND event_type = 'purchase'")
+    sql["frame_files"] = f"""
+SELECT media_id, sequence, 'Run_' || media_id || '_' || CASE WHEN media_id % 2 = 0 THEN 'full' ELSE 'existing_highlight' END || '_mp4' AS folder,
+  printf('candidate_%02d_', sequence) || source || '_' || translate({_time("t", ".")}, ':.', '--') || '.jpg' AS file_name FROM ({sql["moment_selection"]}) x"""
     sql["scene_cut_times"] = f"WITH {EV}, {EVN} SELECT media_id, n AS pos, CAST(printf('%.3f', t) AS DOUBLE) AS t FROM evn"
     sql["frame_shortlist"] = f"WITH {METRICS} SELECT request_id, sequence, rank, total AS total_score, round(b, 2) AS brightness_score, round(k, 2) AS contrast_score, round(h, 2) AS sharpness_score, round(c, 2) AS color_score, round(d, 2) AS detail_score FROM short"
     sql["round_robin"] = f"""
@@ -320,6 +331,19 @@ t AS (SELECT request_id, CASE WHEN lang = 'English' THEN replace(x, 'gone wrong'
 SELECT u.request_id, name AS game_name, lang AS preferred_language, (SELECT title FROM t WHERE t.request_id = u.request_id AND pos = 0) AS primary_title, (SELECT string_agg(title, '|' ORDER BY pos) FROM t WHERE t.request_id = u.request_id AND pos > 0) AS alternate_titles,
   ch || ' plays ' || name || ': ' || topic || E'.\\n\\nA ' || vt || ' video for ' || aud || E'.\\n\\nGame: ' || name || E'\\nType: ' || vt || E'\\nTopic: ' || topic || E'\\nChannel: ' || ch || E'\\n\\n' || array_to_string(hashtags, ' ') AS description,
   array_to_string(hashtags, '|') AS hashtags, array_to_string(tags, '|') AS tags FROM uniq u"""
+    sql["package_files"] = f"""
+SELECT request_id, length('GAME' || E'\\n' || game_name || E'\\n\\nTITLE\\n' || primary_title || E'\\n\\nOTHER TITLES\\n'
+    || array_to_string(list_transform(string_split(alternate_titles, '|'), lambda t, i: i || '. ' || t), E'\\n') || E'\\n\\nDESCRIPTION\\n' || description
+    || E'\\n\\nHASHTAGS\\n' || replace(hashtags, '|', ' ') || E'\\n\\nTAGS\\n' || replace(tags, '|', ', ') || E'\\n') AS chars, primary_title FROM ({sql["upload_packages"]}) x"""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    captions = ", ".join(f"('{k}', {i}, {quoted(t)})" for k, v in CAPTIONS.items() for i, t in enumerate(v))
+    english = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in ENGLISH_CAPTIONS.items())
+    layouts = ", ".join(f"({i}, '{a}', '{b}', {c}::DOUBLE, {d}::DOUBLE, {e})" for i, (a, b, c, d, e) in enumerate(LAYOUTS))
+    sql["caption_variants"] = f"""
+WITH {PACK}, cap(kind, i, template) AS (VALUES {captions}), eng(caption, english) AS (VALUES {english}), lay(i, descriptive_name, creator_side, gameplay_zoom, creator_scale, darken_strength) AS (VALUES {layouts}),
+made AS (SELECT p_partkey AS request_id, i, CASE WHEN lang = 'English' THEN 1 ELSE 0 END AS e, replace(replace(template, '%n', upper(p_name)), '%t', upper(p_brand)) AS caption FROM req JOIN part ON p_partkey = request_id JOIN cap USING (kind))
+SELECT request_id, i + 1 AS variant, CASE WHEN e = 1 THEN coalesce(english, m.caption) ELSE m.caption END AS caption, descriptive_name, creator_side, gameplay_zoom, creator_scale, darken_strength
+FROM made m JOIN lay USING (i) LEFT JOIN eng ON eng.caption = m.caption"""
     sql["name_slugs"] = f"""
 WITH {ATTEMPTS}, s AS (SELECT *, trim(regexp_replace(lower(hook), '[^a-z0-9]+', '_', 'g'), '_') AS sl, regexp_replace(hook, '[^a-zA-Z0-9]+', '', 'g') AS h, array_to_string(list_filter(regexp_split_to_array(title, '\\s+'), lambda w: w <> ''), ' ') AS ti FROM meta),
 c AS (SELECT *, rtrim(substr(ti, 1, 37)) AS cu FROM s)
@@ -332,6 +356,14 @@ SELECT media_id, CASE WHEN torn THEN 0 ELSE d::DOUBLE END AS duration_seconds, C
   CASE WHEN torn OR NOT video THEN 'unknown' ELSE 'h264' END AS video_codec, CASE WHEN torn OR NOT audio THEN '' ELSE 'aac' END AS audio_codec, CASE WHEN torn OR NOT audio THEN 0 ELSE 128000 END AS audio_bitrate,
   CASE WHEN torn THEN 0 ELSE media_id * 1000 END AS file_size, NOT torn AND audio AS has_audio,
   CASE WHEN torn THEN 'unreadable' WHEN NOT video THEN 'no video stream' WHEN d <= 0 THEN 'no duration' WHEN n <= 0 THEN 'no frame size' END AS reject_reason FROM p"""
+    sql["probe_media_lenient"] = """
+WITH p AS (SELECT p_partkey AS media_id, p_size AS n, p_size % 17 = 0 AS torn, p_size % 9 <> 0 AS video, p_size % 9 = 0 OR p_size % 6 <> 0 AS audio, CASE WHEN p_size % 10 = 0 THEN 0.5 ELSE p_size + 0.5 END AS d FROM part)
+SELECT media_id, CASE WHEN torn THEN 0 ELSE d::DOUBLE END AS duration_seconds, CASE WHEN torn OR NOT video THEN 0 ELSE n * 16 END AS width, CASE WHEN torn OR NOT video THEN 0 ELSE n * 9 END AS height,
+  CASE WHEN torn OR NOT video THEN 0 ELSE 30 END::DOUBLE AS fps, CASE WHEN torn OR NOT video THEN '' ELSE 'h264' END AS video_codec, CASE WHEN torn OR NOT audio THEN '' ELSE 'aac' END AS audio_codec,
+  CASE WHEN torn THEN 'unreadable' END AS reject_reason FROM p"""
+    sql["profile_rules"] = """
+SELECT s_suppkey AS profile_key, CASE WHEN s_suppkey % 11 = 0 THEN 'not a mapping' WHEN s_suppkey % 5 = 0 THEN 'missing: ai_face_generation' WHEN s_suppkey % 7 = 0 THEN 'channel_name is not a text'
+  WHEN s_suppkey % 3 = 0 THEN 'brand_colors is not a list' END AS error FROM supplier"""
     sql["ranking_validity"] = """
 WITH c AS (SELECT l_orderkey AS list_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS pos, l_partkey % 50 = 0 AS mov, l_linenumber AS rank, l_suppkey % 40 = 0 AS two, l_suppkey % 41 = 0 AS none FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY list_id, rank ORDER BY pos) AS k FROM c),
@@ -360,6 +392,10 @@ px AS (
     g[abs(y - 1) * 8 + x + 1]::DOUBLE + g[(7 - abs(6 - y)) * 8 + x + 1]::DOUBLE + g[y * 8 + abs(x - 1) + 1]::DOUBLE + g[y * 8 + (7 - abs(6 - x)) + 1]::DOUBLE - 4 * g[y * 8 + x + 1]::DOUBLE AS lap
   FROM f, range(8) r(y), range(8) c(x))
 SELECT media_id, frame_number, round(avg(v), 6) AS brightness, round(stddev_pop(v), 6) AS contrast, round(var_pop(lap), 6) AS sharpness FROM px GROUP BY ALL"""
+    sql["blurred_frames"] = """
+WITH f AS (SELECT label::BIGINT AS media_id, vec_id AS frame_number, embedding AS g FROM embeddings), w(i, k) AS (VALUES (0, 1::DOUBLE), (1, 4::DOUBLE), (2, 6::DOUBLE), (3, 4::DOUBLE), (4, 1::DOUBLE))
+SELECT media_id, frame_number, y * 8 + x AS pixel, round(sum(a.k * b.k / 256 * g[(7 - abs(7 - abs(y + a.i - 2))) * 8 + (7 - abs(7 - abs(x + b.i - 2))) + 1]::DOUBLE), 6) AS value
+FROM f, range(8) r(y), range(8) c(x), w a, w b GROUP BY ALL"""
     sql["caption_translations"] = "SELECT event_id, CASE event_type WHEN 'click' THEN 'klick' WHEN 'view' THEN 'blick' ELSE event_type END AS caption FROM events"
     sql["profile_logos"] = "SELECT s_suppkey AS profile_key, s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 AS logo_enabled, CASE WHEN s_suppkey % 3 = 0 THEN 'logo.png' ELSE '' END AS logo_path FROM supplier"
     return sql

@@ -82,11 +82,6 @@ def scene_transcripts(spark: SparkSession, sf: str) -> DataFrame:
     return _scene_transcripts(fx.transcript_segments(spark, sf), fx.scenes(spark, sf))
 
 
-@query
-def whole_scene_transcripts(spark: SparkSession, sf: str) -> DataFrame:
-    return _scene_transcripts(fx.whole_transcript_segments(spark, sf), fx.scenes(spark, sf))
-
-
 # --- signals -------------------------------------------------------------------------
 
 
@@ -128,7 +123,7 @@ def envelopes(spark: SparkSession, sf: str) -> DataFrame:
 def lag_alignment(spark: SparkSession, sf: str) -> DataFrame:
     master, source = _envelopes(spark, sf)
     scores = signals.lag_scores(master, source, 5)
-    return r6(signals.best_alignment(scores, apart=2).select("session_id", "lag", "pearson", "ratio", "confidence"), "pearson", "ratio", "confidence")
+    return r6(signals.best_alignment(scores, apart=2).select("session_id", "lag", "pearson", "ratio", "confidence", "accepted"), "pearson", "ratio", "confidence")
 
 
 @query
@@ -137,6 +132,14 @@ def fft_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return r6(signals.align_by_fft(master, source, 5, 2), "pearson", "ratio", "confidence")
 
 
+@query
+def session_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """A window has four samples of ten seconds."""
+    master, source = _envelopes(spark, sf)
+    out = signals.session_offsets(signals.best_alignment(signals.lag_scores(master, source, 5), apart=2), 40.0)
+    return r6(out, "gameplay_confidence", "facecam_confidence")
+
+
 # --- scores and candidates -----------------------------------------------------------
 
 
@@ -154,11 +157,6 @@ def highlight_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _highlight_scores(spark, sf, fx.transcript_segments(spark, sf))
 
 
-@query
-def whole_highlight_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return _highlight_scores(spark, sf, fx.whole_transcript_segments(spark, sf))
-
-
 def _highlight_candidates(spark: SparkSession, sf: str, said: DataFrame) -> DataFrame:
     # scores are rounded before they are compared: their sums depend on the order of rows
     scored = _scored(spark, sf, said).withColumn("final_score", F.round("final_score", 6))
@@ -171,11 +169,6 @@ def highlight_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return _highlight_candidates(spark, sf, fx.transcript_segments(spark, sf))
 
 
-@query
-def whole_highlight_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return _highlight_candidates(spark, sf, fx.whole_transcript_segments(spark, sf))
-
-
 def _highlight_run(spark: SparkSession, sf: str, said: DataFrame) -> DataFrame:
     """The whole run with a responder that answers by the length of the prompt."""
 
@@ -197,21 +190,8 @@ def highlight_run(spark: SparkSession, sf: str) -> DataFrame:
     return _highlight_run(spark, sf, fx.transcript_segments(spark, sf))
 
 
-@query
-def whole_highlight_run(spark: SparkSession, sf: str) -> DataFrame:
-    return _highlight_run(spark, sf, fx.whole_transcript_segments(spark, sf))
-
-
 @query
 def missing_features(spark: SparkSession, sf: str) -> DataFrame:
-    sc = fx.scenes(spark, sf)
-    motion = signals.scene_motion(fx.event_frames(spark, sf), sc.where("scene_idx % 9 <> 0"), fx.RATE, 1)
-    loud = sc.where("scene_idx % 5 <> 0").select("media_id", "scene_idx")
-    return scoring.missing_features(sc, motion, loud)
-
-
-@query
-def whole_missing_features(spark: SparkSession, sf: str) -> DataFrame:
     """Scenes whose own span has too few frames for a change, or no sample."""
     sc = fx.scenes(spark, sf)
     motion = signals.frame_changes(fx.event_frames(spark, sf), sc, fx.RATE, 1).select("media_id", "scene_idx").distinct()
@@ -236,6 +216,12 @@ def visual_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("media_id", "rank", "visual_event", "action_level", "danger_level", "looks_interesting", "reason", "confidence")
 
 
+@query
+def metadata_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = responses.metadata(fx.metadata_responses(spark, sf))
+    return rows.select("media_id", "rank", "hook", "title", F.array_join("hashtags", "|").alias("hashtags"), "description", "thumbnail_prompt")
+
+
 def _first_valid_metadata(spark: SparkSession, attempts: DataFrame) -> DataFrame:
     kinds = F.element_at(F.array(F.lit("click"), F.lit(" VIEW "), F.lit("boss")), (F.col("conv_id") % 3 + 1).cast("int"))
     items = attempts.select("conv_id").distinct().withColumn("category", kinds)
@@ -249,39 +235,14 @@ def first_valid_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return _first_valid_metadata(spark, fx.metadata_attempts(spark, sf))
 
 
-@query
-def whole_first_valid_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    return _first_valid_metadata(spark, fx.whole_metadata_attempts(spark, sf))
-
-
 @query
 def metadata_rules(spark: SparkSession, sf: str) -> DataFrame:
     out = fx.metadata_attempts(spark, sf)
     return out.select("conv_id", "attempt", F.array_join(responses.metadata_failures(), ",").alias("failures"))
 
 
-@query
-def whole_metadata_rules(spark: SparkSession, sf: str) -> DataFrame:
-    out = fx.whole_metadata_attempts(spark, sf)
-    return out.select("conv_id", "attempt", F.array_join(responses.metadata_failures(), ",").alias("failures"))
-
-
 @query
 def final_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    raw = fx.model_responses(spark, sf)
-    rank = ((F.col("rank") - 1) % 20 + 1).cast("int")
-    told = responses.commentary(raw).select("media_id", rank.alias("rank"), F.col("event_id").alias("seq"), F.col("category").alias("commentary_category"))
-    seen = responses.visual(raw.where("rank % 3 <> 0 AND rank <= 20")).select("media_id", F.col("rank").cast("int").alias("rank"), "action_level")
-    fused = responses.fusion(raw.where("rank <= 20")).select("media_id", F.col("rank").cast("int").alias("rank"), "keep_highlight", "final_confidence")
-    clips = fx.scenes(spark, sf).select("media_id", (F.col("scene_idx") % 18 + 1).cast("int").alias("rank"), F.col("scene_idx").alias("clip_seq"), "start_seconds")
-    ranks = clips.select("media_id", "rank").distinct()
-    both = decisions.join_visual(decisions.join_reasoning(ranks, told, "seq"), seen).join(fused, ["media_id", "rank"])
-    out = decisions.link_clips(decisions.rank_final(both), clips, "clip_seq")
-    return out.select("media_id", "rank", "number", "commentary_category", "action_level", "keep_highlight", "final_confidence", F.round("start_seconds", 6).alias("start_seconds"))
-
-
-@query
-def whole_final_ranking(spark: SparkSession, sf: str) -> DataFrame:
     """Every response of every rank; a clip whose visual answer can't be read has none."""
     raw = fx.model_responses(spark, sf).withColumn("rank", F.col("rank").cast("int"))
     told = responses.commentary(raw).select("media_id", "rank", F.col("event_id").alias("seq"), F.col("category").alias("commentary_category"))
@@ -296,7 +257,9 @@ def whole_final_ranking(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def timeline_remap(spark: SparkSession, sf: str) -> DataFrame:
-    sessions = fx.media(spark, sf).where("media_id % 10 <> 3").select("media_id", (F.col("media_id") % 7 - 100.0).alias("gameplay_offset_seconds"))
+    """Recordings without a purchase have no session."""
+    ev = fx.events(spark, sf).where("event_type = 'purchase'")
+    sessions = ev.select("media_id").distinct().withColumn("gameplay_offset_seconds", F.col("media_id") % 7 - 100.0)
     out = decisions.remap_timeline(fx.events(spark, sf), sessions, "gameplay_offset_seconds")
     return r6(out.select("media_id", "event_id", "source_seconds", "reject_reason"), "source_seconds")
 
@@ -307,6 +270,14 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
     return r6(decisions.summarise_runs(timings), "total_seconds", "slowest_share")
 
 
+@query
+def run_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases as highlights, clicks as exports, views as packages."""
+    of = lambda kind: fx.events(spark, sf).where(F.col("event_type") == kind).select(F.col("media_id").alias("run_id"))
+    runs = fx.media(spark, sf).select(F.col("media_id").alias("run_id"))
+    return decisions.count_results(runs, highlights=of("purchase"), exports=of("click"), packages=of("view"))
+
+
 @query
 def layout_routes(spark: SparkSession, sf: str) -> DataFrame:
     valid = inputs.check_sessions(fx.session_manifest(spark, sf)).where("error IS NULL").select("session_id", "layout")
@@ -325,11 +296,6 @@ def prompts(spark: SparkSession, sf: str) -> DataFrame:
     return _prompts(fx.transcript_segments(spark, sf), fx.scenes(spark, sf))
 
 
-@query
-def whole_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    return _prompts(fx.whole_transcript_segments(spark, sf), fx.scenes(spark, sf))
-
-
 # --- captions ------------------------------------------------------------------------
 
 
@@ -345,20 +311,13 @@ def caption_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def srt_documents(spark: SparkSession, sf: str) -> DataFrame:
-    clips = _spoken(spark, sf)
-    out = captions.subtitle_documents(captions.build_captions(clips, ["doc_id"]), clips, ["doc_id"])
+    out = captions.subtitles_of(_spoken(spark, sf), ["doc_id"])
     return out.select("doc_id", F.length("document").alias("chars"), F.md5(F.encode("document", "UTF-8")).alias("document_md5"))
 
 
 @query
 def caption_lines(spark: SparkSession, sf: str) -> DataFrame:
-    texts = fx.metadata_attempts(spark, sf).select("conv_id", "attempt", "hook")
-    return texts.select("conv_id", "attempt", F.array_join(tx.caption_lines(F.substring("hook", 1, 25), "NOW"), "/").alias("lines"))
-
-
-@query
-def whole_caption_lines(spark: SparkSession, sf: str) -> DataFrame:
-    texts = fx.whole_metadata_attempts(spark, sf)
+    texts = fx.metadata_attempts(spark, sf)
     return texts.select("conv_id", "attempt", F.array_join(tx.caption_lines("hook", "NOW"), "/").alias("lines"))
 
 
@@ -376,11 +335,6 @@ def _highlight_files(raw: DataFrame) -> DataFrame:
 
 @query
 def highlight_files(spark: SparkSession, sf: str) -> DataFrame:
-    return _highlight_files(fx.model_responses(spark, sf).where("rank <= 20"))
-
-
-@query
-def whole_highlight_files(spark: SparkSession, sf: str) -> DataFrame:
     return _highlight_files(fx.model_responses(spark, sf))
 
 
@@ -394,16 +348,17 @@ def moment_selection(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sparse_moments(spark: SparkSession, sf: str) -> DataFrame:
-    """Few cuts, so that fallback times fill up."""
-    cuts = fx.events(spark, sf).where("event_id % 40 = 0")
+    """All purchases as cuts: few recordings have as many as are wanted, so fallback times fill up."""
+    cuts = fx.events(spark, sf).where("event_type = 'purchase'")
     return r6(moments.select_moments(cuts, fx.media(spark, sf), 8), "t")
 
 
 @query
-def whole_sparse_moments(spark: SparkSession, sf: str) -> DataFrame:
-    """All purchases as cuts: few recordings have as many as are wanted, so fallback times fill up."""
-    cuts = fx.events(spark, sf).where("event_type = 'purchase'")
-    return r6(moments.select_moments(cuts, fx.media(spark, sf), 8), "t")
+def frame_files(spark: SparkSession, sf: str) -> DataFrame:
+    media = fx.media(spark, sf)
+    found = r6(moments.select_moments(fx.events(spark, sf), media, 5), "t")
+    names = media.select("media_id", F.concat(F.lit(" Run #"), F.col("media_id").cast("string"), F.lit(" ("), "mode", F.lit(").mp4")).alias("video_name"))
+    return moments.frame_files(found, names)
 
 
 @query
@@ -476,7 +431,7 @@ def search_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 def _packages(spark: SparkSession, sf: str) -> DataFrame:
     req = fx.package_requests(spark, sf)
-    found = req.where("request_id % 3 <> 1").select("request_id", F.when(F.col("request_id") % 4 == 0, F.concat(F.lit("The "), F.col("game_name"))).otherwise(F.lit(" ")).alias("suggested_name"))
+    found = req.select("request_id", F.when(F.col("request_id") % 4 == 0, F.concat(F.lit("The "), F.col("game_name"))).otherwise(F.lit(" ")).alias("suggested_name"))
     return packages.build_packages(req, fx.profiles(spark, sf), found, packages.title_templates(spark), english={"gone wrong": "went wrong"})
 
 
@@ -492,6 +447,11 @@ def package_files(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("request_id", F.length("text").alias("chars"), F.get_json_object("json", "$.primary_title").alias("primary_title"))
 
 
+@query
+def caption_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return packages.caption_variants(fx.package_requests(spark, sf), fx.profiles(spark, sf))
+
+
 def _name_slugs(hooks: DataFrame) -> DataFrame:
     return hooks.select("conv_id", "attempt", tx.slug("hook").alias("slug"), tx.hashtag("hook").alias("hashtag"), tx.cut_title("title", 40).alias("title"))
 
@@ -501,11 +461,6 @@ def name_slugs(spark: SparkSession, sf: str) -> DataFrame:
     return _name_slugs(fx.metadata_attempts(spark, sf))
 
 
-@query
-def whole_name_slugs(spark: SparkSession, sf: str) -> DataFrame:
-    return _name_slugs(fx.whole_metadata_attempts(spark, sf))
-
-
 # --- sources and checks --------------------------------------------------------------
 
 
@@ -520,6 +475,17 @@ def probe_media(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("media_id", "duration_seconds", "width", "height", F.round("fps", 6).alias("fps"), "video_codec", "audio_codec", "audio_bitrate", "file_size", "has_audio", "reject_reason")
 
 
+@query
+def probe_media_lenient(spark: SparkSession, sf: str) -> DataFrame:
+    out = inputs.probe_media(fx.probe_json(spark, sf), strict=False)
+    return out.select("media_id", "duration_seconds", "width", "height", F.round("fps", 6).alias("fps"), "video_codec", "audio_codec", "reject_reason")
+
+
+@query
+def profile_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return inputs.profile_errors(fx.profile_documents(spark, sf)).select("profile_key", "error")
+
+
 @query
 def ranking_validity(spark: SparkSession, sf: str) -> DataFrame:
     return checks.check_rankings(fx.ranking_clips(spark, sf))
@@ -542,12 +508,6 @@ def clean_transcripts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("media_id", "seg_idx", textclean.collapse("text").alias("text"))
 
 
-@query
-def whole_clean_transcripts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fx.whole_transcript_segments(spark, sf)
-    return rows.select("media_id", "seg_idx", textclean.collapse("text").alias("text"))
-
-
 # --- packages, media and frames ------------------------------------------------------
 
 
@@ -569,11 +529,6 @@ def package_assembly(spark: SparkSession, sf: str) -> DataFrame:
     return _package_assembly(spark, sf, fx.metadata_attempts(spark, sf))
 
 
-@query
-def whole_package_assembly(spark: SparkSession, sf: str) -> DataFrame:
-    return _package_assembly(spark, sf, fx.whole_metadata_attempts(spark, sf))
-
-
 @query
 def usable_envelopes(spark: SparkSession, sf: str) -> DataFrame:
     return signals.usable_envelopes(_envelopes(spark, sf)[0], "session_id", least=16)
@@ -602,6 +557,12 @@ def frame_pixels(spark: SparkSession, sf: str) -> DataFrame:
     return r6(out.select("media_id", "frame_number", "brightness", "contrast", "sharpness"), "brightness", "contrast", "sharpness")
 
 
+@query
+def blurred_frames(spark: SparkSession, sf: str) -> DataFrame:
+    out = signals.blur(fx.embedding_frames(spark, sf), 8)
+    return out.select("media_id", "frame_number", F.posexplode("gray").alias("pixel", "value")).withColumn("value", F.round("value", 6))
+
+
 @query
 def caption_translations(spark: SparkSession, sf: str) -> DataFrame:
     ev = fx.events(spark, sf).select("event_id", F.col("event_type").alias("caption"))

@@ -146,3 +146,29 @@ def check_profiles(profiles: DataFrame) -> DataFrame:
     """Append ``missing``: required fields that a profile lacks; an empty array is a valid profile."""
     lacks = [F.when(F.col(f).isNull() if f in profiles.columns else F.lit(True), F.lit(f)) for f in PROFILE_FIELDS]
     return profiles.withColumn("missing", F.array_compact(F.array(*lacks)))
+
+
+def profile_errors(documents: DataFrame, text: str = "profile_json") -> DataFrame:
+    """Append ``error``, null where a profile, a JSON object, is valid; the first rule broken is told.
+
+    All required fields are there, a null counts; channel_name is a text, brand_colors a list.
+    """
+    v = F.try_parse_json(text)
+    kind = lambda c: F.schema_of_variant(F.try_variant_get("__v", f"$.{c}", "variant"))
+    absent = F.array_compact(F.array(*[F.when(F.try_variant_get("__v", f"$.{c}", "variant").isNull(), F.lit(c)) for c in PROFILE_FIELDS]))
+    rows = documents.withColumn("__v", v)
+    rows = rows.withColumn("__absent", absent)
+    error = (
+        F.when(F.col("__v").isNull() | ~F.schema_of_variant("__v").startswith("OBJECT"), F.lit("not a mapping"))
+        .when(F.size("__absent") > 0, F.concat(F.lit("missing: "), F.array_join("__absent", ", ")))
+        .when(kind("channel_name") != "STRING", F.lit("channel_name is not a text"))
+        .when(~kind("brand_colors").startswith("ARRAY"), F.lit("brand_colors is not a list"))
+    )
+    return rows.withColumn("error", error).drop("__v", "__absent")
+
+
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """(profile_key, profile_json, error) of every profile in files that each hold one JSON object by key; see :func:`profile_errors`."""
+    files = spark.read.text(path, wholetext=True).select(F.try_variant_get(F.try_parse_json("value"), F.lit("$"), "map<string,variant>").alias("m"))
+    rows = files.select(F.explode("m").alias("profile_key", "v")).select("profile_key", F.to_json("v").alias("profile_json"))
+    return profile_errors(rows)
