@@ -1,0 +1,409 @@
+"""Rare inputs: clashing names, null and largest ids, long words and runs, odd vectors, warm caches, large benchmarks."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from cueline.llm import ann, chat, decontaminate, langid, mixing, queries, sharding, simhash, substrings, tokens, toxicity
+from cueline.llm.common import materialise, private, release, scratch
+from tests.llm.test_operators import ODD, components, plain_cut, plain_fingerprint, plain_marks
+
+INTERNAL = (
+    "__own", "__own_n", "__own_source", "__own_hash", "__own_place", "__own_plan", "__own_fp", "__own_row", "__own_found", "__own_digest", "__own_bytes", "__own_tokens",
+    "whole", "n_blocks", "last_turn", "edge_block", "last_place", "rest", "room", "turn", "group", "size", "hash", "place", "plan", "digest", "k", "t", "fp", "n", "tag", "row",
+    "slot", "shard", "Score", "predicted", "LANG_PRED", "n_tokens", "n_bytes", "over_limit", "mix_source", "mix_block", "n_words", "n_hit", "contaminated", "root", "node", "component_id",
+)
+
+
+def clashing(spark, texts):
+    """Documents with a column of every name that an operator uses or adds, a null id, repeated ids and rows."""
+    base = spark.createDataFrame([*((i, t, "de" if i % 2 else "en", f"s{i % 3}") for i, t in enumerate(texts)), (0, texts[0], "en", "s0"), (1, "another text", None, None), (None, None, None, None)], "doc_id long, text string, lang string, source string")
+    return base.withColumns({c: F.lit("x") for c in INTERNAL})
+
+
+def test_every_operator_takes_clashing_names(spark):
+    texts = [*ODD, "a b c d e f", "the dog and the cat " * 20, "der hund und die katze " * 20, "the dog and the cat " * 20]
+    df = clashing(spark, texts)
+    n = df.count()
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, toxic int").withColumns({c: F.lit(1) for c in ("k", "y", "n", "t", "words")})
+    bench = spark.createDataFrame([(1, "the dog and the cat the dog"), (2, "b c d")], "item_id long, text string").withColumns({c: F.lit("x") for c in ("item", "body", "window", "size")})
+    made = {
+        "sharding": sharding.assign_shards(df, "doc_id", ["a", "b"], 31),
+        "language": langid.predict(df, langid.train(df)),
+        "toxicity": toxicity.score(df, toxicity.train(df, labels)),
+        "simhash": simhash.near_duplicates(df),
+        "decontamination": decontaminate.mark_contaminated(df, bench),
+        "decontamination by a table": decontaminate.mark_contaminated(df, bench, index_bytes=0),
+        "tokens": tokens.count_tokens(df),
+        "repeats": substrings.cut_repeats(df),
+        "mixing": mixing.mix(df, block_tokens=50),
+    }
+    for name, out in made.items():
+        assert out.count() == n, name
+        low = [c.lower() for c in out.columns]
+        assert len(low) == len(set(low)), name
+    assert simhash.keep_representatives(df).columns == df.columns
+    copies = mixing.repeat_rows(mixing.mix(df, budget=None, keep_all=True))
+    assert copies.count() >= n
+    turns = df.select("*", F.lit("user").alias("role")).drop("turn", "row")
+    assert chat.format_turns(chat.turns_from_rows(turns, "doc_id")).count() > 0
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("v", "dims", "shard", "ids", "n", "score", "rank")})
+    assert ann.search(vectors, vectors).count() == 200
+    assert private(df).lower() not in {c.lower() for c in df.columns}
+
+
+# --- 2 language identification -------------------------------------------------------
+
+
+def brute_total(word, prob, ids, floor, longest):
+    sums = [np.ones(prob.shape[1])] + [np.zeros(prob.shape[1]) for _ in word]
+    for end in range(1, len(word) + 1):
+        for n in range(1, min(longest, end) + 1):
+            piece = word[end - n : end]
+            p = prob[ids[piece]] if piece in ids else floor if n == 1 else None
+            if p is not None:
+                sums[end] = sums[end] + sums[end - n] * p
+    return sums[-1]
+
+
+def test_long_words_have_the_same_sum():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokens.tokenizer_path())
+    prob = np.random.default_rng(0).dirichlet(np.ones(sp.vocab_size()), 2).T.copy()
+    model = langid.Model.of(["x", "y"], prob, tokens.tokenizer_path())
+    pieces = dict(langid.usable_pieces(sp))
+    floor = prob[list(pieces.values())].min(axis=0) / 10
+    rng = random.Random(1)
+    for n in (1, 5, 40, 63, 64, 65, 70):
+        word = "".join(rng.choice("thenrao☃") for _ in range(n))
+        want = np.log(brute_total("▁" + word, prob, pieces, floor, model.longest))
+        assert np.allclose(model._forward([word])[0], want) and np.allclose(model._forward_long(word), want)
+    # the same words end to end: no cut, no underflow
+    assert np.isfinite(model._forward(["the" * 5000])).all()
+
+
+def test_language_counts_and_predictions(spark):
+    """Counts and predictions against a plain loop."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokens.tokenizer_path())
+    rows = [("The dog and the cat, 12 dogs!", "en"), ("der Hund und die Katze", "de"), ("the end", "en"), (None, "en"), ("x", None), ("le chien é́t le chat", "fr")]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    want = {}
+    for t, lang in rows:
+        for w in langid._words(t) if t and lang else ():
+            for p in sp.encode(w):
+                want[lang, p] = want.get((lang, p), 0) + 1
+    assert {(r.lang, r.piece): r.n for r in langid.piece_counts(df).collect()} == want
+    pieces = dict(langid.usable_pieces(sp))
+    langs = ["de", "en", "fr"]
+    prob = np.array([[want.get((x, i), 0) + langid.SMOOTHING if i in set(pieces.values()) else 0 for x in langs] for i in range(sp.vocab_size())])
+    prob /= prob.sum(axis=0)
+    floor = prob[list(pieces.values())].min(axis=0) / 10
+    texts = ["the cat", "die katze und 5", "chat", "Ünd", "12 ?", "a" * 70]
+    got = {r.text: r for r in langid.predict(spark.createDataFrame([(t,) for t in texts], "text string"), langid.train(df)).collect()}
+    for t in texts:
+        words = langid._words(t)
+        logs = sum((np.log(brute_total("▁" + w, prob, pieces, floor, 16)) for w in words), np.zeros(3))
+        best = langs[int(logs.argmax())] if words else "und"
+        share = np.exp(logs - logs.max())
+        assert got[t].lang_pred == best and got[t].score == pytest.approx(share.max() / share.sum() if words else 0.0)
+
+
+def test_many_languages(spark):
+    rows = [(f"word{chr(97 + i % 26)}{chr(97 + i // 26)} and", f"l{i:03d}") for i in range(230)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = langid.train(df)
+    assert len(model.langs) == 230
+    assert langid.predict(df.limit(3), model).count() == 3
+
+
+# --- 5 simhash -----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("long_run", [2, 40, simhash.LONG_RUN])
+def test_long_runs_lose_no_link(spark, long_run):
+    """Many fingerprints share a half: their runs are cut, and the components stay the same."""
+    rng = random.Random(6)
+    low, high = rng.getrandbits(32), rng.getrandbits(32)
+    fps = set()
+    while len(fps) < 500:
+        x = rng.choice([(rng.getrandbits(12) << 32) | low, (high << 32) | rng.getrandbits(11), rng.getrandbits(64)])
+        fps.add(x ^ (1 << rng.randrange(64)) if rng.random() < 0.3 else x)
+    signed = {x - (1 << 64) if x >> 63 else x: x for x in fps}
+    from cueline.llm.common import connected_components
+
+    edges = simhash.link_edges(spark.createDataFrame([(x,) for x in signed], "fp long"), long_run=long_run)
+    roots = {r.node: r.root for r in connected_components(edges, "a", "b").collect()}
+    want = components(signed)
+    groups = {}
+    for x in signed:
+        groups.setdefault(want[x], set()).add(roots.get(x, x))
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+    assert len(groups) < 480
+
+
+# --- 6 nearest neighbours ------------------------------------------------------------
+
+
+def recall(spark, x, asked, **more):
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    out = ann.search(df, df.where(F.col("vec_id").isin(asked)), **more).collect()
+    hit = 0
+    for q in asked:
+        far = ann.distances(x, x[q][None, :])
+        best = [j for j in np.lexsort((np.arange(len(x)), far)).tolist() if j != q][:10]
+        own = [r for r in out if r.query_id == q]
+        assert len(own) == len({r.vec_id for r in own}) == min(10, len(x) - 1)
+        assert all(r.score == far[r.vec_id] for r in own)
+        hit += len({r.vec_id for r in own} & set(best))
+    return hit / len(asked) / 10
+
+
+@pytest.mark.parametrize(("scale", "offset"), [(1.0, 0.0), (1.0, 1e3), (1.0, 1e6), (1e20, 0.0), (1e200, 0.0), (1e-200, 0.0)])
+def test_recall_at_any_scale_and_offset(spark, scale, offset):
+    x = np.random.default_rng(3).normal(size=(900, 12)) * scale + offset
+    assert recall(spark, x, list(range(0, 900, 90)), shard_rows=500) >= 0.9
+
+
+@pytest.mark.parametrize("n", [30, 60, 300])
+def test_no_row_is_found_twice(n):
+    x = np.random.default_rng(n).normal(size=(n, 4))
+    graph = ann.Graph(x).build()
+    for links in graph.links:
+        assert all(len(set(r)) == len(r) for r in (row[row >= 0].tolist() for row in links))
+    for row in ann.nearest(graph, x, 11):
+        assert len(set(row.tolist())) == 11
+
+
+def test_recall_of_mixed_scales(spark):
+    x = np.random.default_rng(3).normal(size=(800, 12))
+    x[::2] *= 1e20
+    assert recall(spark, x, list(range(0, 800, 33)), shard_rows=800) >= 0.9
+
+
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4 if i % 3 else 7).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id % 50 = 0"), shard_rows=60).collect()
+    for q in range(0, 300, 50):
+        own = {i: np.array(v) for i, v in rows if len(v) == len(rows[q][1]) and i != q}
+        best = sorted(own, key=lambda i: (float(np.sqrt(((own[i] - rows[q][1]) ** 2).sum())), i))[:10]
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == best
+
+
+def test_recall_of_the_query(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    out = queries.op6_ann(spark, sf).collect()
+    asked = [i for i in ids.tolist() if i % 100 == 0]
+    hit = 0
+    for q in asked:
+        far = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        best = [int(ids[j]) for j in np.lexsort((ids, far)) if ids[j] != q][:10]
+        hit += len({r.vec_id for r in out if r.query_id == q} & set(best))
+    assert len({(r.query_id, r.vec_id) for r in out}) == len(out) == 10 * len(asked) and hit / len(out) >= 0.9
+
+
+# --- 7 decontamination ---------------------------------------------------------------
+
+
+def test_index_table_and_broadcast_agree(spark):
+    """Items enough for a table: the same marks as by the index that is broadcast, and as by a plain loop."""
+    rng = random.Random(11)
+    word = lambda: rng.choice("abcdefghij") + rng.choice("klmno")
+    items = [(i, " ".join(word() for _ in range(rng.randint(1, 40)))) for i in range(120)]
+    texts = [" ".join([*(word() for _ in range(30)), *t.split()[: rng.randint(1, 20)], *(word() for _ in range(20))]) for _, t in items]
+    docs = spark.createDataFrame([*enumerate(texts), (5, texts[5]), (None, None)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    added = ["doc_id", *decontaminate.ADDED]
+    small = sorted(map(str, decontaminate.mark_contaminated(docs, bench).select(*added).collect()))
+    table = decontaminate.mark_contaminated(docs, bench, index_bytes=100)
+    assert sorted(map(str, table.select(*added).collect())) == small
+    want = plain_marks(enumerate(texts), items)
+    for r in table.where("doc_id IS NOT NULL").collect():
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == want[r.doc_id]
+
+
+# --- 8 token counts ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("most", [0, tokens.BROADCAST_MISSES])
+def test_only_misses_are_encoded(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(tokens, "BROADCAST_MISSES", most)
+    cache = f"file://{tmp_path}/cache"
+    first = spark.createDataFrame([(i, f"text {i % 50}") for i in range(100)], "doc_id long, text string")
+    want = {r.doc_id: r.n_tokens for r in tokens.count_tokens(first, cache=cache).collect()}
+    assert spark.read.parquet(cache).count() == 50
+    texts = first.select(tokens.content_digest(F.col("text")).alias("digest"), "text")
+    known = tokens.read_cache(spark, cache, tokens.tokenizer_digest(tokens.tokenizer_path()))
+    none = tokens.missing_texts(texts, known)
+    assert none.count() == 0 and "Exchange" not in none._jdf.queryExecution().executedPlan().toString()
+    more = first.unionByName(spark.createDataFrame([(200, "new"), (201, "new"), (202, None)], "doc_id long, text string"))
+    assert sorted(r.text for r in tokens.missing_texts(more.select(tokens.content_digest(F.col("text")).alias("digest"), F.coalesce("text", F.lit("")).alias("text")), known).collect()) == ["", "new"]
+    again = {r.doc_id: r.n_tokens for r in tokens.count_tokens(more, cache=cache).collect()}
+    assert {k: again[k] for k in want} == want and again[200] == again[201] and again[202] == 0
+    # only the two misses came to the cache
+    assert spark.read.parquet(cache).count() == 52
+
+
+def test_token_query_against_the_tokenizer(spark, sf):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokens.tokenizer_path())
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.op8_token_counts(spark, sf).collect():
+        n = len(sp.encode(texts[r.doc_id]))
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 4096)
+
+
+def test_simhash_query_against_brute_force(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    fps = {i: plain_fingerprint(t) for i, t in texts.items()}
+    want = components(fps)
+    got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in queries.op5_simhash(spark, sf).collect()}
+    assert got == {i: (fps[i], want[i]) for i in texts}
+
+
+# --- 9 repeated substrings -----------------------------------------------------------
+
+
+@pytest.mark.parametrize("hot", [substrings.HOT, 3])
+def test_null_and_extreme_ids(spark, hot):
+    """A null id is larger than every id, 2^63 - 1 too; rows of one id or without one are one document."""
+    rng = random.Random(12)
+    part = lambda n: "".join(rng.choice("abcdefg ") for _ in range(n))
+    shared = part(120)
+    top = (1 << 63) - 1
+    texts = [(-(1 << 63), part(80)), (3, "x" + shared + part(40)), (top, part(30) + shared), (top, "other " + shared), (None, shared), (None, part(20) + shared + part(9)), (None, "z" * 70), (None, "z" * 70), (top, "z" * 70), (4, part(60))]
+    only_null = part(100)
+    texts += [(None, only_null), (None, "q" + only_null)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    order = lambda i: (1, 0) if i is None else (0, i)
+    ranks = {x: n for n, x in enumerate(sorted({i for i, _ in texts}, key=order))}
+    want = sorted((str(i), *plain_rows) for (i, _), plain_rows in zip(texts, plain_by_rank([(ranks[i], t.encode()) for i, t in texts]), strict=True))
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.cut_repeats(df, hot=hot).collect())
+    assert got == want
+
+
+def plain_by_rank(rows):
+    """As plain_cut, for rows whose ids may repeat."""
+    first = {}
+    for i, t in sorted(rows):
+        for j in range(len(t) - 49):
+            first[t[j : j + 50]] = min(i, first.get(t[j : j + 50], i))
+    for i, t in rows:
+        gone = [False] * len(t)
+        for j in range(len(t) - 49):
+            if first[t[j : j + 50]] < i:
+                gone[j : j + 50] = [True] * 50
+        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+        yield len(t), sum(gone), sum(g and not (j and gone[j - 1]) for j, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()
+
+
+def test_more_buckets_than_partitions(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 700)
+    rng = random.Random(13)
+    part = lambda n: "".join(rng.choice("abcdefg ") for _ in range(n))
+    passage = part(300)
+    texts = [part(rng.randint(0, 60)) + passage[(a := rng.randint(0, 200)) : a + 90] + part(20) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert substrings._n_buckets(substrings._rows(df, "doc_id", "text")) > 10
+    want = plain_cut([(i, t.encode()) for i, t in enumerate(texts)])
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.cut_repeats(df).collect()} == want
+
+
+def test_windows_whose_left_bytes_share_a_hash(monkeypatch):
+    """With a multiplier that makes hashes collide, groups are told apart by their bytes."""
+    rng = np.random.default_rng(5)
+    n = 40
+    right = np.zeros((n, 56), np.uint8)
+    right[:, :50] = 97
+    left = rng.integers(97, 99, size=(n, substrings.BEFORE), dtype=np.uint8)
+    doc = np.arange(n)
+    full = np.full(n, substrings.LENGTH)
+    plain = substrings.repeated_spans(right, left, full, np.full(n, 5), doc, np.zeros(n, bool))
+    for i in range(n):
+        deep = max((d for d in range(6) if any((left[j, :d] == left[i, :d]).all() for j in range(i))), default=0) if i else 0
+        assert plain[0][i] == deep
+
+
+# --- 10 mixing -----------------------------------------------------------------------
+
+
+def test_two_levels_of_blocks_are_one_order(spark):
+    """The blocks of a cut pass against a plain running sum over all blocks."""
+    rng = random.Random(14)
+    rows = [(i, "w " * rng.randint(0, 30), rng.choice(["a"] * 6 + ["b"])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, entropy_fraction=0.9, max_repeats=5.0, block_tokens=200).collect()
+    total = sum(r.n_tokens for r in got)
+    for source in ("a", "b"):
+        own = [r for r in got if r.mix_source == source]
+        have = sum(r.n_tokens for r in own)
+        allowed = int(round(own[0].mix_weight * total, 3))
+        whole, rest = divmod(allowed, have)
+        blocks = {}
+        for r in own:
+            blocks.setdefault(r.mix_block, []).append(r)
+        turn = lambda b: hashlib.md5(f"{source}:{b}".encode()).hexdigest() + f":{b}"
+        upto, want = 0, {}
+        for b in sorted(blocks, key=turn):
+            digest = lambda r: hashlib.md5(str(r.doc_id).encode()).hexdigest()
+            for r in sorted(blocks[b], key=lambda r: (digest(r)[12:32], digest(r))):
+                fits = upto + r.n_tokens <= rest
+                upto += r.n_tokens
+                want[r.doc_id] = whole + int(fits and r.n_tokens > 0)
+        assert {r.doc_id: r.mix_repeats for r in own} == want and len(blocks) > 20
+
+
+def test_token_column(spark):
+    rows = [(i, "one two", "ab"[i % 2], 10 * (i % 2) + 1) for i in range(40)] + [(40, None, "a", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_tokens long")
+    got = mixing.mix(df, tokens="n_tokens").collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: n or 0 for i, _, _, n in rows}
+
+
+# --- storage and pipeline ------------------------------------------------------------
+
+
+def test_written_tables_go(spark):
+    import os
+
+    df = materialise(spark.range(5), "one")
+    path = df.written_to.removeprefix("file:")
+    assert os.path.isdir(path)
+    release(df)
+    assert not os.path.isdir(path)
+    with scratch(spark) as kept:
+        gone, stays = materialise(spark.range(3), "gone"), materialise(spark.range(4), "stays")
+        kept.append(stays)
+    assert not os.path.isdir(gone.written_to.removeprefix("file:")) and stays.count() == 4
+    release(stays)
+
+
+def test_stages_take_odd_rows(spark, sf):
+    """Nulls in every column, repeated rows and ids, empty and long texts, an empty table, and columns of every internal name."""
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(ODD)]
+    rows += [*rows[:3], (2, "a text of its own", None, None, None), (None, "no id", None, None, None), (None, None, None, None, None), (50, "word " * 200_000, "en", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for df in (docs, docs.limit(0), docs.withColumns({c: F.lit("x") for c in INTERNAL if c.lower() not in ("slot", "shard")})):
+        n = df.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = materialise(stage(spark, df, sf), "odd")
+            if name != "sharding":
+                assert out.columns == df.columns, name
+            got = out.count()
+            if name in ("toxicity", "mixing", "sharding"):
+                assert got >= (n if name != "toxicity" else 0) and (name != "sharding" or got == n), name
+            if n:
+                assert out.where("doc_id IS NULL AND text = 'no id'").count() >= 1, name
