@@ -126,16 +126,23 @@ def mark_islands(df: DataFrame, keys: list[str], order: list[str], starts_new, b
     lasts = rows.groupBy(*at).agg(F.max_by(row, F.struct(*order)).alias("__last"))
     over = Window.partitionBy(*keys).orderBy("__bin")
     lasts = lasts.select(*at, F.lag("__last").over(over).alias("__prior"))
-    marked = rows.withColumn("__prev", F.lag(row).over(inside)).join(lasts, at)
+    marked = _join_bins(rows.withColumn("__prev", F.lag(row).over(inside)), lasts, at)
     marked = marked.withColumn("__prev", F.coalesce("__prev", "__prior"))
     marked = marked.withColumn("__new", F.coalesce(starts_new(lambda c: F.col(f"__prev.{c}")).cast("bigint"), F.lit(0).cast("bigint")))
     sums = marked.groupBy(*at).agg(F.sum("__new").alias("__n"))
     sums = sums.select(*at, F.coalesce(F.sum("__n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     count = F.sum("__new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    out = marked.withColumn("__count", count).join(sums, at)
+    out = _join_bins(marked.withColumn("__count", count), sums, at)
     return out.select(*df.columns, (F.col("__before") + F.col("__count")).alias("island"))
 
 
+def _join_bins(rows: DataFrame, bins: DataFrame, at: list[str]) -> DataFrame:
+    """Rows with the row of their bin; null keys are keys too."""
+    named = bins.withColumnsRenamed({c: f"__b_{c}" for c in at})
+    same = [F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in at]
+    return rows.join(named, same).drop(*[f"__b_{c}" for c in at])
+
+
 def fold_islands(df: DataFrame, keys: list[str], order: list[str], fields: list[str], schema: str, start: Callable[[], Callable]) -> DataFrame:
     """Rows that a fold emits: those of each island pass by in order.
 
