@@ -24,8 +24,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("media_id"), "event_id", "event_type", "value", (micros / 3.6e9).alias("t"))
 
 
-def _numbered(df: DataFrame, name: str) -> DataFrame:
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy("media_id").orderBy("t", "event_id")) - 1).cast("bigint"))
+def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their number ``n`` in the recording and the time ``after`` of the next one."""
+    own = Window.partitionBy("media_id").orderBy("t", "event_id")
+    return events(spark, sf_dir).withColumns({"n": (F.row_number().over(own) - 1).cast("bigint"), "after": F.lead("t").over(own)})
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,35 +36,35 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("media_id", F.lit(DURATION).alias("duration_seconds"), mode.alias("mode"))
 
 
-def speech_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _numbered(events(spark, sf_dir), "seg_idx").select("media_id", "seg_idx", "event_id", F.col("t").alias("start"), (F.col("t") + F.col("value") / 100).alias("end"))
+def speech_segments(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None) -> DataFrame:
+    ev = ev or numbered_events(spark, sf_dir)
+    return ev.select("media_id", F.col("n").alias("seg_idx"), "event_id", F.col("t").alias("start"), (F.col("t") + F.col("value") / 100).alias("end"))
 
 
-def transcript_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transcript_segments(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None) -> DataFrame:
     """Segments with the whole text of a document; all documents are given out in turn."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # one row: where the turn begins anew
     turn = docs.agg((F.max("doc_id") + 1).alias("turn"))
-    seg = speech_segments(spark, sf_dir).crossJoin(F.broadcast(turn)).withColumn("doc_id", F.col("event_id") % F.col("turn"))
+    seg = speech_segments(spark, sf_dir, ev).crossJoin(F.broadcast(turn)).withColumn("doc_id", F.col("event_id") % F.col("turn"))
     return seg.join(docs, "doc_id", "left").select("media_id", "seg_idx", F.col("start").alias("start_seconds"), F.col("end").alias("end_seconds"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _numbered(events(spark, sf_dir), "scene_idx")
-    after = F.lead("t").over(Window.partitionBy("media_id").orderBy("t", "event_id"))
-    return ev.select("media_id", "scene_idx", F.col("t").alias("start_seconds"), after.alias("end_seconds")).where("end_seconds IS NOT NULL")
+def scenes(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None) -> DataFrame:
+    ev = ev or numbered_events(spark, sf_dir)
+    return ev.where("after IS NOT NULL").select("media_id", F.col("n").alias("scene_idx"), F.col("t").alias("start_seconds"), F.col("after").alias("end_seconds"))
 
 
-def audio_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def audio_blocks(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None) -> DataFrame:
     """Values as samples, one for each ten seconds, in blocks of 16."""
-    ev = _numbered(events(spark, sf_dir), "n")
+    ev = ev or numbered_events(spark, sf_dir)
     blocks = ev.groupBy("media_id", F.expr(f"n div {BLOCK}").alias("block_no")).agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("x"))
     return blocks.select("media_id", "block_no", (F.col("block_no") * BLOCK).alias("start_sample"), F.lit(RATE).alias("sample_rate"), F.transform("x", lambda v: v["value"] / 300).alias("samples"))
 
 
-def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _numbered(events(spark, sf_dir), "frame_number")
-    return ev.select("media_id", "frame_number", F.array(F.col("value") / 300, (F.col("event_id") % 7) / 7.0).alias("gray"))
+def event_frames(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None) -> DataFrame:
+    ev = ev or numbered_events(spark, sf_dir)
+    return ev.select("media_id", F.col("n").alias("frame_number"), F.array(F.col("value") / 300, (F.col("event_id") % 7) / 7.0).alias("gray"))
 
 
 def embedding_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +79,7 @@ def embedding_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw answers: JSON in prose, every 7th cut off, every 11th with a raw newline inside a text."""
-    ev = _numbered(events(spark, sf_dir), "n")
+    ev = numbered_events(spark, sf_dir)
     c = F.format_string("%.4f", F.col("value") / 300)
     reason = F.when(F.col("event_id") % 11 == 0, F.lit("two\nlines")).otherwise(F.lit("one line"))
     body = F.concat(F.lit('{"category": "'), F.col("event_type"), F.lit('", "reason": "'), reason, F.lit('", "is_interesting": '), F.when(F.col("event_id") % 3 == 0, F.lit('"TRUE"')).otherwise(F.lit("false")), F.lit(', "keep_highlight": true, "action_level": "High", "confidence": '), c, F.lit(', "final_confidence": "'), c, F.lit('"'))
@@ -87,7 +89,7 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metadata_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw metadata answers, cut off and broken like those of :func:`model_responses`."""
-    ev = _numbered(events(spark, sf_dir), "n")
+    ev = numbered_events(spark, sf_dir)
     hook = F.when(F.col("event_id") % 11 == 0, F.lit("two\nlines")).otherwise(F.lit("one line"))
     body = F.concat(F.lit('{"hook": "'), hook, F.lit('", "title": " '), F.col("event_type"), F.lit('", "hashtags": ["#'), F.col("event_type"), F.lit('", " ", null, "#clip"]'))
     body = F.when(F.col("event_id") % 7 == 0, body).otherwise(F.concat(body, F.lit("}")))

@@ -13,6 +13,7 @@ from cueline.oracles import build
 from cueline.plans import highlights as plan
 from cueline.plans import research as research_plan
 from cueline.sources import checks, inputs, sinks
+from cueline.storage import materialise
 
 QUERIES: dict = {}
 
@@ -72,14 +73,10 @@ def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.near_duplicate_pairs(_clips(spark, sf), iou=0.6)
 
 
-def _scene_transcripts(said: DataFrame, scenes: DataFrame) -> DataFrame:
-    out = scoring.text_statistics(intervals.scene_texts(said, scenes))
-    return out.select("media_id", "scene_idx", F.md5(F.encode("transcript_text", "UTF-8")).alias("text_md5"), "speech_character_count", "speech_word_count", "has_speech")
-
-
 @query
 def scene_transcripts(spark: SparkSession, sf: str) -> DataFrame:
-    return _scene_transcripts(fx.transcript_segments(spark, sf), fx.scenes(spark, sf))
+    out = scoring.text_statistics(intervals.scene_texts(fx.transcript_segments(spark, sf), fx.scenes(spark, sf)))
+    return out.select("media_id", "scene_idx", F.md5(F.encode("transcript_text", "UTF-8")).alias("text_md5"), "speech_character_count", "speech_word_count", "has_speech")
 
 
 # --- signals -------------------------------------------------------------------------
@@ -143,33 +140,32 @@ def session_offsets(spark: SparkSession, sf: str) -> DataFrame:
 # --- scores and candidates -----------------------------------------------------------
 
 
-def _scored(spark: SparkSession, sf: str, said: DataFrame) -> DataFrame:
-    return plan.scored_scenes(said, fx.scenes(spark, sf), fx.event_frames(spark, sf), fx.audio_blocks(spark, sf), fx.RATE, 1)
+def _views(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
+    """Segments, scenes, frames and blocks, from events that are numbered once."""
+    ev = materialise(fx.numbered_events(spark, sf), "events")
+    return tuple(view(spark, sf, ev) for view in (fx.transcript_segments, fx.scenes, fx.event_frames, fx.audio_blocks))
 
 
-def _highlight_scores(spark: SparkSession, sf: str, said: DataFrame) -> DataFrame:
-    cols = ("motion_score", "speech_score", "audio_score", "final_score")
-    return r6(_scored(spark, sf, said).select("media_id", "scene_idx", *cols), *cols)
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    return plan.scored_scenes(*_views(spark, sf), fx.RATE, 1)
 
 
 @query
 def highlight_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return _highlight_scores(spark, sf, fx.transcript_segments(spark, sf))
+    cols = ("motion_score", "speech_score", "audio_score", "final_score")
+    return r6(_scored(spark, sf).select("media_id", "scene_idx", *cols), *cols)
 
 
-def _highlight_candidates(spark: SparkSession, sf: str, said: DataFrame) -> DataFrame:
+@query
+def highlight_candidates(spark: SparkSession, sf: str) -> DataFrame:
     # scores are rounded before they are compared: their sums depend on the order of rows
-    scored = _scored(spark, sf, said).withColumn("final_score", F.round("final_score", 6))
+    scored = _scored(spark, sf).withColumn("final_score", F.round("final_score", 6))
     out = scoring.select_candidates(scored, fx.media(spark, sf))
     return r6(out.drop("middle"), "start_seconds", "end_seconds")
 
 
 @query
-def highlight_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return _highlight_candidates(spark, sf, fx.transcript_segments(spark, sf))
-
-
-def _highlight_run(spark: SparkSession, sf: str, said: DataFrame) -> DataFrame:
+def highlight_run(spark: SparkSession, sf: str) -> DataFrame:
     """The whole run with a responder that answers by the length of the prompt."""
 
     def set_up():
@@ -179,15 +175,9 @@ def _highlight_run(spark: SparkSession, sf: str, said: DataFrame) -> DataFrame:
 
         return answer
 
-    final, texts = plan.highlight_run(said, fx.scenes(spark, sf), fx.event_frames(spark, sf), fx.audio_blocks(spark, sf), fx.media(spark, sf), fx.RATE, set_up, "Said: %s", 1)
+    final, texts = plan.highlight_run(*_views(spark, sf), fx.media(spark, sf), fx.RATE, set_up, "Said: %s", 1)
     n = texts.groupBy("media_id", "rank").agg(F.count("*").alias("captions"))
-    out = final.join(n, ["media_id", "rank"], "left").select("media_id", "rank", "number", "category", "keep_highlight", "final_confidence", F.coalesce("captions", F.lit(0)).alias("captions"))
-    return out
-
-
-@query
-def highlight_run(spark: SparkSession, sf: str) -> DataFrame:
-    return _highlight_run(spark, sf, fx.transcript_segments(spark, sf))
+    return final.join(n, ["media_id", "rank"], "left").select("media_id", "rank", "number", "category", "keep_highlight", "final_confidence", F.coalesce("captions", F.lit(0)).alias("captions"))
 
 
 @query
@@ -222,7 +212,9 @@ def metadata_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("media_id", "rank", "hook", "title", F.array_join("hashtags", "|").alias("hashtags"), "description", "thumbnail_prompt")
 
 
-def _first_valid_metadata(spark: SparkSession, attempts: DataFrame) -> DataFrame:
+@query
+def first_valid_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    attempts = fx.metadata_attempts(spark, sf)
     kinds = F.element_at(F.array(F.lit("click"), F.lit(" VIEW "), F.lit("boss")), (F.col("conv_id") % 3 + 1).cast("int"))
     items = attempts.select("conv_id").distinct().withColumn("category", kinds)
     fallback = spark.createDataFrame([(a, b, c, list(d)) for a, b, c, d in FALLBACK], "category string, hook string, title string, hashtags array<string>")
@@ -230,11 +222,6 @@ def _first_valid_metadata(spark: SparkSession, attempts: DataFrame) -> DataFrame
     return out.select("conv_id", "attempt", "hook", "title", F.array_join("hashtags", " ").alias("hashtags"))
 
 
-@query
-def first_valid_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    return _first_valid_metadata(spark, fx.metadata_attempts(spark, sf))
-
-
 @query
 def metadata_rules(spark: SparkSession, sf: str) -> DataFrame:
     out = fx.metadata_attempts(spark, sf)
@@ -285,15 +272,11 @@ def layout_routes(spark: SparkSession, sf: str) -> DataFrame:
     return decisions.route_layout(requests, valid, "session_id").select("session_id", "renderer")
 
 
-def _prompts(said: DataFrame, scenes: DataFrame) -> DataFrame:
-    rows = intervals.scene_texts(said, scenes).withColumnRenamed("scene_idx", "rank")
-    out = responses.render_prompts(rows, "Scene %s says: %s", ["rank", "transcript_text"])
-    return out.select("media_id", "rank", F.md5(F.encode("prompt", "UTF-8")).alias("prompt_md5"))
-
-
 @query
 def prompts(spark: SparkSession, sf: str) -> DataFrame:
-    return _prompts(fx.transcript_segments(spark, sf), fx.scenes(spark, sf))
+    rows = intervals.scene_texts(fx.transcript_segments(spark, sf), fx.scenes(spark, sf)).withColumnRenamed("scene_idx", "rank")
+    out = responses.render_prompts(rows, "Scene %s says: %s", ["rank", "transcript_text"])
+    return out.select("media_id", "rank", F.md5(F.encode("prompt", "UTF-8")).alias("prompt_md5"))
 
 
 # --- captions ------------------------------------------------------------------------
@@ -311,7 +294,8 @@ def caption_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def srt_documents(spark: SparkSession, sf: str) -> DataFrame:
-    out = captions.subtitles_of(_spoken(spark, sf), ["doc_id"])
+    clips = _spoken(spark, sf)
+    out = captions.subtitle_documents(captions.build_captions(clips, ["doc_id"]), clips, ["doc_id"])
     return out.select("doc_id", F.length("document").alias("chars"), F.md5(F.encode("document", "UTF-8")).alias("document_md5"))
 
 
@@ -327,17 +311,14 @@ def time_codes(spark: SparkSession, sf: str) -> DataFrame:
     return ev.select("event_id", tc.srt_time(F.col("t") - 1).alias("srt"), tc.dotted_time("t").alias("dotted"), tc.clock_time("t").alias("clock"))
 
 
-def _highlight_files(raw: DataFrame) -> DataFrame:
+@query
+def highlight_files(spark: SparkSession, sf: str) -> DataFrame:
+    raw = fx.model_responses(spark, sf)
     fused = responses.fusion(raw).select("media_id", F.col("rank").cast("int").alias("rank"), "keep_highlight", "final_confidence", "reason")
     out = sinks.highlight_metadata(fused)
     return out.select("media_id", "number", "file_name", F.get_json_object("metadata", "$.rank").cast("int").alias("rank"), F.get_json_object("metadata", "$.file_name").alias("named"))
 
 
-@query
-def highlight_files(spark: SparkSession, sf: str) -> DataFrame:
-    return _highlight_files(fx.model_responses(spark, sf))
-
-
 # --- moments and frames --------------------------------------------------------------
 
 
@@ -452,13 +433,10 @@ def caption_variants(spark: SparkSession, sf: str) -> DataFrame:
     return packages.caption_variants(fx.package_requests(spark, sf), fx.profiles(spark, sf))
 
 
-def _name_slugs(hooks: DataFrame) -> DataFrame:
-    return hooks.select("conv_id", "attempt", tx.slug("hook").alias("slug"), tx.hashtag("hook").alias("hashtag"), tx.cut_title("title", 40).alias("title"))
-
-
 @query
 def name_slugs(spark: SparkSession, sf: str) -> DataFrame:
-    return _name_slugs(fx.metadata_attempts(spark, sf))
+    hooks = fx.metadata_attempts(spark, sf)
+    return hooks.select("conv_id", "attempt", tx.slug("hook").alias("slug"), tx.hashtag("hook").alias("hashtag"), tx.cut_title("title", 40).alias("title"))
 
 
 # --- sources and checks --------------------------------------------------------------
@@ -511,8 +489,10 @@ def clean_transcripts(spark: SparkSession, sf: str) -> DataFrame:
 # --- packages, media and frames ------------------------------------------------------
 
 
-def _package_assembly(spark: SparkSession, sf: str, attempts: DataFrame) -> DataFrame:
+@query
+def package_assembly(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as highlights: captions counted, subtitles joined, metadata of their conversation, else generated."""
+    attempts = fx.metadata_attempts(spark, sf)
     clips = _spoken(spark, sf).withColumn("rank", (F.col("doc_id") % 3 + 1).cast("int")).withColumnRenamed("doc_id", "media_id")
     on = ["media_id", "rank"]
     made = captions.build_captions(clips, on)
@@ -524,11 +504,6 @@ def _package_assembly(spark: SparkSession, sf: str, attempts: DataFrame) -> Data
     return out.select(*on, "caption_count", F.length("document").alias("chars"), "hook", "title", F.array_join("hashtags", " ").alias("hashtags"))
 
 
-@query
-def package_assembly(spark: SparkSession, sf: str) -> DataFrame:
-    return _package_assembly(spark, sf, fx.metadata_attempts(spark, sf))
-
-
 @query
 def usable_envelopes(spark: SparkSession, sf: str) -> DataFrame:
     return signals.usable_envelopes(_envelopes(spark, sf)[0], "session_id", least=16)

@@ -74,7 +74,7 @@ def test_islands_over_bins(spark, monkeypatch, width):
 
 def test_parameters_are_checked(spark):
     df = spark.createDataFrame([], "media_id long, seg_idx int, rank int, start double, end double, start_seconds double, end_seconds double, middle double")
-    for wrong in (lambda: intervals.suppress_near_duplicates(df, iou=1.5), lambda: intervals.suppress_near_duplicates(df, edge=-1.0), lambda: intervals.suppress_near_duplicates(df, middle=-1.0), lambda: intervals.merge_gaps(df, -1.0, 20.0), lambda: captions.build_captions(df, ["rank"], size=0), lambda: captions.subtitles_of(df, ["rank"], size=0), lambda: signals.session_offsets(df, 0.0)):
+    for wrong in (lambda: intervals.suppress_near_duplicates(df, iou=1.5), lambda: intervals.suppress_near_duplicates(df, edge=-1.0), lambda: intervals.suppress_near_duplicates(df, middle=-1.0), lambda: intervals.merge_gaps(df, -1.0, 20.0), lambda: captions.build_captions(df, ["rank"], size=0), lambda: signals.session_offsets(df, 0.0)):
         with pytest.raises(ValueError):
             wrong()
 
@@ -187,12 +187,12 @@ def test_highlight_run_against_a_loop(spark, sf):
     assert got == want and len(got) > 20
 
 
-def test_subtitles_in_one_expression(spark):
+def test_subtitles_of_long_clips(spark):
     texts = [None, "", "  ", "a", "a b c d", "a b c d e", " ".join(f"w{i}" for i in range(1000))]
     clips = spark.createDataFrame([(i, t, 3600.0 * 101 + i) for i, t in enumerate(texts)], "id long, transcript_text string, duration_seconds double")
-    whole = dict(rows(captions.subtitles_of(clips, ["id"]), "id", "document"))
-    assert whole == dict(rows(captions.subtitle_documents(captions.build_captions(clips, ["id"]), clips, ["id"]), "id", "document"))
-    assert "--> 101:00:0" in whole[3] and whole[0] == whole[1] == whole[2] == ""
+    docs = dict(rows(captions.subtitle_documents(captions.build_captions(clips, ["id"]), clips, ["id"]), "id", "document"))
+    assert docs[3] == "1\n00:00:00,000 --> 101:00:03,000\na\n" and docs[0] == docs[1] == docs[2] == ""
+    assert docs[6].count(" --> ") == 250 and docs[6].endswith("w999\n")
 
 
 def test_profiles_are_read_from_files(spark, tmp_path):
