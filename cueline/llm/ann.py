@@ -53,7 +53,7 @@ class Graph:
 
     def search_layer(self, q: np.ndarray, entry: np.ndarray, width: int, layer: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search of all query rows in step: their ``width`` nearest found (ids, squared distances)."""
-        rows, links = np.arange(len(q)), self.links[layer]
+        rows, links, x = np.arange(len(q)), self.links[layer], self.x
         seen = np.zeros((len(q), len(self.x)), bool)
         start = entry.reshape(len(q), -1)
         seen[rows[:, None], start] = True
@@ -62,6 +62,7 @@ class Graph:
         ids[:, : start.shape[1]] = start
         far[:, : start.shape[1]] = self._far(q, start)
         done = ids < 0
+        worst = far.max(axis=1)
         active = rows
         while len(active):
             best = np.where(done[active], np.inf, far[active]).argmin(axis=1)
@@ -73,20 +74,31 @@ class Graph:
             near = links[ids[active, best]]
             safe = np.maximum(near, 0)
             new = (near >= 0) & ~seen[active[:, None], safe]
-            seen[active[:, None], safe] |= near >= 0
-            # most neighbours were seen before: only new ones are measured
+            # most neighbours were seen before: only new ones are marked and measured
             r, c = np.nonzero(new)
-            d = np.full(new.shape, np.inf)
-            step = self.x[safe[r, c]]
-            step -= q[active[r]]
-            d[r, c] = np.einsum("nd,nd->n", step, step)
-            all_ids = np.concatenate([ids[active], safe], axis=1)
-            all_far = np.concatenate([far[active], d], axis=1)
-            all_done = np.concatenate([done[active], ~new], axis=1)
+            node, row = safe[r, c], active[r]
+            seen[row, node] = True
+            step = x[node]
+            step -= q[row]
+            d = np.einsum("nd,nd->n", step, step)
+            # what is farther than a full beam's last changes nothing
+            near_ = d < worst[row]
+            r, node, d = r[near_], node[near_], d[near_]
+            if not len(r):
+                continue
+            own, first, n = np.unique(r, return_index=True, return_counts=True)
+            nth = np.arange(len(r)) - np.repeat(first, n)
+            row = active[own]
+            all_ids = np.zeros((len(own), width + int(n.max())), np.int32)
+            all_far = np.full(all_ids.shape, np.inf)
+            all_done = np.ones(all_ids.shape, bool)
+            all_ids[:, :width], all_far[:, :width], all_done[:, :width] = ids[row], far[row], done[row]
+            at = np.repeat(np.arange(len(own)), n)
+            all_ids[at, width + nth], all_far[at, width + nth], all_done[at, width + nth] = node, d, False
             pick = np.argpartition(all_far, width - 1, axis=1)[:, :width]
-            ids[active] = np.take_along_axis(all_ids, pick, 1)
-            far[active] = np.take_along_axis(all_far, pick, 1)
-            done[active] = np.take_along_axis(all_done, pick, 1) | np.isinf(far[active])
+            at = np.arange(len(own))[:, None]
+            ids[row], far[row], done[row] = all_ids[at, pick], all_far[at, pick], all_done[at, pick]
+            worst[row] = far[row].max(axis=1)
         order = np.argsort(far, axis=1, kind="stable")
         ids, far = np.take_along_axis(ids, order, 1), np.take_along_axis(far, order, 1)
         ids[np.isinf(far)] = -1
