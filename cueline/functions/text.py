@@ -14,6 +14,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(x: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(col(x), r"(?U)\A\s+", ""), r"(?U)\s+\z", "")
 
@@ -44,17 +49,27 @@ def hashtag(x: Column | str, default: str = "#Gaming") -> Column:
 
 def cut_title(x: Column | str, most: int = 100) -> Column:
     """Clean title, cut on a word's edge to ``most`` characters with an ellipsis."""
-    whole = clean(x)
-    short = F.regexp_replace(F.substring(whole, 1, most - 3), r"(?U)\s+\z", "")
-    short = F.when(short.contains(" "), F.regexp_replace(short, " [^ ]*$", "")).otherwise(short)
-    return F.when(F.length(whole) <= most, whole).otherwise(F.concat(short, F.lit("...")))
+
+    def cut(whole: Column) -> Column:
+        # of what has a space before its last word, that word goes
+        short = F.regexp_replace(F.regexp_replace(F.substring(whole, 1, most - 3), r"(?U)\s+\z", ""), " [^ ]*$", "")
+        return F.when(F.length(whole) <= most, whole).otherwise(F.concat(short, F.lit("...")))
+
+    return once(clean(x), cut)
 
 
 def ordered_distinct(x: Column | str) -> Column:
     """First spelling of each value of an array, whatever its case, in order."""
-    array = col(x)
-    low = F.transform(array, lambda v: F.lower(v))
-    return F.filter(array, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)
+    none = F.array().cast("array<string>")
+    init = F.struct(none.alias("low"), none.alias("kept"))
+
+    def step(acc: Column, v: Column) -> Column:
+        low = F.lower(v)
+        both = F.struct(F.array_append(acc["low"], low).alias("low"), F.array_append(acc["kept"], v).alias("kept"))
+        return F.when(F.array_contains(acc["low"], low), acc).otherwise(both)
+
+    # every value is worked out once; arrays are short
+    return F.aggregate(col(x), init, step, lambda acc: acc["kept"])
 
 
 def safe_name(x: Column | str, default: str = "video") -> Column:
@@ -82,14 +97,17 @@ def has_disallowed_script(x: Column | str) -> Column:
 
 def caption_lines(x: Column | str, default: str) -> Column:
     """Words of a caption on one to three lines: 1-2 words one line, 3 and 4 two, 5 and more three."""
-    w = words(x)
-    n = F.size(w)
-    join = lambda a, b: F.array_join(F.slice(w, a, b), " ")
-    first = F.when(n == 3, 2).when(n == 4, 2).when(n == 5, 2).otherwise(F.ceil(n * 0.4)).cast("int")
-    second = F.when(n == 5, 4).otherwise(F.ceil(n * 0.75)).cast("int")
-    return (
-        F.when(F.coalesce(n, F.lit(0)) == 0, F.array(F.lit(default)))
-        .when(n <= 2, F.array(join(F.lit(1), n)))
-        .when(n <= 4, F.array(join(F.lit(1), first), join(first + 1, n - first)))
-        .otherwise(F.array(join(F.lit(1), first), join(first + 1, second - first), join(second + 1, n - second)))
-    )
+
+    def lines(w: Column) -> Column:
+        n = F.size(w)
+        join = lambda a, b: F.array_join(F.slice(w, a, b), " ")
+        first = F.when(n == 3, 2).when(n == 4, 2).when(n == 5, 2).otherwise(F.ceil(n * 0.4)).cast("int")
+        second = F.when(n == 5, 4).otherwise(F.ceil(n * 0.75)).cast("int")
+        return (
+            F.when(F.coalesce(n, F.lit(0)) == 0, F.array(F.lit(default)))
+            .when(n <= 2, F.array(join(F.lit(1), n)))
+            .when(n <= 4, F.array(join(F.lit(1), first), join(first + 1, n - first)))
+            .otherwise(F.array(join(F.lit(1), first), join(first + 1, second - first), join(second + 1, n - second)))
+        )
+
+    return once(words(x), lines)
