@@ -44,8 +44,8 @@ FLUSH = 24 << 20
 HOT = 4096
 #: Stands for a null id; such rows are told by the sign of their tag, so that an id may have this value too.
 NO_ID = (1 << 63) - 1
-#: Bytes of text for each bucket that anchors, suffixes and hits are dealt to.
-BUCKET_BYTES = 16 << 20
+#: Bytes of text at most for each bucket that anchors, suffixes and hits are dealt to.
+BUCKET_BYTES = 64 << 20
 
 
 # --- anchors -------------------------------------------------------------------------
@@ -311,6 +311,8 @@ def repeated_spans(right: np.ndarray, left: np.ndarray, n_right: np.ndarray, n_l
 
 
 def _send_anchors(n: int):
+    most = _flush_at(n)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
@@ -329,7 +331,7 @@ def _send_anchors(n: int):
                     d = np.searchsorted(starts, at, "right") - 1
                     held.append((h, ks[start + d], tags[start + d], (at - starts[d]).astype(np.uint32)))
                     size += len(data)
-                if size > FLUSH:
+                if size > most:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -415,6 +417,7 @@ def _suffix_records(data: np.ndarray, at: np.ndarray, s0: np.ndarray, s1: np.nda
 
 def _send_suffixes(n: int):
     """Buckets 0 to n - 1 get records, dealt by key; n to 2n - 1 spans that are settled already, by document."""
+    most = _flush_at(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -459,7 +462,7 @@ def _send_suffixes(n: int):
                 d = np.searchsorted(starts, at, "right") - 1
                 held.append((key, body, nl, nr, ks[start + d], tags[start + d], (at - starts[d]).astype(np.uint32)))
                 size += body.size
-                if size > FLUSH:
+                if size > most:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -511,21 +514,32 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _rows(docs: DataFrame, key: str, text: str, unique: bool = False) -> DataFrame:
+    """(k, tag, text). ``tag`` tells apart rows with one id: 63 bits of the text's hash, or 0 if ids are ``unique``; its sign says that there is no id."""
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     id_ = F.col(f"`{key}`").cast("bigint")
-    # 63 bits of the text tell apart rows with one id; the sign says that there is none
     tag = F.xxhash64(whole).bitwiseAND(F.lit(NO_ID))
-    tag = F.when(id_.isNull(), F.bitwise_not(tag)).otherwise(tag)
+    tag = F.when(id_.isNull(), F.bitwise_not(tag)).otherwise(F.lit(0).cast("bigint") if unique else tag)
     return docs.select(F.coalesce(id_, F.lit(NO_ID)).alias("k"), tag.alias("tag"), whole.cast("binary").alias("text"))
 
 
+def _unique(docs: DataFrame, key: str) -> bool:
+    """Whether no id repeats; null ids don't count."""
+    ids = docs.select(F.col(f"`{key}`").cast("bigint").alias("k")).where("k IS NOT NULL")
+    return ids.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
 def _n_buckets(rows: DataFrame) -> int:
     """As many as shuffle partitions, or more where a bucket would have more than BUCKET_BYTES of text."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
 
+def _flush_at(n: int) -> int:
+    """Bytes of text or records that a task holds before it deals them: more for many buckets, so that blobs keep some rows."""
+    return min(8 * FLUSH, max(FLUSH, 224 * n))
+
+
 def _copies(rows: DataFrame) -> DataFrame:
     """(k, tag, begins, ends) of the rows whose whole text a smaller document has too.
 
@@ -539,20 +553,21 @@ def _copies(rows: DataFrame) -> DataFrame:
     return copies.select("k", "tag", F.array(F.lit(0)).alias("begins"), F.array("n").alias("ends"))
 
 
-def repeated_parts(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """(k, tag, begins, ends) of the documents that repeat strings of smaller ones: byte spans, which may overlap."""
-    whole = _rows(docs, key, text)
+def repeated_parts(whole: DataFrame, hot: int = HOT) -> DataFrame:
+    """(k, tag, begins, ends) of the documents that repeat strings of smaller ones: byte spans, which may overlap. ``whole``: see :func:`_rows`."""
     n = _n_buckets(whole)
+    # a bucket is a partition of its own: hashed ones would meet several in a task
+    grouped = lambda df: df.repartitionById(n, F.col("bucket")).groupBy("bucket")
     copies = materialise(_copies(whole), "copies")
     # one exchange of the texts by (k, tag) serves this join, the one below and the caller's
     rows = whole.join(copies.select("k", "tag").hint("merge"), ["k", "tag"], "left_anti")
     blobs = "bucket int, blob binary"
     sent = rows.select("k", "tag", "text").mapInArrow(_send_anchors(n), blobs)
-    shared = sent.groupBy("bucket").applyInArrow(_shared_anchors(n, hot), blobs)
-    by_doc = shared.groupBy("bucket").applyInArrow(_by_doc([np.int32], ["at"]), "k bigint, tag bigint, at array<int>")
+    shared = grouped(sent).applyInArrow(_shared_anchors(n, hot), blobs)
+    by_doc = grouped(shared).applyInArrow(_by_doc([np.int32], ["at"]), "k bigint, tag bigint, at array<int>")
     suffixes = rows.join(by_doc, ["k", "tag"]).select("k", "tag", "text", "at").mapInArrow(_send_suffixes(n), blobs)
-    spans = suffixes.groupBy("bucket").applyInArrow(_spans(n), blobs)
-    found = spans.groupBy("bucket").applyInArrow(_by_doc([np.uint32, np.uint32], ["begins", "ends"]), "k bigint, tag bigint, begins array<int>, ends array<int>")
+    spans = grouped(suffixes).applyInArrow(_spans(n), blobs)
+    found = grouped(spans).applyInArrow(_by_doc([np.uint32, np.uint32], ["begins", "ends"]), "k bigint, tag bigint, begins array<int>, ends array<int>")
     return found.unionByName(copies)
 
 
@@ -564,8 +579,8 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: i
     an anchor's windows are dealt one by one; the result is the same. Texts under 50 bytes keep
     all their bytes. An empty table stays empty.
     """
-    rows = _rows(docs, key, text)
-    found = repeated_parts(docs, key, text, hot)
+    rows = _rows(docs, key, text, _unique(docs, key))
+    found = repeated_parts(rows, hot)
     joined = rows.join(found, ["k", "tag"], "left")
     id_ = F.when(F.col("tag") >= 0, F.col("k")).alias("doc_id")
     return joined.select(id_, "text", "begins", "ends").mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
