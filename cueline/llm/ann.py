@@ -283,8 +283,8 @@ def build_index(nodes: DataFrame, shards: int, k: int) -> DataFrame:
             ids[i, : len(own)] = own
         return pd.DataFrame([{"shard": pdf["shard"].iloc[0], "dims": x.shape[1], "ids": ids.tobytes(), **flat}])[["shard", "dims", "n", "m", "entry", "layers", "ids", "vectors", "links"]]
 
-    # ranges of shard numbers: as many tasks as shards, without collisions of a hash
-    return nodes.repartitionByRange(shards, "shard").groupBy("shard").applyInPandas(graph, f"shard int, dims int, {_GRAPH}")
+    # a task for each shard
+    return nodes.repartitionById(shards, F.col("shard")).groupBy("shard").applyInPandas(graph, f"shard int, dims int, {_GRAPH}")
 
 
 def _stream(k: int, block: int):
@@ -331,14 +331,15 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", column:
     nodes, shards = deal(usable(vectors, key, column), k, shard_rows)
     # one row a shard, to be joined by length
     shards = materialise(shards, "shards")
-    graphs = build_index(nodes, max(1, shards.count()), k)
+    n = max(1, shards.count())
+    graphs = build_index(nodes, n, k)
     # every query meets every shard of its length: a stated query set against all rows, in blocks
     asked = usable(queries, key, column).join(shards, "dims")
     empty = {c.split(" ")[0]: F.lit(None).cast(c.split(" ")[1]).alias(c.split(" ")[0]) for c in _GRAPH.split(", ")}
     asked = asked.select("shard", "dims", *empty.values(), "vec_id", "v")
     both = graphs.withColumns({"vec_id": F.lit(None).cast("bigint"), "v": F.lit(None).cast("array<double>")}).unionByName(asked)
     # one copy of each graph comes before all its queries; n is null in queries, which sort last
-    both = both.repartition("shard").sortWithinPartitions("shard", F.col("n").asc_nulls_last())
+    both = both.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.col("n").asc_nulls_last())
     found = both.mapInPandas(_stream(k, QUERY_BLOCK), "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
