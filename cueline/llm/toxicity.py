@@ -38,6 +38,8 @@ PREFIX = 5
 PENALTY = 5.0
 L2 = 1e-3
 ROUNDS = 400
+#: Parts of the sample, each of which is scored by a fit to the others to place the threshold.
+FOLDS = 3
 CACHE_WORDS = 300_000
 #: Names of groups by language and kind; a name is swapped within its kind.
 IDENTITY_TERMS = {
@@ -193,10 +195,12 @@ def swap_counts(sample: DataFrame, kinds, prefix: int = PREFIX) -> list[tuple[tu
     return sorted((tuple(r.lost), tuple(r.gained), r.n) for r in summed)
 
 
-def fit(rows: list[tuple[int, list[str]]], features: list[str], pairs=(), penalty: float = PENALTY, rounds: int = ROUNDS) -> Model:
+def fit(rows: list[tuple[int, list[str]]], features: list[str], pairs=(), penalty: float = PENALTY, rounds: int = ROUNDS, cost: float = 1.0) -> Model:
     """Full-batch Adam on the log loss, the swap penalty and an L2 term. ``pairs``: see :func:`swap_counts`.
 
-    Empty texts, one for every hundred rows, are added as rows that aren't toxic.
+    Empty texts, one for every hundred rows, are added as rows that aren't toxic. A score of 0.5
+    is where rows that a fit hasn't seen are parted with the fewest errors, those on clean rows
+    counting ``cost`` times: so often are there clean rows for one in the sample, to one toxic row.
     """
     if not rows or not features:
         return Model({}, -5.0)
@@ -214,7 +218,22 @@ def fit(rows: list[tuple[int, list[str]]], features: list[str], pairs=(), penalt
     often = np.array([n for *_, n in pairs], np.float64)
     # the mean squared change is a quadratic form of the weights
     curve = (change.T @ (change * (often / often.sum())[:, None])).astype(np.float32) if len(pairs) else None
-    w, b = np.zeros(len(features), np.float32), np.float32(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    w, b = _weights(x, y, curve, penalty, rounds)
+    # where to part the classes is told by rows that the weights haven't seen
+    unseen = np.zeros(len(y))
+    for k in range(FOLDS):
+        own = np.arange(len(y)) % FOLDS == k
+        if own.any() and not own.all():
+            v, c = _weights(x[~own], y[~own], curve, penalty, rounds)
+            unseen[own] = x[own] @ v + c
+    b -= _cut(unseen, y, cost)
+    model = Model({f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-4}, float(b))
+    model.pairs = int(often.sum())
+    return model
+
+
+def _weights(x: np.ndarray, y: np.ndarray, curve: np.ndarray | None, penalty: float, rounds: int) -> tuple[np.ndarray, np.float32]:
+    w, b = np.zeros(x.shape[1], np.float32), np.float32(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     m, v = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
     for step in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
@@ -226,21 +245,18 @@ def fit(rows: list[tuple[int, list[str]]], features: list[str], pairs=(), penalt
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    b -= _cut(x @ w + b, y)
-    model = Model({f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-4}, float(b))
-    model.pairs = int(often.sum())
-    return model
+    return w, b
 
 
-def _cut(logits: np.ndarray, y: np.ndarray) -> float:
-    """Where to part the fitted rows with the fewest errors: the middle of the widest such gap."""
+def _cut(logits: np.ndarray, y: np.ndarray, cost: float = 1.0) -> float:
+    """Where to part rows with the fewest errors, clean ones counting ``cost`` times: the middle of the widest such gap."""
     order = np.argsort(logits, kind="stable")
     z, t = logits[order].astype(np.float64), y[order]
     if not 0 < t.sum() < len(t):
         return 0.0
     # errors of a cut after the first i + 1 rows: toxic ones below it, others above it
-    errors = np.cumsum(t)[:-1] + (len(t) - t.sum()) - np.cumsum(1 - t)[:-1]
-    gaps = np.where(errors == errors[z[1:] > z[:-1]].min(initial=np.inf), z[1:] - z[:-1], -1.0)
+    errors = np.cumsum(t, dtype=np.float64)[:-1] + cost * (len(t) - t.sum() - np.cumsum(1 - t, dtype=np.float64)[:-1])
+    gaps = np.where(np.isclose(errors, errors[z[1:] > z[:-1]].min(initial=np.inf)), z[1:] - z[:-1], -1.0)
     i = int(gaps.argmax())
     return float((z[i] + z[i + 1]) / 2) if gaps[i] > 0 else 0.0
 
@@ -264,7 +280,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     pairs = swap_counts(sample, kinds)
     wanted = sample.select("y", F.array_intersect("words", F.array(*map(F.lit, chosen))).alias("w"))
     rows = sorted((r.y, r.w) for r in wanted.toLocalIterator())
-    return fit(rows, chosen, pairs, penalty, rounds)
+    every = labels.agg(*[F.count(F.when(F.col(f"`{label}`") == y, 1)).alias(f"y{y}") for y in (0, 1)]).first()
+    cost = max(1.0, every.y0 / max(1, totals.n - totals.t) * max(1, totals.t) / max(1, every.y1))
+    return fit(rows, chosen, pairs, penalty, rounds, cost)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
