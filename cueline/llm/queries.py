@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueline.llm import ann, chat, decontaminate, langid, mixing, sharding, simhash, substrings, tokens, toxicity
+from cueline.llm import ann, audit, chat, decontaminate, langid, mixing, resample, secrets, sharding, simhash, substrings, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,4 +86,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix_source", "n_tokens", F.round("mix_weight", 9).alias("mix_weight"), "mix_block", "mix_repeats")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_chat_format, op4_toxicity, op5_simhash, op6_ann, op7_decontamination, op8_token_counts, op9_suffix_dedup, op10_mixing)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, _table(spark, sf_dir, "benchmark").select("text"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = secrets.find_secrets(docs)
+    digest = F.sha2(secrets.written_spans("base_spans"), 256)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", digest.alias("base_sha256"), secrets.written_spans("spans").alias("spans"), "n_live", "n_copied")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows = audit.with_labels(audit.failures(docs), _table(spark, sf_dir, "labels"), {"good": "quality", "toxic": "toxic"})
+    out = audit.audit(rows, {c: c for c in "ABCDE"}, "source", "doc_id", {"good_lost": "good", "toxic_lost": "toxic"})
+    return out.withColumnRenamed("source", "part")
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_chat_format, op4_toxicity, op5_simhash, op6_ann, op7_decontamination, op8_token_counts, op9_suffix_dedup, op10_mixing, op11_resampling, op12_secret_scan, op13_filter_audit)}
