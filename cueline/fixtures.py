@@ -45,8 +45,8 @@ def transcript_segments(spark: SparkSession, sf_dir: str, ev: DataFrame | None =
     """Segments with the whole text of a document; all documents are given out in turn."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # one row: where the turn begins anew
-    turn = docs.agg((F.max("doc_id") + 1).alias("turn"))
-    seg = speech_segments(spark, sf_dir, ev).crossJoin(F.broadcast(turn)).withColumn("doc_id", F.col("event_id") % F.col("turn"))
+    turn = docs.agg((F.max("doc_id") + 1).alias("turn")).withColumn("one", F.lit(1))
+    seg = speech_segments(spark, sf_dir, ev).withColumn("one", F.lit(1)).join(F.broadcast(turn), "one").withColumn("doc_id", F.col("event_id") % F.col("turn"))
     return seg.join(docs, "doc_id", "left").select("media_id", "seg_idx", F.col("start").alias("start_seconds"), F.col("end").alias("end_seconds"), F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -125,7 +125,8 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = search_results(spark, sf_dir).select("request_id").distinct()
-    return rows.select("request_id", F.regexp_extract("request_id", r"^(?:www\.|m\.)?([^.]*)", 1).alias("game_name"))
+    name = F.regexp_extract("request_id", r"^(?:www\.|m\.)?([^.]*)", 1)
+    return rows.select("request_id", name.alias("game_name"), _kinds(F.length("request_id")).alias("video_type"), F.upper(name).alias("episode_topic"))
 
 
 def frame_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,10 +168,18 @@ def probe_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("media_id"), F.when(F.col("n") % 17 == 0, F.substring(body, 1, 40)).otherwise(body).alias("probe_json"))
 
 
+def _kinds(place):
+    return F.element_at(F.array(*[F.lit(x) for x in ("Funny cuts", "Challenge run", "Full Walkthrough", "BOSS fight", "Stream")]), (place % 5 + 1).cast("int"))
+
+
 def package_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    kind = F.element_at(F.array(*[F.lit(x) for x in ("Funny cuts", "Challenge run", "Full Walkthrough", "BOSS fight", "Stream")]), (F.col("p_partkey") % 5 + 1).cast("int"))
-    return p.select(F.col("p_partkey").alias("request_id"), (F.col("p_partkey") % 10 + 1).alias("profile_key"), F.col("p_name").alias("game_name"), kind.alias("video_type"), F.col("p_brand").alias("episode_topic"))
+    """Parts as requests; all suppliers' profiles are given out in turn, and one more key that has none."""
+    p = table(spark, sf_dir, "part").withColumn("one", F.lit(1))
+    # one row: where the turn begins anew
+    turn = table(spark, sf_dir, "supplier").agg((F.max("s_suppkey") + 1).alias("turn")).withColumn("one", F.lit(1))
+    rows = p.join(F.broadcast(turn), "one")
+    path = F.concat(F.lit("/videos/"), F.col("p_partkey").cast("string"), F.lit(".mp4"))
+    return rows.select(F.col("p_partkey").alias("request_id"), (F.col("p_partkey") % F.col("turn") + 1).alias("profile_key"), F.col("p_name").alias("game_name"), _kinds(F.col("p_partkey")).alias("video_type"), F.col("p_brand").alias("episode_topic"), path.alias("video_path"))
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

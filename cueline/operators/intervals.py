@@ -2,9 +2,9 @@
 
 Times are seconds (doubles) or samples (longs); an interval is a start and an end
 column. ``key`` is the recording. Joins on time are cut into bins, so that one long
-recording is spread over many tasks. Folds depend on order; they restart at certain
-rows, whose islands are found by bins too, so only the rows of one island meet in one
-task. There they pass by in order, and a fold holds what is open, not what it has closed.
+recording is spread over many tasks. Folds that restart are spans of bins (see
+:mod:`cueline.operators.folds`). The suppression of near duplicates depends on all that is
+kept; it is cut at gaps, where nothing can be near, and large islands are settled in rounds.
 """
 
 from __future__ import annotations
@@ -16,9 +16,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cueline.operators import folds
+from cueline.storage import materialise, release
+
 BIN = 60.0
 #: Rows by number, or seconds, whose order one window task finds.
 ROWS_BIN, SECONDS_BIN = 1 << 16, 3600.0
+#: Clips of an island that one task passes by in order; larger islands are settled in rounds first.
+FOLD_ROWS = 1 << 16
+#: Rounds before what is left of an island is passed by in order.
+ROUNDS = 8
 
 
 def check_range(**limits: tuple[float, float, float]) -> None:
@@ -177,97 +184,93 @@ def fold_islands(df: DataFrame, keys: list[str], order: list[str], fields: list[
     return df.select(*at, *fields, *[c for c in order if c not in fields]).repartition(*at).sortWithinPartitions(*at, *order).select(*at, *fields).mapInArrow(run, out)
 
 
+def null_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that the folds leave out: those with a null or NaN in any of ``columns``."""
+    return df.where(~_whole(df, columns))
+
+
+def _whole(df: DataFrame, columns: list[str]) -> Column:
+    there = F.lit(True)
+    for c in columns:
+        there = there & F.col(c).isNotNull()
+        if dict(df.dtypes)[c] in ("double", "float"):
+            there = there & ~F.isnan(c)
+    return there
+
+
 def merge_gaps(segments: DataFrame, gap: float, most: float, key: str = "media_id", start: str = "start", end: str = "end") -> DataFrame:
     """Speech chunks: join a segment to the current chunk if the gap is at most ``gap`` and the chunk stays within ``most``.
 
     The chunk's end is that of its last segment; one longer than ``most`` stays whole.
-    Returns (key, chunk_idx, start, end); times keep their type.
+    Returns (key, chunk_idx, start, end); times keep their type. Segments without a number, a
+    start or an end are left out, see :func:`null_rows`.
     """
     check_range(gap=(gap, 0.0, ANY), most=(most, 0.0, ANY))
-    kind = dict(segments.dtypes)[start]
-    rows = segments.select(key, "seg_idx", F.col(start).alias("s"), F.col(end).alias("e"))
-    rows = mark_islands(rows, [key], ["seg_idx"], lambda prev: F.col("s") - prev("e") > gap, ROWS_BIN, ["e"])
-
-    def fold():
-        open_: list = []
-
-        def step(row):
-            if row is None:
-                return [tuple(open_)]
-            s, e = row
-            if open_ and s - open_[1] <= gap and e - open_[0] <= most:
-                open_[1] = e
-                return []
-            done = [tuple(open_)] if open_ else []
-            open_[:] = [s, e]
-            return done
-
-        return step
-
-    out = fold_islands(rows, [key], ["seg_idx"], ["s", "e"], f"s {kind}, e {kind}", fold)
-    return _numbered(out, key, "chunk_idx", start, end)
-
-
-def _numbered(spans: DataFrame, key: str, name: str, start: str, end: str) -> DataFrame:
-    """Spans (s, e) with their number in order of start, then end."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy("s", "e")) - 1
-    return spans.select(key, place.alias(name), F.col("s").alias(start), F.col("e").alias(end))
+    whole = segments.where(_whole(segments, ["seg_idx", start, end]))
+    counted = folds.count_bins(whole, key, "seg_idx", ROWS_BIN)
+    rows = whole.select(key, "seg_idx", F.col(start).alias("s"), F.col(end).alias("e"))
+    rows = folds.with_previous(rows, key, ["seg_idx"], "e", "before", ROWS_BIN, counted[0])
+    told = F.coalesce(F.col("s") - F.col("before") > gap, F.lit(True))
+    found = folds.spans(rows, key, ["seg_idx"], F.col("e"), F.col("s"), F.lit(float(most)), told, F.col("s"), F.col("e"), ROWS_BIN, counted, strict=True, clustered=True)
+    return found.select(F.col("k").alias(key), F.col("number").alias("chunk_idx"), F.col("s").alias(start), F.col("e").alias(end))
 
 
 def merge_short(scenes: DataFrame, least: float = 2.0, key: str = "media_id") -> DataFrame:
-    """Scenes of ``least`` seconds or more: a shorter one absorbs the next; the last may stay short."""
-    check_range(least=(least, 0.0, ANY))
-    rows = scenes.select(key, "scene_idx", F.col("start_seconds").alias("s"), F.col("end_seconds").alias("e"))
-    rows = mark_islands(rows, [key], ["scene_idx"], lambda prev: prev("e") - prev("s") >= least, ROWS_BIN, ["s", "e"])
-
-    def fold():
-        open_: list = []
+    """Scenes of ``least`` seconds or more: a shorter one absorbs the next; the last may stay short.
 
-        def step(row):
-            if row is None:
-                return [tuple(open_)]
-            if open_ and open_[1] - open_[0] < least:
-                open_[1] = row[1]
-                return []
-            done = [tuple(open_)] if open_ else []
-            open_[:] = row
-            return done
-
-        return step
-
-    return _numbered(fold_islands(rows, [key], ["scene_idx"], ["s", "e"], "s double, e double", fold), key, "scene_idx", "start_seconds", "end_seconds")
+    Scenes without a number, a start or an end are left out, see :func:`null_rows`.
+    """
+    check_range(least=(least, 0.0, ANY))
+    whole = scenes.where(_whole(scenes, ["scene_idx", "start_seconds", "end_seconds"]))
+    counted = folds.count_bins(whole, key, "scene_idx", ROWS_BIN)
+    rows = whole.select(key, "scene_idx", F.col("start_seconds").alias("s"), F.col("end_seconds").alias("e"))
+    rows = folds.with_previous(rows, key, ["scene_idx"], "e", "before", ROWS_BIN, counted[0])
+    # a scene begins anew if the open one reached the length at the scene before
+    found = folds.spans(rows, key, ["scene_idx"], F.coalesce("before", "e"), F.col("s"), F.lit(float(least)), F.col("before").isNull(), F.col("s"), F.col("e"), ROWS_BIN, counted, clustered=True)
+    return found.select(F.col("k").alias(key), F.col("number").alias("scene_idx"), F.col("s").alias("start_seconds"), F.col("e").alias("end_seconds"))
 
 
 def thin(points: DataFrame, spacing: float | str, key: str = "media_id", at: str = "t") -> DataFrame:
-    """Sorted points at least ``spacing`` (a number or a column) after the last one kept."""
-    gap = F.col(spacing) if isinstance(spacing, str) else F.lit(float(spacing))
-    rows = points.select(key, F.col(at).alias("x"), gap.alias("g"))
-    rows = mark_islands(rows, [key], ["x"], lambda prev: F.col("x") - prev("x") >= F.col("g"), SECONDS_BIN, ["x"])
-
-    def fold():
-        last: list = []
-
-        def step(row):
-            if row is None or (last and row[0] - last[0] < row[1]):
-                return []
-            last[:] = row
-            return [(row[0],)]
+    """Sorted points at least ``spacing`` after the last one kept: a number, or a column with one value a key.
 
-        return step
-
-    return fold_islands(rows, [key], ["x", "g"], ["x", "g"], f"{at} double", fold)
+    Points without a time or a spacing are left out, see :func:`null_rows`.
+    """
+    columns = [at, spacing] if isinstance(spacing, str) else [at]
+    whole = points.where(_whole(points, columns)).withColumn("__at", F.col(at).cast("double"))
+    gap = F.col(spacing) if isinstance(spacing, str) else F.lit(float(spacing))
+    x = F.col("__at")
+    counted = folds.count_bins(whole, key, "__at", SECONDS_BIN)
+    found = folds.spans(whole, key, ["__at"], x, x, gap, F.lit(False), x, x, SECONDS_BIN, counted)
+    return found.select(F.col("k").alias(key), F.col("s").alias(at))
 
 
 def suppress_near_duplicates(clips: DataFrame, key: str = "media_id", iou: float = 0.9, edge: float = 5.0, middle: float = 3.0) -> DataFrame:
     """Clips in rank order, without those near an already kept one; ranks stay as they are.
 
-    ``clips``: key, rank, start_seconds, end_seconds, middle. Returns the kept (key, rank). A
-    clip is compared with the kept ones whose edges are in its cell or the cells around it.
+    ``clips``: key, rank, start_seconds, end_seconds, middle; those with a null or NaN in one of
+    these are left out, see :func:`null_rows`. Returns the kept (key, rank). A clip is compared
+    with the kept ones whose edges are in its cell or the cells around it. Islands pass by in
+    one task if they are counted to be small; others are settled in rounds first.
     """
     check_range(iou=(iou, 0.0, 1.0), edge=(edge, 0.0, ANY), middle=(middle, 0.0, ANY))
-    rows = clips.select(key, *_CLIP)
-    rows = mark_islands(rows, [key], ["start_seconds", "rank"], lambda prev: F.col("start_seconds") - prev("start_seconds") > edge, SECONDS_BIN, ["start_seconds"])
+    rows = materialise(clips.where(_whole(clips, list(_CLIP))).select(key, *_CLIP), "clips")
+    most = rows.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    apart = lambda prev: F.col("start_seconds") - prev("start_seconds") > edge
+    if most <= FOLD_ROWS:
+        own = Window.partitionBy(key).orderBy("start_seconds", "rank")
+        rows = rows.withColumn("__new", F.coalesce(apart(lambda c: F.lag(c).over(own)).cast("bigint"), F.lit(0)))
+        rows = rows.withColumn("island", F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    else:
+        rows = mark_islands(rows, [key], ["start_seconds", "rank"], apart, SECONDS_BIN, ["start_seconds"])
     cell = max(edge, 1e-3)
+    settled = None
+    if most > FOLD_ROWS:
+        rows = materialise(rows, "islands")
+        large = rows.groupBy(key, "island").agg(F.count("*").alias("n")).where(F.col("n") > FOLD_ROWS).select(F.col(key).alias("lk"), F.col("island").alias("li"))
+        at = F.col(key).eqNullSafe(F.col("lk")) & (F.col("island") == F.col("li"))
+        settled, left = _settle_clips(rows.join(large, at, "left_semi"), key, cell, iou, edge, middle)
+        rows = rows.join(large, at, "left_anti")
+        rows = rows if left is None else rows.unionByName(left)
 
     def fold():
         kept: dict[tuple[int, int], list[tuple]] = {}
@@ -290,4 +293,33 @@ def suppress_near_duplicates(clips: DataFrame, key: str = "media_id", iou: float
 
         return step
 
-    return fold_islands(rows, [key], ["rank"], list(_CLIP), f"rank {dict(rows.dtypes)['rank']}", fold)
+    kept = fold_islands(rows, [key], ["rank"], list(_CLIP), f"rank {dict(rows.dtypes)['rank']}", fold)
+    return kept if settled is None else kept.unionByName(settled)
+
+
+def _settle_clips(rows: DataFrame, key: str, cell: float, iou: float, edge: float, middle: float) -> tuple[DataFrame, DataFrame | None]:
+    """(kept (key, rank), clips that are still open) after some rounds on clips of large islands.
+
+    Clips that are near each other are in one cell of start and end or in cells side by side. A
+    clip that is the best open one of its cell and those around it is kept, and open clips near
+    it go. Each meets the kept ones of nine cells, one at most of each, so a crowd of near
+    copies takes one round and no pairs.
+    """
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    spread = lambda df: df.withColumn("__d", F.explode(around)).withColumns({"__i": F.col("__i") + F.col("__d.i"), "__j": F.col("__j") + F.col("__d.j")}).drop("__d")
+    left = rows.withColumns({"__i": _bin("start_seconds", cell), "__j": _bin("end_seconds", cell)}).withColumn("__k", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
+    left, kept, at = materialise(left, "open"), None, ["__k", "__i", "__j"]
+    for _ in range(ROUNDS):
+        best = left.groupBy(*at).agg(F.min("rank").alias("__best"))
+        best = spread(best).groupBy(*at).agg(F.min("__best").alias("__best"))
+        marked = materialise(left.join(best, at).withColumn("__keep", F.col("rank") == F.col("__best")), "open")
+        new = marked.where("__keep").select(key, "rank")
+        kept = new if kept is None else kept.unionByName(new)
+        a = spread(marked.where("__keep").select(*at, F.struct(*_CLIP).alias("a")))
+        still = marked.where("NOT __keep").drop("__best", "__keep")
+        gone = still.select(*at, F.struct(*_CLIP).alias("b")).join(a, at).where(near_duplicate_test("a", "b", iou, edge, middle)).select("__k", F.col("b.rank").alias("rank")).distinct()
+        old, left = left, materialise(still.join(gone, ["__k", "rank"], "left_anti").select(*left.columns), "open")
+        release(old)
+        if left.isEmpty():
+            return kept, None
+    return kept, left.drop("__i", "__j", "__k")

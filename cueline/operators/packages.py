@@ -56,6 +56,11 @@ LAYOUTS = (
     ("alternate_reaction_layout", "left", 1.06, 0.90, 80),
     ("experimental_brand_variant", "right", 1.02, 0.84, 68),
 )
+# The fields of a package, in the order of its file.
+FIELDS = (
+    "profile_key", "channel_name", "game_name", "video_type", "episode_topic", "preferred_language", "primary_title", "alternate_titles",
+    "description", "hashtags", "tags", "source_video",
+)
 #: Rows of templates that are broadcast at most.
 BROADCAST_TEMPLATES = 10_000
 
@@ -117,15 +122,18 @@ def _fill(template: Column | str, also: dict[str, Column] | None = None) -> Colu
 
 
 def build_packages(requests: DataFrame, profiles: DataFrame, research: DataFrame, templates: DataFrame, key: str = "request_id", english: dict[str, str] | None = None, description: str = DESCRIPTION) -> DataFrame:
-    """(key, game_name, preferred_language, primary_title, alternate_titles, description, hashtags, tags) of each request.
+    """Packages of the requests: key and :data:`FIELDS`.
 
-    ``requests``: key, profile_key, game_name, video_type, episode_topic; ``profiles``:
-    profile_key, channel_name, preferred_language, target_audience; ``research``: key,
-    suggested_name, which replaces the game's name where it isn't empty. ``english``:
+    ``requests``: key, profile_key, game_name, video_type, episode_topic and, if there are any,
+    channel_name and video_path; ``profiles``: profile_key, channel_name, preferred_language,
+    target_audience; ``research``: key, suggested_name, which replaces the game's name where it
+    isn't empty. The request's own channel comes before its profile's. ``english``:
     phrases of titles that are replaced if the language is English. Tags and hashtags are
     without repetition whatever the case, in order; titles stay as many as there are templates.
     """
-    r = requests.join(profiles.select("profile_key", "channel_name", "preferred_language", "target_audience"), "profile_key", "left").join(research.select(key, "suggested_name"), key, "left")
+    own = lambda c: F.col(c) if c in requests.columns else F.lit(None).cast("string")
+    asked = requests.select(key, "profile_key", "game_name", "video_type", "episode_topic", own("channel_name").alias("__channel"), own("video_path").alias("__video"))
+    r = asked.join(profiles.select("profile_key", "channel_name", "preferred_language", "target_audience"), "profile_key", "left").join(research.select(key, "suggested_name"), key, "left")
     text = lambda c: clean(F.coalesce(c, F.lit("")))
     suggested = F.when(text("suggested_name") != "", F.col("suggested_name"))
     r = r.withColumns(
@@ -133,7 +141,7 @@ def build_packages(requests: DataFrame, profiles: DataFrame, research: DataFrame
             "name": text(F.coalesce(suggested, "game_name")),
             "topic": text("episode_topic"),
             "kind_name": text("video_type"),
-            "channel": text("channel_name"),
+            "channel": text(F.coalesce("__channel", "channel_name")),
             "language": clean(F.coalesce("preferred_language", F.lit("English"))),
             "audience": clean(F.coalesce("target_audience", F.lit("gaming viewers"))),
         }
@@ -154,4 +162,8 @@ def build_packages(requests: DataFrame, profiles: DataFrame, research: DataFrame
     r = r.withColumn("hashtags", ordered_distinct(F.array(hashtag("name"), F.lit("#Gaming"), F.lit("#Gameplay"), hashtag("kind_name"), F.lit("#GamingVideo"))))
     r = r.withColumn("tags", ordered_distinct(F.array(*map(_fill, TAGS))))
     told = _fill(description, {"%h": F.array_join("hashtags", " ")})
-    return r.select(key, F.col("name").alias("game_name"), F.col("language").alias("preferred_language"), F.get("titles", F.lit(0)).alias("primary_title"), F.slice("titles", 2, 100).alias("alternate_titles"), told.alias("description"), "hashtags", "tags")
+    found = {
+        "profile_key": F.col("profile_key"), "channel_name": F.col("channel"), "game_name": F.col("name"), "video_type": F.col("kind_name"), "episode_topic": F.col("topic"), "preferred_language": F.col("language"),
+        "primary_title": F.get("titles", F.lit(0)), "alternate_titles": F.slice("titles", 2, 100), "description": told, "hashtags": F.col("hashtags"), "tags": F.col("tags"), "source_video": F.coalesce("__video", F.lit("")),
+    }
+    return r.select(key, *[found[c].alias(c) for c in FIELDS])

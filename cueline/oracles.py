@@ -135,10 +135,10 @@ WORDS = """docs AS (SELECT coalesce(source, '') AS request_id, doc_id, regexp_re
 toks AS (SELECT request_id, doc_id, list_filter(regexp_extract_all(t, '\\b[a-z][a-z0-9''-]{2,}\\b'), lambda w: w NOT IN ('the', 'ring')) AS w FROM docs)"""
 
 PACK = """req AS (
-  SELECT p_partkey AS request_id, CASE WHEN p_partkey % 4 = 0 THEN 'The ' || p_name ELSE p_name END AS name, p_brand AS topic,
+  SELECT p_partkey AS request_id, p_partkey % turn + 1 AS profile_key, '/videos/' || p_partkey || '.mp4' AS source_video, CASE WHEN p_partkey % 4 = 0 THEN 'The ' || p_name ELSE p_name END AS name, p_brand AS topic,
     ['Funny cuts', 'Challenge run', 'Full Walkthrough', 'BOSS fight', 'Stream'][p_partkey % 5 + 1] AS vt, ['funny', 'challenge', 'walkthrough', 'boss', 'other'][p_partkey % 5 + 1] AS kind,
     coalesce(s_name, '') AS ch, CASE WHEN s_suppkey % 3 = 0 THEN 'Hinglish' ELSE 'English' END AS lang, CASE WHEN s_suppkey % 2 = 0 THEN 'night owls' ELSE 'gaming viewers' END AS aud
-  FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 10 + 1),
+  FROM part, (SELECT max(s_suppkey) + 1 AS turn FROM supplier) z LEFT JOIN supplier ON s_suppkey = p_partkey % turn + 1),
 tag AS (
   SELECT *, [name, name || ' gameplay', name || ' ' || vt, name || ' ' || topic, vt, topic, 'gaming', 'gameplay', 'gaming video', 'gameplay highlights', lang || ' gaming', ch] AS traw,
     ['#' || regexp_replace(name, '[^a-zA-Z0-9]+', '', 'g'), '#Gaming', '#Gameplay', '#' || regexp_replace(vt, '[^a-zA-Z0-9]+', '', 'g'), '#GamingVideo'] AS hraw FROM req),
@@ -328,13 +328,21 @@ SELECT o.request_id, o.pos, o.url, regexp_replace(lower(regexp_extract(o.url, '^
     sql["upload_packages"] = f"""
 WITH {PACK}, {_titles()},
 t AS (SELECT request_id, CASE WHEN lang = 'English' THEN replace(x, 'gone wrong', 'went wrong') ELSE x END AS title, pos FROM (SELECT request_id, lang, pos, replace(replace(template, '%n', name), '%t', topic) AS x FROM req JOIN tpl USING (kind)) y)
-SELECT u.request_id, name AS game_name, lang AS preferred_language, (SELECT title FROM t WHERE t.request_id = u.request_id AND pos = 0) AS primary_title, (SELECT string_agg(title, '|' ORDER BY pos) FROM t WHERE t.request_id = u.request_id AND pos > 0) AS alternate_titles,
+SELECT u.request_id, profile_key, ch AS channel_name, vt AS video_type, topic AS episode_topic, source_video, name AS game_name, lang AS preferred_language, (SELECT title FROM t WHERE t.request_id = u.request_id AND pos = 0) AS primary_title, (SELECT string_agg(title, '|' ORDER BY pos) FROM t WHERE t.request_id = u.request_id AND pos > 0) AS alternate_titles,
   ch || ' plays ' || name || ': ' || topic || E'.\\n\\nA ' || vt || ' video for ' || aud || E'.\\n\\nGame: ' || name || E'\\nType: ' || vt || E'\\nTopic: ' || topic || E'\\nChannel: ' || ch || E'\\n\\n' || array_to_string(hashtags, ' ') AS description,
   array_to_string(hashtags, '|') AS hashtags, array_to_string(tags, '|') AS tags FROM uniq u"""
     sql["package_files"] = f"""
-SELECT request_id, length('GAME' || E'\\n' || game_name || E'\\n\\nTITLE\\n' || primary_title || E'\\n\\nOTHER TITLES\\n'
-    || array_to_string(list_transform(string_split(alternate_titles, '|'), lambda t, i: i || '. ' || t), E'\\n') || E'\\n\\nDESCRIPTION\\n' || description
-    || E'\\n\\nHASHTAGS\\n' || replace(hashtags, '|', ' ') || E'\\n\\nTAGS\\n' || replace(tags, '|', ', ') || E'\\n') AS chars, primary_title FROM ({sql["upload_packages"]}) x"""
+WITH t AS (
+  SELECT *, 'YOUTUBE UPLOAD PACKAGE' || E'\\n' || repeat('=', 22) || E'\\n\\nChannel: ' || channel_name || E'\\nProfile: ' || profile_key || E'\\nGame: ' || game_name || E'\\nVideo type: ' || video_type
+    || E'\\nEpisode/topic: ' || episode_topic || E'\\nLanguage: ' || preferred_language || E'\\nSource video: ' || source_video || E'\\n\\nPRIMARY TITLE\\n' || repeat('-', 13) || E'\\n' || primary_title
+    || E'\\n\\nALTERNATE TITLES\\n' || repeat('-', 16) || E'\\n' || array_to_string(list_transform(string_split(alternate_titles, '|'), lambda t, i: i || '. ' || t), E'\\n')
+    || E'\\n\\nDESCRIPTION\\n' || repeat('-', 11) || E'\\n' || description || E'\\n\\nHASHTAGS\\n' || repeat('-', 8) || E'\\n' || replace(hashtags, '|', ' ')
+    || E'\\n\\nTAGS / KEYWORDS\\n' || repeat('-', 15) || E'\\n' || replace(tags, '|', ', ') || E'\\n' AS text FROM ({sql["upload_packages"]}) x)
+SELECT request_id, length(text) AS chars, md5(text) AS text_md5, primary_title, channel_name, profile_key, source_video FROM t"""
+    sql["request_queries"] = f"WITH {PACK} SELECT p_partkey AS request_id, concat_ws('|', p_name || ' official game', p_name || ' gameplay terminology', p_name || ' ' || vt || ' ' || topic, p_name || ' latest gameplay trends') AS queries FROM req JOIN part ON p_partkey = request_id"
+    sql["local_terms"] = f"""
+WITH {PACK}, own AS (SELECT request_id, list_filter([p_name, vt, CASE request_id % 3 WHEN 0 THEN upper(vt) WHEN 1 THEN '' ELSE topic END, 'Gameplay', 'Gaming', 'Highlights', 'Reaction'], lambda x: x <> '') AS t FROM req JOIN part ON p_partkey = request_id)
+SELECT request_id, array_to_string(list_filter(t, lambda x, i: list_position(list_transform(t, lambda y: lower(y)), lower(x)) = i), '|') AS terminology FROM own"""
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
     captions = ", ".join(f"('{k}', {i}, {quoted(t)})" for k, v in CAPTIONS.items() for i, t in enumerate(v))
     english = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in ENGLISH_CAPTIONS.items())

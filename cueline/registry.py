@@ -401,10 +401,22 @@ def best_names(spark: SparkSession, sf: str) -> DataFrame:
 def request_research(spark: SparkSession, sf: str) -> DataFrame:
     """Requests to all hosts, and for every host one to a name that no page belongs to."""
     found = fx.result_requests(spark, sf)
-    absent = found.select(F.concat(F.lit("none."), "request_id").alias("request_id"), "game_name")
+    absent = found.withColumn("request_id", F.concat(F.lit("none."), "request_id"))
     return research_plan.research_requests(found.unionByName(absent), fx.search_results(spark, sf))
 
 
+@query
+def request_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return research.request_queries(fx.package_requests(spark, sf)).withColumn("queries", F.array_join("queries", "|"))
+
+
+@query
+def local_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms of requests without results; every third has its type for its topic too."""
+    rows = fx.package_requests(spark, sf).withColumn("episode_topic", F.when(F.col("request_id") % 3 == 0, F.upper("video_type")).when(F.col("request_id") % 3 == 1, F.lit(" ")).otherwise(F.col("episode_topic")))
+    return research.local_terms(rows).withColumn("terminology", F.array_join("terminology", "|"))
+
+
 @query
 def search_queries(spark: SparkSession, sf: str) -> DataFrame:
     return research.search_queries(fx.package_requests(spark, sf), ("game", "gameplay", "best moments", "tips"))
@@ -425,7 +437,8 @@ def upload_packages(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def package_files(spark: SparkSession, sf: str) -> DataFrame:
     out = sinks.package_text(_packages(spark, sf))
-    return out.select("request_id", F.length("text").alias("chars"), F.get_json_object("json", "$.primary_title").alias("primary_title"))
+    of = lambda name: F.get_json_object("json", f"$.{name}")
+    return out.select("request_id", F.length("text").alias("chars"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"), of("primary_title").alias("primary_title"), of("channel_name").alias("channel_name"), of("profile_key").cast("bigint").alias("profile_key"), of("source_video").alias("source_video"))
 
 
 @query

@@ -4,12 +4,13 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cueline import fixtures as fx
 from cueline import registry
-from cueline.operators import captions, intervals, packages, research, scoring, signals, textclean
+from cueline.operators import captions, folds, intervals, packages, research, scoring, signals, textclean
 from cueline.plans import highlights as plan
 from cueline.sources import inputs, sinks
 
@@ -39,6 +40,7 @@ def test_one_island_of_many_rows(spark):
 def test_islands_over_bins(spark, monkeypatch, width):
     monkeypatch.setattr(intervals, "ROWS_BIN", width)
     monkeypatch.setattr(intervals, "SECONDS_BIN", float(width))
+    monkeypatch.setattr(intervals, "FOLD_ROWS", width)
     rng = random.Random(7)
     scenes, clips, want, kept = [], [], set(), set()
     for m in [None, *range(40)]:
@@ -72,6 +74,113 @@ def test_islands_over_bins(spark, monkeypatch, width):
     assert set(rows(intervals.suppress_near_duplicates(cl, iou=0.6), "media_id", "rank")) == kept
 
 
+def plain_chunks(segments, gap, most):
+    out = []
+    for s, e in segments:
+        if out and s - out[-1][1] <= gap and e - out[-1][0] <= most:
+            out[-1][1] = e
+        else:
+            out.append([s, e])
+    return [tuple(x) for x in out]
+
+
+def plain_thin(points, spacing):
+    kept = []
+    for x in sorted(points):
+        if not kept or x - kept[-1] >= spacing:
+            kept.append(x)
+    return kept
+
+
+@pytest.mark.parametrize("width", [2, 5, 1 << 16])
+def test_spans_over_bins_against_loops(spark, monkeypatch, width):
+    """Bins of some rows, ends that fall back, gaps, whole numbers, ties, null and NaN times."""
+    monkeypatch.setattr(intervals, "ROWS_BIN", width)
+    monkeypatch.setattr(intervals, "SECONDS_BIN", float(width))
+    monkeypatch.setattr(folds, "ROWS", width)
+    rng = random.Random(width)
+    segments, points, chunks, whole, thinned = [], [], set(), set(), set()
+    for m in [None, *range(30)]:
+        t, own, ints = 0.0, [], []
+        for i in range(rng.randint(1, 50)):
+            t += rng.choice([0.0, 0.1, 0.5, 2.5]) + rng.random()
+            s, e = t, t + rng.choice([0.2, 1.0, 7.0])
+            bad = rng.random()
+            row = (m, None if bad < 0.03 else i, None if 0.03 < bad < 0.06 else s, float("nan") if 0.06 < bad < 0.09 else e)
+            segments.append(row)
+            if bad >= 0.09:
+                own.append((s, e))
+                ints.append((int(s * 10), int(e * 10)))
+        chunks |= {(m, i, *x) for i, x in enumerate(plain_chunks(own, 0.8, 9.0))}
+        whole |= {(m, i, *x) for i, x in enumerate(plain_chunks(ints, 8, 90))}
+        at = [round(rng.random() * 40, 1) for _ in range(rng.randint(1, 60))]
+        points += [(m, x, 1.5 + (m or 0) % 3) for x in at] + [(m, None, 1.0), (m, 3.0, None)]
+        thinned |= {(m, x) for x in plain_thin(at, 1.5 + (m or 0) % 3)}
+    df = spark.createDataFrame(segments, "media_id long, seg_idx int, start double, end double").repartition(3)
+    assert set(rows(intervals.merge_gaps(df, 0.8, 9.0), "media_id", "chunk_idx", "start", "end")) == chunks
+    assert intervals.null_rows(df, ["seg_idx", "start", "end"]).count() == sum(r[1] is None or r[2] is None or r[3] != r[3] for r in segments)
+    good = df.where("seg_idx IS NOT NULL AND start IS NOT NULL AND NOT isnan(end)")
+    samples = good.select("media_id", "seg_idx", F.floor(F.col("start") * 10).alias("start"), F.floor(F.col("end") * 10).alias("end"))
+    got = intervals.merge_gaps(samples, 8, 90)
+    assert dict(got.dtypes)["start"] == "bigint" and set(rows(got, "media_id", "chunk_idx", "start", "end")) == whole
+    pts = spark.createDataFrame(points, "media_id long, t double, gap double").repartition(3)
+    got = rows(intervals.thin(pts, "gap"), "media_id", "t")
+    assert set(got) == thinned and len(got) == len(thinned)
+
+
+def test_spans_of_numbers():
+    """Next begins, begins and step tables against loops; least values to the last bit."""
+    rng = np.random.default_rng(3)
+    for turn in range(150):
+        n = int(rng.integers(1, 40))
+        value = rng.integers(0, 30, n).astype(np.int64 if turn % 2 else float)
+        value = np.sort(value) if turn % 3 == 0 else value
+        if turn % 2 == 0:
+            value = value + rng.random(n)
+        base, reach, strict = value - rng.integers(0, 3, n).astype(value.dtype), rng.integers(0, 10, n).astype(float), turn % 5 == 0
+        least = folds.least_value(base, reach, strict)
+        for x, a, d in zip(least, base, reach, strict=True):
+            below = x - 1 if turn % 2 else np.nextafter(x, -np.inf)
+            assert (x - a > d, below - a > d) == (True, False) if strict else (x - a >= d, below - a >= d) == (True, False)
+        told = rng.random(n) < 0.1
+        after = [next((j for j in range(i + 1, n) if told[j] or value[j] >= least[i]), n) for i in range(n)]
+        assert folds.next_begins(value, least, told).tolist() == after
+        reached = set()
+        for i in np.flatnonzero(told).tolist():
+            while i < n and i not in reached:
+                reached.add(i)
+                i = after[i]
+        assert set(np.flatnonzero(folds.begins(value, least, told)).tolist()) == reached
+        upto, out = folds.step_table(value, least, told)
+        for t in (-5, 0, 3, 12, 29, 45):
+            state = value.dtype.type(t)
+            for j in range(n):
+                state = least[j] if told[j] or value[j] >= state else state
+            at = int(np.searchsorted(upto, t))
+            assert (out[at] if at < len(upto) else t) == state
+    assert folds.least_value(np.array([-1e6]), np.array([1e6]), False)[0] < 0
+
+
+def test_large_islands_settle_in_rounds(spark, monkeypatch):
+    """A crowd of near copies, a chain whose ranks rise along it, and a recording without a name."""
+    monkeypatch.setattr(intervals, "FOLD_ROWS", 20)
+    monkeypatch.setattr(intervals, "ROUNDS", 3)
+    rng = random.Random(4)
+    clips = [(1, i + 1, rng.random(), 50 + rng.random(), 25.0) for i in range(150)]
+    clips += [(2, i + 1, i * 0.9, i * 0.9 + 50, i * 0.9 + 25) for i in range(150)]
+    clips += [(None, i + 1, x := rng.random() * 60, x + 50 + rng.random(), x + 24 + 2 * rng.random()) for i in range(150)]
+    want = set()
+    for m in (1, 2, None):
+        kept = []
+        for _, rank, s, e, mid in (c for c in clips if c[0] == m):
+            if not any((min(k[1], e) - max(k[0], s)) / (max(k[1], e) - min(k[0], s)) >= 0.9 and abs(k[0] - s) <= 5 and abs(k[1] - e) <= 5 and abs(k[2] - mid) <= 3 for k in kept):
+                kept.append((s, e, mid))
+                want.add((m, rank))
+    df = spark.createDataFrame([*clips, (1, 999, None, 2.0, 1.0), (1, 998, 3.0, float("nan"), 1.0)], "media_id long, rank int, start_seconds double, end_seconds double, middle double").repartition(4)
+    got = rows(intervals.suppress_near_duplicates(df), "media_id", "rank")
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_parameters_are_checked(spark):
     df = spark.createDataFrame([], "media_id long, seg_idx int, rank int, start double, end double, start_seconds double, end_seconds double, middle double")
     for wrong in (lambda: intervals.suppress_near_duplicates(df, iou=1.5), lambda: intervals.suppress_near_duplicates(df, edge=-1.0), lambda: intervals.suppress_near_duplicates(df, middle=-1.0), lambda: intervals.merge_gaps(df, -1.0, 20.0), lambda: captions.build_captions(df, ["rank"], size=0), lambda: signals.session_offsets(df, 0.0)):
@@ -108,6 +217,50 @@ def test_results_are_deduped_in_order(spark):
     assert chain and set(rows(research.dedupe_results(research.normalise_results(raw)), "request_id", "pos")) == want
 
 
+def test_results_of_several_queries(spark):
+    """Each query counts from 0; a title that another query's first result has doesn't come back."""
+    data = [("r", 0, 0, "Lava", "https://a/1"), ("r", 1, 0, "Lava", "https://b/2"), ("r", 1, 0, "Tuna", "https://c/3"), ("r", 2, 0, "Moss", "https://A/1/"), ("r", 2, 1, "Fern", "https://d/4"), ("r", 2, 1, "Fern", "https://d/4")]
+    raw = spark.createDataFrame([(*x, "s", "q") for x in data], "request_id string, query_no int, pos int, title string, url string, summary string, query string").repartition(3)
+    for limit in (1, 1000):
+        research.FOLD_RESULTS, before = limit, research.FOLD_RESULTS
+        got = research.dedupe_results(research.normalise_results(raw))
+        assert sorted(rows(got, "query_no", "pos", "title")) == [(0, 0, "Lava"), (1, 0, "Tuna"), (2, 1, "Fern")]
+        research.FOLD_RESULTS = before
+
+
+def test_a_long_chain_of_results(spark, monkeypatch):
+    """Each result shares its URL with one neighbour and its title with the other; after some rounds components pass by in order."""
+    monkeypatch.setattr(research, "FOLD_RESULTS", 100)
+    monkeypatch.setattr(research, "ROUNDS", 2)
+    n = 3000
+    data = [("chain", pos, f"t{(pos + 1) // 2}", f"https://c/{pos // 2}", "s", "q") for pos in range(n)] + [(None, 0, "t0", "https://c/0", "s", "q"), (None, 1, "t0", "https://c/9", "s", "q")]
+    raw = spark.createDataFrame(data, "request_id string, pos int, title string, url string, summary string, query string").repartition(4)
+    urls, titles, want = set(), set(), {(None, 0)}
+    for pos in range(n):
+        u, t = pos // 2, (pos + 1) // 2
+        if u not in urls and t not in titles:
+            urls.add(u), titles.add(t), want.add(("chain", pos))
+    got = rows(research.dedupe_results(research.normalise_results(raw)), "request_id", "pos")
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_corrected_names(spark):
+    """A spelling that differs in marks and capitals only is no correction."""
+    req = spark.createDataFrame([("a", "Spider Man"), ("b", "Spider Mann")], "request_id string, game_name string")
+    found = spark.createDataFrame([("a", 0, "Spider-man", "x.org"), ("b", 0, "Spider-man", "x.org")], "request_id string, pos int, title string, domain string")
+    got = {r.request_id: (r.suggested_name, r.was_corrected) for r in research.best_names(found, req).collect()}
+    assert got == {"a": ("Spider-man", False), "b": ("Spider-man", True)}
+
+
+def test_similarity_bound_is_no_less(spark):
+    rng = random.Random(5)
+    pairs = [("".join(rng.choice("abc1") for _ in range(rng.randint(0, 12))), "".join(rng.choice("abc1") for _ in range(rng.randint(0, 12)))) for _ in range(300)]
+    df = spark.createDataFrame(pairs, "a string, b string").withColumn("most", research.similarity_bound("a", "b"))
+    for r in df.collect():
+        true = SequenceMatcher(None, r.a, r.b).ratio()
+        assert true <= 0.5 or r.most >= true - 1e-9
+
+
 def plain_names(results, asked):
     """Suggested names by a loop over candidates."""
     out = {}
