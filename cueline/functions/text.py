@@ -19,6 +19,11 @@ def once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def fixed(x: Column | str, places: int) -> Column:
+    """A number with so many decimal places, halves to even."""
+    return F.call_function("format_number", col(x), F.lit("0." + "0" * places))
+
+
 def strip(x: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(col(x), r"(?U)\A\s+", ""), r"(?U)\s+\z", "")
 

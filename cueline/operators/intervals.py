@@ -73,12 +73,16 @@ def scene_texts(segments: DataFrame, scenes: DataFrame, key: str = "media_id", b
 
     Empty texts are left out; scenes without segments have an empty text.
     """
-    placed = assign_by_overlap(segments, scenes, key, bin_width).select(key, "seg_idx", "scene_idx")
-    said = segments.where(F.length("text") > 0).select(key, "seg_idx", "text").join(placed, [key, "seg_idx"])
-    texts = said.groupBy(key, "scene_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda x: x["text"]), " ").alias("transcript_text"))
+    texts = placed_texts(segments, assign_by_overlap(segments, scenes, key, bin_width), key)
     return scenes.join(texts, [key, "scene_idx"], "left").withColumn("transcript_text", F.coalesce("transcript_text", F.lit("")))
 
 
+def placed_texts(segments: DataFrame, placed: DataFrame, key: str = "media_id") -> DataFrame:
+    """(key, scene_idx, transcript_text) of the scenes that segments are ``placed`` in: key, seg_idx, scene_idx."""
+    said = segments.where(F.length("text") > 0).select(key, "seg_idx", "text").join(placed.select(key, "seg_idx", "scene_idx"), [key, "seg_idx"])
+    return said.groupBy(key, "scene_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda x: x["text"]), " ").alias("transcript_text"))
+
+
 def points_in_scenes(points: DataFrame, scenes: DataFrame, rate: float | str, place: str, key: str = "media_id", bin_width: int = 1 << 16) -> DataFrame:
     """Points with the scenes they lie in: ``int(start * rate) <= place < int(end * rate)``.
 

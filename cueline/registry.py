@@ -9,11 +9,12 @@ from cueline import fixtures as fx
 from cueline.functions import text as tx
 from cueline.functions import timecode as tc
 from cueline.operators import captions, decisions, intervals, moments, packages, research, responses, scoring, signals, textclean
+from cueline.operators.answers import Responder
 from cueline.oracles import build
 from cueline.plans import highlights as plan
 from cueline.plans import research as research_plan
 from cueline.sources import checks, inputs, sinks
-from cueline.storage import materialise
+from cueline.storage import materialise, new_path
 
 QUERIES: dict = {}
 
@@ -147,7 +148,9 @@ def _views(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    return plan.scored_scenes(*_views(spark, sf), fx.RATE, 1)
+    segments, scenes, frames, blocks = _views(spark, sf)
+    placed = intervals.assign_by_overlap(segments, scenes).select("media_id", "seg_idx", "scene_idx")
+    return plan.scored_scenes(segments, scenes, frames, blocks, fx.RATE, 1, placed=placed)
 
 
 @query
@@ -164,20 +167,41 @@ def highlight_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return r6(out.drop("middle"), "start_seconds", "end_seconds")
 
 
-@query
-def highlight_run(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole run with a responder that answers by the length of the prompt."""
+def answer_by_digest():
+    """A responder that answers by a digest of the prompt and the number of images; every third title is too long."""
+    from zlib import crc32
+
+    def answer(prompt: str, images=None) -> str:
+        n = (crc32(prompt.encode()) + (0 if images is None else len(images))) % 1000
+        title = "t" * (80 if n % 3 == 0 else 20)
+        return (
+            'So: {"is_interesting": %s, "keep_highlight": %s, "looks_interesting": true, "category": "c%d", "reason": "r%d", "confidence": %.2f, "visual_event": "e%d", "action_level": "high", "danger_level": "%s",'
+            ' "event_summary": "s%d", "final_confidence": "%.3f", "hook": "h%d", "title": "%s%d", "hashtags": ["#a", "#b%d"]}'
+        ) % ("true" if n % 2 else "false", "true" if n % 2 else "false", n % 5, n, n % 100 / 100, n % 7, "low" if n % 2 else "medium", n % 11, n / 1000, n % 13, title, n, n % 3)
+
+    return answer
 
-    def set_up():
-        def answer(prompt: str) -> str:
-            n = len(prompt) % 100
-            return 'So: {"is_interesting": true, "keep_highlight": %s, "category": "c%d", "action_level": "high", "confidence": 0.5, "final_confidence": %.2f}' % ("true" if n % 2 else "false", n % 5, n / 100)
 
-        return answer
+def _run(spark: SparkSession, sf: str) -> plan.Run:
+    ev = materialise(fx.numbered_events(spark, sf), "events")
+    said = fx.transcript_segments(spark, sf, ev)
+    # a chunk says what its segments say
+    transcribe = lambda chunks: intervals.scene_texts(said, chunks.withColumnRenamed("chunk_idx", "scene_idx")).select("media_id", F.col("scene_idx").alias("chunk_idx"), F.col("transcript_text").alias("text"))
+    sessions = fx.media(spark, sf).where("media_id % 3 = 0").select("media_id", F.when(F.col("media_id") % 2 == 0, "face_top").otherwise("portrait").alias("layout"))
+    fallback = spark.createDataFrame([("c1", "look", "Clip of the first kind", ["#c1"]), ("other", "wait", "A clip", ["#clip"])], "category string, hook string, title string, hashtags array<string>")
+    speech = fx.speech_segments(spark, sf, ev).select("media_id", "seg_idx", "start", "end")
+    return plan.highlight_run(speech, transcribe, fx.scenes(spark, sf, ev), fx.event_frames(spark, sf, ev), fx.audio_blocks(spark, sf, ev), fx.media(spark, sf), fx.RATE, Responder("digest", answer_by_digest), new_path(spark, "ledger"), fallback, sessions=sessions, every=1, per_task=500)
+
 
-    final, texts = plan.highlight_run(*_views(spark, sf), fx.media(spark, sf), fx.RATE, set_up, "Said: %s", 1)
-    n = texts.groupBy("media_id", "rank").agg(F.count("*").alias("captions"))
-    return final.join(n, ["media_id", "rank"], "left").select("media_id", "rank", "number", "category", "keep_highlight", "final_confidence", F.coalesce("captions", F.lit(0)).alias("captions"))
+@query
+def highlight_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole run with a responder that answers by a digest of the prompt."""
+    run = _run(spark, sf)
+    titles = run.packages.select("media_id", "rank", "renderer", "caption_count", "hook", "title", F.array_join("hashtags", " ").alias("hashtags"), F.length("document").alias("document_chars"))
+    counts = run.summary.select("media_id", "highlights", "exports", "packages")
+    files = run.files.select("media_id", "number", "file_name")
+    rows = run.final.select("media_id", "rank", "number", "category", "commentary_category", "visual_event", "action_level", "danger_level", "keep_highlight", "final_confidence", "event_summary", "reason")
+    return rows.join(titles, ["media_id", "rank"]).join(files, ["media_id", "number"]).join(counts, "media_id")
 
 
 @query
@@ -316,7 +340,7 @@ def highlight_files(spark: SparkSession, sf: str) -> DataFrame:
     raw = fx.model_responses(spark, sf)
     fused = responses.fusion(raw).select("media_id", F.col("rank").cast("int").alias("rank"), "keep_highlight", "final_confidence", "reason")
     out = sinks.highlight_metadata(fused)
-    return out.select("media_id", "number", "file_name", F.get_json_object("metadata", "$.rank").cast("int").alias("rank"), F.get_json_object("metadata", "$.file_name").alias("named"))
+    return out.select("media_id", "number", "file_name", F.get_json_object("metadata", "$.rank").cast("int").alias("rank"), F.get_json_object("metadata", "$.clip_file").alias("named"))
 
 
 # --- moments and frames --------------------------------------------------------------

@@ -1,7 +1,9 @@
 """Folds, rounds and the highlight run against plain loops, on long islands and many shared keys."""
 
+import json
 import random
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 
 from cueline import fixtures as fx
 from cueline import registry
-from cueline.operators import captions, folds, intervals, packages, research, scoring, signals, textclean
+from cueline.operators import answers, captions, folds, intervals, packages, research, scoring, signals, textclean
+from cueline.operators.answers import Responder
 from cueline.plans import highlights as plan
 from cueline.sources import inputs, sinks
 
@@ -307,37 +310,166 @@ def test_collapse_is_a_fixpoint():
         assert set(words) <= set(text.lower().split())
 
 
+def plain_clips(scored):
+    """Windows, ranks and suppression by a loop over the scored scenes of a recording."""
+    kept = []
+    for rank, r in enumerate(sorted((r for r in scored if r.final_score >= 0.4), key=lambda r: (-r.final_score, r.scene_idx)), 1):
+        a, b = (min(max(x, 0.0), fx.DURATION) for x in (r.start_seconds, r.end_seconds))
+        goal = min(max(45.0, b - a), 145.0)
+        s = (a + b) / 2 - goal / 2
+        e = s + goal
+        if s < 0:
+            s, e = 0.0, goal
+        if e > fx.DURATION:
+            s, e = max(0.0, fx.DURATION - goal), fx.DURATION
+        mid = (r.start_seconds + r.end_seconds) / 2
+        near = lambda k: (min(k[1], e) - max(k[0], s)) / (max(k[1], e) - min(k[0], s)) >= 0.9 and abs(k[0] - s) <= 5 and abs(k[1] - e) <= 5 and abs(k[2] - mid) <= 3  # noqa: B023, E731
+        if not any(near(k[:3]) for k in kept):
+            kept.append((s, e, mid, rank, r.final_score, r.transcript_text))
+    return kept
+
+
 def test_highlight_run_against_a_loop(spark, sf):
-    """From the scored scenes on: windows, suppression, answers by the prompt's length, order and captions."""
-    said = fx.transcript_segments(spark, sf)
-    scored = plan.scored_scenes(said, fx.scenes(spark, sf), fx.event_frames(spark, sf), fx.audio_blocks(spark, sf), fx.RATE, 1)
-    by_media = {}
+    """The whole run: chunks, scenes, clips, three stages of answers, order, files, captions, titles asked for again, packages."""
+    ev = fx.numbered_events(spark, sf)
+    speech = {}
+    for r in fx.speech_segments(spark, sf).orderBy("media_id", "seg_idx").collect():
+        speech.setdefault(r.media_id, []).append((r.start, r.end))
+    said, run = fx.transcript_segments(spark, sf), registry._run(spark, sf)
+    texts = {}
+    chunks = [(m, i, *x) for m, own in speech.items() for i, x in enumerate(plain_chunks(own, 2.0, 20.0))]
+    table = spark.createDataFrame(chunks, "media_id long, scene_idx long, start_seconds double, end_seconds double")
+    segments = intervals.scene_texts(said, table).where("transcript_text <> ''").select("media_id", F.col("scene_idx").alias("seg_idx"), "start_seconds", "end_seconds", F.col("transcript_text").alias("text"))
+    merged = {}
+    for r in fx.scenes(spark, sf).orderBy("media_id", "scene_idx").collect():
+        own = merged.setdefault(r.media_id, [])
+        if own and own[-1][1] - own[-1][0] < 2:
+            own[-1][1] = r.end_seconds
+        else:
+            own.append([r.start_seconds, r.end_seconds])
+    scenes = spark.createDataFrame([(m, i, *x) for m, own in merged.items() for i, x in enumerate(own)], "media_id long, scene_idx long, start_seconds double, end_seconds double")
+    scored = plan.scored_scenes(segments, scenes, fx.event_frames(spark, sf), fx.audio_blocks(spark, sf), fx.RATE, 1)
+    frames = {}
+    for r in fx.event_frames(spark, sf).select("media_id", "frame_number").collect():
+        frames.setdefault(r.media_id, set()).add(r.frame_number)
+    by_media, want, ask, prompts = {}, set(), registry.answer_by_digest(), plan.Prompts()
     for r in scored.collect():
         by_media.setdefault(r.media_id, []).append(r)
-    want = set()
+    blank = lambda t: t if t.strip() else "[NO SPEECH]"
+    answer = lambda p, images=None: json.loads(ask(p, images).removeprefix("So: "))
+    yes = lambda x: "true" if x else "false"
     for m, own in by_media.items():
-        kept, final = [], []
-        for rank, r in enumerate(sorted((r for r in own if r.final_score >= 0.4), key=lambda r: (-r.final_score, r.scene_idx)), 1):
-            a, b = (min(max(x, 0.0), fx.DURATION) for x in (r.start_seconds, r.end_seconds))
-            goal = min(max(45.0, b - a), 145.0)
-            s = (a + b) / 2 - goal / 2
-            e = s + goal
-            if s < 0:
-                s, e = 0.0, goal
-            if e > fx.DURATION:
-                s, e = max(0.0, fx.DURATION - goal), fx.DURATION
-            mid = (r.start_seconds + r.end_seconds) / 2
-            near = lambda k: (min(k[1], e) - max(k[0], s)) / (max(k[1], e) - min(k[0], s)) >= 0.9 and abs(k[0] - s) <= 5 and abs(k[1] - e) <= 5 and abs(k[2] - mid) <= 3  # noqa: B023, E731
-            if any(near(k) for k in kept):
-                continue
-            kept.append((s, e, mid))
-            n = len("Said: " + (r.transcript_text if r.transcript_text.strip() else "[NO SPEECH]")) % 100
-            words = len(r.transcript_text.split())
-            final.append((rank, f"c{n % 5}", bool(n % 2), n / 100, -(-words // 4)))
-        for number, (rank, kind, keep, sure, n) in enumerate(sorted(final, key=lambda x: (-x[3], x[0])), 1):
-            want.add((m, rank, number, kind, keep, sure, n))
-    got = set(rows(registry.highlight_run(spark, sf), "media_id", "rank", "number", "category", "keep_highlight", "final_confidence", "captions"))
-    assert got == want and len(got) > 20
+        final = []
+        for s, e, _, rank, score, text in plain_clips(own):
+            shown = (rank, f"{e - s:.2f}", f"{score:.4f}", blank(text))
+            a = answer(prompts.commentary % shown)
+            first, n = int(s * fx.RATE), max(0, min(int(e * fx.RATE), max(frames[m]) + 1) - int(s * fx.RATE))
+            count = min(3, n)
+            picked = [n // 2] if count == 1 else sorted({round(i * (n - 1) / (count - 1)) for i in range(count)}) if n else []
+            v = answer(prompts.visual % shown, [i for i in picked if first + i in frames[m]])
+            d = answer(prompts.fusion % (yes(a["is_interesting"]), a["category"], f"{a['confidence']:.4f}", a["reason"], blank(text), v["visual_event"], v["action_level"], v["danger_level"], yes(v["looks_interesting"]), f"{v['confidence']:.4f}", v["reason"]))
+            final.append((-float(d["final_confidence"]), rank, d, a["category"], v, text))
+        for number, (sure, rank, d, kind, v, text) in enumerate(sorted(final, key=lambda x: x[:2]), 1):
+            fields = (d["category"], d["event_summary"], kind, v["visual_event"], v["action_level"], v["danger_level"], blank(text))
+            for again in ("", prompts.again, prompts.again):
+                t = answer(prompts.metadata % (*fields, again))
+                if len(t["title"]) <= 70:
+                    break
+            else:
+                t = {"c1": {"hook": "look", "title": "Clip of the first kind", "hashtags": ["#c1"]}}.get(d["category"], {"hook": "wait", "title": "A clip", "hashtags": ["#clip"]})
+            renderer = "facecam" if m % 6 == 0 else "portrait"
+            want.add((m, rank, number, d["category"], kind, v["visual_event"], v["danger_level"], d["keep_highlight"], -sure, d["reason"], t["hook"], t["title"], " ".join(t["hashtags"]), renderer, -(-len(text.split()) // 4), f"highlight_{number:03d}.mp4", len(final), len(final)))
+    got = registry.highlight_run(spark, sf)
+    columns = ("media_id", "rank", "number", "category", "commentary_category", "visual_event", "danger_level", "keep_highlight", "final_confidence", "reason", "hook", "title", "hashtags", "renderer", "caption_count", "file_name", "highlights", "packages")
+    assert set(rows(got, *columns)) == want and len(want) > 20
+    assert any(x[11] == "A clip" for x in want) and len({x[3] for x in want}) > 3
+    told = {(r.media_id, r.number): json.loads(r.metadata) for r in run.files.collect()}
+    assert list(told[next(iter(told))]) == [name for name, _ in sinks.METADATA]
+    texts = {(r.media_id, r.number): r for r in run.final.collect()}
+    assert all(f["transcript"] == texts[k].transcript_text and f["source_start_seconds"] == texts[k].start_seconds and f["clip_file"] == f"highlight_{k[1]:03d}.mp4" for k, f in told.items())
+    assert {s for s, _ in run.timings} >= {"commentary", "visual", "fusion", "titles"} and ev.count() > 0
+
+
+def asking(folder, fail=(), slow=()):
+    """A responder that notes each prompt it is asked, and fails or times out at some as long as a file says so."""
+
+    def set_up():
+        import os
+        import uuid
+
+        def answer(prompt, images=None):
+            open(f"{folder}/{prompt}-{uuid.uuid4().hex}", "w").close()
+            if os.path.exists(f"{folder}.bad"):
+                if prompt in slow:
+                    raise TimeoutError
+                if prompt in fail:
+                    raise ValueError(prompt)
+            return f"{prompt}!{0 if images is None else len(images)}"
+
+        return answer
+
+    return Responder("test", set_up)
+
+
+def test_the_ledger_asks_each_prompt_once(spark, tmp_path):
+    asked, ledger = tmp_path / "asked", f"{tmp_path}/ledger"
+    asked.mkdir()
+    (tmp_path / "asked.bad").touch()
+    count = lambda: Counter(f.name.rsplit("-", 1)[0] for f in asked.iterdir())
+    df = spark.createDataFrame([(i, f"p{i % 20}") for i in range(60)] + [(99, None)], "i int, prompt string").repartition(3)
+    responder = asking(str(asked), fail=("p3", "p7"), slow=("p5",))
+    with pytest.raises(RuntimeError, match="2 of 21 prompts"):
+        answers.ask(df, responder, ledger, per_task=4, pause=0.0)
+    # all others were asked once, the slow one three times
+    assert count() == Counter({f"p{i}": 1 for i in range(20)} | {"": 1, "p5": 3})
+    got = answers.ask(df, responder, ledger, per_task=4, pause=0.0, strict=False)
+    told = dict(rows(got, "i", "raw_text"))
+    assert told[0] == told[20] == "p0!0" and told[3] is told[5] is told[7] is None and told[99] == "!0" and len(told) == 61
+    assert count()["p0"] == 1 and count()["p3"] == 2 and count()["p5"] == 6
+    (tmp_path / "asked.bad").unlink()
+    again = dict(rows(answers.ask(df, responder, ledger, pause=0.0), "i", "raw_text"))
+    assert again[3] == "p3!0" and again[45] == "p5!0" and count()["p0"] == 1 and count()["p5"] == 7
+    # nothing is left to ask, other images are another prompt, another responder is asked anew
+    answers.ask(df, responder, ledger, pause=0.0)
+    assert sum(count().values()) == 21 - 1 + 7 + 2 * 2 + 1 - 1
+    shown = spark.createDataFrame([(1, "p1", [[0.5]]), (2, "p1", [[0.5], [0.25]]), (3, "p1", [])], "i int, prompt string, images array<array<double>>")
+    assert dict(rows(answers.ask(shown, responder, ledger, "images"), "i", "raw_text")) == {1: "p1!1", 2: "p1!2", 3: "p1!0"}
+    other = answers.Responder("other", responder.set_up)
+    assert answers.ask(df.limit(0), other, f"{tmp_path}/none").count() == 0
+    before = count()["p0"]
+    answers.ask(df.where("prompt = 'p0'"), other, ledger).count()
+    assert count()["p0"] == before + 1
+
+
+def test_a_failing_task_loses_no_other_answers(spark, tmp_path):
+    """A task that dies takes its own prompts with it; those of the others are in the ledger although the job failed."""
+    asked, ledger = tmp_path / "asked", f"{tmp_path}/ledger"
+    asked.mkdir()
+    (tmp_path / "asked.bad").touch()
+    folder = str(asked)
+
+    def set_up():
+        plain = asking(folder).set_up()
+
+        def answer(prompt, images=None):
+            import os
+            import time
+
+            if prompt == "p9" and os.path.exists(f"{folder}.bad"):
+                time.sleep(3)
+                raise SystemExit
+            return plain(prompt)
+
+        return answer
+
+    df = spark.createDataFrame([(f"p{i}",) for i in range(10)], "prompt string")
+    with pytest.raises(Exception):  # noqa: B017
+        answers.ask(df, Responder("test", set_up), ledger, per_task=1)
+    (tmp_path / "asked.bad").unlink()
+    got = rows(answers.ask(df, Responder("test", set_up), ledger, per_task=1), "prompt", "raw_text")
+    assert dict(got) == {f"p{i}": f"p{i}!0" for i in range(10)}
+    n = Counter(f.name.rsplit("-", 1)[0] for f in asked.iterdir())
+    assert sum(n[f"p{i}"] == 1 for i in range(10)) >= 6
 
 
 def test_subtitles_of_long_clips(spark):
