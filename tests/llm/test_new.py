@@ -1,0 +1,280 @@
+"""Operators 11 to 13 against brute force, with odd rows, empty tables, ties and clashing names."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import json
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cueline.llm import audit, queries, resample, secrets
+from cueline.operators.ranks import number_rows
+from tests.llm.test_operators import DOC, ODD, docs_of
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def features(text):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return [" ".join(words[i : i + n]).encode() for n in (1, 2, 3) for i in range(len(words) - n + 1)], len(words)
+
+
+# --- 11 resampling -------------------------------------------------------------------
+
+
+def test_checksums_by_length():
+    rng = random.Random(1)
+    words = [bytes(rng.randrange(256) for _ in range(rng.choice([0, 1, 2, 3, 9, 30, 700]))) for _ in range(400)]
+    body, ends = b"".join(words), np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    assert resample.crc_slices(body, starts, ends).tolist() == [zlib.crc32(w) for w in words]
+    rows = np.frombuffer(b"abcxyz", np.uint8).reshape(2, 3)
+    assert resample.crc_rows(rows).tolist() == [zlib.crc32(b"abc"), zlib.crc32(b"xyz")]
+
+
+@pytest.mark.parametrize("limit", [1, 7, 64, 1 << 20])
+def test_features_of_cut_texts(limit):
+    """Texts that are cut between words keep every run once, whatever the size of the parts."""
+    rng = random.Random(limit)
+    texts = [" ".join(rng.choice(["a", "B", "cé", "dd,e", "f" * 40]) for _ in range(n)) for n in (0, 1, 2, 3, 4, 60)] + ["漢字" * 30, " , "]
+    for text in texts:
+        parts = list(resample.pieces(text.encode(), limit))
+        want, n = features(text)
+        assert sum(own for _, own in parts) == n
+        got = resample.piece_buckets(parts, 997)[1]
+        assert sorted(got.tolist()) == sorted(zlib.crc32(f) % 997 for f in want)
+
+
+def plain_resample(docs, target, buckets, percent, least):
+    s, t = np.zeros(buckets, int), np.zeros(buckets, int)
+    for texts, n in ((docs, s), (target, t)):
+        for _, text in texts:
+            for f in features(text)[0]:
+                n[zlib.crc32(f) % buckets] += 1
+    gain = [math.floor(1000 * math.log((float(t[b]) + 1) * (float(s.sum()) + buckets) / ((float(s[b]) + 1) * (float(t.sum()) + buckets)))) for b in range(buckets)]
+    rows = []
+    for i, text in docs:
+        found, n = features(text)
+        weight = sum(gain[zlib.crc32(f) % buckets] for f in found)
+        h = int(hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        rows.append((i, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n))
+    fit = sorted((r for r in rows if r[4] >= least), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    return rows, fit[: len(fit) * percent // 100], fit
+
+
+def test_resampling_against_brute_force(spark):
+    rng = random.Random(2)
+    texts = [*ODD, *(" ".join(rng.choice("the cat dog of and run Ä ö 12 x-y".split()) for _ in range(rng.randint(0, 60))) for _ in range(80))]
+    df = docs_of(spark, texts)
+    target = spark.createDataFrame([("the cat and the dog run",), (None,), ("",)], "text string")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    want, drawn, _ = plain_resample(rows, [(0, r.text) for r in target.collect()], 101, 30, 20)
+    got = [tuple(r) for r in resample.resample(df, target, buckets=101, percent=30).collect()]
+    assert sorted((repr(r[:4]) for r in got)) == sorted(repr(r[:4]) for r in want)
+    ranks = sorted((r[4], r[0], r[3]) for r in got if r[4] is not None)
+    assert [r[0] for r in ranks] == list(range(1, len(drawn) + 1))
+    assert [r[2] for r in ranks] == [r[3] for r in drawn] and [r[1] for r in ranks] == [r[0] for r in drawn]
+    assert len(drawn) > 10
+
+
+def test_resampling_of_nothing(spark):
+    none, some = spark.createDataFrame([], DOC), docs_of(spark, ["a b c", None])
+    assert resample.resample(none, none).count() == 0
+    out = resample.resample(some, none.select("text"), least_words=1, percent=100)
+    assert out.columns == ["doc_id", *resample.ADDED] and out.count() == some.count()
+    assert out.where("rank IS NULL").count() == 2 and {r.n_features for r in out.collect()} == {0, 6, 3}
+    with pytest.raises(ValueError):
+        resample.resample(some, some, percent=101)
+
+
+def test_resampling_query_on_whole_tables(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    bench = [(0, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    want, drawn, _ = plain_resample(docs, bench, 10_000, 5, 20)
+    got = {r.doc_id: r for r in queries.op11_resampling(spark, sf).collect()}
+    assert {i: (g.n_features, g.weight, g.score) for i, g in got.items()} == {r[0]: r[1:4] for r in want}
+    assert sorted((g["rank"], i) for i, g in got.items() if g["rank"] is not None) == [(n, r[0]) for n, r in enumerate(drawn, 1)]
+
+
+def test_numbers_of_rows_in_ranges(spark):
+    rng = random.Random(3)
+    data = [(rng.choice([None, 1, 2]), rng.randint(0, 40), i) for i in range(500)]
+    df = spark.createDataFrame(data, "k int, v int, i int").repartition(5)
+    want = {}
+    for k in (None, 1, 2):
+        for n, (v, i) in enumerate(sorted((-v, i) for q, v, i in data if q == k)):
+            want[i] = n
+    assert {r.i: r.n for r in number_rows(df, ["k"], [F.desc("v"), "i"], "n", 0).collect()} == want
+    everything = {r.i: r.number for r in number_rows(df, [], ["v", "i"]).collect()}
+    assert everything == {i: n for n, (_, i) in enumerate(sorted((v, i) for _, v, i in data), 1)}
+
+
+# --- 12 secrets ----------------------------------------------------------------------
+
+BASE = {
+    "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 12),
+    "access": (re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
+    "hex": (re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 16),
+}
+
+
+def plain_base(text):
+    found = [(m.start(), k, m.end(), m[2] if kind == "assign" else m[0]) for k, (kind, (pattern, holds)) in enumerate(BASE.items()) for m in pattern.finditer(text or "") if holds(m)]
+    return sorted(found)
+
+
+def made_texts(rng, n):
+    parts = [
+        'token = "{}"', "password={}", "API_KEY: {}", "secret':' {}", "token=secret:{}", "apikey={}", "passwd =  '{}", "AKIA{}", "{}", "é{}ü", "Token={}token={}", "x{}.y", "\U0001f600{}",
+    ]
+    value = lambda: rng.choice(["abc", "0123456789abcdef", "f" * 20, "QWERTYUIOP12345678", "aB3dE6gH9jK2mN5pQ8sT", "a.b=c+d/e-f_g1", "deadbeefdeadbeef0", "Zz9" * 7, "", "".join(rng.choice("abcXYZ0189_-efgHIJ") for _ in range(24))])
+    return [" ".join(rng.choice(parts).replace("{}", value()) for _ in range(rng.randint(0, 6))) for _ in range(n)]
+
+
+def plain_secrets(rows, copied=3):
+    """(spans, n_live, n_copied) of (repo, owner, text) rows."""
+    found = []
+    for _, owner, text in rows:
+        base = plain_base(text)
+        left = text or ""
+        for pattern, holds in BASE.values():
+            # bare candidates are sought in what base spans leave; short matches of an assignment are blanked too
+            blank = pattern if pattern.groups == 2 else re.compile(pattern.pattern.replace("[A-Z0-9]+", "[A-Z0-9]{14,}").replace("[0-9a-f]+", "[0-9a-f]{16,}"))
+            left = blank.sub(lambda m: " " * len(m[0]), left)
+        bare = [(m.start(), 3, m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9_-]{20,}", left) if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0])]
+        found.append((owner, base + bare))
+    owners = {}
+    for owner, spans in found:
+        for x in spans:
+            owners.setdefault(x[3], set()).add(owner)
+    out = []
+    for _, spans in found:
+        live = lambda x: len(owners[x[3]]) == 1 and re.search("[A-Za-z]", x[3]) and re.search("[0-9]", x[3]) and len(set(x[3])) >= 8
+        spans = sorted(x for x in spans if x[1] < 3 or live(x))
+        out.append((spans, sum(bool(live(x)) for x in spans), sum(len(owners[x[3]]) >= copied for x in spans)))
+    return out
+
+
+def shown(spans):
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{z}" for a, k, z, _ in spans)
+
+
+def test_secrets_against_brute_force(spark):
+    rng = random.Random(5)
+    texts = [*made_texts(rng, 120), *ODD, "token=Abcdefghijk1 " * 400, "x" * 3000 + " 0123456789abcdef"]
+    data = [(rng.choice([None, *range(60)]), t, rng.choice([None, "a", "b", "c", "d"])) for t in texts]
+    data += data[:5]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").withColumns({c: F.lit("x") for c in ("items", "owner", "repo", "file", "row", "kind", "SPANS", "all", "value")}).repartition(3)
+    rows = [(r.doc_id, r.source, r.text) for r in df.collect()]
+    want = sorted((repr(i), sum(x[1] == 0 for x in s), sum(x[1] == 1 for x in s), sum(x[1] == 2 for x in s), shown([x for x in s if x[1] < 3]), shown(s), live, copied) for (i, _, _), (s, live, copied) in zip(rows, plain_secrets(rows), strict=True))
+    out = secrets.find_secrets(df)
+    assert [c.lower() for c in out.columns].count("spans") == 1 and "text" not in out.columns
+    got = out.select("doc_id", "n_assign", "n_access", "n_hex", secrets.written_spans("base_spans").alias("b"), secrets.written_spans("spans").alias("s"), "n_live", "n_copied").collect()
+    assert sorted((repr(r[0]), *r[1:]) for r in got) == want
+    assert any("bare" in w[5] for w in want) and any(w[7] for w in want) and any(w[6] for w in want)
+
+
+def test_secrets_of_one_owner_and_of_many(spark):
+    """A copied example is told from a credential of one owner, and the latter is found without context too."""
+    own, example = "aB3dE6gH9jK2mN5pQ8sT", "xY7zW4vU1tS8rQ5pO2nM"
+    data = [(1, f"token={own}", "a"), (2, f"see {own} here", "a"), *((i, f"token={example} or {example}", o) for i, o in zip(range(3, 8), "abcde", strict=True))]
+    got = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
+    assert [s.kind for s in got[1].spans] == ["assign"] and got[1].n_live == 1
+    assert [(s.kind, s.begin, s.stop) for s in got[2].spans] == [("bare", 4, 24)] and not got[2].base_spans
+    assert all([s.kind for s in got[i].spans] == ["assign"] and got[i].n_copied == 1 and not got[i].n_live for i in range(3, 8))
+    assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+# --- 13 filter audit -----------------------------------------------------------------
+
+
+def test_unions_of_posting_lists():
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        lists = [np.unique(rng.integers(0, 60, rng.integers(0, 50))) for _ in range(6)]
+        sizes = audit.union_sizes(lists[:4], lists[4:])
+        for s in range(16):
+            union = set().union(*(lists[i].tolist() for i in range(4) if s >> i & 1))
+            assert sizes[:, s].tolist() == [len(union), *(len(union & set(x.tolist())) for x in lists[4:])]
+
+
+def plain_failures(rows):
+    """(part, failed letters) of (id, text, source) rows."""
+    out = []
+    for i, text, source in rows:
+        t = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        bad = {"A": len(words) < 200, "B": 100 * len(set(words)) < 50 * len(words), "C": 100 * len(re.findall("[A-Z]", t)) > 2 * len(t), "D": bool(re.search(r"[#$%&*|]", t)), "E": i is not None and any(j is not None and j < i and (u or "") == t for j, u, _ in rows)}
+        out.append((source or "", "".join(k for k, v in bad.items() if v)))
+    return out
+
+
+def plain_audit(rows, good, toxic):
+    fails = plain_failures(rows)
+    told, shapley = {}, {}
+    for part in {p for p, _ in fails}:
+        own = [(f, r[0] in good, r[0] in toxic) for (p, f), r in zip(fails, rows, strict=True) if p == part]
+        for order in map("".join, itertools.permutations("ABCDE")):
+            left = own
+            for step, k in enumerate(order, 1):
+                gone = [x for x in left if k in x[0]]
+                left = [x for x in left if k not in x[0]]
+                told[part, order, step] = (len(left), len(gone), sum(k in x[0] for x in own) - len(gone), sum(x[0] == k for x in own), sum(x[1] for x in gone), sum(x[2] for x in gone))
+                shapley[part, k] = shapley.get((part, k), 0) + len(gone)
+    return {(*key, *v, shapley[key[0], key[1][key[2] - 1]]) for key, v in told.items()}
+
+
+def made_documents(rng, n):
+    long = " ".join(f"w{i}" for i in range(210))
+    parts = ["a b c", long, long.upper(), long + " $", "one two " * 150, "", None, "# x", long[:-1], "é" * 400]
+    return [(rng.choice([None, *range(n)]), rng.choice(parts), rng.choice([None, "", "s", "t"])) for _ in range(n)]
+
+
+@pytest.mark.parametrize("width", [1, 4, 1 << 16])
+def test_audit_against_brute_force(spark, monkeypatch, width):
+    monkeypatch.setattr(audit, "RANGE", width)
+    rng = random.Random(width)
+    data = made_documents(rng, 60)
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").withColumns({c: F.lit("x") for c in ("digest", "first", "A", "n", "sizes", "good")}).select("doc_id", "text", "source").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(0, 60, 2)] + [(4, 1, None), (None, 1, True)], "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+    rows = audit.with_labels(audit.failures(df), labels, {"good": "quality", "toxic": "toxic"})
+    assert rows.count() == len(data)
+    got = audit.audit(rows, {c: c for c in "ABCDE"}, "source", "doc_id", {"good_lost": "good", "toxic_lost": "toxic"})
+    assert {tuple(r) for r in got.collect()} == plain_audit(data, {i for i in range(0, 60, 2) if i % 2 or i == 4}, {i for i in range(0, 60, 6)})
+
+
+def test_audit_of_nothing_and_of_fewer_filters(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, source string")
+    rows = audit.with_labels(audit.failures(none), spark.createDataFrame([], "doc_id long, quality int"), {"good": "quality"})
+    assert audit.audit(rows, {c: c for c in "ABCDE"}, "source", "doc_id", {"good_lost": "good"}).count() == 0
+    two = spark.createDataFrame([(1, "p", True, False), (2, "p", True, True), (3, "p", None, True), (4, "q", False, False)], "id int, part string, x boolean, y boolean")
+    got = {tuple(r) for r in audit.audit(two, {"X": "x", "Y": "y"}, "part", "id", {}).collect()}
+    assert {g for g in got if g[0] == "p"} == {("p", "XY", 1, 1, 2, 0, 1, 3), ("p", "XY", 2, 0, 1, 1, 1, 3), ("p", "YX", 1, 1, 2, 0, 1, 3), ("p", "YX", 2, 0, 1, 1, 1, 3)}
+    assert {g[3:] for g in got if g[0] == "q"} == {(1, 0, 0, 0, 0)}
+    for wrong in ({}, {"AB": "x"}):
+        with pytest.raises(ValueError):
+            audit.audit(two, wrong, "part", "id", {})
+
+
+def test_a_source_and_a_text_with_most_rows(spark):
+    """One part, and one text with a hundred thousand copies: no id and no text is brought together."""
+    n = 100_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.lit("s").alias("source")).repartition(8)
+    rows = audit.failures(df).withColumn("good", F.lit(False))
+    got = {(r.filter_order, r.step): r for r in audit.audit(rows, {c: c for c in "ABCDE"}, "source", "doc_id", {"good_lost": "good"}).collect()}
+    assert got["EABCD", 1].removed == n - 1 and got["EABCD", 1].kept == 1 and got["AEBCD", 2].redundant == n - 1 and got["ABCDE", 1].shapley == 60 * n + 60 * 1
+    assert json.dumps([got["BACDE", 1].removed, got["BACDE", 2].removed]) == f"[0, {n}]"
+
+
+def test_audit_query_on_whole_tables(spark, sf):
+    docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    got = queries.op13_filter_audit(spark, sf)
+    assert {tuple(r) for r in got.collect()} == plain_audit(docs, {r.doc_id for r in labels if r.quality == 1}, {r.doc_id for r in labels if r.toxic == 1})
