@@ -202,7 +202,8 @@ def format_turns(turns: DataFrame, trained: str = "assistant") -> DataFrame:
     """(conv_id, n_turns, formatted, loss_runs) from canonical turns, one row for each conversation.
 
     Turns are in the order of turn, then role, then text; repeated turns stay. A role that
-    isn't a plain name is written as ``#`` and its hex digits. ``loss_runs`` is the loss mask
+    isn't a plain name is written as ``#`` and its hex digits. Turns with a null ``conv_id`` are
+    one conversation, in their order; leave them out first where they belong to many. ``loss_runs`` is the loss mask
     over the code points of ``formatted``: for each turn how many are left out, trained on,
     and left out again; the text of turns with role ``trained`` is trained on. A conversation's
     text has to be in one row, so the longest conversation has to fit into a task's memory.
