@@ -95,22 +95,24 @@ def mix(
     mix_repeats says how often a row is used. A null source is a source of its own,
     ``<none>``. ``tokens``: a column with token counts (null: 0); without one, words are
     counted. Rows without tokens cost nothing: they are used once in each whole pass,
-    as is every row with ``keep_all``, which rounds a cut pass up. Equal keys of a source
-    are ordered by a digest of their text. Input columns named like added ones are replaced;
+    as is every row with ``keep_all``, which rounds a cut pass up. Rows with one key, or none,
+    are told apart by a digest of their text; rows alike in both are used equally often. Input columns named like added ones are replaced;
     an empty table stays empty.
     """
     low = {n.lower() for n in ADDED}
     kept = [f"`{c}`" for c in docs.columns if c.lower() not in low]
     own = private(docs)
-    digest = F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary"))
+    # with the text, so that rows without a key, or with one key, are dealt to many blocks
+    name = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
+    digest = F.md5(F.concat_ws(":", name, F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary"))).cast("binary"))
     size = F.coalesce(F.col(f"`{tokens}`").cast("bigint"), F.lit(0)) if tokens else word_tokens(F.col(f"`{text}`"))
     body = docs.select(
         *kept,
         size.alias(f"{own}_n"),
         F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(NO_SOURCE)).alias(f"{own}_source"),
         digest.alias(f"{own}_hash"),
-        # a row's place in its block: other digits of the digest, then equal keys by their text
-        F.concat_ws(":", F.substring(digest, 13, 20), digest, F.lpad(F.hex(F.xxhash64(F.col(f"`{text}`"))), 16, "0")).alias(f"{own}_place"),
+        # a row's place in its block: other digits of the digest; equal rows have one place
+        F.concat_ws(":", F.substring(digest, 13, 20), digest).alias(f"{own}_place"),
     )
     names = {f"{own}_n": "n_tokens", f"{own}_source": "mix_source", f"{own}_hash": "hash", f"{own}_place": "place"}
     slim = materialise(body.select(*[F.col(c).alias(n) for c, n in names.items()]), "mix-rows")
@@ -174,6 +176,8 @@ def _plan(rows: DataFrame, entropy_fraction: float, max_repeats: float, budget:
     cuts = materialise(cuts, "mix-blocks")
     # only the one block of each source that the rest ends in is put in order
     inside = placed.join(_sized(cuts.where("edge_block IS NOT NULL")), "mix_source").where("mix_block = edge_block")
+    # rows of one place are one, however many there are
+    inside = inside.groupBy("mix_source", "place", "room").agg(F.sum("n_tokens").alias("n_tokens"))
     by_place = Window.partitionBy("mix_source").orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
     ends = inside.withColumn("d_upto", F.sum("n_tokens").over(by_place)).where("d_upto <= room").groupBy("mix_source").agg(F.max("place").alias("last_place"))
     out = weights.join(starts.select("mix_source", "full"), "mix_source", "left").join(cuts.drop("room"), "mix_source", "left").join(ends, "mix_source", "left")

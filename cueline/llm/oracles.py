@@ -26,7 +26,7 @@ FROM (SELECT doc_id, source, {_SLOT.format("coalesce(CAST(doc_id AS VARCHAR), ''
 
 OP10 = f"""
 WITH RECURSIVE rows AS (
-  SELECT doc_id, coalesce(source, '<none>') AS mix_source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+  SELECT doc_id, coalesce(source, '<none>') AS mix_source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n_tokens FROM documents),
 sums AS (SELECT mix_source, sum(n_tokens)::DOUBLE AS t FROM rows GROUP BY 1 HAVING sum(n_tokens) > 0),
 shares AS (SELECT *, t / sum(t) OVER () AS p, sum(t) OVER () AS total, count(*) OVER () AS n FROM sums),

@@ -358,7 +358,7 @@ def test_two_levels_of_blocks_are_one_order(spark):
         turn = lambda b: hashlib.md5(f"{source}:{b}".encode()).hexdigest() + f":{b}"
         upto, want = 0, {}
         for b in sorted(blocks, key=turn):
-            digest = lambda r: hashlib.md5(str(r.doc_id).encode()).hexdigest()
+            digest = lambda r: hashlib.md5(f"{r.doc_id}:{hashlib.md5((r.text or '').encode()).hexdigest()}".encode()).hexdigest()
             for r in sorted(blocks[b], key=lambda r: (digest(r)[12:32], digest(r))):
                 fits = upto + r.n_tokens <= rest
                 upto += r.n_tokens
