@@ -5,8 +5,10 @@ shard's graph is built in its task and kept as flat arrays: vectors, ids, the ne
 of each node on the bottom layer, and the nodes and neighbours of each layer above. The
 queries of a shard stream past its graph in blocks, and the shards' results are merged.
 
-Distances are Euclidean and come from differences of components in double precision, so
-an offset that all vectors share costs no accuracy.
+A graph is walked in single precision, on components less their mean and in units of the
+largest, so an offset that all vectors share costs no accuracy; where neighbours are too near
+to each other for that, it is walked in double precision. Results have their distances worked
+out anew, in double precision and on the original components.
 """
 
 from __future__ import annotations
@@ -20,12 +22,17 @@ from pyspark.sql import functions as F
 
 from cueline.llm.common import materialise
 
-SHARD_ROWS = 6000
+#: Vectors of a shard at least, and bytes of its vectors at most; between them shards grow with the data.
+SHARD_ROWS, SHARD_BYTES = 6000, 64 << 20
+#: Shards up to which more data make more shards and not larger ones.
+SHARDS = 1024
 QUERY_BLOCK = 512
 NEIGHBOURS = 16
-BUILD_WIDTH = 48
-SEARCH_WIDTH = 160
+#: Nodes of a beam at least; beams widen with the number of components.
+BUILD_WIDTH, SEARCH_WIDTH = 32, 160
 BATCH = 256
+#: Relative error of a squared distance in single precision that a walk may have, and the share of links that may have more.
+ROUGH, ROUGH_SHARE = 0.02, 0.01
 #: Components whose squares are neither too large nor too small for doubles; others are compared one by one.
 SAFE = (1e-140, 1e140)
 
@@ -35,6 +42,7 @@ class Graph:
 
     def __init__(self, vectors: np.ndarray, neighbours: int = NEIGHBOURS) -> None:
         self.x = np.ascontiguousarray(vectors, np.float64)
+        self._walk_on(_in_range(self.x))
         self.m = neighbours
         n = len(self.x)
         rng = np.random.default_rng(7)
@@ -45,20 +53,49 @@ class Graph:
         #: Flat neighbour arrays, one for each layer; -1 is no neighbour. Rows of absent nodes stay empty.
         self.links = [np.full((n, neighbours * (2 if layer == 0 else 1)), -1, np.int32) for layer in range((int(self.level.max()) if n else 0) + 1)]
 
+    def _walk_on(self, single: bool) -> None:
+        """Choose what is walked on: the components, or single-precision ones around their mean."""
+        self.single, self.middle, self.unit = single, 0.0, 1.0
+        self.walk = self.x
+        if single and len(self.x):
+            self.middle = self.x.mean(axis=0)
+            self.walk = self.x - self.middle
+            self.unit = np.abs(self.walk).max() or 1.0
+            self.walk = (self.walk / self.unit).astype(np.float32)
+
+    def _seen_from(self, q: np.ndarray) -> np.ndarray:
+        """Query rows as :meth:`_walk_on` sees them."""
+        if not self.single:
+            return np.ascontiguousarray(q, np.float64)
+        # what is farther than that is far from all
+        return np.clip((q - self.middle) / self.unit, -1e15, 1e15).astype(np.float32)
+
+    def _fine(self) -> bool:
+        """Whether single precision tells the neighbours of the bottom layer apart."""
+        if not self.single or not len(self.x):
+            return True
+        links = self.links[0]
+        rows = np.arange(0, len(links), max(1, len(links) // 512))
+        a, c = np.nonzero(links[rows] >= 0)
+        a, b = rows[a], links[rows][a, c]
+        true = (((self.x[a] - self.x[b]) / self.unit) ** 2).sum(axis=1)
+        seen = ((self.walk[a] - self.walk[b]).astype(np.float64) ** 2).sum(axis=1)
+        return not len(true) or (np.abs(seen - true) > ROUGH * true).mean() <= ROUGH_SHARE
+
     def _far(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Squared distances of each query row to its row of ids."""
-        d = self.x[ids]
+        d = self.walk[ids]
         d -= q[:, None, :]
         return np.einsum("qkd,qkd->qk", d, d)
 
     def search_layer(self, q: np.ndarray, entry: np.ndarray, width: int, layer: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search of all query rows in step: their ``width`` nearest found (ids, squared distances)."""
-        rows, links, x = np.arange(len(q)), self.links[layer], self.x
+        rows, links, x = np.arange(len(q)), self.links[layer], self.walk
         seen = np.zeros((len(q), len(self.x)), bool)
         start = entry.reshape(len(q), -1)
         seen[rows[:, None], start] = True
         ids = np.full((len(q), width), -1, np.int32)
-        far = np.full((len(q), width), np.inf)
+        far = np.full((len(q), width), np.inf, x.dtype)
         ids[:, : start.shape[1]] = start
         far[:, : start.shape[1]] = self._far(q, start)
         done = ids < 0
@@ -90,7 +127,7 @@ class Graph:
             nth = np.arange(len(r)) - np.repeat(first, n)
             row = active[own]
             all_ids = np.zeros((len(own), width + int(n.max())), np.int32)
-            all_far = np.full(all_ids.shape, np.inf)
+            all_far = np.full(all_ids.shape, np.inf, x.dtype)
             all_done = np.ones(all_ids.shape, bool)
             all_ids[:, :width], all_far[:, :width], all_done[:, :width] = ids[row], far[row], done[row]
             at = np.repeat(np.arange(len(own)), n)
@@ -111,15 +148,15 @@ class Graph:
         than ``most``, the nearest of the rest. All nodes are worked on in step.
         """
         real = cand >= 0
-        far = np.where(real, self._far(self.x[nodes], np.maximum(cand, 0)), np.inf)
+        far = np.where(real, self._far(self.walk[nodes], np.maximum(cand, 0)), np.inf)
         order = np.argsort(far, axis=1, kind="stable")
         cand, far, real = (np.take_along_axis(a, order, 1) for a in (cand, far, real))
         # seen from the node and in units of its farthest candidate, single precision is enough
-        x = self.x[np.maximum(cand, 0)] - self.x[nodes][:, None, :]
+        x = self.walk[np.maximum(cand, 0)] - self.walk[nodes][:, None, :]
         x[~real] = 0
         unit = np.where(real, far, 0).max(axis=1, initial=0, keepdims=True)
         unit = np.sqrt(np.where(unit > 0, unit, 1))
-        x = (x / unit[:, :, None]).astype(np.float32)
+        x = (x / unit[:, :, None]).astype(np.float32, copy=False)
         far = np.where(real, far, 0) / unit**2
         sq = np.einsum("ncd,ncd->nc", x, x)
         between = sq[:, :, None] + sq[:, None, :] - 2 * (x @ x.transpose(0, 2, 1))
@@ -160,12 +197,25 @@ class Graph:
             new[np.repeat(np.arange(len(new)), n[full]), nth[~fits]] = source[~fits]
             links[others[full]] = self._choose(others[full], np.concatenate([links[others[full]], new], axis=1), links.shape[1])
 
-    def build(self, width: int = BUILD_WIDTH) -> Graph:
-        """Insert all rows, in batches that search the graph in step and see each other."""
+    def build(self, width: int | None = None) -> Graph:
+        """Insert all rows, in batches that search the graph in step and see each other.
+
+        If single precision turns out to be too rough for them, all are inserted anew in double precision.
+        """
+        width = width or BUILD_WIDTH + self.x.shape[-1] // 16
+        self._insert(width)
+        if not self._fine():
+            self._walk_on(False)
+            for links in self.links:
+                links[:] = -1
+            self._insert(width)
+        return self
+
+    def _insert(self, width: int) -> None:
         n, at = len(self.x), 1
         while at < n:
             new = np.arange(at, min(n, at + min(BATCH, at)))
-            q = self.x[new]
+            q = self.walk[new]
             local = q - q.mean(axis=0)
             own = (local**2).sum(axis=1)[:, None] + (local**2).sum(axis=1)[None, :] - 2 * local @ local.T
             entry = np.full(len(new), self.entry, np.int32)
@@ -181,26 +231,27 @@ class Graph:
                     self._connect(nodes, np.concatenate([ids[here], peers], axis=1), layer)
                 entry = ids[:, 0]
             at += len(new)
-        return self
 
-    def search(self, q: np.ndarray, k: int, width: int = SEARCH_WIDTH) -> np.ndarray:
+    def search(self, q: np.ndarray, k: int, width: int | None = None) -> np.ndarray:
         """The k nearest rows found for each query row; -1 where there are fewer."""
         if not len(self.x):
             return np.full((len(q), k), -1, np.int32)
-        q = np.ascontiguousarray(q, np.float64)
+        q = self._seen_from(q)
         entry = np.full(len(q), self.entry, np.int32)
         for layer in range(len(self.links) - 1, 0, -1):
             entry = self.search_layer(q, entry, 1, layer)[0][:, 0]
+        width = width or max(SEARCH_WIDTH, self.x.shape[1])
         return self.search_layer(q, entry, max(width, k), 0)[0][:, :k]
 
     def flat(self) -> dict:
-        return {"n": len(self.x), "m": self.m, "entry": self.entry, "layers": len(self.links), "vectors": self.x.tobytes(), "links": b"".join(a.tobytes() for a in self.links)}
+        return {"n": len(self.x), "m": self.m, "entry": self.entry, "layers": len(self.links), "single": self.single, "vectors": self.x.tobytes(), "links": b"".join(a.tobytes() for a in self.links)}
 
     @classmethod
     def load(cls, row, dims: int) -> Graph:
         g = cls.__new__(cls)
         n, g.m, g.entry = int(row["n"]), int(row["m"]), int(row["entry"])
         g.x = np.frombuffer(row["vectors"], np.float64).reshape(n, dims)
+        g._walk_on(bool(row["single"]))
         flat, g.links, at = np.frombuffer(row["links"], np.int32), [], 0
         for layer in range(int(row["layers"])):
             wide = g.m * (2 if layer == 0 else 1)
@@ -241,7 +292,7 @@ def nearest(graph: Graph, q: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-_GRAPH = "n int, m int, entry int, layers int, ids binary, vectors binary, links binary"
+_GRAPH = "n int, m int, entry int, layers int, single boolean, ids binary, vectors binary, links binary"
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
@@ -252,8 +303,12 @@ def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(fine).withColumn("dims", F.size("v"))
 
 
-def deal(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
-    """The nodes (v, dims, ids, shard), dealt to shards of about ``shard_rows`` vectors of one length, and (dims, shard).
+def deal(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The nodes (v, dims, ids, shard), dealt to shards of vectors of one length, and (dims, shard).
+
+    A length has a shard for every ``shard_rows`` vectors, up to :data:`SHARDS` of them. With
+    more vectors its shards grow, up to ``shard_bytes``, and only then are there more: every
+    query meets every shard.
 
     Of equal vectors, those after the k + 1 smallest ids can't be in any result (ties go to
     the smaller id, and a query leaves out only itself); they aren't put into a graph.
@@ -262,7 +317,8 @@ def deal(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFra
     led = rows.withColumn("copy", F.row_number().over(equal)).where(F.col("copy") <= k + 1)
     nodes = materialise(led.groupBy("v", "dims").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
     # lengths are numbered one after the other: the first shard of each
-    sizes = nodes.groupBy("dims").agg(F.ceil(F.count("*") / F.lit(shard_rows)).cast("int").alias("shards"))
+    most = F.greatest(F.lit(shard_rows), F.lit(shard_bytes) / (8 * F.col("dims")))
+    sizes = nodes.groupBy("dims").agg(F.count("*").alias("n")).withColumn("shards", F.ceil(F.greatest(F.col("n") / most, F.least(F.col("n") / F.lit(shard_rows), F.lit(SHARDS)))).cast("int"))
     first = F.sum("shards").over(Window.orderBy("dims").rowsBetween(Window.unboundedPreceding, -1))
     sizes = materialise(sizes.select("dims", "shards", F.coalesce(first, F.lit(0)).cast("int").alias("first")), "vector-lengths")
     dealt = nodes.join(sizes, "dims").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("v"), F.col("shards"))).cast("int"))
@@ -281,7 +337,7 @@ def build_index(nodes: DataFrame, shards: int, k: int) -> DataFrame:
         ids = np.full((len(pdf), k + 1), -1, np.int64)
         for i, own in enumerate(pdf.ids):
             ids[i, : len(own)] = own
-        return pd.DataFrame([{"shard": pdf["shard"].iloc[0], "dims": x.shape[1], "ids": ids.tobytes(), **flat}])[["shard", "dims", "n", "m", "entry", "layers", "ids", "vectors", "links"]]
+        return pd.DataFrame([{"shard": pdf["shard"].iloc[0], "dims": x.shape[1], "ids": ids.tobytes(), **flat}])[["shard", "dims", "n", "m", "entry", "layers", "single", "ids", "vectors", "links"]]
 
     # a task for each shard
     return nodes.repartitionById(shards, F.col("shard")).groupBy("shard").applyInPandas(graph, f"shard int, dims int, {_GRAPH}")

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cueline.llm import audit, queries, resample, secrets
+from cueline.llm import ann, audit, mixing, queries, resample, secrets
 from cueline.operators.ranks import number_rows
 from tests.llm.test_operators import DOC, ODD, docs_of
 
@@ -278,3 +278,50 @@ def test_audit_query_on_whole_tables(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
     got = queries.op13_filter_audit(spark, sf)
     assert {tuple(r) for r in got.collect()} == plain_audit(docs, {r.doc_id for r in labels if r.quality == 1}, {r.doc_id for r in labels if r.toxic == 1})
+
+
+# --- earlier operators ---------------------------------------------------------------
+
+
+@pytest.mark.parametrize("dims", [32, 256])
+def test_recall_over_several_shards(spark, dims):
+    rng = np.random.default_rng(dims)
+    x = rng.normal(size=(3000, dims))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann.search(df, df.where("vec_id % 50 = 0"), shard_rows=1000).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, found in got.items():
+        far = ann.distances(x, x[q][None, :])
+        far[q] = np.inf
+        hits += len(found & set(np.argsort(far, kind="stable")[:10].tolist()))
+    assert len(got) == 60 and hits >= 0.95 * 600
+
+
+def test_graphs_of_tight_groups():
+    """Groups that single precision can't tell apart are walked in double precision; an offset that all share is no matter."""
+    rng = np.random.default_rng(6)
+    tight = rng.normal(size=(8, 16))[rng.integers(0, 8, 800)] + 1e-9 * rng.normal(size=(800, 16))
+    for x, single in ((tight, False), (rng.normal(size=(800, 16)) + 1e9, True)):
+        graph = ann.Graph(x).build()
+        assert graph.single == single
+        again = ann.Graph.load(graph.flat(), 16)
+        found, hits = again.search(x[:50], 10), 0
+        for i in range(50):
+            hits += len(set(found[i].tolist()) & set(np.argsort(ann.distances(x, x[i][None, :]), kind="stable")[:10].tolist()))
+        assert hits >= 475
+
+
+def test_shards_grow_with_the_data(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARDS", 4)
+    df = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.col("id") + 1.0, F.lit(1.0)).alias("v"), F.lit(2).alias("dims"))
+    count = lambda **k: ann.deal(df, 1, **k)[1].count()
+    assert count(shard_rows=200) == 2 and count(shard_rows=10) == 4 and count(shard_rows=10, shard_bytes=16 * 50) == 8
+
+
+def test_rows_without_keys_are_dealt_to_many_blocks(spark):
+    df = spark.createDataFrame([(None if i % 2 else 7, f"{i} " + "w " * 20, "a" if i % 5 else "b") for i in range(600)] + [(None, "same same", "a")] * 200, "doc_id long, text string, source string")
+    got = mixing.mix(df, block_tokens=200).collect()
+    assert len({r.mix_block for r in got if r.doc_id is None and r.text != "same same"}) > 20 and len({r.mix_block for r in got if r.doc_id == 7}) > 20
+    assert len({(r.mix_block, r.mix_repeats) for r in got if r.text == "same same"}) == 1
