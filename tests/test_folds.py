@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cueline import fixtures as fx
 from cueline import registry
-from cueline.operators import answers, captions, folds, intervals, packages, research, scoring, signals, textclean
+from cueline.operators import answers, captions, folds, intervals, packages, quantiles, research, scoring, signals, textclean
 from cueline.operators.answers import Responder
 from cueline.plans import highlights as plan
 from cueline.sources import inputs, sinks
@@ -510,6 +510,83 @@ def test_sinks_replace_what_was_there(spark, tmp_path):
     assert back.where(F.col("bucket") != F.pmod(F.hash(F.col("media_id").cast("int")), F.lit(2))).count() == 0
 
 
+def test_buckets_keep_what_others_wrote(spark, tmp_path):
+    path = f"{tmp_path}/buckets"
+    write = lambda pairs, **more: sinks.write_buckets(spark.createDataFrame(pairs, "media_id int, metadata string"), path, "media_id", 3, **more)
+    read = lambda: sorted((r.media_id, r.metadata) for r in spark.read.json(path).collect())
+    files = lambda: {f.parent.name: f.name for f in (tmp_path / "buckets").glob("bucket=*/part*")}
+    write([(i, f"v{i}") for i in range(12)] + [(3, "more")])
+    first, at = files(), {r.i: r.b for r in spark.range(12).select(F.col("id").cast("int").alias("i")).select("i", F.pmod(F.hash("i"), F.lit(3)).alias("b")).collect()}
+    write([(5, "new")])
+    want = sorted([(i, "new" if i == 5 else f"v{i}") for i in range(12)] + [(3, "more")])
+    assert read() == want
+    assert {b for b, name in files().items() if first[b] != name} == {f"bucket={at[5]}"}
+
+    @F.udf("string")
+    def fails(x):
+        raise ValueError(x)
+
+    before = files()
+    with pytest.raises(Exception):  # noqa: B017
+        sinks.write_buckets(spark.range(12).select(F.col("id").cast("int").alias("media_id"), fails(F.col("id").cast("string")).alias("metadata")), path, "media_id", 3)
+    assert read() == want and files() == before
+    # keys without rows lose what they had, a whole bucket too
+    gone = [i for i in range(12) if at[i] == at[5]]
+    write([], keys=spark.createDataFrame([(i,) for i in gone], "media_id int"))
+    assert read() == [x for x in want if x[0] not in gone]
+
+
+def test_a_failed_run_leaves_the_old_files(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    df = spark.createDataFrame([(i, f"a{i}") for i in range(6)], "media_id int, metadata string")
+    sinks.write_partitions(df, path, "media_id", "metadata")
+
+    @F.udf("string")
+    def fails(x):
+        if x == "a4":
+            raise ValueError(x)
+        return "b"
+
+    with pytest.raises(Exception):  # noqa: B017
+        sinks.write_partitions(df.withColumn("metadata", fails("metadata")), path, "media_id", "metadata")
+    assert {r.media_id: r.value for r in spark.read.format("text").load(path).collect()} == {i: f"a{i}" for i in range(6)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 50, 51])
+def test_medians_by_counting(spark, n):
+    rng = random.Random(n)
+    data = [(k, x) for k, make in ((None, rng.random), (1, lambda: rng.choice([0.1, 0.1, 0.3])), (2, lambda: 2.0 ** rng.randint(-900, 900)), (3, lambda: rng.choice([-1e308, 1e308, 0.0]))) for x in (make() for _ in range(n))]
+    df = spark.createDataFrame([*data, (1, None), (2, float("nan"))], "k int, x double").repartition(3)
+    want = {k: float(np.median([x / 2 for q, x in data if q == k]) * 2) for k in (None, 1, 2, 3)}
+    got = dict(rows(quantiles.exact_medians(df, "k", "x", held=0), "k", "median"))
+    assert got == pytest.approx(want, rel=1e-15)
+    assert dict(rows(quantiles.exact_medians(df, "k", "x").where("k < 3"), "k", "median")) == pytest.approx({k: v for k, v in want.items() if k in (1, 2)}, rel=1e-15)
+
+
+@pytest.mark.parametrize("block", [7, 64, 1 << 14])
+def test_alignment_by_blocks(spark, block):
+    """Blocks of any size, gaps and recordings of other lengths: as the sum over pairs."""
+    rng = np.random.default_rng(block)
+    m, s = [], []
+    for k, (n, shift) in enumerate([(200, 13), (90, -21), (5, 0), (150, 40)]):
+        wave = rng.normal(size=n + 100)
+        m += [(f"k{k}", w, float(wave[w + 50])) for w in range(n) if rng.random() > 0.1]
+        s += [(f"k{k}", w, float(wave[w + 50 - shift])) for w in range(n - 10) if 0 <= w + 50 - shift and rng.random() > 0.1]
+    m.append(("alone", 0, 1.0))
+    schema = "name string, w long, level double"
+    master, source = spark.createDataFrame(m, schema).repartition(3), spark.createDataFrame(s, schema).repartition(3)
+    plain = signals.lag_scores(master, source, 60, key="name")
+    want = {(r.name, r.lag): r.score for r in plain.collect()}
+    got = {(r.name, r.lag): r.score for r in signals.fft_scores(master, source, 60, "name", block).collect()}
+    assert got == pytest.approx(want, abs=1e-8) and len(want) > 300
+    a = {r.name: r for r in signals.align_by_fft(master, source, 60, 5, "name", block=block).collect()}
+    b = {r.name: r for r in signals.best_alignment(plain, "name", 5).collect()}
+    assert set(a) == set(b) and a["k0"].lag == 13 and a["k1"].lag == -21 and a["k0"].accepted
+    for k in b:
+        assert a[k].lag == b[k].lag and a[k].accepted == b[k].accepted
+        assert (a[k].pearson, a[k].ratio, a[k].confidence) == pytest.approx((b[k].pearson, b[k].ratio, b[k].confidence), abs=1e-6)
+
+
 def test_blur_weights_and_edges(spark):
     """A single light pixel spreads by the filter's weights; even frames stay even, small ones too."""
     frame = [0.0] * 81
