@@ -91,18 +91,18 @@ def translate_captions(captions: DataFrame, translations: dict[str, str], text:
     return captions.withColumn(text, F.coalesce(F.try_element_at(table, F.col(text)), F.col(text)))
 
 
-def caption_variants(requests: DataFrame, profiles: DataFrame, key: str = "request_id") -> DataFrame:
+def caption_variants(requests: DataFrame, profiles: DataFrame, key: str = "request_id", wordings: dict[str, tuple[str, ...]] = CAPTIONS, translations: dict[str, str] = ENGLISH_CAPTIONS) -> DataFrame:
     """(key, variant, caption, descriptive_name, creator_side, gameplay_zoom, creator_scale, darken_strength): five for each request.
 
-    The wording goes by the kind of video; for a language that is English, captions that have
+    The wording goes by the kind of video, as ``wordings`` has it, a caption for each variant; for a language that is English, captions that have
     an exact translation are translated. A profile without a language counts as English.
     """
     rows = requests.join(profiles.select("profile_key", "preferred_language"), "profile_key", "left")
-    texts = F.create_map(*[x for k, v in CAPTIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    texts = F.create_map(*[x for k, v in wordings.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     rows = rows.select(key, F.upper(F.coalesce("game_name", F.lit(""))).alias("name"), F.upper(F.coalesce("episode_topic", F.lit(""))).alias("topic"), F.coalesce("preferred_language", F.lit("English")).alias("language"), F.element_at(texts, video_kind(F.coalesce("video_type", F.lit("")))).alias("captions"))
     rows = rows.select("*", F.posexplode("captions").alias("pos", "caption"))
     rows = rows.withColumn("caption", F.replace(F.replace("caption", F.lit("%n"), F.col("name")), F.lit("%t"), F.col("topic")))
-    english = translate_captions(rows.select(key, "pos", "language", "caption", F.col("caption").alias("own")), ENGLISH_CAPTIONS)
+    english = translate_captions(rows.select(key, "pos", "language", "caption", F.col("caption").alias("own")), translations)
     layout = F.element_at(F.array(*[F.struct(F.lit(a).alias("descriptive_name"), F.lit(b).alias("creator_side"), F.lit(c).alias("gameplay_zoom"), F.lit(d).alias("creator_scale"), F.lit(e).alias("darken_strength")) for a, b, c, d, e in LAYOUTS]), F.col("pos") + 1)
     return english.select(key, (F.col("pos") + 1).alias("variant"), F.when(is_english(F.col("language")), F.col("caption")).otherwise(F.col("own")).alias("caption"), layout.alias("l")).select(key, "variant", "caption", "l.*")
 

@@ -385,7 +385,7 @@ SELECT list_id, pos, rank, row_number() OVER (PARTITION BY list_id ORDER BY rank
 WITH {_caption_cte()}, {ATTEMPTS},
 doc AS (SELECT doc_id, count(*) AS n, length(string_agg((caption_idx + 1) || E'\\n' || {_time("s", ",")} || ' --> ' || {_time("e", ",")} || E'\\n' || text, E'\\n\\n')) + 1 AS chars FROM cap GROUP BY 1)
 SELECT s.doc_id AS media_id, s.doc_id % 3 + 1 AS rank, coalesce(n, 0) AS caption_count, coalesce(chars, 0) AS chars, coalesce(hook, 'now') AS hook, coalesce(title, 'clip ' || s.doc_id) AS title, coalesce(array_to_string(tags, ' '), '#clip') AS hashtags
-FROM src s LEFT JOIN doc USING (doc_id) LEFT JOIN meta m ON m.conv_id = s.doc_id AND m.attempt = 1"""
+FROM src s LEFT JOIN doc USING (doc_id) LEFT JOIN (SELECT * FROM meta QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY attempt DESC) = 1) m ON m.conv_id = s.doc_id"""
     sql["usable_envelopes"] = f"WITH {ENVELOPE} SELECT media_id AS session_id FROM lev GROUP BY 1 HAVING count(*) >= 16 AND stddev_pop(level) >= 0.01"
     sql["stage_shares"] = "SELECT event_id, round(CASE WHEN sum(value) OVER p > 0 THEN value / sum(value) OVER p ELSE 0 END, 6) AS share FROM events WINDOW p AS (PARTITION BY user_id)"
     sql["media_plan"] = """

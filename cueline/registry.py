@@ -528,14 +528,14 @@ def clean_transcripts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def package_assembly(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as highlights: captions counted, subtitles joined, metadata of their conversation, else generated."""
+    """Documents as highlights: captions counted, subtitles joined, metadata of their conversation's last attempt, else generated."""
     attempts = fx.metadata_attempts(spark, sf)
     clips = _spoken(spark, sf).withColumn("rank", (F.col("doc_id") % 3 + 1).cast("int")).withColumnRenamed("doc_id", "media_id")
     on = ["media_id", "rank"]
     made = captions.build_captions(clips, on)
     docs = captions.subtitle_documents(made, clips, on)
-    first = attempts.where("attempt = 1")
-    given = first.select(F.col("conv_id").alias("media_id"), (F.col("conv_id") % 3 + 1).cast("int").alias("rank"), "hook", "title", "hashtags")
+    last = attempts.groupBy("conv_id").agg(F.max_by(F.struct("hook", "title", "hashtags"), "attempt").alias("x"))
+    given = last.select(F.col("conv_id").alias("media_id"), (F.col("conv_id") % 3 + 1).cast("int").alias("rank"), "x.*")
     generated = clips.select(*on, F.lit("now").alias("hook"), F.concat(F.lit("clip "), F.col("media_id").cast("string")).alias("title"), F.array(F.lit("#clip")).alias("hashtags"))
     out = decisions.assemble_packages(clips.select(*on), made, docs, given, generated)
     return out.select(*on, "caption_count", F.length("document").alias("chars"), "hook", "title", F.array_join("hashtags", " ").alias("hashtags"))

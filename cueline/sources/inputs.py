@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import struct
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +22,8 @@ PROBE_SCHEMA = (
 )
 PROFILE_FIELDS = ("channel_name", "target_audience", "preferred_language", "brand_colors", "logo", "creator_photos_folder", "style", "ai_face_generation")
 IMAGE_TYPES = ("jpg", "jpeg", "png", "webp")
+#: Bytes of an image's head that are read, one after the other until its size is found: a preview may come before it.
+HEADS = (1 << 12, 1 << 17, 1 << 22)
 
 
 def check_sessions(manifest: DataFrame) -> DataFrame:
@@ -93,37 +101,37 @@ def read_scene_logs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("media_id"), "value")
 
 
+def read_header(b: bytes) -> tuple:
+    """(width, height, format, alpha channel) from the head of an image file; nulls if it can't be read."""
+    if b[:8] == b"\x89PNG\r\n\x1a\n" and len(b) >= 26:
+        w, h = struct.unpack(">II", b[16:24])
+        return w, h, "png", b[25] in (4, 6) or b"tRNS" in b[:4096]
+    if b[:2] == b"\xff\xd8":
+        at = 2
+        while at + 9 < len(b):
+            if b[at] != 0xFF:
+                return None, None, None, None
+            kind, size = b[at + 1], struct.unpack(">H", b[at + 2 : at + 4])[0]
+            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+                h, w = struct.unpack(">HH", b[at + 5 : at + 9])
+                return w, h, "jpeg", False
+            at += 2 + size
+    if b[:4] == b"RIFF" and b[8:12] == b"WEBP" and len(b) >= 30:
+        if b[12:16] == b"VP8X":
+            return 1 + int.from_bytes(b[24:27], "little"), 1 + int.from_bytes(b[27:30], "little"), "webp", bool(b[20] & 16)
+        if b[12:16] == b"VP8L":
+            bits = int.from_bytes(b[21:25], "little")
+            return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1, "webp", bool(bits >> 28 & 1)
+        if b[12:16] == b"VP8 ":
+            w, h = struct.unpack("<HH", b[26:30])
+            return w & 0x3FFF, h & 0x3FFF, "webp", False
+    return None, None, None, None
+
+
 @F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("image_format", T.StringType()), T.StructField("has_transparency", T.BooleanType())]))
 def image_header(content: pd.Series) -> pd.DataFrame:
-    """Size, format and whether there is an alpha channel, from the head of an image file; nulls if unreadable."""
-    import struct
-
-    def read(b: bytes) -> tuple:
-        if b[:8] == b"\x89PNG\r\n\x1a\n" and len(b) >= 26:
-            w, h = struct.unpack(">II", b[16:24])
-            return w, h, "png", b[25] in (4, 6) or b"tRNS" in b[:4096]
-        if b[:2] == b"\xff\xd8":
-            at = 2
-            while at + 9 < len(b):
-                if b[at] != 0xFF:
-                    return None, None, None, None
-                kind, size = b[at + 1], struct.unpack(">H", b[at + 2 : at + 4])[0]
-                if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-                    h, w = struct.unpack(">HH", b[at + 5 : at + 9])
-                    return w, h, "jpeg", False
-                at += 2 + size
-        if b[:4] == b"RIFF" and b[8:12] == b"WEBP" and len(b) >= 30:
-            if b[12:16] == b"VP8X":
-                return 1 + int.from_bytes(b[24:27], "little"), 1 + int.from_bytes(b[27:30], "little"), "webp", bool(b[20] & 16)
-            if b[12:16] == b"VP8L":
-                bits = int.from_bytes(b[21:25], "little")
-                return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1, "webp", bool(bits >> 28 & 1)
-            if b[12:16] == b"VP8 ":
-                w, h = struct.unpack("<HH", b[26:30])
-                return w & 0x3FFF, h & 0x3FFF, "webp", False
-        return None, None, None, None
-
-    return pd.DataFrame([read(bytes(b)) for b in content], columns=["width", "height", "image_format", "has_transparency"])
+    """:func:`read_header` of each file."""
+    return pd.DataFrame([read_header(bytes(b)) for b in content], columns=["width", "height", "image_format", "has_transparency"])
 
 
 def asset_inventory(files: DataFrame) -> DataFrame:
@@ -137,9 +145,48 @@ def asset_inventory(files: DataFrame) -> DataFrame:
     return rows.select("image_path", "h.*").withColumn("valid", F.col("width").isNotNull())
 
 
+def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """What opens a file, and its name there; other schemes than pyarrow's raise."""
+    scheme, rest = path.split(":", 1) if ":" in path else ("file", path)
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    authority, name = re.match(r"(//[^/]*)(.*)", rest).groups()
+    system, base = fs.FileSystem.from_uri(f"{scheme}:{authority}/")
+    return system, base.rstrip("/") + name
+
+
 def read_assets(spark: SparkSession, path: str) -> DataFrame:
-    """Asset inventory of a folder, with its sub-folders."""
-    return asset_inventory(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+    """Asset inventory of a folder, with its sub-folders, see :func:`asset_inventory`.
+
+    Spark lists the files; of each one only its head is read, more of it where that isn't
+    enough, up to the last of :data:`HEADS`. Folders of stores that only Spark opens are read
+    whole.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    try:
+        _file_system(path)
+    except (ValueError, NotImplementedError, AttributeError, OSError):
+        return asset_inventory(files)
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    named = files.select("path").where(kind.isin(*IMAGE_TYPES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for name in batch.column(0).to_pylist():
+                system, own = _file_system(name)
+                with system.open_input_file(own) as file:
+                    size, header = file.size(), (None,) * 4
+                    for most in HEADS:
+                        header = read_header(file.read_at(min(most, size), 0))
+                        if header[0] is not None or most >= size:
+                            break
+                found.append(header)
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.bool_()), strict=True)] if found else [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.string(), pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["image_path", "width", "height", "image_format", "has_transparency"])
+
+    rows = named.mapInArrow(run, "image_path string, width int, height int, image_format string, has_transparency boolean")
+    return rows.withColumn("valid", F.col("width").isNotNull())
 
 
 def check_profiles(profiles: DataFrame) -> DataFrame:

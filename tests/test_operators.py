@@ -196,6 +196,19 @@ def test_assets_and_sinks(spark, tmp_path):
     (tmp_path / "d.jpg").write_bytes(b"\xff\xd8\xff\xc0" + struct.pack(">HBHH", 17, 8, 7, 9) + b"\0" * 12)
     got = {p.rsplit("/", 1)[1]: tuple(x) for p, *x in rows(inputs.read_assets(spark, f"file://{tmp_path}"), "image_path", "width", "height", "image_format", "has_transparency", "valid")}
     assert got == {"a.PNG": (30, 20, "png", True, True), "b.png": (None, None, None, None, False), "d.jpg": (9, 7, "jpeg", False, True)}
+    # a preview of 200,000 bytes comes before the size, and pixels after it are never read
+    preview = b"".join(b"\xff\xe1" + struct.pack(">H", 50_002) + b"p" * 50_000 for _ in range(4))
+    deep = tmp_path / "sub folder" / "e%20é.jpeg"
+    deep.parent.mkdir()
+    deep.write_bytes(b"\xff\xd8" + preview + b"\xff\xc0" + struct.pack(">HBHH", 17, 8, 70, 90) + b"\0" * 12)
+    with open(tmp_path / "f.png", "wb") as f:
+        f.write(png(64, 48, 2))
+        f.truncate(1 << 33)
+    got = {p.rsplit("/", 1)[1]: tuple(x) for p, *x in rows(inputs.read_assets(spark, f"file://{tmp_path}"), "image_path", "width", "height", "image_format", "has_transparency", "valid")}
+    assert got["e%20é.jpeg"] == (90, 70, "jpeg", False, True) and got["f.png"] == (64, 48, "png", False, True) and len(got) == 5
+    (tmp_path / "f.png").unlink()
+    whole = inputs.asset_inventory(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{tmp_path}"))
+    assert {p.rsplit("/", 1)[1]: tuple(x) for p, *x in rows(whole, "image_path", "width", "height", "image_format", "has_transparency", "valid")} == {k: v for k, v in got.items() if k != "f.png"}
     out = f"file://{tmp_path}/out"
     df = spark.createDataFrame([(1, "a"), (2, "b")], "media_id long, document string")
     sinks.write_partitions(df, out, "media_id", "document")
