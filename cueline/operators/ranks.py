@@ -28,3 +28,17 @@ def number_rows(rows: DataFrame, keys: list[str], order: list[Column | str], nam
     inside = F.row_number().over(Window.partitionBy(*at).orderBy(*order))
     out = ranged.join(counts, same).withColumn(name, F.col("__before") + inside + F.lit(start - 1))
     return out.select(*[F.col(f"`{c}`") for c in rows.columns if c != name], name)
+
+
+#: Rows of a key whose order one window task finds.
+HELD = 1 << 20
+
+
+def place_rows(rows: DataFrame, keys: list[str], order: list[Column | str], name: str, most: int | None = None) -> DataFrame:
+    """Append ``name``: each row's place among those of its ``keys``, from 1 on, by a window, or by :func:`number_rows` where a key has more than :data:`HELD` rows.
+
+    ``most``: rows of the fullest key, if they are counted; without it a window it is.
+    """
+    if most is None or most <= HELD:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return number_rows(rows, keys, order, name).withColumn(name, F.col(name).cast("int"))

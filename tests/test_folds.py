@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cueline import fixtures as fx
 from cueline import registry
-from cueline.operators import answers, captions, folds, intervals, packages, quantiles, research, scoring, signals, textclean
+from cueline.operators import answers, captions, folds, intervals, packages, quantiles, ranks, research, scoring, signals, textclean
 from cueline.operators.answers import Responder
 from cueline.plans import highlights as plan
 from cueline.sources import inputs, sinks
@@ -510,6 +510,20 @@ def test_sinks_replace_what_was_there(spark, tmp_path):
     assert back.where(F.col("bucket") != F.pmod(F.hash(F.col("media_id").cast("int")), F.lit(2))).count() == 0
 
 
+def test_large_recordings_are_ranked_in_ranges(spark, monkeypatch):
+    """Scores by joined maxima and ranks by ranges are those of windows, ties and recordings without a name too."""
+    rng = random.Random(11)
+    data = [(m, i, float(i), i + 1.0, rng.choice([0.0, 1.0, 2.0]), rng.randint(0, 9), rng.random()) for m in (None, 1, 2) for i in range(80)]
+    df = spark.createDataFrame(data, "media_id long, scene_idx int, start_seconds double, end_seconds double, average_motion_score double, speech_word_count int, average_audio_rms double").repartition(4)
+    plain, joined = scoring.score_scenes(df), scoring.score_scenes(df, written=True)
+    assert plain.columns == joined.columns and sorted(map(repr, plain.collect())) == sorted(map(repr, joined.collect()))
+    media = spark.createDataFrame([(1, 300.0), (2, 300.0)], "media_id long, duration_seconds double")
+    want = rows(scoring.select_candidates(plain, media), "media_id", "scene_idx", "rank", "start_seconds")
+    monkeypatch.setattr(ranks, "HELD", 10)
+    got = scoring.select_candidates(joined, media, fullest=80)
+    assert dict(got.dtypes)["rank"] == "int" and set(rows(got, "media_id", "scene_idx", "rank", "start_seconds")) == set(want) and len(want) > 40
+
+
 def test_buckets_keep_what_others_wrote(spark, tmp_path):
     path = f"{tmp_path}/buckets"
     write = lambda pairs, **more: sinks.write_buckets(spark.createDataFrame(pairs, "media_id int, metadata string"), path, "media_id", 3, **more)
