@@ -184,9 +184,11 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def similarity_bound(a: str, b: str) -> Column:
     """At least the similarity of two comparison keys: what their lengths and the counts of their characters allow."""
-    count = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x)))
+    count = lambda c, x: F.length(c) - F.length(F.replace(F.col(c), x))
     both = F.length(a) + F.length(b)
-    shared = sum((F.least(count(a, x), count(b, x)) for x in "abcdefghijklmnopqrstuvwxyz0123456789"), F.lit(0))
+    # each character that comes in either, once
+    kinds = F.array_distinct(F.split(F.concat(a, b), ""))
+    shared = F.aggregate(kinds, F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
     return F.when(both == 0, F.lit(1.0)).when(4 * F.least(F.length(a), F.length(b)) < both, F.lit(0.0)).otherwise(2 * shared / both)
 
 
