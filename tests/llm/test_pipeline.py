@@ -41,7 +41,7 @@ def test_stages(spark, sf):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "labels"):
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     df = queries.QUERIES[name](spark, sf)
     columns = sorted(df.columns)
