@@ -383,6 +383,8 @@ def test_highlight_run_against_a_loop(spark, sf):
     columns = ("media_id", "rank", "number", "category", "commentary_category", "visual_event", "danger_level", "keep_highlight", "final_confidence", "reason", "hook", "title", "hashtags", "renderer", "caption_count", "file_name", "highlights", "packages")
     assert set(rows(got, *columns)) == want and len(want) > 20
     assert any(x[11] == "A clip" for x in want) and len({x[3] for x in want}) > 3
+    # each clip speaks whole texts, four words a caption
+    assert max(x[14] for x in want) > 20
     told = {(r.media_id, r.number): json.loads(r.metadata) for r in run.files.collect()}
     assert list(told[next(iter(told))]) == [name for name, _ in sinks.METADATA]
     texts = {(r.media_id, r.number): r for r in run.final.collect()}
