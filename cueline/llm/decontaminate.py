@@ -32,6 +32,8 @@ SHINGLE = 5
 INDEX_BYTES = 256 << 10
 #: Bits of the bitmap over prefix hashes of a larger benchmark: 32 MB, whatever its size.
 BITMAP_BITS = 28
+#: Windows that are known by one rarest shingle at most; a larger crowd is asked for by the digests of its windows.
+CROWD = 16
 #: Every byte that isn't a digit, a lower-case letter or part of a longer code point parts words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _BITS = 20
@@ -211,10 +213,10 @@ def _hashed(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def index_table(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """The prefix index (prefix, window, body, size, at) of distinct windows, and the owners (window, item).
+    """The prefix index (prefix, window, body, size, at, crowd) of distinct windows, and the owners (window, item).
 
     ``prefix`` is the hash of the window's rarest shingle, ``at`` where in the window that
-    shingle stands, ``body`` the window's words, ``window`` their digest.
+    shingle stands, ``body`` the window's words, ``window`` their digest, ``crowd`` how many windows have that prefix.
     """
     spread = "item string, window binary, body binary, size int, shingles array<bigint>"
 
@@ -239,7 +241,9 @@ def index_table(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE)
     each = once.select("window", F.posexplode("shingles").alias("at", "prefix"))
     often = each.groupBy("prefix").agg(F.count("*").alias("often"))
     rarest = each.join(often, "prefix").groupBy("window").agg(F.min(F.struct("often", "prefix", "at")).alias("r"))
-    index = once.join(rarest, "window").select(F.col("r.prefix").alias("prefix"), "window", "body", "size", F.col("r.at").alias("at"))
+    rarest = rarest.select("window", "r.prefix", "r.at")
+    crowds = rarest.groupBy("prefix").agg(F.count("*").alias("crowd"))
+    index = once.join(rarest.join(crowds, "prefix"), "window").select("prefix", "window", "body", "size", "at", "crowd")
     return materialise(index, "window-index"), owners
 
 
@@ -278,9 +282,11 @@ def _by_table(docs: DataFrame, text: str, items: DataFrame) -> DataFrame:
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
-            names, told = batch.column(0).to_pylist(), []
+            names = batch.column(0).to_pylist()
             for start, texts in chunks(batch.column(1)):
+                told = []
                 for d, body in enumerate(texts):
                     words = words_of(body) if body else []
                     hashes = _word_hashes(words)
@@ -289,26 +295,40 @@ def _by_table(docs: DataFrame, text: str, items: DataFrame) -> DataFrame:
                         bit = h >> np.uint64(64 - BITMAP_BITS)
                         hit = np.flatnonzero(bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
                         for i in hit.tolist():
-                            low = max(0, i - longest + 1)
-                            told.append((names[start + d], int(h[i].view(np.int64)), i, i - low, b" ".join(words[low : i + longest])))
-            cols = list(zip(*told, strict=True)) if told else [[]] * 5
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["row", "prefix", "pos", "off", "around"])
+                            low, high = max(0, i - longest + 1), min(len(words), i + longest)
+                            told.append((names[start + d], int(h[i].view(np.int64)), i, i - low, high - low, b" ".join(words[low:high])))
+                cols = list(zip(*told, strict=True)) if told else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["row", "prefix", "pos", "off", "n", "around"])
+
+    def name_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The digest of the words where a window of a shape would stand."""
+        for batch in batches:
+            off, around, at, size = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("off", "around", "at", "size"))
+            told = [hashlib.md5(b" ".join(a.split()[o - x : o - x + s])).digest() for o, a, x, s in zip(off, around, at, size, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told, pa.binary())], names=[*batch.schema.names, "window"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Candidates whose window fits around the shingle and has the same words."""
+        """Candidates whose window has the same words."""
         for batch in batches:
             kept, begins = [], []
             for i, (pos, off, around, body, size, at) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 7)), strict=True)):
-                words, low = around.split(), off - at
-                if low >= 0 and low + size <= len(words) and b" ".join(words[low : low + size]) == body:
+                low = off - at
+                if b" ".join(around.split()[low : low + size]) == body:
                     kept.append(i)
                     begins.append(pos - at)
             took = batch.take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays([took.column(0), pa.array(begins, pa.int64()), took.column(5).cast(pa.int32()), took.column(7)], names=["row", "begin", "size", "window"])
 
-    probes = docs.select(row.alias("row"), F.col(f"`{text}`").cast("binary").alias("t")).mapInArrow(probe, "row binary, prefix bigint, pos bigint, off bigint, around binary")
-    pairs = probes.join(index, "prefix").select("row", "pos", "off", "around", "body", "size", "at", "window")
+    probes = docs.select(row.alias("row"), F.col(f"`{text}`").cast("binary").alias("t")).mapInArrow(probe, "row binary, prefix bigint, pos bigint, off bigint, n bigint, around binary")
+    # positional and length bounds: the window begins and ends inside the text
+    fits = (F.col("off") >= F.col("at")) & (F.col("off") - F.col("at") + F.col("size") <= F.col("n"))
+    told = ["row", "pos", "off", "around", "body", "size", "at", "window"]
+    few, many = index.where(F.col("crowd") <= CROWD).drop("crowd"), index.where(F.col("crowd") > CROWD).drop("crowd")
+    # windows in a crowd around one shingle: a place asks for each of their few shapes, by the digest of its words
+    shapes = many.select("prefix", "at", "size").distinct()
+    places = probes.join(shapes, "prefix").where(fits)
+    places = places.mapInArrow(name_windows, T.StructType([*places.schema.fields, T.StructField("window", T.BinaryType())]))
+    pairs = probes.join(few, "prefix").where(fits).select(*told).unionByName(places.join(many, ["window", "prefix", "at", "size"]).select(*told))
     hits = materialise(pairs.mapInArrow(verify, "row binary, begin bigint, size int, window binary").distinct(), "item-hits")
     # words covered: every row's hits are put in order, and what overlaps is counted once
     covered = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("begin", "size"))).alias("runs"))

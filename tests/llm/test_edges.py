@@ -217,8 +217,10 @@ def test_recall_of_the_query(spark):
 # --- 7 decontamination ---------------------------------------------------------------
 
 
-def test_index_table_and_broadcast_agree(spark):
+@pytest.mark.parametrize("crowd", [0, decontaminate.CROWD])
+def test_index_table_and_broadcast_agree(spark, monkeypatch, crowd):
     """Items enough for a table: the same marks as by the index that is broadcast, and as by a plain loop."""
+    monkeypatch.setattr(decontaminate, "CROWD", crowd)
     rng = random.Random(11)
     word = lambda: rng.choice("abcdefghij") + rng.choice("klmno")
     items = [(i, " ".join(word() for _ in range(rng.randint(1, 40)))) for i in range(120)]
@@ -234,6 +236,21 @@ def test_index_table_and_broadcast_agree(spark):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == want[r.doc_id]
 
 
+def test_windows_that_share_their_rarest_shingle(spark):
+    """900 items of two words alone: their shingles are so few that each is the rarest of a crowd of windows."""
+    rng = random.Random(12)
+    some = lambda n: [rng.choice("ab") for _ in range(n)]
+    items = [(i, " ".join(some(13))) for i in range(900)]
+    texts = [*(" ".join([*some(5), t, *some(5)]) for _, t in items[:20]), *(" ".join(some(n)) for n in (0, 5, 12, 13, 400))]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    index, _ = decontaminate.index_table(decontaminate._items(bench, "item_id", "text"))
+    assert index.agg({"crowd": "max"}).first()[0] > decontaminate.CROWD
+    want = plain_marks(enumerate(texts), items)
+    for r in decontaminate.mark_contaminated(docs, bench, index_bytes=100).collect():
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == want[r.doc_id]
+
+
 # --- 8 token counts ------------------------------------------------------------------
 
 
