@@ -20,6 +20,8 @@ from cueline.operators import folds
 from cueline.storage import materialise, release
 
 BIN = 60.0
+#: Rows of a side that one bin may have before it is cut, and rows that a cut is meant for.
+HEAVY, CUT_ROWS = 1 << 16, 256
 #: Rows by number, or seconds, whose order one window task finds.
 ROWS_BIN, SECONDS_BIN = 1 << 16, 3600.0
 #: Clips of an island that one task passes by in order; larger islands are settled in rounds first.
@@ -43,18 +45,57 @@ def _bin(x: Column | str, width: float) -> Column:
     return F.floor(F.col(x) / F.lit(width) if isinstance(x, str) else x / F.lit(width))
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, key: str, bin_width: float = BIN) -> DataFrame:
+def overlap_pairs(left: DataFrame, right: DataFrame, key: str, bin_width: float = BIN, heavy: int = HEAVY) -> DataFrame:
     """Pairs of intervals that share more than a point, once each.
 
     Both sides have ``key``, ``start_seconds`` and ``end_seconds``; the right side's come
-    out as ``r_start`` and ``r_end``. A pair is kept in the later of its two first bins.
+    out as ``r_start`` and ``r_end``. A pair is kept in the later of its two first bins. Bins
+    are counted first: one that more than ``heavy`` rows of a side touch is cut (see
+    :func:`heavy_bins`), and a pair is kept in the later of its first cuts.
     """
     r = right.withColumnsRenamed({"start_seconds": "r_start", "end_seconds": "r_end"})
     spread = lambda df, a, b: df.withColumn("first_bin", _bin(a, bin_width)).withColumn("bin", F.explode(F.sequence("first_bin", F.greatest(_bin(b, bin_width), F.col("first_bin")))))
     a = spread(left, "start_seconds", "end_seconds").withColumnRenamed("first_bin", "l_bin")
     b = spread(r, "r_start", "r_end").withColumnRenamed("first_bin", "r_bin")
-    pairs = a.join(b, [key, "bin"]).where("start_seconds < r_end AND r_start < end_seconds AND bin = greatest(l_bin, r_bin)")
-    return pairs.drop("bin", "l_bin", "r_bin")
+    cut = materialise(heavy_bins(a, b, key, bin_width, heavy), "heavy-bins")
+    shares = "start_seconds < r_end AND r_start < end_seconds AND bin = greatest(l_bin, r_bin)"
+    if cut.isEmpty():
+        release(cut)
+        return a.join(b, [key, "bin"]).where(shares).drop("bin", "l_bin", "r_bin")
+    a = _cut_bins(a, cut, key, "start_seconds", "end_seconds", bin_width, "l", "r")
+    b = _cut_bins(b, cut, key, "r_start", "r_end", bin_width, "r", "l")
+    pairs = a.join(b, [key, "bin", "cut", "l_deal", "r_deal"]).where(shares).where("cut = greatest(l_cut, r_cut)")
+    return pairs.drop("bin", "l_bin", "r_bin", "cut", "l_cut", "r_cut", "l_deal", "r_deal")
+
+
+def heavy_bins(a: DataFrame, b: DataFrame, key: str, bin_width: float, heavy: int) -> DataFrame:
+    """(key, bin, cuts, l_deals, r_deals) of the bins that more than ``heavy`` rows of a side touch.
+
+    A bin has as many cuts as leave a few rows in each, but no more than rows are short enough
+    for: a row lies in two of them on average. Where rows are too long for that, either side
+    is dealt by hash, and meets all deals of the other side.
+    """
+    inside = lambda x, y: F.least(F.col(y), (F.col("bin") + 1) * bin_width) - F.greatest(F.col(x), F.col("bin") * bin_width)
+    sides = a.select(key, "bin", F.lit(1).alias("l"), F.lit(0).alias("r"), inside("start_seconds", "end_seconds").alias("s")).unionByName(b.select(key, "bin", F.lit(0).alias("l"), F.lit(1).alias("r"), inside("r_start", "r_end").alias("s")))
+    sums = sides.groupBy(key, "bin").agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.sum(F.greatest("s", F.lit(0.0))).alias("s")).where(F.greatest("l", "r") > heavy)
+    n = F.col("l") + F.col("r")
+    short = F.when(F.col("s") > 0, F.floor(bin_width * n / F.col("s"))).otherwise(n)
+    sums = sums.withColumn("cuts", F.greatest(F.lit(1), F.least(F.ceil(n / CUT_ROWS), short)).cast("bigint"))
+    deals = lambda c: F.when(F.col("cuts") > 1, F.ceil(2 * F.col(c) / F.col("cuts") / heavy)).otherwise(F.ceil(F.col(c) / heavy))
+    return sums.select(key, "bin", "cuts", *[F.greatest(F.lit(1), deals(c)).cast("int").alias(f"{c}_deals") for c in ("l", "r")])
+
+
+def _cut_bins(rows: DataFrame, cut: DataFrame, key: str, start: str, end: str, bin_width: float, own: str, other: str) -> DataFrame:
+    """Rows of bins in the cuts that they touch, dealt by hash; light bins have one cut and one deal."""
+    out = rows.join(cut, [key, "bin"], "left").na.fill(1, ["cuts", "l_deals", "r_deals"])
+    place = lambda x: F.least(F.col("cuts") - 1, F.floor((F.col(x) / bin_width - F.col("bin")) * F.col("cuts")))
+    first = F.when(F.col(f"{own}_bin") < F.col("bin"), F.lit(0)).otherwise(place(start))
+    out = out.withColumn(f"{own}_cut", F.greatest(F.lit(0), first).cast("bigint"))
+    last = F.when(F.floor(F.col(end) / bin_width) > F.col("bin"), F.col("cuts") - 1).otherwise(place(end))
+    out = out.withColumn("cut", F.explode(F.sequence(F.col(f"{own}_cut"), F.greatest(last, F.col(f"{own}_cut")).cast("bigint"))))
+    out = out.withColumn(f"{own}_deal", F.pmod(F.xxhash64(*[f"`{c}`" for c in rows.columns]), F.col(f"{own}_deals")).cast("int"))
+    out = out.withColumn(f"{other}_deal", F.explode(F.sequence(F.lit(0), F.col(f"{other}_deals") - 1)))
+    return out.drop("cuts", "l_deals", "r_deals")
 
 
 def assign_by_overlap(segments: DataFrame, scenes: DataFrame, key: str = "media_id", bin_width: float = BIN) -> DataFrame:
@@ -87,6 +128,7 @@ def points_in_scenes(points: DataFrame, scenes: DataFrame, rate: float | str, pl
     """Points with the scenes they lie in: ``int(start * rate) <= place < int(end * rate)``.
 
     ``rate``: a number, or a column of ``scenes``. Adds ``scene_idx``, ``first`` and ``after``.
+    A bin has ``bin_width`` places, so distinct points of a recording can't crowd in one.
     """
     r = F.col(rate) if isinstance(rate, str) else F.lit(float(rate))
     s = scenes.select(key, "scene_idx", (F.col("start_seconds") * r).cast("bigint").alias("first"), (F.col("end_seconds") * r).cast("bigint").alias("after"))

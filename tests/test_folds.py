@@ -624,3 +624,35 @@ def test_caption_variants_of_a_missing_profile(spark):
 def test_scored_frames_keep_their_order(spark):
     df = spark.createDataFrame([(1, i, 130.0, 95.0, 900.0, 150.0, 0.22) for i in range(3)], "request_id int, sequence int, brightness double, contrast double, sharpness double, saturation double, edge_density double")
     assert sorted(rows(scoring.score_frames(df), "sequence", "rank")) == [(0, 1), (1, 2), (2, 3)]
+
+
+# --- overlaps of crowded minutes -----------------------------------------------------
+
+
+@pytest.mark.parametrize("heavy", [1, 5, intervals.HEAVY])
+def test_overlaps_in_cut_bins(spark, monkeypatch, heavy):
+    """Every pair once, with and without cuts, for short, long, empty, reversed and null intervals."""
+    monkeypatch.setattr(intervals, "CUT_ROWS", 2)
+    rng = random.Random(21)
+    some = lambda n: [("r" if i % 7 else "q", i, s := rng.randint(-40, 400) / 4, s + rng.choice([0, 0.25, 1, 3, 30, -1])) for i in range(n)]
+    left, right = [*some(60), ("r", 60, None, 1.0), ("r", 61, 1.0, None)], [*some(50), (None, 50, 0.0, 100.0)]
+    a = spark.createDataFrame(left, "k string, i long, start_seconds double, end_seconds double")
+    b = spark.createDataFrame(right, "k string, j long, start_seconds double, end_seconds double")
+    found = [(r.i, r.j) for r in intervals.overlap_pairs(a, b, "k", 10.0, heavy).collect()]
+    whole = lambda x: None not in x
+    assert sorted(found) == sorted((x[1], y[1]) for x in filter(whole, left) for y in filter(whole, right) if x[0] == y[0] and x[2] < y[3] and y[2] < x[3])
+
+
+def test_a_million_segments_in_a_minute(spark):
+    """Long segments are dealt, short ones cut: no group of the join has more than its share."""
+    for length, most in ((60.0, 2 * intervals.HEAVY), (0.001, 8 * intervals.CUT_ROWS)):
+        start = F.lit(0.0) if length == 60.0 else F.col("id") * (59.9 / 1e6)
+        left = spark.range(10**6).select(F.lit("r").alias("k"), F.col("id").alias("i"), start.alias("start_seconds"), (start + length).alias("end_seconds"))
+        right = spark.range(3).select(F.lit("r").alias("k"), F.col("id").alias("j"), (F.col("id") * 20.0).alias("start_seconds"), (F.col("id") * 20.0 + 20).alias("end_seconds"))
+        rows = left.withColumns({"l_bin": F.lit(0).cast("bigint"), "bin": F.lit(0).cast("bigint")})
+        other = right.selectExpr("k", "j", "start_seconds r_start", "end_seconds r_end", "0L r_bin", "0L bin")
+        cut = intervals.heavy_bins(rows, other, "k", 60.0, intervals.HEAVY)
+        dealt = intervals._cut_bins(rows, cut, "k", "start_seconds", "end_seconds", 60.0, "l", "r")
+        assert dealt.groupBy("k", "bin", "cut", "l_deal", "r_deal").count().agg(F.max("count")).first()[0] <= most
+        best = intervals.overlap_pairs(left, right, "k").groupBy("i").count().agg(F.count("*"), F.sum("count")).first()
+        assert best[0] == 10**6 and best[1] >= 10**6
