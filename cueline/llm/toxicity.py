@@ -195,7 +195,7 @@ def swap_counts(sample: DataFrame, kinds, prefix: int = PREFIX) -> list[tuple[tu
     return sorted((tuple(r.lost), tuple(r.gained), r.n) for r in summed)
 
 
-def fit(rows: list[tuple[int, list[str]]], features: list[str], pairs=(), penalty: float = PENALTY, rounds: int = ROUNDS, cost: float = 1.0) -> Model:
+def fit(rows: list[tuple[int, list[str]]], features: list[str], pairs=(), penalty: float = PENALTY, rounds: int = ROUNDS, cost: float = 1.0, l2: float = L2, folds: int = FOLDS) -> Model:
     """Full-batch Adam on the log loss, the swap penalty and an L2 term. ``pairs``: see :func:`swap_counts`.
 
     Empty texts, one for every hundred rows, are added as rows that aren't toxic. A score of 0.5
@@ -218,13 +218,13 @@ def fit(rows: list[tuple[int, list[str]]], features: list[str], pairs=(), penalt
     often = np.array([n for *_, n in pairs], np.float64)
     # the mean squared change is a quadratic form of the weights
     curve = (change.T @ (change * (often / often.sum())[:, None])).astype(np.float32) if len(pairs) else None
-    w, b = _weights(x, y, curve, penalty, rounds)
+    w, b = _weights(x, y, curve, penalty, rounds, l2)
     # where to part the classes is told by rows that the weights haven't seen
     unseen = np.zeros(len(y))
-    for k in range(FOLDS):
-        own = np.arange(len(y)) % FOLDS == k
+    for k in range(folds):
+        own = np.arange(len(y)) % folds == k
         if own.any() and not own.all():
-            v, c = _weights(x[~own], y[~own], curve, penalty, rounds)
+            v, c = _weights(x[~own], y[~own], curve, penalty, rounds, l2)
             unseen[own] = x[own] @ v + c
     b -= _cut(unseen, y, cost)
     model = Model({f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-4}, float(b))
@@ -232,13 +232,13 @@ def fit(rows: list[tuple[int, list[str]]], features: list[str], pairs=(), penalt
     return model
 
 
-def _weights(x: np.ndarray, y: np.ndarray, curve: np.ndarray | None, penalty: float, rounds: int) -> tuple[np.ndarray, np.float32]:
+def _weights(x: np.ndarray, y: np.ndarray, curve: np.ndarray | None, penalty: float, rounds: int, l2: float = L2) -> tuple[np.ndarray, np.float32]:
     w, b = np.zeros(x.shape[1], np.float32), np.float32(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     m, v = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
     for step in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
         d = (p - y) / len(y)
-        g = x.T @ d + L2 * w
+        g = x.T @ d + l2 * w
         if curve is not None:
             g += penalty * 2 * (curve @ w)
         grad = np.append(g, d.sum())
@@ -261,27 +261,64 @@ def _cut(logits: np.ndarray, y: np.ndarray, cost: float = 1.0) -> float:
     return float((z[i] + z[i + 1]) / 2) if gaps[i] > 0 else 0.0
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = SAMPLE_PER_CLASS, features: int = FEATURES, penalty: float = PENALTY, terms=None, rounds: int = ROUNDS) -> Model:
-    """Fit on at most ``per_class`` labelled ids of each class.
-
-    ``terms``: names by language and kind, IDENTITY_TERMS if None; stand-ins of the rows are
-    added to them. Null keys and labels other than 0 and 1 are left out; without labelled rows
-    every text gets the same low score. ``pairs`` of the model is the number of swaps.
-    """
-    sample = materialise(sample_labelled(docs, labels, key, text, label, per_class), "labelled-sample")
+def prepare(sample: DataFrame, features: int = FEATURES, terms=None) -> tuple[list[tuple[int, list[str]]], list[str], list]:
+    """(rows, features, swaps) that :func:`fit` takes, from a sample (y, words); all empty if no feature is associated with the label."""
     totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("t")).first()
     counts = materialise(feature_counts(sample), "feature-counts")
     named = kinds_of(terms)
     kinds = (*named, *stand_ins(counts.where(~F.col("f").isin([t for kind in named for t in kind])), totals.n, totals.t))
     chosen = set(choose_features(counts, totals.n, totals.t, features))
     if not chosen:
-        return Model({}, -5.0)
+        return [], [], []
     chosen = sorted(chosen | {t for kind in kinds for t in kind})
-    pairs = swap_counts(sample, kinds)
+    return _rows(sample, chosen), chosen, swap_counts(sample, kinds)
+
+
+def _rows(sample: DataFrame, chosen: list[str]) -> list[tuple[int, list[str]]]:
+    """Rows of the bounded sample with those of their words that are chosen."""
     wanted = sample.select("y", F.array_intersect("words", F.array(*map(F.lit, chosen))).alias("w"))
-    rows = sorted((r.y, r.w) for r in wanted.toLocalIterator())
+    return sorted((r.y, r.w) for r in wanted.toLocalIterator())
+
+
+def share_cost(labels: DataFrame, label: str, rows: list[tuple[int, list[str]]]) -> float:
+    """How many clean labelled rows there are for one in the sample, to one toxic row; at least 1."""
+    toxic = sum(y for y, _ in rows)
     every = labels.agg(*[F.count(F.when(F.col(f"`{label}`") == y, 1)).alias(f"y{y}") for y in (0, 1)]).first()
-    cost = max(1.0, every.y0 / max(1, totals.n - totals.t) * max(1, totals.t) / max(1, every.y1))
+    return max(1.0, every.y0 / max(1, len(rows) - toxic) * max(1, toxic) / max(1, every.y1))
+
+
+def nested_errors(sample: DataFrame, settings: list[dict], cost: float = 1.0, outer: int = 5, features: int = FEATURES, terms=None) -> list[tuple[int, int]]:
+    """(toxic rows missed, clean rows rejected) under each of ``settings`` (arguments of :func:`fit`), by nested folds of a sample.
+
+    The sample is parted by its words into ``outer`` parts, and each is scored by fits to the
+    others that choose features, stand-ins and threshold without it. So settings can be
+    chosen from training rows alone.
+    """
+    part = F.pmod(F.xxhash64("words"), F.lit(outer))
+    errors = np.zeros((len(settings), 2), np.int64)
+    for k in range(outer):
+        rows, chosen, pairs = prepare(sample.where(part != k), features, terms)
+        unseen = _rows(sample.where(part == k), chosen) if chosen else []
+        for i, setting in enumerate(settings if rows else []):
+            model = fit(rows, chosen, pairs, **({"cost": cost} | setting))
+            for y, words in unseen:
+                toxic = model.bias + sum(model.weights.get(w, 0.0) for w in words) >= 0
+                errors[i] += (y == 1 and not toxic, y == 0 and toxic)
+    return [tuple(map(int, e)) for e in errors]
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = SAMPLE_PER_CLASS, features: int = FEATURES, penalty: float = PENALTY, terms=None, rounds: int = ROUNDS) -> Model:
+    """Fit on at most ``per_class`` labelled ids of each class.
+
+    ``terms``: names by language and kind, IDENTITY_TERMS if None; stand-ins of the rows are
+    added to them. Null keys and labels other than 0 and 1 are left out; without labelled rows
+    every text gets the same low score. ``pairs`` of the model is the number of swaps.
+    """
+    sample = materialise(sample_labelled(docs, labels, key, text, label, per_class), "labelled-sample")
+    rows, chosen, pairs = prepare(sample, features, terms)
+    if not rows:
+        return Model({}, -5.0)
+    cost = share_cost(labels, label, rows)
     return fit(rows, chosen, pairs, penalty, rounds, cost)
 
 
