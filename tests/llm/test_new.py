@@ -1,4 +1,4 @@
-"""Operators 11 to 13 against brute force, with odd rows, empty tables, ties and clashing names."""
+"""Operators 11 to 13, and the choices of operator 4, against brute force, with odd rows, empty tables, ties and clashing names."""
 
 from __future__ import annotations
 
@@ -9,12 +9,13 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cueline.llm import ann, audit, mixing, queries, resample, secrets
+from cueline.llm import ann, audit, mixing, queries, resample, secrets, toxicity
 from cueline.operators.ranks import number_rows
 from tests.llm.test_operators import DOC, ODD, docs_of
 
@@ -325,3 +326,54 @@ def test_rows_without_keys_are_dealt_to_many_blocks(spark):
     got = mixing.mix(df, block_tokens=200).collect()
     assert len({r.mix_block for r in got if r.doc_id is None and r.text != "same same"}) > 20 and len({r.mix_block for r in got if r.doc_id == 7}) > 20
     assert len({(r.mix_block, r.mix_repeats) for r in got if r.text == "same same"}) == 1
+
+
+# --- 4 toxicity: what is chosen from the training rows -------------------------------
+
+
+def test_features_and_stand_ins_against_plain_counts(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    learned = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    rows, chosen, _ = toxicity.prepare(toxicity.sample_labelled(docs, learned, "doc_id", "text", "toxic", toxicity.SAMPLE_PER_CLASS))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    plain = [(r.toxic, toxicity.features_of(texts[r.doc_id])) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 and r.toxic in (0, 1)]
+    n, t = len(plain), sum(y for y, _ in plain)
+    a, b = Counter(f for _, w in plain for f in w), Counter(f for y, w in plain if y for f in w)
+    chi = {f: (b[f] - a[f] * t / n) ** 2 / (a[f] * t / n * (1 - t / n) * (1 - a[f] / n) + 1e-9) for f in a if a[f] >= 2}
+    top = sorted((f for f in chi if chi[f] >= toxicity.ASSOCIATED), key=lambda f: (-chi[f], f))[: toxicity.FEATURES]
+    names = {w for kind in toxicity.kinds_of() for w in kind}
+    shares = {f: (b[f] / t, (a[f] - b[f]) / (n - t)) for f in a if a[f] >= 2 and not f.endswith("*") and f not in names}
+    alike = [f for f, x in shares.items() if min(x) >= toxicity.SUPPORT and max(x) <= toxicity.ALIKE * min(x)]
+    found = sorted(alike, key=lambda f: (-a[f], f))[: toxicity.STAND_INS]
+    found = found[: len(found) // toxicity.KIND * toxicity.KIND]
+    assert top and set(chosen) == {*top, *names, *found}
+    assert rows == sorted((y, [f for f in sorted(w) if f in set(chosen)]) for y, w in plain)
+
+
+@pytest.mark.parametrize("cost", [1.0, 3.0])
+def test_the_cut_has_the_fewest_errors(cost):
+    rng = random.Random(31)
+    for _ in range(60):
+        z = [float(rng.randint(0, 12)) for _ in range(rng.randint(2, 25))]
+        y = [int(rng.random() < 0.3 + v / 30) for v in z]
+        at = toxicity._cut(np.array(z), np.array(y), cost)
+        if not 0 < sum(y) < len(y) or len(set(z)) == 1:
+            assert at == 0.0
+            continue
+        errors = lambda c: sum(t if v < c else cost * (1 - t) for v, t in zip(z, y, strict=True))
+        places = sorted(set(z))
+        least = min(errors((lo + hi) / 2) for lo, hi in zip(places, places[1:], strict=False))
+        widest = max(hi - lo for lo, hi in zip(places, places[1:], strict=False) if errors((lo + hi) / 2) == least)
+        assert errors(at) == least and any((lo + hi) / 2 == at and hi - lo == widest for lo, hi in zip(places, places[1:], strict=False))
+
+
+def test_nested_folds_tell_errors_of_unseen_rows(spark):
+    rng = random.Random(32)
+    words = lambda: {f"w{rng.randint(0, 30)}" for _ in range(8)}
+    told = [(int(i % 4 == 0), sorted(words() | {f"n{i}"} | ({"bad"} if i % 4 == 0 else set()))) for i in range(240)]
+    wrong = [(1 - y if i % 24 in (0, 1) else y, w) for i, (y, w) in enumerate(told)]
+    made = lambda rows: spark.createDataFrame(rows, "y int, words array<string>")
+    assert toxicity.nested_errors(made(told), [{}, {"l2": 1e-2, "folds": 5}], outer=3, terms={}) == [(0, 0)] * 2
+    # ten rows of either class have the other one's label
+    assert toxicity.nested_errors(made(wrong), [{}], outer=3, terms={}) == [(10, 10)]
+    assert toxicity.nested_errors(made([]), [{}], terms={}) == [(0, 0)]
