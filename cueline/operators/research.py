@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from cueline.functions.text import clean, comparison_key, ordered_distinct, title_case
 from cueline.operators.graphs import connected_components
-from cueline.storage import materialise, release, scratch
+from cueline.storage import materialise, release, scratch, together
 
 # The vocabularies that terms and names are restricted to.
 TERMS = (
@@ -107,7 +107,7 @@ def _fold_results(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
 
     first = [*keys, "__u", "__t"]
     rows = rows.select(*first, *[c for c in rows.columns if c not in first])
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order, "__u", "__t", *[c for c in ("title", "url", "summary") if c in rows.columns]).mapInArrow(run, rows.schema)
+    return together(rows, *keys).sortWithinPartitions(*keys, *order, "__u", "__t", *[c for c in ("title", "url", "summary") if c in rows.columns]).mapInArrow(run, rows.schema)
 
 
 def _settle_results(links: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -39,6 +39,22 @@ def test_one_island_of_many_rows(spark):
     assert [r["rank"] for r in kept] == [1, 28, 55]
 
 
+def test_thinning_after_a_join_that_turns_into_a_broadcast(spark):
+    """The join with the spacing is planned by the key, and then broadcast since few recordings are left."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        points = spark.range(0, 40_000, 1, 8).select((F.col("id") % 50).alias("media_id"), F.floor(F.col("id") / 50).cast("double").alias("t"))
+        media = spark.range(40_000).select((F.col("id") % 50).alias("media_id")).distinct().withColumn("spacing", F.col("media_id") % 7 + 2.0)
+        got = Counter(r.media_id for r in intervals.thin(points.join(media, "media_id"), "spacing").collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {m: -(-800 // (m % 7 + 2)) for m in range(50)}
+
+
 @pytest.mark.parametrize("width", [3, 1 << 16])
 def test_islands_over_bins(spark, monkeypatch, width):
     monkeypatch.setattr(intervals, "ROWS_BIN", width)
