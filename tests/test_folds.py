@@ -39,6 +39,16 @@ def test_one_island_of_many_rows(spark):
     assert [r["rank"] for r in kept] == [1, 28, 55]
 
 
+def test_referred_texts_are_cleaned_once(spark):
+    texts = spark.createDataFrame([(0, "the the ring"), (1, None), (2, ""), (3, "nobody refers to to this")], "doc_id long, text string")
+    refs = spark.range(3000).select("id", (F.col("id") % 4).alias("doc_id")).withColumn("doc_id", F.when(F.col("doc_id") < 3, F.col("doc_id")).otherwise(9))
+    out = textclean.collapse_referred(refs, texts, "doc_id")
+    assert Counter(rows(out, "doc_id", "text")) == {(0, "the ring"): 750, (1, None): 750, (2, ""): 750, (9, None): 750}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # rows are joined to clean texts; they don't pass the cleaning themselves
+    assert plan.index("Join LeftOuter") < plan.index("ArrowEvalPython")
+
+
 def test_thinning_after_a_join_that_turns_into_a_broadcast(spark):
     """The join with the spacing is planned by the key, and then broadcast since few recordings are left."""
     conf = {"spark.sql.autoBroadcastJoinThreshold": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
