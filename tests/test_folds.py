@@ -39,6 +39,22 @@ def test_one_island_of_many_rows(spark):
     assert [r["rank"] for r in kept] == [1, 28, 55]
 
 
+@pytest.mark.parametrize("held, handed", [(1 << 16, 8 << 20), (7, 20)])
+def test_scene_texts_by_reference(spark, monkeypatch, held, handed):
+    """The same texts as those of segments that carry theirs, and each is sent to a bucket once."""
+    monkeypatch.setattr(intervals, "HELD_SEGMENTS", held)
+    monkeypatch.setattr(intervals, "HANDED_BYTES", handed)
+    texts = spark.createDataFrame([(i, None if i == 3 else "" if i == 4 else f"wört {i} " * i) for i in range(9)], "doc_id long, text string")
+    refs = spark.range(600).select((F.col("id") % 5).alias("media_id"), F.floor(F.col("id") / 5).alias("seg_idx"), (F.floor(F.col("id") / 5) * 1.0).alias("start_seconds"), (F.floor(F.col("id") / 5) + 0.9).alias("end_seconds"), (F.col("id") * 7 % 11).alias("doc_id"))
+    scenes = spark.range(60).select((F.col("id") % 6).alias("media_id"), F.floor(F.col("id") / 6).alias("scene_idx"), (F.floor(F.col("id") / 6) * 9.5).alias("start_seconds"), (F.floor(F.col("id") / 6) * 9.5 + 9).alias("end_seconds"))
+    columns = [*scenes.columns, "transcript_text"]
+    carried = refs.join(texts, "doc_id", "left").drop("doc_id").withColumn("text", F.coalesce("text", F.lit("")))
+    want = sorted(rows(intervals.scene_texts(carried, scenes), *columns))
+    found = intervals.referred_scene_texts(refs, texts, scenes, "doc_id")
+    assert sorted(rows(found, *columns)) == want and len(want) == 60 and sum(t[-1] == "" for t in want) == 10
+    assert sum(len(t[-1]) for t in want) > 5000
+
+
 def test_referred_texts_are_cleaned_once(spark):
     texts = spark.createDataFrame([(0, "the the ring"), (1, None), (2, ""), (3, "nobody refers to to this")], "doc_id long, text string")
     refs = spark.range(3000).select("id", (F.col("id") % 4).alias("doc_id")).withColumn("doc_id", F.when(F.col("doc_id") < 3, F.col("doc_id")).otherwise(9))
