@@ -55,6 +55,15 @@ def test_scene_texts_by_reference(spark, monkeypatch, held, handed):
     assert sum(len(t[-1]) for t in want) > 5000
 
 
+def test_transcripts_with_times_are_not_joined_to_their_chunks(spark):
+    speech = spark.createDataFrame([(1, i, 3.0 * i, 3.0 * i + 1) for i in range(20)], "media_id long, seg_idx long, start double, end double")
+    text = F.when(F.col("chunk_idx") % 2 == 0, F.lit("ring")).otherwise(F.lit(""))
+    with_times = plan.transcripts(speech, lambda chunks: chunks.withColumn("text", text), gap=2.0, most=5.0)
+    without = plan.transcripts(speech, lambda chunks: chunks.select("media_id", "chunk_idx", text.alias("text")), gap=2.0, most=5.0)
+    assert sorted(with_times.collect()) == sorted(without.select(*with_times.columns).collect()) and with_times.count() == 5
+    assert "Join" not in with_times._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_referred_texts_are_cleaned_once(spark):
     texts = spark.createDataFrame([(0, "the the ring"), (1, None), (2, ""), (3, "nobody refers to to this")], "doc_id long, text string")
     refs = spark.range(3000).select("id", (F.col("id") % 4).alias("doc_id")).withColumn("doc_id", F.when(F.col("doc_id") < 3, F.col("doc_id")).otherwise(9))
