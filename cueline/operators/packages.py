@@ -63,6 +63,8 @@ FIELDS = (
 )
 #: Rows of templates that are broadcast at most.
 BROADCAST_TEMPLATES = 10_000
+#: Requests, about, whose packages one task words.
+TASK_REQUESTS = 1 << 13
 
 
 def is_english(language: Column) -> Column:
@@ -130,10 +132,14 @@ def build_packages(requests: DataFrame, profiles: DataFrame, research: DataFrame
     isn't empty. The request's own channel comes before its profile's. ``english``:
     phrases of titles that are replaced if the language is English. Tags and hashtags are
     without repetition whatever the case, in order; titles stay as many as there are templates.
+
+    Requests are counted, and dealt to tasks of about :data:`TASK_REQUESTS` before they are worded:
+    a row takes far more work than bytes, and the joins below may leave all of a file to one task.
     """
     own = lambda c: F.col(c) if c in requests.columns else F.lit(None).cast("string")
     asked = requests.select(key, "profile_key", "game_name", "video_type", "episode_topic", own("channel_name").alias("__channel"), own("video_path").alias("__video"))
     r = asked.join(profiles.select("profile_key", "channel_name", "preferred_language", "target_audience"), "profile_key", "left").join(research.select(key, "suggested_name"), key, "left")
+    r = r.repartition(-(-max(1, requests.count()) // TASK_REQUESTS), F.xxhash64(*[F.col(f"`{c}`") for c in r.columns]))
     text = lambda c: clean(F.coalesce(c, F.lit("")))
     suggested = F.when(text("suggested_name") != "", F.col("suggested_name"))
     r = r.withColumns(
