@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -11,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cueline import fixtures as fx
-from cueline import registry
+from cueline import registry, storage
+from cueline.functions.text import is_blank, strip
 from cueline.operators import answers, captions, folds, intervals, packages, quantiles, ranks, research, scoring, signals, textclean
 from cueline.operators.answers import Responder
 from cueline.plans import highlights as plan
@@ -55,6 +57,56 @@ def test_scene_texts_by_reference(spark, monkeypatch, held, handed):
     assert sum(len(t[-1]) for t in want) > 5000
 
 
+def _one_to_one(spark, n, doc_id):
+    """Segments and scenes of the same times, in 5 recordings."""
+    at = F.floor(F.col("id") / 5) * 1.0
+    both = spark.range(n).select((F.col("id") % 5).alias("media_id"), F.floor(F.col("id") / 5).alias("n"), at.alias("start_seconds"), (at + 0.9).alias("end_seconds"), doc_id.alias("doc_id"))
+    return both.withColumnRenamed("n", "seg_idx"), both.drop("doc_id").withColumnRenamed("n", "scene_idx")
+
+
+def test_texts_of_scenes_with_one_segment_are_shuffled_once(spark, monkeypatch):
+    """However many buckets their scenes would be dealt to."""
+    monkeypatch.setattr(intervals, "HELD_SEGMENTS", 10)
+    rng = random.Random(5)
+    told = {i: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=5000)) for i in range(200)}
+    texts = spark.createDataFrame(list(told.items()), "doc_id long, text string")
+    # recording and number of a scene: its document
+    refs, scenes = _one_to_one(spark, 800, F.col("id") * 7 % 200)
+    written = lambda: spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    got = rows(intervals.referred_scene_texts(refs, texts, scenes, "doc_id"), "media_id", "scene_idx", "transcript_text")
+    assert sorted(got) == sorted((i % 5, i // 5, told[i * 7 % 200]) for i in range(800))
+    assert written() - before < 2 * 200 * 5000
+
+
+def test_a_text_that_most_scenes_say_is_dealt_by_scene(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "HELD_SEGMENTS", 10)
+    texts = spark.createDataFrame([(0, "the ring"), (1, "a bell"), (2, "")], "doc_id long, text string")
+    refs, scenes = _one_to_one(spark, 300, F.when(F.col("id") % 100 < 97, 0).when(F.col("id") % 100 == 97, 1).when(F.col("id") % 100 == 98, 2))
+    found = intervals.referred_scene_texts(refs, texts, scenes, "doc_id")
+    assert Counter(t for (t,) in rows(found, "transcript_text")) == {"the ring": 291, "a bell": 3, "": 6}
+    said = {(m, n): t for m, n, t in rows(found, "media_id", "scene_idx", "transcript_text")}
+    assert len(said) == 300 and all(said[i % 5, i // 5] == ("the ring" if i % 100 < 97 else "a bell" if i % 100 == 97 else "") for i in range(300))
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("/shuffle_")
+    before, set_to = files(), spark.conf.get(storage.CLEANUP)
+    df = storage.materialise(spark.range(10000).groupBy((F.col("id") % 100).alias("k")).count(), "counts")
+    for _ in range(50):
+        if (left := files()) <= before:
+            break
+        time.sleep(0.2)
+    assert left <= before and df.count() == 100 and spark.conf.get(storage.CLEANUP) == set_to
+    storage.release(df)
+
+
+@pytest.mark.parametrize("text", ["", " \t\n", "\u2003\u00a0", "\u200b", " a ", "\u00e9", "\x1c"])
+def test_blank_is_what_strip_leaves_empty(spark, text):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(is_blank("t").alias("a"), (strip("t") == "").alias("b")).where("a = b").count() == 1
+
+
 def test_transcripts_with_times_are_not_joined_to_their_chunks(spark):
     speech = spark.createDataFrame([(1, i, 3.0 * i, 3.0 * i + 1) for i in range(20)], "media_id long, seg_idx long, start double, end double")
     text = F.when(F.col("chunk_idx") % 2 == 0, F.lit("ring")).otherwise(F.lit(""))
