@@ -89,6 +89,25 @@ def test_a_text_that_most_scenes_say_is_dealt_by_scene(spark, monkeypatch):
     assert len(said) == 300 and all(said[i % 5, i // 5] == ("the ring" if i % 100 < 97 else "a bell" if i % 100 == 97 else "") for i in range(300))
 
 
+def test_what_is_told_of_a_text_is_worked_out_once(spark):
+    """However many scenes of one segment say it; scenes without a text have what is told of an empty one."""
+    texts = spark.createDataFrame([(0, "the  ring "), (1, "a bell rang"), (2, ""), (3, None)], "doc_id long, text string")
+    refs, scenes = _one_to_one(spark, 400, F.when(F.col("id") < 380, F.col("id") % 5))
+    refs = refs.unionByName(refs.where("seg_idx = 0").withColumn("seg_idx", F.lit(1000).cast("long")))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def shout(text):
+        seen.add(text != "")
+        return None if text == "a bell rang" else text.upper() + "!"
+
+    found = intervals.referred_scene_texts(refs, texts, scenes, "doc_id", told=lambda t: {"shout": shout(t)} | scoring.statistics_of(t))
+    got = Counter(rows(found, "shout", "speech_character_count", "speech_word_count", "has_speech"))
+    assert got == {("THE  RING !", 9, 2, True): 75, (None, 11, 3, True): 75, ("THE  RING  THE  RING !", 20, 4, True): 1, ("A BELL RANG A BELL RANG!", 23, 6, True): 1, ("!", 0, 0, False): 248}
+    # two texts and two scenes of two segments
+    assert seen.value == 2 + 2
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("/shuffle_")
     before, set_to = files(), spark.conf.get(storage.CLEANUP)
