@@ -514,6 +514,56 @@ def test_highlight_run_against_a_loop(spark, sf):
     assert {s for s, _ in run.timings} >= {"commentary", "visual", "fusion", "titles"} and ev.count() > 0
 
 
+def test_texts_by_reference_give_the_run_that_carried_ones_give(spark, sf, monkeypatch):
+    """By reference no table before that of the clips holds a text, and nothing stays but what the run returns."""
+    tables, run_of = {}, plan.highlight_run
+
+    def noted(df, name, *rest):
+        tables[name] = df.columns
+        return storage.materialise(df, name, *rest)
+
+    monkeypatch.setattr(plan, "materialise", noted)
+    before = set(storage._WRITTEN)
+    run = registry._run(spark, sf)
+    stages = list(tables)
+    assert not {"text", "transcript_text"} & {c for name in stages[: stages.index("clips")] for c in tables[name]}
+    left = {path.rsplit("/cueline-", 1)[1].rsplit("-", 1)[0] for path in storage._WRITTEN if path not in before}
+    assert left == {"clips", "commentary", "visual", "fusion", "final", "titles", "packages", "ledger"}
+
+    def carried(speech, parts, *args, texts, **named):
+        part = F.transform(F.array_sort(F.collect_list(F.struct("part_idx", "text"))), lambda x: x["text"])
+        told = lambda chunks: parts(chunks).join(texts.where("text <> ''"), "doc_id").groupBy("media_id", "chunk_idx").agg(F.array_join(part, " ").alias("text"))
+        return run_of(speech, told, *args, **named)
+
+    monkeypatch.setattr(plan, "highlight_run", carried)
+    other = registry._run(spark, sf)
+    columns = ("media_id", "rank", "number", "category", "transcript_text", "start_seconds", "end_seconds")
+    assert sorted(rows(run.final, *columns)) == sorted(rows(other.final, *columns)) and run.final.count() > 20
+    columns = ("media_id", "rank", "title", "caption_count", "document")
+    assert sorted(rows(run.packages, *columns)) == sorted(rows(other.packages, *columns))
+    documents = captions.subtitle_documents(run.captions, run.final, ["media_id", "rank"])
+    assert sorted(rows(documents, "media_id", "rank", "document")) == sorted(rows(run.packages, "media_id", "rank", "document")) == sorted(rows(run.documents, "media_id", "rank", "document"))
+
+
+def test_documents_are_made_where_clips_lie(spark):
+    """As from captions that are rows, without a shuffle."""
+    said = [(1, "a b c d e", 7.0), (2, "", 3.0), (3, None, 3.0), (4, "one", 0.0), (5, " w\u00f6rt\u2003two\n three ", 1e5 / 3), (6, "x " * 4001, 3723.0015), (7, "a b c d", None)]
+    clips = spark.createDataFrame(said, "id long, transcript_text string, duration_seconds double")
+    lines = captions.build_captions(clips, ["id"])
+    made = captions.with_documents(clips)
+    assert dict(rows(made, "id", "document")) == dict(rows(captions.subtitle_documents(lines, clips, ["id"]), "id", "document"))
+    assert {k: n for k, n in rows(made, "id", "caption_count") if n} == dict(rows(lines.groupBy("id").count(), "id", "count"))
+    assert "Exchange" not in made._jdf.queryExecution().sparkPlan().toString() and made.count() == 7
+
+
+def test_words_of_what_segments_say(spark):
+    texts = spark.createDataFrame([(0, "the ring"), (1, ""), (2, None), (3, " "), (4, "a b c")], "doc_id long, text string")
+    segments = spark.createDataFrame([(1, i, 1.0 * i) for i in range(6)], "media_id long, seg_idx long, start_seconds double")
+    parts = spark.createDataFrame([(1, 0, 0), (1, 0, 4), (1, 0, 0), (1, 1, 1), (1, 2, 2), (1, 3, 3), (1, 4, 9), (1, 4, 4)], "media_id long, seg_idx long, doc_id long")
+    got = scoring.spoken_words(segments, parts, texts, "doc_id")
+    assert sorted(rows(got, "seg_idx", "words")) == [(0, 7), (3, 0), (4, 3)]
+
+
 def asking(folder, fail=(), slow=()):
     """A responder that notes each prompt it is asked, and fails or times out at some as long as a file says so."""
 
